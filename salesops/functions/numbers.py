@@ -20,7 +20,7 @@ def num_or_zero(col: Column | str, data_type: DataType | None = None) -> Column:
     if data_type is not None and isinstance(data_type, NumericType):
         return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
     s = py_strip(c.cast("string"))
-    parsed = F.when(s.rlike(NUMBER_SHAPE), F.try_cast(s, "double"))
+    parsed = F.when(s.rlike(NUMBER_SHAPE), s.try_cast("double"))
     return F.coalesce(F.nanvl(parsed, F.lit(0.0)), F.lit(0.0))
 
 

@@ -39,175 +39,229 @@ def _with(*ctes: str) -> str:
 
 
 # ---------------------------------------------------------------------------
-# Charts on the clean sales table
+# Charts (A0–A12), on the clean ``sales`` table and on the dirty ``raw_sales``
 # ---------------------------------------------------------------------------
 
-_S = O.SALES_CTE
-_P = O.period('"Date"', YEAR)
-_PM = O.period('"Date"', YEAR, MONTH)
 
+def _clean_cte(src: str) -> str:
+    """``c``: every chart input column, cleaned by the chart rules."""
+    if src == "sales":
+        date, qty, price, cte = '"Date"', '"Quantity"', '"Price"', O.SALES_CTE
+    else:
+        date, qty, price, cte = O.parse_date('"Date"'), O.num('"Quantity"'), O.money('"Price"'), O.RAW_SALES_CTE
+    return _with(
+        cte,
+        f"""c AS (SELECT {date} AS "Date", {O.label('"PaymentType"')} AS pay, {O.label('"Category"')} AS cat,
+                    {O.key('"OrderID"')} AS oid, {O.key('"Item"')} AS item, {qty} AS qty, {price} AS price
+             FROM {src})""",
+    )
 
-@register(
-    "available_years",
-    _with(_S) + 'SELECT DISTINCT CAST(year("Date") AS BIGINT) AS year FROM sales WHERE "Date" IS NOT NULL',
-)
-def q_available_years(spark, d):
-    return charts.available_years(T.sales(spark, d))
 
+def _where(year, month=None) -> str:
+    return '"Date" IS NOT NULL AND ' + O.period('"Date"', year, month)
 
-def _share_sql(col: str, out: str, where: str) -> str:
-    return _with(
-        _S,
-        f"g AS (SELECT {O.label(col)} AS {out}, count(*) AS count FROM sales WHERE {where} GROUP BY 1)",
-    ) + f"SELECT {out}, count, {O.pct('count', '(SELECT sum(count) FROM g)')} AS percentage FROM g"
+
+def sql_available_years(src):
+    return _clean_cte(src) + 'SELECT DISTINCT CAST(year("Date") AS BIGINT) AS year FROM c WHERE "Date" IS NOT NULL'
 
 
-@register("payment_method_split", _share_sql('"PaymentType"', "payment_method", _P))
-def q_payment_method_split(spark, d):
-    return charts.payment_method_split(T.sales(spark, d), YEAR)
+def sql_share(src, col, out, year, month=None):
+    return (
+        _clean_cte(src)
+        + f", g AS (SELECT {col} AS {out}, count(*) AS count FROM c WHERE {_where(year, month)} GROUP BY 1)\n"
+        + f"SELECT {out}, count, {O.pct('count', '(SELECT sum(count) FROM g)')} AS percentage FROM g"
+    )
 
 
-@register("category_performance", _share_sql('"Category"', "category", _PM))
-def q_category_performance(spark, d):
-    return charts.category_performance(T.sales(spark, d), YEAR, MONTH)
+def sql_revenue_split(src, year, month=None):
+    return (
+        _clean_cte(src)
+        + f""", g AS (SELECT pay AS payment_method, sum(price) AS amount FROM c WHERE {_where(year, month)} GROUP BY 1),
+           t AS (SELECT sum(amount) AS total FROM g)
+        SELECT payment_method, CAST(amount AS DOUBLE) AS revenue,
+               {O.pct('amount', '(SELECT total FROM t)')} AS percentage
+        FROM g WHERE (SELECT total FROM t) > 0"""
+    )
 
 
-@register(
-    "revenue_split",
-    _with(
-        _S,
-        f"""g AS (SELECT {O.label('"PaymentType"')} AS payment_method, sum("Price") AS amount
-               FROM sales WHERE {_P} GROUP BY 1)""",
-        "t AS (SELECT sum(amount) AS total FROM g)",
+def sql_revenue_trend_month(src, year):
+    return (
+        _clean_cte(src)
+        + f""", g AS (SELECT month("Date") AS month, sum(price) AS amount FROM c WHERE {_where(year)} GROUP BY 1)
+        SELECT CAST(m.month AS BIGINT) AS month, strftime(make_date(2000, CAST(m.month AS INTEGER), 1), '%b') AS label,
+               CAST(coalesce(g.amount, 0) AS DOUBLE) AS revenue
+        FROM range(1, 13) m(month) LEFT JOIN g ON g.month = m.month"""
     )
-    + f"""SELECT payment_method, CAST(amount AS DOUBLE) AS revenue,
-              {O.pct('amount', '(SELECT total FROM t)')} AS percentage
-       FROM g WHERE (SELECT total FROM t) > 0""",
-)
-def q_revenue_split(spark, d):
-    return charts.revenue_split(T.sales(spark, d), YEAR)
 
 
-@register(
-    "revenue_trend_month",
-    _with(_S, f'g AS (SELECT month("Date") AS month, sum("Price") AS amount FROM sales WHERE {_P} GROUP BY 1)')
-    + """SELECT CAST(m.month AS BIGINT) AS month, strftime(make_date(2000, CAST(m.month AS INTEGER), 1), '%b') AS label,
-              CAST(coalesce(g.amount, 0) AS DOUBLE) AS revenue
-       FROM range(1, 13) m(month) LEFT JOIN g ON g.month = m.month""",
-)
-def q_revenue_trend_month(spark, d):
-    return charts.revenue_trend_month(T.sales(spark, d), YEAR)
+def _days(year, month):
+    import calendar
 
+    return calendar.monthrange(year, month)[1]
 
-@register(
-    "revenue_trend_day",
-    _with(_S, f'g AS (SELECT day("Date") AS day, sum("Price") AS amount FROM sales WHERE {_PM} GROUP BY 1)')
-    + """SELECT CAST(m.day AS BIGINT) AS day, CAST(m.day AS VARCHAR) AS label,
-              CAST(coalesce(g.amount, 0) AS DOUBLE) AS revenue
-       FROM range(1, 32) m(day) LEFT JOIN g ON g.day = m.day""",
-)
-def q_revenue_trend_day(spark, d):
-    return charts.revenue_trend_day(T.sales(spark, d), YEAR, MONTH)
+
+def sql_revenue_trend_day(src, year, month):
+    return (
+        _clean_cte(src)
+        + f""", g AS (SELECT day("Date") AS day, sum(price) AS amount FROM c WHERE {_where(year, month)} GROUP BY 1)
+        SELECT CAST(m.day AS BIGINT) AS day, CAST(m.day AS VARCHAR) AS label,
+               CAST(coalesce(g.amount, 0) AS DOUBLE) AS revenue
+        FROM range(1, {_days(year, month) + 1}) m(day) LEFT JOIN g ON g.day = m.day"""
+    )
 
 
-@register(
-    "order_volume",
-    _with(
-        _S,
-        f"""c AS (SELECT "Date", {O.key('"OrderID"')} AS oid FROM sales WHERE {_PM})""",
-        "g AS (SELECT day(\"Date\") AS day, count(DISTINCT oid) AS count FROM c WHERE oid <> '' GROUP BY 1)",
+def sql_order_volume(src, year, month):
+    return (
+        _clean_cte(src)
+        + f""", g AS (SELECT day("Date") AS day, count(DISTINCT oid) AS count FROM c
+                   WHERE {_where(year, month)} AND oid <> '' GROUP BY 1)
+        SELECT CAST(m.day AS BIGINT) AS day, CAST(coalesce(g.count, 0) AS BIGINT) AS count
+        FROM range(1, {_days(year, month) + 1}) m(day) LEFT JOIN g ON g.day = m.day"""
     )
-    + """SELECT CAST(m.day AS BIGINT) AS day, CAST(coalesce(g.count, 0) AS BIGINT) AS count
-       FROM range(1, 32) m(day) LEFT JOIN g ON g.day = m.day""",
-)
-def q_order_volume(spark, d):
-    return charts.order_volume(T.sales(spark, d), YEAR, MONTH)
 
 
-_HP = O.period('"Date"', H_YEAR, H_MONTH)
-_DAY_WISE_SQL = _with(
-    O.SALES_HOURS_CTE,
-    f"""g AS (SELECT day("Date") AS day,
+def sql_day_wise_pattern(src_cte, src, year, month):
+    date = '"Date"' if src != "raw_sales" else O.parse_date('"Date"')
+    price = '"Price"' if src != "raw_sales" else O.money('"Price"')
+    return _with(
+        src_cte,
+        f'c AS (SELECT {date} AS "Date", {price} AS price FROM {src})',
+        f"""g AS (SELECT day("Date") AS day,
                     CASE WHEN hour("Date") < 12 THEN 'morning' WHEN hour("Date") < 18 THEN 'daytime' ELSE 'evening' END AS bucket,
-                    count(*) AS sales_count, sum("Price") AS amount
-             FROM sales_hours WHERE {_HP} GROUP BY 1, 2)""",
-    "mx AS (SELECT max(amount) AS top FROM g)",
-    "grid AS (SELECT d.day, b.bucket FROM range(1, 32) d(day), (VALUES ('morning'), ('daytime'), ('evening')) b(bucket))",
-    f"""pts AS (SELECT CAST(grid.day AS BIGINT) AS day, grid.bucket,
+                    count(*) AS sales_count, sum(price) AS amount
+             FROM c WHERE {_where(year, month)} GROUP BY 1, 2)""",
+        "mx AS (SELECT max(amount) AS top FROM g)",
+        f"""grid AS (SELECT d.day, b.bucket FROM range(1, {_days(year, month) + 1}) d(day),
+                    (VALUES ('morning'), ('daytime'), ('evening')) b(bucket))""",
+        f"""pts AS (SELECT CAST(grid.day AS BIGINT) AS day, grid.bucket,
               CAST(coalesce(g.sales_count, 0) AS BIGINT) AS sales_count,
               CAST(coalesce(g.amount, 0) AS DOUBLE) AS sales_amount,
               CASE WHEN g.amount IS NULL THEN 0.0
                    WHEN coalesce((SELECT top FROM mx), 0) <= 0 THEN 0.0
                    ELSE {O.pct('g.amount', '(SELECT top FROM mx)')} END AS intensity
        FROM grid LEFT JOIN g ON g.day = grid.day AND g.bucket = grid.bucket)""",
-)
+    )
+
+
+def sql_top_selling_items(src, year, month=None):
+    return (
+        _clean_cte(src)
+        + f""", g AS (SELECT item, sum(qty) AS q FROM c WHERE {_where(year, month)} AND item <> '' GROUP BY 1)
+        SELECT CAST(row_number() OVER (ORDER BY q DESC, item) AS BIGINT) AS rank, item,
+               CAST(round_even(q, 0) AS BIGINT) AS quantity
+        FROM g ORDER BY q DESC, item LIMIT 20"""
+    )
 
 
-@register("day_wise_pattern", _DAY_WISE_SQL + "SELECT * FROM pts")
-def q_day_wise_pattern(spark, d):
-    return charts.day_wise_pattern(T.sales_hours(spark, d), H_YEAR, H_MONTH)
+def _basket_ctes(src, year):
+    return _clean_cte(src) + f""", dd AS (SELECT DISTINCT oid, item FROM c
+                 WHERE {_where(year)} AND oid <> '' AND item <> '')"""
 
 
-@register(
-    "top_selling_items",
-    _with(
-        _S,
-        f"""c AS (SELECT {O.key('"Item"')} AS item, "Quantity" AS q FROM sales WHERE {_P})""",
-        "g AS (SELECT item, sum(q) AS q FROM c WHERE item <> '' GROUP BY 1)",
+def sql_market_basket(src, year):
+    return (
+        _basket_ctes(src, year)
+        + """, p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS count, min(a.oid) AS first_order
+               FROM dd a JOIN dd b ON a.oid = b.oid AND a.item < b.item GROUP BY 1, 2)
+        SELECT CAST(row_number() OVER (ORDER BY count DESC, first_order, item_a, item_b) AS BIGINT) AS rank,
+               item_a || ' + ' || item_b AS label, CAST(count AS BIGINT) AS count
+        FROM p ORDER BY rank LIMIT 20"""
     )
-    + """SELECT CAST(row_number() OVER (ORDER BY q DESC, item) AS BIGINT) AS rank, item,
-              CAST(round_even(q, 0) AS BIGINT) AS quantity
-       FROM g ORDER BY q DESC, item LIMIT 20""",
-)
-def q_top_selling_items(spark, d):
-    return charts.top_selling_items(T.sales(spark, d), YEAR)
 
 
-_BASKET_CTES = (
-    _S,
-    f"""d AS (SELECT DISTINCT {O.key('"OrderID"')} AS oid, {O.key('"Item"')} AS item FROM sales WHERE {_P})""",
-    "dd AS (SELECT * FROM d WHERE oid <> '' AND item <> '')",
-)
+def sql_market_basket_total(src, year):
+    return (
+        _basket_ctes(src, year)
+        + """, n AS (SELECT oid, count(*) AS n FROM dd GROUP BY 1)
+        SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS total_pair_occurrences FROM n"""
+    )
 
 
-@register(
-    "market_basket",
-    _with(
-        *_BASKET_CTES,
-        """p AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS count, min(a.oid) AS first_order
-               FROM dd a JOIN dd b ON a.oid = b.oid AND a.item < b.item GROUP BY 1, 2)""",
+def sql_payment_vs_category(src, year, month=None):
+    return (
+        _clean_cte(src)
+        + f""", g AS (SELECT cat AS category, pay AS payment_method, count(*) AS count
+                   FROM c WHERE {_where(year, month)} GROUP BY 1, 2),
+           ct AS (SELECT category, sum(count) AS category_total FROM g GROUP BY 1),
+           pt AS (SELECT payment_method, sum(count) AS payment_total FROM g GROUP BY 1)
+        SELECT ct.category, CAST(ct.category_total AS BIGINT) AS category_total,
+               pt.payment_method, CAST(pt.payment_total AS BIGINT) AS payment_total,
+               CAST(coalesce(g.count, 0) AS BIGINT) AS count,
+               CASE WHEN ct.category_total > 0 THEN {O.pct('coalesce(g.count, 0)', 'ct.category_total')} ELSE 0.0 END AS percentage
+        FROM ct CROSS JOIN pt LEFT JOIN g ON g.category = ct.category AND g.payment_method = pt.payment_method"""
     )
-    + """SELECT CAST(row_number() OVER (ORDER BY count DESC, first_order, item_a, item_b) AS BIGINT) AS rank,
-              item_a || ' + ' || item_b AS label, CAST(count AS BIGINT) AS count
-       FROM p ORDER BY rank LIMIT 20""",
-)
-def q_market_basket(spark, d):
-    return basket.market_basket(T.sales(spark, d), YEAR)
 
 
-@register(
-    "market_basket_total",
-    _with(*_BASKET_CTES, "n AS (SELECT oid, count(*) AS n FROM dd GROUP BY 1)")
-    + "SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS total_pair_occurrences FROM n",
+def sql_chart_totals(year, month, h_year, h_month):
+    """A12 in one row; each total restated from its chart's SQL."""
+    src = "sales"
+    rt_y = sql_revenue_trend_month(src, year)
+    rt_m = sql_revenue_trend_day(src, year, month)
+    ov = sql_order_volume(src, year, month)
+    ti = sql_top_selling_items(src, year, month)
+    mb = sql_market_basket_total(src, year)
+    pv = sql_payment_vs_category(src, year, month)
+    rs = _clean_cte(src) + f'SELECT sum(price) AS s FROM c WHERE {_where(year, month)}'
+    dw = sql_day_wise_pattern(O.SALES_HOURS_CTE, "sales_hours", h_year, h_month) + "SELECT * FROM pts"
+    return f"""SELECT
+      (SELECT round_even(coalesce(sum(revenue), 0.0), 2) FROM ({rt_y})) AS total_revenue_year,
+      (SELECT round_even(coalesce(sum(revenue), 0.0), 2) FROM ({rt_m})) AS total_revenue_month,
+      (SELECT CAST(sum(count) AS BIGINT) FROM ({ov})) AS total_orders,
+      (SELECT CAST(coalesce(sum(quantity), 0) AS BIGINT) FROM ({ti})) AS total_quantity,
+      (SELECT total_pair_occurrences FROM ({mb})) AS total_pair_occurrences,
+      (SELECT CAST(sum(count) AS BIGINT) FROM ({pv})) AS total_records,
+      (SELECT CASE WHEN coalesce(s, 0) > 0 THEN CAST(s AS DOUBLE) ELSE 0.0 END FROM ({rs})) AS total_revenue,
+      (SELECT CAST(sum(sales_count) AS BIGINT) FROM ({dw})) AS total_sales_count,
+      (SELECT round_even(sum(sales_amount), 2) FROM ({dw})) AS total_sales_amount"""
+
+
+def _chart_set(src: str, load, suffix: str):
+    register(f"available_years{suffix}", sql_available_years(src))(
+        lambda spark, d: charts.available_years(load(spark, d))
+    )
+    register(f"payment_method_split{suffix}", sql_share(src, "pay", "payment_method", YEAR))(
+        lambda spark, d: charts.payment_method_split(load(spark, d), YEAR)
+    )
+    register(f"category_performance{suffix}", sql_share(src, "cat", "category", YEAR, MONTH))(
+        lambda spark, d: charts.category_performance(load(spark, d), YEAR, MONTH)
+    )
+    register(f"revenue_split{suffix}", sql_revenue_split(src, YEAR))(
+        lambda spark, d: charts.revenue_split(load(spark, d), YEAR)
+    )
+    register(f"revenue_trend_month{suffix}", sql_revenue_trend_month(src, YEAR))(
+        lambda spark, d: charts.revenue_trend_month(load(spark, d), YEAR)
+    )
+    register(f"revenue_trend_day{suffix}", sql_revenue_trend_day(src, YEAR, MONTH))(
+        lambda spark, d: charts.revenue_trend_day(load(spark, d), YEAR, MONTH)
+    )
+    register(f"order_volume{suffix}", sql_order_volume(src, YEAR, MONTH))(
+        lambda spark, d: charts.order_volume(load(spark, d), YEAR, MONTH)
+    )
+    register(f"top_selling_items{suffix}", sql_top_selling_items(src, YEAR))(
+        lambda spark, d: charts.top_selling_items(load(spark, d), YEAR)
+    )
+    register(f"market_basket{suffix}", sql_market_basket(src, YEAR))(
+        lambda spark, d: basket.market_basket(load(spark, d), YEAR)
+    )
+    register(f"market_basket_total{suffix}", sql_market_basket_total(src, YEAR))(
+        lambda spark, d: basket.market_basket_total(load(spark, d), YEAR)
+    )
+    register(f"payment_vs_category{suffix}", sql_payment_vs_category(src, YEAR))(
+        lambda spark, d: charts.payment_vs_category(load(spark, d), YEAR)
+    )
+
+
+_chart_set("sales", T.sales, "")
+
+register("day_wise_pattern", sql_day_wise_pattern(O.SALES_HOURS_CTE, "sales_hours", H_YEAR, H_MONTH) + "SELECT * FROM pts")(
+    lambda spark, d: charts.day_wise_pattern(T.sales_hours(spark, d), H_YEAR, H_MONTH)
 )
-def q_market_basket_total(spark, d):
-    return basket.market_basket_total(T.sales(spark, d), YEAR)
-
-
-@register(
-    "payment_vs_category",
-    _with(
-        _S,
-        f"""g AS (SELECT {O.label('"Category"')} AS category, {O.label('"PaymentType"')} AS payment_method, count(*) AS count
-               FROM sales WHERE {_P} GROUP BY 1, 2)""",
-        "ct AS (SELECT category, sum(count) AS category_total FROM g GROUP BY 1)",
-        "pt AS (SELECT payment_method, sum(count) AS payment_total FROM g GROUP BY 1)",
-    )
-    + f"""SELECT ct.category, CAST(ct.category_total AS BIGINT) AS category_total,
-              pt.payment_method, CAST(pt.payment_total AS BIGINT) AS payment_total,
-              CAST(coalesce(g.count, 0) AS BIGINT) AS count,
-              CASE WHEN ct.category_total > 0 THEN {O.pct('coalesce(g.count, 0)', 'ct.category_total')} ELSE 0.0 END AS percentage
-       FROM ct CROSS JOIN pt LEFT JOIN g ON g.category = ct.category AND g.payment_method = pt.payment_method""",
+register("chart_totals", sql_chart_totals(YEAR, MONTH, H_YEAR, H_MONTH))(
+    lambda spark, d: charts.chart_totals(T.sales(spark, d), YEAR, MONTH, T.sales_hours(spark, d), H_YEAR, H_MONTH)
 )
-def q_payment_vs_category(spark, d):
-    return charts.payment_vs_category(T.sales(spark, d), YEAR)
+
+_chart_set("raw_sales", T.raw_sales, "_raw")
+register(
+    "day_wise_pattern_raw",
+    sql_day_wise_pattern(O.RAW_SALES_CTE, "raw_sales", YEAR, MONTH) + "SELECT * FROM pts",
+)(lambda spark, d: charts.day_wise_pattern(T.raw_sales(spark, d), YEAR, MONTH))
