@@ -35,9 +35,9 @@ EXCEL_NA_VALUES = [
     "nan", "null",
 ]
 
-# Characters Python's str.strip() removes that a plain blank trim keeps.
-PY_WHITESPACE_JAVA = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-PY_WHITESPACE_RE2 = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Characters Python's str.strip() removes (str.isspace(), all below U+3001),
+# derived by rule rather than listed; a plain blank trim keeps most of them.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 # A number a text cell may hold (pandas to_numeric accepts these; "1d",
 # "1,000" and "0x10" are not numbers).

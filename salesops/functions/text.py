@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesops.constants import (
     EXCEL_NA_VALUES,
     MISSING_KEY,
-    PY_WHITESPACE_JAVA,
+    PY_WHITESPACE,
     UNKNOWN_LABEL,
     UNKNOWN_WORDS,
 )
@@ -20,9 +20,9 @@ def _c(col: Column | str) -> Column:
 
 def py_strip(col: Column | str) -> Column:
     """Python ``str.strip()``: removes all leading/trailing white space,
-    including tabs and non-ASCII blanks (Spark's ``trim`` removes blanks only)."""
-    ws = PY_WHITESPACE_JAVA
-    return F.regexp_replace(_c(col), f"^{ws}+|{ws}+$", "")
+    including tabs and non-ASCII blanks (Spark's ``trim`` removes blanks only).
+    ``btrim`` with an explicit character set: no regex per value."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def is_missing_text(col: Column | str) -> Column:

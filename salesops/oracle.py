@@ -12,7 +12,7 @@ from salesops.constants import (
     DATE_TEXT_SHAPE,
     EXCEL_NA_VALUES,
     NUMBER_SHAPE,
-    PY_WHITESPACE_RE2,
+    PY_WHITESPACE,
     UNKNOWN_WORDS,
 )
 
@@ -27,8 +27,7 @@ def in_list(values) -> str:
 
 
 def strip(x: str) -> str:
-    ws = PY_WHITESPACE_RE2
-    return f"regexp_replace({x}, {q('^' + ws + '+|' + ws + '+$')}, '', 'g')"
+    return f"trim({x}, {q(PY_WHITESPACE)})"
 
 
 def missing(x: str) -> str:

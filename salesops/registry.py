@@ -265,3 +265,152 @@ register(
     "day_wise_pattern_raw",
     sql_day_wise_pattern(O.RAW_SALES_CTE, "raw_sales", YEAR, MONTH) + "SELECT * FROM pts",
 )(lambda spark, d: charts.day_wise_pattern(T.raw_sales(spark, d), YEAR, MONTH))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning (N1–N6) and filters (F1–F3) on the dirty text table
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from salesops.functions.dates import parse_date as _parse_date  # noqa: E402
+from salesops.functions.numbers import num_or_zero as _num  # noqa: E402
+from salesops.functions.text import label_unknown as _label, text_key as _key  # noqa: E402
+from salesops.operators import clean, quality  # noqa: E402
+
+_R = O.RAW_SALES_CTE
+_RD = O.parse_date('"Date"')
+
+
+@register(
+    "parse_date",
+    _with(_R) + f"""SELECT row_number, "Date" AS date_text, strftime({_RD}, '%Y-%m-%d %H:%M:%S') AS parsed FROM raw_sales""",
+)
+def q_parse_date(spark, d):
+    r = T.raw_sales(spark, d)
+    return r.select(
+        "row_number",
+        F.col("Date").alias("date_text"),
+        F.date_format(_parse_date("Date", r.schema["Date"].dataType), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
+    )
+
+
+@register("drop_bad_dates", _with(_R) + f"SELECT row_number FROM raw_sales WHERE {_RD} IS NOT NULL")
+def q_drop_bad_dates(spark, d):
+    return clean.drop_bad_dates(clean.parse_dates(T.raw_sales(spark, d))).select("row_number")
+
+
+@register(
+    "label_unknown",
+    _with(_R) + f"""SELECT row_number, {O.label('"Category"')} AS category, {O.label('"PaymentType"')} AS payment_method FROM raw_sales""",
+)
+def q_label_unknown(spark, d):
+    return T.raw_sales(spark, d).select("row_number", _label("Category").alias("category"), _label("PaymentType").alias("payment_method"))
+
+
+@register(
+    "text_key",
+    _with(_R) + f"""SELECT row_number, {O.key('"OrderID"')} AS order_key, {O.key('"Item"')} AS item_key FROM raw_sales""",
+)
+def q_text_key(spark, d):
+    return T.raw_sales(spark, d).select("row_number", _key("OrderID").alias("order_key"), _key("Item").alias("item_key"))
+
+
+@register(
+    "drop_empty_keys",
+    _with(_R, f"""k AS (SELECT row_number, {O.key('"PaymentType"')} AS payment_key, {O.key('"OrderID"')} AS order_key FROM raw_sales)""")
+    + "SELECT row_number, payment_key, order_key FROM k WHERE payment_key <> '' AND order_key <> ''",
+)
+def q_drop_empty_keys(spark, d):
+    k = T.raw_sales(spark, d).select("row_number", _key("PaymentType").alias("payment_key"), _key("OrderID").alias("order_key"))
+    return clean.drop_empty_keys(k, ["payment_key", "order_key"])
+
+
+@register(
+    "num_or_zero",
+    _with(_R) + f"""SELECT row_number, {O.num('"Quantity"')} AS quantity, {O.num('"Price"')} AS price FROM raw_sales""",
+)
+def q_num_or_zero(spark, d):
+    r = T.raw_sales(spark, d)
+    return r.select("row_number", _num("Quantity", r.schema["Quantity"].dataType).alias("quantity"),
+                    _num("Price", r.schema["Price"].dataType).alias("price"))
+
+
+def _filter_sql(year, month=None):
+    return _with(_R, f'p AS (SELECT row_number, {_RD} AS "Date" FROM raw_sales)') + (
+        f'SELECT row_number FROM p WHERE "Date" IS NOT NULL AND {O.period(chr(34) + "Date" + chr(34), year, month)}'
+    )
+
+
+def _parsed(spark, d):
+    return clean.drop_bad_dates(clean.parse_dates(T.raw_sales(spark, d).select("row_number", "Date")))
+
+
+register("by_year", _filter_sql(YEAR))(lambda spark, d: clean.by_year(_parsed(spark, d), YEAR).select("row_number"))
+register("by_month_opt", _filter_sql(YEAR, MONTH))(
+    lambda spark, d: clean.by_month_opt(_parsed(spark, d), YEAR, MONTH).select("row_number")
+)
+register("by_year_month", _filter_sql(1998, 7))(
+    lambda spark, d: clean.by_year_month(_parsed(spark, d), 1998, 7).select("row_number")
+)
+
+
+# ---------------------------------------------------------------------------
+# Validation (V2–V5) on the dirty text table, as one file named 'raw_sales'
+# ---------------------------------------------------------------------------
+
+
+def _raw_cells(spark, d):
+    return quality.text_cells(T.raw_sales(spark, d), "raw_sales")
+
+
+def _viol_sql() -> str:
+    def strip(x):
+        return O.strip(x)
+
+    def nnum(x):
+        s = strip(x)
+        return f"CASE WHEN regexp_full_match({s}, {O.q(O.NUMBER_SHAPE)}) THEN try_cast({s} AS DOUBLE) END"
+
+    def text_ok(x):
+        return f"({x} IS NOT NULL AND {strip(x)} <> '')"
+
+    date_ok = (
+        f"""("Date" IS NOT NULL AND regexp_full_match({strip('"Date"')}, {O.q(O.DATE_TEXT_SHAPE)})
+             AND try_strptime({strip('"Date"')}, {O.q(O.DATE_FORMAT_SQL)}) IS NOT NULL)"""
+    )
+    qn, pn = nnum('"Quantity"'), nnum('"Price"')
+    rules = [
+        ("Date", date_ok),
+        ("Day", text_ok('"Day"')),
+        ("OrderID", text_ok('"OrderID"')),
+        ("Item", text_ok('"Item"')),
+        ("Quantity", f"(({qn}) IS NOT NULL AND ({qn}) = floor({qn}) AND ({qn}) > 0)"),
+        ("Price", f"(({pn}) IS NOT NULL AND ({pn}) >= 0)"),
+        ("Category", text_ok('"Category"')),
+        ("PaymentType", text_ok('"PaymentType"')),
+    ]
+    blank = " AND ".join(f"({c} IS NULL OR {strip(c)} = '')" for c in [f'"{n}"' for n, _ in rules])
+    parts = [
+        f"SELECT 'raw_sales' AS path, row_number, CAST({i} AS BIGINT) AS col_index, '{n}' AS \"column\" FROM nb WHERE NOT coalesce({ok}, false)"
+        for i, (n, ok) in enumerate(rules)
+    ]
+    return _with(_R, f"nb AS (SELECT * FROM raw_sales WHERE NOT ({blank}))", "v AS (" + " UNION ALL ".join(parts) + ")")
+
+
+register("skip_blank_rows", _viol_sql() + "SELECT row_number FROM nb")(
+    lambda spark, d: quality.skip_blank_rows(_raw_cells(spark, d)).select("row_number")
+)
+register("row_violations", _viol_sql() + 'SELECT * FROM v')(lambda spark, d: quality.row_violations(_raw_cells(spark, d)))
+register(
+    "first_violation",
+    _viol_sql()
+    + """, f AS (SELECT path, row_number, "column" FROM v ORDER BY row_number, col_index LIMIT 1)
+    SELECT path, row_number, "column", 'Invalid datatype/value for ''' || "column" || ''' at row ' || CAST(row_number AS VARCHAR) || '.' AS message FROM f""",
+)(lambda spark, d: quality.first_violation(_raw_cells(spark, d)))
+register("has_data", _viol_sql() + "SELECT 'raw_sales' AS path, count(*) > 0 AS has_data FROM nb")(
+    lambda spark, d: quality.has_data(_raw_cells(spark, d))
+)
+register("violation_counts", _viol_sql() + 'SELECT "column", count(*) AS violations FROM v GROUP BY 1')(
+    lambda spark, d: quality.violation_counts(_raw_cells(spark, d))
+)
