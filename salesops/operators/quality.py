@@ -66,44 +66,52 @@ def _cell(type_: Column, text=None, num=None, ts=None, flag=None) -> Column:
 
 
 def text_cells(df: DataFrame, path: str | Column = "table", row_col: str = "row_number") -> DataFrame:
-    """An all-text sales table as (path, row_number, cells).
+    """An all-text sales table as flat cells (see :func:`flatten`).
 
-    A number-shaped Quantity/Price text counts as a number. The strip and the
-    number parse are computed once per cell in their own projection, so the
-    optimizer never copies them into every later field access.
+    A number-shaped Quantity/Price text counts as a number. Strip and number
+    parse are computed once per cell in their own projection; no cell structs
+    are built, so the optimizer has nothing to copy into later references.
     """
     p = F.lit(path) if isinstance(path, str) else path
-    pre = df.select(
-        p.alias("path"),
-        F.col(row_col).cast("bigint").alias("row_number"),
-        *[F.col(c).cast("string").alias(f"_x{i}") for i, c in enumerate(SALES_COLUMNS)],
-    )
-    nums = {i: py_strip(F.col(f"_x{i}")) for i, c in enumerate(SALES_COLUMNS) if c in NUMERIC_COLUMNS}
-    pre = pre.select("*", *[F.when(s.rlike(NUMBER_SHAPE), s.try_cast("double")).alias(f"_n{i}") for i, s in nums.items()])
-
-    def cell(i: int) -> Column:
-        x = F.col(f"_x{i}")
-        if i not in nums:
-            return F.when(x.isNull(), _cell(F.lit("none"))).otherwise(_cell(F.lit("str"), text=x))
-        n = F.col(f"_n{i}")
-        return (
-            F.when(x.isNull(), _cell(F.lit("none")))
-            .when(n.isNotNull(), _cell(F.lit("float"), num=n))
-            .otherwise(_cell(F.lit("str"), text=x))
-        )
-
-    return pre.select("path", "row_number", F.array(*[cell(i) for i in range(len(SALES_COLUMNS))]).alias("cells"))
-
-
-# --- per-cell rules (V3), on flattened cells -------------------------------------
+    first = []
+    for i, c in enumerate(SALES_COLUMNS):
+        x = F.col(c).cast("string")
+        first += [x.alias(f"x{i}"), py_strip(x).alias(f"s{i}")]
+    pre = df.select(p.alias("path"), F.col(row_col).cast("bigint").alias("row_number"), *first)
+    second = []
+    for i, c in enumerate(SALES_COLUMNS):
+        x, st = F.col(f"x{i}"), F.col(f"s{i}")
+        if c in NUMERIC_COLUMNS:
+            n = F.when(st.rlike(NUMBER_SHAPE), st.try_cast("double"))
+            second += [n.alias(f"n{i}")]
+        else:
+            second += [F.lit(None).cast("double").alias(f"n{i}")]
+    pre = pre.select("path", "row_number", *[f"x{i}" for i in range(len(SALES_COLUMNS))],
+                     *[f"s{i}" for i in range(len(SALES_COLUMNS))], *second)
+    types = []
+    for i, c in enumerate(SALES_COLUMNS):
+        x, n = F.col(f"x{i}"), F.col(f"n{i}")
+        t = F.when(x.isNull(), F.lit("none"))
+        if c in NUMERIC_COLUMNS:
+            t = t.when(n.isNotNull(), F.lit("float"))
+        types.append(t.otherwise(F.lit("str")).alias(f"t{i}"))
+    return pre.select("path", "row_number", *types, *[f"s{i}" for i in range(len(SALES_COLUMNS))],
+                      *[f"n{i}" for i in range(len(SALES_COLUMNS))])
+
+
+# --- per-cell rules (V3), on flat cells -----------------------------------------
 #
-# ``flatten`` turns the array into plain columns t<i> (type), s<i> (stripped
-# text of the cell as Python's str() shows it), n<i>, d<i>, b<i>, so each rule
-# reads cheap columns and every strip happens once per cell.
+# Flat cells are plain columns t<i> (type), s<i> (the cell as Python's str()
+# shows it, stripped) and n<i> (number), for i = 0..7. Workbook cells come as
+# an array of structs and are flattened with ``flatten``; each rule then reads
+# cheap columns and every strip happens once per cell.
 
 
 def flatten(cells_df: DataFrame) -> DataFrame:
-    cols = []
+    """Array-of-struct cells → flat cells; flat frames pass through."""
+    if "cells" not in cells_df.columns:
+        return cells_df
+    types, texts, nums = [], [], []
     for i in range(len(SALES_COLUMNS)):
         c = F.col("cells").getItem(i)
         shown = (
@@ -112,12 +120,10 @@ def flatten(cells_df: DataFrame) -> DataFrame:
             .when(c.type == "bool", c.flag.cast("string"))
             .when(c.type == "datetime", c.ts.cast("string"))
         )
-        cols += [
-            F.coalesce(c.type, F.lit("none")).alias(f"t{i}"),
-            py_strip(shown).alias(f"s{i}"),
-            c.num.alias(f"n{i}"),
-        ]
-    return cells_df.select("*", *cols)
+        types.append(F.coalesce(c.type, F.lit("none")).alias(f"t{i}"))
+        texts.append(py_strip(shown).alias(f"s{i}"))
+        nums.append(c.num.alias(f"n{i}"))
+    return cells_df.select("*", *types, *texts, *nums)
 
 
 def _blank(i: int) -> Column:

@@ -414,3 +414,294 @@ register("has_data", _viol_sql() + "SELECT 'raw_sales' AS path, count(*) > 0 AS
 register("violation_counts", _viol_sql() + 'SELECT "column", count(*) AS violations FROM v GROUP BY 1')(
     lambda spark, d: quality.violation_counts(_raw_cells(spark, d))
 )
+
+
+# ---------------------------------------------------------------------------
+# Recording sales and inventory (E1–E8), catalog
+# ---------------------------------------------------------------------------
+
+from salesops.operators import records  # noqa: E402
+from salesops.sources import catalog  # noqa: E402
+
+_HDR = "h AS (SELECT o_custkey AS dataset_id, o_orderkey AS request_id, o_orderdate AS ts, o_orderpriority AS payment_type FROM orders)"
+_LINES = """l AS (SELECT li.l_orderkey AS request_id, li.l_linenumber AS line, p.p_name AS item,
+                 CAST(li.l_quantity AS INTEGER) AS quantity, CAST(li.l_extendedprice AS DECIMAL(10,2)) AS price,
+                 p.p_type AS category
+          FROM lineitem li JOIN part p ON li.l_partkey = p.p_partkey)"""
+
+
+def _text_ok(x, n):
+    return f"({x} IS NOT NULL AND {O.strip(x)} <> '' AND length({O.strip(x)}) <= {n})"
+
+
+_VALID = _with(
+    _HDR,
+    _LINES,
+    f"""le AS (SELECT request_id, count(*) AS n_items,
+                   min(CASE WHEN NOT {_text_ok('item', 120)} THEN 2
+                            WHEN quantity IS NULL OR quantity < 1 THEN 3
+                            WHEN price IS NULL OR price < 0 THEN 4
+                            WHEN NOT {_text_ok('category', 80)} THEN 5 END) AS line_err
+            FROM l GROUP BY 1)""",
+    f"""e AS (SELECT h.request_id, CASE WHEN NOT {_text_ok('payment_type', 50)} THEN 0
+                                     WHEN coalesce(n_items, 0) < 1 THEN 1 ELSE line_err END AS err
+           FROM h LEFT JOIN le ON le.request_id = h.request_id)""",
+    """v AS (SELECT request_id, err IS NULL AS is_valid,
+                 ['payment_type', 'items', 'item', 'quantity', 'price', 'category'][err + 1] AS error FROM e)""",
+    "num AS (SELECT h.*, CAST(100 + row_number() OVER (PARTITION BY dataset_id ORDER BY ts, h.request_id) AS BIGINT) AS order_number "
+    "FROM h WHERE h.request_id IN (SELECT request_id FROM v WHERE is_valid))",
+)
+
+
+@register("validate_sales", _VALID + "SELECT * FROM v")
+def q_validate_sales(spark, d):
+    return records.validate_sales(T.sale_headers(spark, d), T.sale_lines(spark, d))
+
+
+@register(
+    "assign_order_ids",
+    _with(_HDR)
+    + """SELECT dataset_id, request_id, order_number, 'O' || CAST(order_number AS VARCHAR) AS "OrderID" FROM (
+           SELECT dataset_id, request_id,
+                  CAST(100 + row_number() OVER (PARTITION BY dataset_id ORDER BY ts, request_id) AS BIGINT) AS order_number
+           FROM h)""",
+)
+def q_assign_order_ids(spark, d):
+    r = records.assign_order_ids(T.sale_headers(spark, d), T.datasets(spark, d))
+    return r.select("dataset_id", "request_id", "order_number", "OrderID")
+
+
+@register(
+    "next_order_numbers",
+    _with(_HDR)
+    + """SELECT c.c_custkey AS dataset_id, CAST(100 + coalesce(n.n, 0) AS BIGINT) AS last_order_number
+       FROM customer c LEFT JOIN (SELECT dataset_id, count(*) AS n FROM h GROUP BY 1) n ON n.dataset_id = c.c_custkey""",
+)
+def q_next_order_numbers(spark, d):
+    return records.next_order_numbers(T.sale_headers(spark, d), T.datasets(spark, d))
+
+
+@register(
+    "record_sales",
+    _VALID
+    + f"""SELECT num.request_id, l.line, strftime(num.ts, '%d/%m/%Y/%H:%M:%S') AS "Date", dayname(num.ts) AS "Day",
+              'O' || CAST(num.order_number AS VARCHAR) AS "OrderID", {O.strip('l.item')} AS "Item",
+              CAST(l.quantity AS BIGINT) AS "Quantity", CAST(l.price AS DOUBLE) AS "Price",
+              {O.strip('l.category')} AS "Category", {O.strip('num.payment_type')} AS "PaymentType"
+       FROM num JOIN l ON l.request_id = num.request_id""",
+)
+def q_record_sales(spark, d):
+    return records.record_sales(T.sale_headers(spark, d), T.sale_lines(spark, d), T.datasets(spark, d))
+
+
+_CAND = """cand AS (SELECT CAST(li.l_orderkey * 100 + li.l_linenumber AS BIGINT) AS candidate_id, li.l_suppkey % 100 AS dataset_id,
+                  'I' || CAST(1001 + li.l_suppkey * 7 AS VARCHAR) AS item_id,
+                  p.p_name || ' ' || CAST(li.l_orderkey AS VARCHAR) AS item_name, p.p_type AS item_category,
+                  CASE WHEN li.l_orderkey % 3 = 0 THEN '' ELSE p.p_brand || '-' || CAST(li.l_orderkey % 7 AS VARCHAR) END AS barcode_number,
+                  CAST(li.l_extendedprice AS DECIMAL(10,2)) AS cost_price,
+                  CAST(li.l_extendedprice * 1.2 AS DECIMAL(10,2)) AS selling_price
+           FROM lineitem li JOIN part p ON li.l_partkey = p.p_partkey)"""
+_INV = """inv AS (SELECT p_partkey AS inventory_id, p_partkey % 100 AS dataset_id, 'I' || CAST(1001 + p_partkey AS VARCHAR) AS item_id,
+                 p_name AS item_name, p_type AS item_category, p_brand AS barcode_number,
+                 CAST(p_retailprice * 0.7 AS DECIMAL(10,2)) AS cost_price, CAST(p_retailprice AS DECIMAL(10,2)) AS selling_price,
+                 CAST(to_timestamp(1704067200 + p_partkey * 97) AS TIMESTAMP) AS created_at
+          FROM part)"""
+
+
+@register(
+    "assign_item_ids",
+    _with(_CAND)
+    + """SELECT candidate_id, dataset_id, item_id, expected_item_id, item_id = expected_item_id AS id_ok FROM (
+           SELECT candidate_id, dataset_id, item_id,
+                  'I' || CAST(1000 + row_number() OVER (PARTITION BY dataset_id ORDER BY candidate_id) AS VARCHAR) AS expected_item_id
+           FROM cand)""",
+)
+def q_assign_item_ids(spark, d):
+    r = records.assign_item_ids(T.inventory_candidates(spark, d), T.datasets(spark, d))
+    return r.select("candidate_id", "dataset_id", "item_id", "expected_item_id", "id_ok")
+
+
+@register(
+    "inventory_conflicts",
+    _with(
+        _CAND,
+        _INV,
+        f"""c AS (SELECT *, {O.strip('item_id')} AS _id, {O.strip("coalesce(barcode_number, '')")} AS _bc FROM cand)""",
+        f"ids AS (SELECT DISTINCT dataset_id, {O.strip('item_id')} AS _id FROM inv)",
+        f"codes AS (SELECT DISTINCT dataset_id, {O.strip('barcode_number')} AS _bc FROM inv WHERE {O.strip('barcode_number')} <> '')",
+        "dups AS (SELECT dataset_id, _bc FROM c WHERE _bc <> '' GROUP BY 1, 2 HAVING count(*) > 1)",
+        """f AS (SELECT c.candidate_id, c.dataset_id, c.item_id, c.barcode_number,
+                     EXISTS (SELECT 1 FROM ids WHERE ids.dataset_id = c.dataset_id AND ids._id = c._id) AS id_exists,
+                     EXISTS (SELECT 1 FROM codes WHERE codes.dataset_id = c.dataset_id AND codes._bc = c._bc) AS barcode_exists,
+                     EXISTS (SELECT 1 FROM dups WHERE dups.dataset_id = c.dataset_id AND dups._bc = c._bc) AS barcode_repeated
+              FROM c)""",
+    )
+    + "SELECT *, NOT (id_exists OR barcode_exists OR barcode_repeated) AS accepted FROM f",
+)
+def q_inventory_conflicts(spark, d):
+    return records.inventory_conflicts(T.inventory_candidates(spark, d), T.inventory(spark, d))
+
+
+@register(
+    "barcode_update_conflicts",
+    _with(
+        _INV,
+        f"""pc AS (SELECT dataset_id, {O.strip('barcode_number')} AS _bc, count(*) AS n, min(inventory_id) AS one
+                FROM inv WHERE {O.strip('barcode_number')} <> '' GROUP BY 1, 2)""",
+    )
+    + f"""SELECT u.inventory_id, u.dataset_id, u.barcode_number,
+              coalesce({O.strip('u.barcode_number')} <> '' AND (pc.n > 1 OR (pc.n = 1 AND pc.one <> u.inventory_id)), false) AS conflict
+       FROM inv u LEFT JOIN pc ON pc.dataset_id = u.dataset_id AND pc._bc = {O.strip('u.barcode_number')}""",
+)
+def q_barcode_update_conflicts(spark, d):
+    inv = T.inventory(spark, d)
+    return records.barcode_update_conflicts(inv.select("inventory_id", "dataset_id", "barcode_number"), inv)
+
+
+_NOW = "2024-06-01 00:00:00"
+
+
+def _latest_changes(c):
+    from pyspark.sql import functions as F
+
+    fields = ["candidate_id", *records.INVENTORY_FIELDS]
+    latest = c.groupBy("dataset_id", "item_id").agg(F.max(F.struct(*fields)).alias("_c"))
+    return latest.select("dataset_id", "item_id", *[F.col(f"_c.{f}").alias(f) for f in records.INVENTORY_FIELDS])
+
+
+@register(
+    "upsert_inventory",
+    _with(
+        _CAND,
+        _INV,
+        """ch AS (SELECT dataset_id, item_id, arg_max(item_name, candidate_id) AS item_name,
+                      arg_max(item_category, candidate_id) AS item_category, arg_max(barcode_number, candidate_id) AS barcode_number,
+                      arg_max(cost_price, candidate_id) AS cost_price, arg_max(selling_price, candidate_id) AS selling_price
+               FROM cand GROUP BY 1, 2)""",
+    )
+    + f"""SELECT inv.inventory_id, coalesce(inv.dataset_id, ch.dataset_id) AS dataset_id, coalesce(inv.item_id, ch.item_id) AS item_id,
+              CASE WHEN ch.item_name IS NOT NULL THEN {O.strip('ch.item_name')} ELSE inv.item_name END AS item_name,
+              CASE WHEN ch.item_name IS NOT NULL THEN {O.strip('ch.item_category')} ELSE inv.item_category END AS item_category,
+              CASE WHEN ch.item_name IS NOT NULL THEN {O.strip('ch.barcode_number')} ELSE inv.barcode_number END AS barcode_number,
+              CAST(coalesce(ch.cost_price, inv.cost_price) AS DOUBLE) AS cost_price,
+              CAST(coalesce(ch.selling_price, inv.selling_price) AS DOUBLE) AS selling_price,
+              strftime(coalesce(inv.created_at, TIMESTAMP '{_NOW}'), '%Y-%m-%d %H:%M:%S') AS created_at
+       FROM inv FULL OUTER JOIN ch ON inv.dataset_id = ch.dataset_id AND inv.item_id = ch.item_id""",
+)
+def q_upsert_inventory(spark, d):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    out = records.upsert_inventory(T.inventory(spark, d), _latest_changes(T.inventory_candidates(spark, d)), dt.datetime(2024, 6, 1))
+    return out.withColumns({
+        "cost_price": F.col("cost_price").cast("double"),
+        "selling_price": F.col("selling_price").cast("double"),
+        "created_at": F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"),
+    })
+
+
+@register(
+    "inventory_list",
+    _with(_INV)
+    + """SELECT inv.dataset_id, inventory_id, item_id, item_name, item_category, barcode_number,
+              CAST(cost_price AS DOUBLE) AS cost_price, CAST(selling_price AS DOUBLE) AS selling_price,
+              strftime(created_at, '%d/%m/%Y %H:%M') AS created_at
+       FROM inv JOIN customer c ON c.c_custkey = inv.dataset_id""",
+)
+def q_inventory_list(spark, d):
+    from pyspark.sql import functions as F
+
+    out = records.inventory_list(T.inventory(spark, d), T.datasets(spark, d))
+    return out.withColumns({"cost_price": F.col("cost_price").cast("double"), "selling_price": F.col("selling_price").cast("double")})
+
+
+_PROPOSALS = """pr AS (SELECT c_custkey AS proposal_id, CAST(c_nationkey AS BIGINT) AS user_id, ' ' || upper(c_name) AS name FROM customer
+                UNION ALL
+                SELECT 1000000 + s_suppkey, CAST(s_nationkey AS BIGINT), s_name FROM supplier)"""
+
+
+@register(
+    "dataset_name_conflicts",
+    _with(
+        _PROPOSALS,
+        f"ex AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS user_id, lower({O.strip('c_name')}) AS k FROM customer)",
+        f"p AS (SELECT *, {O.strip('name')} AS clean_name FROM pr)",
+        """e AS (SELECT p.proposal_id, p.user_id, p.clean_name,
+                     CASE WHEN p.clean_name = '' THEN 'Dataset name is required.'
+                          WHEN length(p.clean_name) > 120 THEN 'Ensure this field has no more than 120 characters.'
+                          WHEN EXISTS (SELECT 1 FROM ex WHERE ex.user_id = p.user_id AND ex.k = lower(p.clean_name))
+                          THEN 'A dataset with this name already exists.' END AS error
+              FROM p)""",
+    )
+    + "SELECT proposal_id, user_id, clean_name, error IS NULL AS accepted, error FROM e",
+)
+def q_dataset_name_conflicts(spark, d):
+    from pyspark.sql import functions as F
+
+    c = T.table(spark, d, "customer")
+    s = T.table(spark, d, "supplier")
+    proposals = c.select(
+        F.col("c_custkey").alias("proposal_id"), F.col("c_nationkey").cast("bigint").alias("user_id"),
+        F.concat(F.lit(" "), F.upper("c_name")).alias("name"),
+    ).unionByName(
+        s.select((F.lit(1000000) + F.col("s_suppkey")).alias("proposal_id"), F.col("s_nationkey").cast("bigint").alias("user_id"),
+                 F.col("s_name").alias("name"))
+    )
+    return records.dataset_name_conflicts(proposals, T.datasets(spark, d))
+
+
+@register(
+    "dataset_list",
+    """SELECT CAST(c_nationkey AS BIGINT) AS user_id, c_custkey AS dataset_id, c_name AS name,
+              strftime(CAST(to_timestamp(1704067200 + c_custkey * 60) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created_at
+       FROM customer""",
+)
+def q_dataset_list(spark, d):
+    from pyspark.sql import functions as F
+
+    out = catalog.dataset_list(T.datasets(spark, d))
+    return out.select("user_id", "dataset_id", "name", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@register("slug", r"""SELECT p_partkey, regexp_replace(p_name, '[^\p{L}\p{N}_-]', '_', 'g') AS slug FROM part""")
+def q_slug(spark, d):
+    return T.table(spark, d, "part").select("p_partkey", catalog.slug("p_name").alias("slug"))
+
+
+_KEYS = r"""st AS (SELECT CAST(c_nationkey AS BIGINT) AS user_id,
+                   lpad(lower(hex(c_custkey)), 8, '0') || '_' || regexp_replace(replace(trim(c_name), ' ', '_'), '[^\w.-]', '', 'g') || '.xlsx' AS dataset_key
+            FROM customer)"""
+
+
+@register(
+    "dataset_by_key",
+    _with(
+        _KEYS,
+        """lk AS (SELECT user_id, dataset_key AS key FROM st
+               UNION ALL SELECT user_id, '../' || dataset_key FROM st
+               UNION ALL SELECT user_id + 1, dataset_key FROM st
+               UNION ALL SELECT user_id, 'folder/..' FROM st)""",
+        "lk2 AS (SELECT *, regexp_extract(key, '([^/]*)$', 1) AS resolved_key FROM lk)",
+    )
+    + """SELECT user_id, key, resolved_key,
+              CASE WHEN resolved_key IN ('', '.', '..') THEN 'refused'
+                   WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = lk2.user_id AND st.dataset_key = lk2.resolved_key) THEN 'found'
+                   ELSE 'missing' END AS status
+       FROM lk2""",
+)
+def q_dataset_by_key(spark, d):
+    from pyspark.sql import functions as F
+
+    c = T.table(spark, d, "customer")
+    stored = c.select(
+        F.col("c_nationkey").cast("bigint").alias("user_id"),
+        F.concat(F.lpad(F.lower(F.hex("c_custkey")), 8, "0"), F.lit("_"), catalog.valid_filename(F.col("c_name")), F.lit(".xlsx")).alias("dataset_key"),
+    )
+    lookups = (
+        stored.select("user_id", F.col("dataset_key").alias("key"))
+        .unionByName(stored.select("user_id", F.concat(F.lit("../"), "dataset_key").alias("key")))
+        .unionByName(stored.select((F.col("user_id") + 1).alias("user_id"), F.col("dataset_key").alias("key")))
+        .unionByName(stored.select("user_id", F.lit("folder/..").alias("key")))
+    )
+    return catalog.dataset_by_key(lookups, stored)
