@@ -705,3 +705,90 @@ def q_dataset_by_key(spark, d):
         .unionByName(stored.select("user_id", F.lit("folder/..").alias("key")))
     )
     return catalog.dataset_by_key(lookups, stored)
+
+
+# ---------------------------------------------------------------------------
+# Chat messages (C1–C5) and dataset profile
+# ---------------------------------------------------------------------------
+
+from salesops.constants import BUSINESS_KEYWORDS, FOLLOW_UP_PHRASES, HISTORY_KEEP, TOPIC_LOOKBACK  # noqa: E402
+from salesops.functions import messages as MF  # noqa: E402
+from salesops.operators import messages as msg  # noqa: E402
+from salesops.operators import profile as prof  # noqa: E402
+
+# Keywords that occur in the test conversations (the built-in list rarely does).
+DATA_KEYWORDS = ["ent", "tion", "ung", "the"]
+
+
+def _sql_compact(x: str) -> str:
+    n = f"lower({O.strip(x)})"
+    return f"trim(regexp_replace(regexp_replace({n}, {O.q(MF.NON_WORD)}, ' ', 'g'), {O.q(MF.SPACE_RUN)}, ' ', 'g'), ' ')"
+
+
+def _sql_keyword(x: str, keywords) -> str:
+    c = _sql_compact(x)
+    anyk = " OR ".join(f"contains({c}, {O.q(k)})" for k in keywords)
+    return f"coalesce(({anyk}) AND {c} <> '', false)"
+
+
+def _sql_follow_up(x: str) -> str:
+    n = f"lower({O.strip(x)})"
+    return (
+        f"coalesce({n} <> '' AND (regexp_full_match({n}, {O.q(MF.DIGIT_CLASS + '+')}) "
+        f"OR (length({n}) <= 20 AND {n} IN {O.in_list(FOLLOW_UP_PHRASES)})), false)"
+    )
+
+
+register(
+    "has_business_keyword",
+    f"SELECT conv_id, turn, {_sql_keyword('text', BUSINESS_KEYWORDS)} AS has_keyword FROM conversations",
+)(lambda spark, d: T.messages(spark, d).select("conv_id", "turn", MF.has_business_keyword(F.col("text")).alias("has_keyword")))
+register(
+    "has_business_keyword_data",
+    f"SELECT conv_id, turn, {_sql_keyword('text', DATA_KEYWORDS)} AS has_keyword FROM conversations",
+)(lambda spark, d: T.messages(spark, d).select("conv_id", "turn", MF.has_business_keyword(F.col("text"), DATA_KEYWORDS).alias("has_keyword")))
+register(
+    "is_short_follow_up",
+    f"SELECT conv_id, turn, {_sql_follow_up('text')} AS is_follow_up FROM conversations",
+)(lambda spark, d: T.messages(spark, d).select("conv_id", "turn", MF.is_short_follow_up(F.col("text")).alias("is_follow_up")))
+
+
+def _sql_business(keywords):
+    return _with(
+        f"""f AS (SELECT conv_id, turn, role, {_sql_keyword('text', keywords)} AS has_keyword,
+                        {_sql_follow_up('text')} AS is_follow_up FROM conversations)""",
+        f"""w AS (SELECT *, coalesce(max(CAST(has_keyword AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn
+                        ROWS BETWEEN {TOPIC_LOOKBACK} PRECEDING AND 1 PRECEDING), 0) = 1 AS after_keyword FROM f)""",
+    ) + "SELECT conv_id, turn, role, has_keyword, is_follow_up, has_keyword OR (is_follow_up AND after_keyword) AS is_business FROM w"
+
+
+register("is_business_query", _sql_business(BUSINESS_KEYWORDS))(lambda spark, d: msg.is_business_query(T.messages(spark, d)))
+register("is_business_query_data", _sql_business(DATA_KEYWORDS))(
+    lambda spark, d: msg.is_business_query(T.messages(spark, d), DATA_KEYWORDS)
+)
+register(
+    "recent_history",
+    _with(f"r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)")
+    + f"""SELECT conv_id, turn, lower({O.strip('role')}) AS role, {O.strip("coalesce(text, '')")} AS content FROM r
+        WHERE rn <= {HISTORY_KEEP} AND lower({O.strip('role')}) IN ('user', 'assistant') AND {O.strip("coalesce(text, '')")} <> ''""",
+)(lambda spark, d: msg.recent_history(T.messages(spark, d)))
+register("chat_payload", None)(lambda spark, d: msg.chat_payload(T.messages(spark, d), model="assistant-model"))
+
+register(
+    "drop_all_null_rows",
+    "SELECT * FROM conversations WHERE NOT (conv_id IS NULL AND turn IS NULL AND role IS NULL AND text IS NULL)",
+)(lambda spark, d: prof.drop_all_null_rows(T.messages(spark, d)))
+register(
+    "profile",
+    """SELECT CAST(position AS INTEGER) AS position, "column", type, (SELECT count(*) FROM customer) AS rows
+       FROM (VALUES (0, 'c_custkey', 'int64'), (1, 'c_name', 'object'), (2, 'c_nationkey', 'int64'),
+                    (3, 'c_acctbal', 'float64'), (4, 'c_mktsegment', 'object')) t(position, "column", type)""",
+)(lambda spark, d: prof.profile(T.table(spark, d, "customer")))
+register(
+    "sample_rows",
+    """SELECT substr(CAST(c_custkey AS VARCHAR), 1, 80) AS c_custkey, substr(c_name, 1, 80) AS c_name,
+              substr(CAST(c_nationkey AS VARCHAR), 1, 80) AS c_nationkey, substr(CAST(c_acctbal AS VARCHAR), 1, 80) AS c_acctbal,
+              substr(c_mktsegment, 1, 80) AS c_mktsegment
+       FROM customer ORDER BY customer.c_custkey LIMIT 20""",
+)(lambda spark, d: prof.sample_rows(T.table(spark, d, "customer"), ["c_custkey"]))
+register("profile_text", None)(lambda spark, d: prof.profile_text(T.table(spark, d, "customer"), "customer.csv", ["c_custkey"]))
