@@ -22,23 +22,45 @@ from pyspark.sql import functions as F
 from salesops.session import checkpoint_dir
 
 
-def number_within(df: DataFrame, keys, order, name: str = "n", partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1, 2, … per ``keys`` group, in ``order`` (must be a total order)."""
+def _ranged(df: DataFrame, keys, order, partitions: int | None) -> DataFrame:
+    """Range-partitioned on keys + order, with ``_part``, materialised once."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    keys, order = list(keys), list(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(n, *[F.col(c) for c in keys + order])
+    return (
+        df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)])
         .withColumn("_part", F.spark_partition_id())
         .checkpoint(eager=True)
     )
+
+
+def _before(keys):
+    spec = Window.partitionBy(*keys) if keys else Window
+    return spec.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def number_within(df: DataFrame, keys, order, name: str = "n", partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 1, 2, … per ``keys`` group, in ``order`` (must be a total order)."""
+    keys, order = list(keys), list(order)
+    ranged = _ranged(df, keys, order, partitions)
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
     )
     counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    spec = Window.partitionBy(*keys) if keys else Window
-    before = spec.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_cnt").over(_before(keys)), F.lit(0)).alias("_off"))
     out = local.join(offsets, keys + ["_part"])
     return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_part", "_local", "_off")
+
+
+def running_max_within(df: DataFrame, keys, order, value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = max of ``value`` over the key's rows up to this one (in
+    ``order``); nulls are skipped. Same layout as :func:`number_within`: a
+    local running max per range piece plus the carry of earlier pieces."""
+    keys, order = list(keys), list(order)
+    ranged = _ranged(df, keys, order, partitions)
+    upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_lmax", F.max(value).over(upto))
+    piece = ranged.groupBy(*keys, "_part").agg(F.max(value).alias("_pmax"))
+    carry = piece.select(*keys, "_part", F.max("_pmax").over(_before(keys)).alias("_carry"))
+    out = local.join(carry, keys + ["_part"])
+    return out.withColumn(name, F.greatest("_lmax", "_carry")).drop("_part", "_lmax", "_carry")

@@ -792,3 +792,37 @@ register(
        FROM customer ORDER BY customer.c_custkey LIMIT 20""",
 )(lambda spark, d: prof.sample_rows(T.table(spark, d, "customer"), ["c_custkey"]))
 register("profile_text", None)(lambda spark, d: prof.profile_text(T.table(spark, d, "customer"), "customer.csv", ["c_custkey"]))
+
+
+# ---------------------------------------------------------------------------
+# Barcode scans (T1): batch and streaming, on ``events`` with a 2-hour limit
+# ---------------------------------------------------------------------------
+
+from salesops.operators import scans as SC  # noqa: E402
+
+SCAN_LIMIT_MS = 2 * 60 * 60 * 1000
+
+_DEBOUNCE_SQL = f"""WITH RECURSIVE s AS (
+    SELECT user_id AS device, ts, {O.strip('event_type')} AS code, event_id AS scan_id, epoch_us(ts) AS us,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos
+    FROM events WHERE event_type IS NOT NULL AND {O.strip('event_type')} <> ''),
+  r AS (
+    SELECT device, pos, code AS last_code, us AS last_us, true AS acc FROM s WHERE pos = 1
+    UNION ALL
+    SELECT s.device, s.pos,
+           CASE WHEN s.code <> r.last_code OR s.us - r.last_us > {SCAN_LIMIT_MS * 1000} THEN s.code ELSE r.last_code END,
+           CASE WHEN s.code <> r.last_code OR s.us - r.last_us > {SCAN_LIMIT_MS * 1000} THEN s.us ELSE r.last_us END,
+           s.code <> r.last_code OR s.us - r.last_us > {SCAN_LIMIT_MS * 1000}
+    FROM r JOIN s ON s.device = r.device AND s.pos = r.pos + 1)
+SELECT s.device, s.ts, s.code, s.scan_id FROM r JOIN s ON s.device = r.device AND s.pos = r.pos WHERE r.acc"""
+
+register("debounce_scans", _DEBOUNCE_SQL)(lambda spark, d: SC.debounce_scans(T.scans(spark, d), SCAN_LIMIT_MS))
+
+
+def q_debounce_stream(spark, d):
+    from salesops.streaming.debounce import run_debounce
+
+    return run_debounce(spark, d, SCAN_LIMIT_MS, name_glob="events.parquet")
+
+
+register("debounce_scans_stream", _DEBOUNCE_SQL)(q_debounce_stream)
