@@ -38,8 +38,9 @@ def debounce_scans(scans: DataFrame, repeat_ms: int = SCAN_REPEAT_MS) -> DataFra
         F.col("code").isNotNull() & (F.col("code") != "")
     )
     s = s.withColumn("us", _micros(F.col("ts")))
-    pos = number_within(s, ["device"], ["ts", "scan_id"], "pos")
+    pos = number_within(s, ["device"], ["ts", "scan_id"], "pos", keep_part=True)
     prev = pos.select("device", (F.col("pos") + 1).alias("pos"), F.col("code").alias("prev_code"), F.col("us").alias("prev_us"))
+    # (positions follow (ts, scan_id), so the pieces of ``pos`` serve the running max below)
     j = pos.join(prev, ["device", "pos"], "left")
     start = F.col("prev_code").isNull() | (F.col("code") != F.col("prev_code")) | ((F.col("us") - F.col("prev_us")) > limit)
     j = j.withColumn("is_start", start).withColumn("_start_pos", F.when(F.col("is_start"), F.col("pos")))

@@ -39,8 +39,13 @@ def _before(keys):
     return spec.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def number_within(df: DataFrame, keys, order, name: str = "n", partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1, 2, … per ``keys`` group, in ``order`` (must be a total order)."""
+def number_within(
+    df: DataFrame, keys, order, name: str = "n", partitions: int | None = None, keep_part: bool = False
+) -> DataFrame:
+    """Add ``name`` = 1, 2, … per ``keys`` group, in ``order`` (must be a total order).
+
+    With ``keep_part`` the range piece id stays as ``_part``, so a later
+    :func:`running_max_within` in the same order can reuse the pieces."""
     keys, order = list(keys), list(order)
     ranged = _ranged(df, keys, order, partitions)
     local = ranged.withColumn(
@@ -49,15 +54,19 @@ def number_within(df: DataFrame, keys, order, name: str = "n", partitions: int |
     counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_cnt").over(_before(keys)), F.lit(0)).alias("_off"))
     out = local.join(offsets, keys + ["_part"])
-    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_part", "_local", "_off")
+    out = out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_local", "_off")
+    return out if keep_part else out.drop("_part")
 
 
 def running_max_within(df: DataFrame, keys, order, value: str, name: str, partitions: int | None = None) -> DataFrame:
     """Add ``name`` = max of ``value`` over the key's rows up to this one (in
     ``order``); nulls are skipped. Same layout as :func:`number_within`: a
-    local running max per range piece plus the carry of earlier pieces."""
+    local running max per range piece plus the carry of earlier pieces.
+
+    If ``df`` already has ``_part`` from :func:`number_within` over the same
+    keys and an equivalent order, those pieces are reused (no new shuffle)."""
     keys, order = list(keys), list(order)
-    ranged = _ranged(df, keys, order, partitions)
+    ranged = df if "_part" in df.columns else _ranged(df, keys, order, partitions)
     upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_lmax", F.max(value).over(upto))
     piece = ranged.groupBy(*keys, "_part").agg(F.max(value).alias("_pmax"))
