@@ -826,3 +826,84 @@ def q_debounce_stream(spark, d):
 
 
 register("debounce_scans_stream", _DEBOUNCE_SQL)(q_debounce_stream)
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (S1, S3–S7): whole tables written to a scratch folder
+# under the shared checkpoint folder, read back, compared with the input.
+# ---------------------------------------------------------------------------
+
+from salesops.sources import files as FS  # noqa: E402
+
+
+def _stored_sales(spark, d):
+    path = FS.scratch_path(spark, "sales")
+    FS.create_dataset(spark, path)
+    FS.append_sales(T.sales(spark, d), path)
+    return path
+
+
+_SALES_TEXT_SQL = _with(O.SALES_CTE) + """SELECT strftime("Date", '%Y-%m-%d %H:%M:%S') AS "Date", "Day", "OrderID", "Item",
+       "Quantity", CAST("Price" AS DOUBLE) AS "Price", "Category", "PaymentType",
+       CAST(year("Date") AS INTEGER) AS year, CAST(month("Date") AS INTEGER) AS month FROM sales"""
+
+
+@register("append_sales", _SALES_TEXT_SQL)
+def q_append_sales(spark, d):
+    path = _stored_sales(spark, d)
+    back = FS.read_sales(spark, path)
+    return back.select(F.date_format("Date", "yyyy-MM-dd HH:mm:ss").alias("Date"), "Day", "OrderID", "Item", "Quantity",
+                       F.col("Price").cast("double").alias("Price"), "Category", "PaymentType", "year", "month")
+
+
+@register(
+    "scan_sales",
+    _with(O.SALES_CTE) + """SELECT strftime("Date", '%Y-%m-%d %H:%M:%S') AS "Date", "Item", CAST("Price" AS DOUBLE) AS "Price"
+       FROM sales WHERE year("Date") = 1997 AND month("Date") = 3""",
+)
+def q_scan_sales(spark, d):
+    back = FS.scan_sales(spark, _stored_sales(spark, d), ["Date", "Item", "Price"], year=YEAR, month=MONTH)
+    return back.select(F.date_format("Date", "yyyy-MM-dd HH:mm:ss").alias("Date"), "Item", F.col("Price").cast("double").alias("Price"))
+
+
+_EXPORT_SQL = _with(O.SALES_CTE) + """SELECT strftime("Date", '%d/%m/%Y/%H:%M:%S') AS "Date", "Day", "OrderID", "Item",
+       CAST("Quantity" AS VARCHAR) AS "Quantity", CAST("Price" AS VARCHAR) AS "Price", "Category", "PaymentType" FROM sales"""
+
+
+def _exported(spark, d):
+    path = FS.scratch_path(spark, "export")
+    FS.export_dataset(T.sales(spark, d), path)
+    return path
+
+
+@register("export_dataset", _EXPORT_SQL)
+def q_export_dataset(spark, d):
+    return spark.read.schema(FS.RAW_SALES_SCHEMA).option("header", True).csv(_exported(spark, d))
+
+
+@register(
+    "scan_csv",
+    _with(O.SALES_CTE) + """SELECT strftime("Date", '%d/%m/%Y/%H:%M:%S') AS "Date", "Day", "OrderID", "Item",
+       "Quantity", CAST("Price" AS DOUBLE) AS "Price", "Category", "PaymentType" FROM sales""",
+)
+def q_scan_csv(spark, d):
+    return FS.scan_csv(spark, _exported(spark, d))
+
+
+register("create_dataset", None)(lambda spark, d: FS.create_dataset(spark, FS.scratch_path(spark, "empty")))
+
+
+@register(
+    "land_upload",
+    _with(O.RAW_SALES_CTE)
+    + """SELECT row_number, "Date", "Item", "Price", CAST(1 AS INTEGER) AS user_id,
+              'sales_' || substr("Date", 7, 4) || '_' || substr("Date", 4, 2) || '.xlsx' AS dataset_key
+       FROM raw_sales WHERE regexp_full_match("Date", '[0-9]{2}/[0-9]{2}/[0-9]{4}/.*')""",
+)
+def q_land_upload(spark, d):
+    raw = T.raw_sales(spark, d).where(F.col("Date").rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}/"))
+    rows = raw.select("row_number", "Date", "Item", "Price", F.lit(1).alias("user_id"),
+                      F.concat(F.lit("sales_"), F.substring("Date", 7, 4), F.lit("_"), F.substring("Date", 4, 2), F.lit(".xlsx")).alias("dataset_key"))
+    root = FS.scratch_path(spark, "uploads")
+    FS.land_upload(rows, root)
+    return spark.read.parquet(root).select("row_number", "Date", "Item", "Price", "user_id", "dataset_key")

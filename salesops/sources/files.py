@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DecimalType,
     DoubleType,
+    IntegerType,
     StringType,
     StructField,
     StructType,
@@ -38,6 +39,9 @@ SALES_SCHEMA = StructType(
 )
 RAW_SALES_SCHEMA = StructType([StructField(c, StringType()) for c in SALES_COLUMNS])
 PARTITIONS = ["year", "month"]
+# A stored table: the eight columns plus its partition columns. Reading with
+# this schema skips inference and works for a table that has no rows yet.
+STORED_SALES_SCHEMA = StructType(SALES_SCHEMA.fields + [StructField("year", IntegerType()), StructField("month", IntegerType())])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,7 +56,7 @@ def with_partitions(df: DataFrame) -> DataFrame:
 def scan_sales(spark: SparkSession, path: str, columns=None, year=None, month=None) -> DataFrame:
     """Read a stored sales table, only the named columns (pruned at the
     scan) and only the given year/month folders."""
-    df = spark.read.parquet(path)
+    df = read_sales(spark, path)
     if year is not None:
         df = df.where(F.col("year") == int(year))
     if month is not None:
@@ -60,6 +64,11 @@ def scan_sales(spark: SparkSession, path: str, columns=None, year=None, month=No
     return df.select(*(columns or SALES_COLUMNS))
 
 
+def read_sales(spark: SparkSession, path: str) -> DataFrame:
+    """A stored sales table with its partition columns."""
+    return spark.read.schema(STORED_SALES_SCHEMA).parquet(path)
+
+
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """S3: a CSV with a header row, types inferred."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -69,7 +78,7 @@ def create_dataset(spark: SparkSession, path: str) -> DataFrame:
     """An empty sales table with the eight columns."""
     empty = with_partitions(spark.createDataFrame([], SALES_SCHEMA))
     empty.write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(path)
-    return spark.read.parquet(path)
+    return read_sales(spark, path)
 
 
 def append_sales(df: DataFrame, path: str) -> None:
