@@ -198,32 +198,27 @@ def payment_vs_category(df: DataFrame, year, month=None) -> DataFrame:
     """A10: dense category × payment matrix of row counts, with each cell's
     share of its category; both axes ordered by their totals (desc, then name).
 
-    The grid is built per category by exploding the payment axis — a literal
-    array of the distinct payment methods, whose size is checked against
-    MAX_PAYMENT_METHODS — and left-joined to the sparse counts. No cross join.
+    The payment axis (distinct payment methods with their totals) is one
+    scalar-subquery array whose size is checked at run time against
+    MAX_PAYMENT_METHODS; each category row explodes it into its cells, which
+    are left-joined to the sparse counts. No cross join, no driver round trip.
     """
     c = by_month_opt(clean_for(df, "payment_vs_category", keep=_KEEP), year, month)
     g = c.groupBy("Category", "PaymentType").agg(F.count(F.lit(1)).alias("count"))
     cats = g.groupBy("Category").agg(F.sum("count").alias("category_total"))
     pays = g.groupBy("PaymentType").agg(F.sum("count").alias("payment_total"))
-    methods = [r[0] for r in pays.select("PaymentType").limit(MAX_PAYMENT_METHODS + 1).collect()]
-    if len(methods) > MAX_PAYMENT_METHODS:
-        raise ValueError(f"more than {MAX_PAYMENT_METHODS} payment methods; the dense matrix is not built")
-    if not methods:
-        return g.select(
-            F.col("Category").alias("category"),
-            F.lit(0).cast("bigint").alias("category_total"),
-            F.col("PaymentType").alias("payment_method"),
-            F.lit(0).cast("bigint").alias("payment_total"),
-            F.col("count").cast("bigint").alias("count"),
-            F.lit(0.0).alias("percentage"),
+    arr = F.collect_list(F.struct("PaymentType", "payment_total"))
+    axis = _scalar(
+        pays.agg(arr.alias("a")).select(
+            F.when(F.size("a") <= MAX_PAYMENT_METHODS, F.col("a")).otherwise(
+                F.raise_error(F.lit(f"more than {MAX_PAYMENT_METHODS} payment methods"))
+            )
         )
-    grid = cats.select("Category", "category_total", F.explode(F.array(*[F.lit(m) for m in methods])).alias("PaymentType"))
-    cells = (
-        grid.join(g, ["Category", "PaymentType"], "left")
-        .join(F.broadcast(pays), ["PaymentType"])  # ≤ MAX_PAYMENT_METHODS rows, checked above
-        .withColumn("count", F.coalesce("count", F.lit(0)))
     )
+    grid = cats.select("Category", "category_total", F.explode(axis).alias("p")).select(
+        "Category", "category_total", F.col("p.PaymentType").alias("PaymentType"), F.col("p.payment_total").alias("payment_total")
+    )
+    cells = grid.join(g, ["Category", "PaymentType"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return cells.select(
         F.col("Category").alias("category"),
         F.col("category_total").cast("bigint").alias("category_total"),

@@ -40,16 +40,16 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
     return df
 
 
-def money(col: str, df: DataFrame) -> Column:
+def money(col: str, df: DataFrame, dtype=None) -> Column:
     """An amount as decimal(18,2): exact, order-independent sums."""
-    dtype = df.schema[col].dataType
+    dtype = dtype if dtype is not None else df.schema[col].dataType
     if isinstance(dtype, DecimalType):
         return F.col(col).cast(MONEY)
     return num_or_zero(col, dtype).cast(MONEY)
 
 
-def _rule(df: DataFrame, col: str, rule: str) -> Column:
-    dtype = df.schema[col].dataType
+def _rule(types: dict, col: str, rule: str) -> Column:
+    dtype = types[col]
     if rule == "date":
         return parse_date(col, dtype)
     if rule == "label":
@@ -59,7 +59,7 @@ def _rule(df: DataFrame, col: str, rule: str) -> Column:
     if rule == "number":
         return num_or_zero(col, dtype)
     if rule == "money":
-        return money(col, df)
+        return money(col, None, dtype)
     raise ValueError(f"unknown rule {rule}")
 
 
@@ -71,9 +71,12 @@ def clean_for(df: DataFrame, chart: str, keep=()) -> DataFrame:
     columns) are passed through for pruning.
     """
     rules = CHART_RULES[chart]
-    require_columns(df, rules)
-    passthrough = [c for c in keep if c in df.columns and c not in rules]
-    out = df.select(*[_rule(df, c, r).alias(c) for c, r in rules.items()], *passthrough)
+    types = {f.name: f.dataType for f in df.schema.fields}  # one analysis, not one per column
+    missing = [c for c in rules if c not in types]
+    if missing:
+        raise ValueError(f"Dataset is missing required columns: {', '.join(missing)}")
+    passthrough = [c for c in keep if c in types and c not in rules]
+    out = df.select(*[_rule(types, c, r).alias(c) for c, r in rules.items()], *passthrough)
     out = drop_bad_dates(out)
     keys = [c for c, r in rules.items() if r == "key"]
     return drop_empty_keys(out, keys) if keys else out
@@ -140,13 +143,14 @@ def check_month(month, required: bool = False) -> int | None:
 
 def _period(df: DataFrame, year: int, month: int | None, col: str) -> DataFrame:
     start, end = period_bounds(year, month)
-    dtype = df.schema[col].dataType
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dtype = types[col]
     cond = (F.col(col) >= F.lit(start).cast(dtype)) & (F.col(col) < F.lit(end).cast(dtype))
     # Stored tables are partitioned by year/month: filter those too so whole
     # folders are skipped.
-    if "year" in df.columns:
+    if "year" in types:
         cond = cond & (F.col("year") == year)
-    if month is not None and "month" in df.columns:
+    if month is not None and "month" in types:
         cond = cond & (F.col("month") == month)
     return df.where(cond)
 
