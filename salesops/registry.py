@@ -494,13 +494,14 @@ def q_record_sales(spark, d):
     return records.record_sales(T.sale_headers(spark, d), T.sale_lines(spark, d), T.datasets(spark, d))
 
 
-_CAND = """cand AS (SELECT CAST(li.l_orderkey * 100 + li.l_linenumber AS BIGINT) AS candidate_id, li.l_suppkey % 100 AS dataset_id,
-                  'I' || CAST(1001 + li.l_suppkey * 7 AS VARCHAR) AS item_id,
-                  p.p_name || ' ' || CAST(li.l_orderkey AS VARCHAR) AS item_name, p.p_type AS item_category,
-                  CASE WHEN li.l_orderkey % 3 = 0 THEN '' ELSE p.p_brand || '-' || CAST(li.l_orderkey % 7 AS VARCHAR) END AS barcode_number,
-                  CAST(li.l_extendedprice AS DECIMAL(10,2)) AS cost_price,
-                  CAST(li.l_extendedprice * 1.2 AS DECIMAL(10,2)) AS selling_price
-           FROM lineitem li JOIN part p ON li.l_partkey = p.p_partkey)"""
+_CAND = """cand AS (SELECT o_orderkey AS candidate_id, o_custkey % 100 AS dataset_id,
+                  'I' || CAST(1001 + (o_custkey * 7) % 3000 AS VARCHAR) AS item_id,
+                  'Item ' || CAST(o_orderkey AS VARCHAR) AS item_name, o_orderpriority AS item_category,
+                  CASE WHEN o_orderkey % 3 = 0 THEN ''
+                       ELSE 'Brand#' || CAST(1 + o_custkey % 5 AS VARCHAR) || CAST(1 + o_orderkey % 5 AS VARCHAR) END AS barcode_number,
+                  CAST(o_totalprice AS DECIMAL(10,2)) AS cost_price,
+                  CAST(o_totalprice * 1.2 AS DECIMAL(10,2)) AS selling_price
+           FROM orders)"""
 _INV = """inv AS (SELECT p_partkey AS inventory_id, p_partkey % 100 AS dataset_id, 'I' || CAST(1001 + p_partkey AS VARCHAR) AS item_id,
                  p_name AS item_name, p_type AS item_category, p_brand AS barcode_number,
                  CAST(p_retailprice * 0.7 AS DECIMAL(10,2)) AS cost_price, CAST(p_retailprice AS DECIMAL(10,2)) AS selling_price,
@@ -907,3 +908,18 @@ def q_land_upload(spark, d):
     root = FS.scratch_path(spark, "uploads")
     FS.land_upload(rows, root)
     return spark.read.parquet(root).select("row_number", "Date", "Item", "Price", "user_id", "dataset_key")
+
+
+@register(
+    "explode_sales",
+    _with(_HDR, _LINES)
+    + f"""SELECT h.request_id,
+              CAST(row_number() OVER (PARTITION BY h.request_id ORDER BY l.line, l.item, l.quantity, l.price, l.category) - 1 AS INTEGER) AS line,
+              strftime(h.ts, '%d/%m/%Y/%H:%M:%S') AS "Date", dayname(h.ts) AS "Day",
+              'O' || CAST(h.request_id AS VARCHAR) AS "OrderID", {O.strip('l.item')} AS "Item",
+              CAST(l.quantity AS BIGINT) AS "Quantity", CAST(l.price AS DOUBLE) AS "Price",
+              {O.strip('l.category')} AS "Category", {O.strip('h.payment_type')} AS "PaymentType"
+       FROM h JOIN l ON l.request_id = h.request_id""",
+)
+def q_explode_sales(spark, d):
+    return records.explode_sales(T.sale_requests(spark, d))

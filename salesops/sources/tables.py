@@ -198,23 +198,46 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposed inventory rows: one per line of ``lineitem``.
+    """Proposed inventory rows: one per order (``candidate_id`` = order key,
+    unique, and the order of proposals).
 
-    Each candidate carries the dataset it targets, a proposed item id and a
-    barcode; some collide with the current inventory by id or barcode.
+    Each targets the dataset ``custkey % 100``; proposed item ids and barcodes
+    (in the ``Brand#MN`` form of the current inventory, blank for every third
+    order) are built so that some collide with the inventory and with each
+    other.
     """
-    li = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part")
-    j = li.join(p, li.l_partkey == p.p_partkey)
-    return j.select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("candidate_id"),
-        (F.col("l_suppkey") % 100).alias("dataset_id"),
-        F.concat(F.lit("I"), (F.lit(1001) + F.col("l_suppkey") * 7).cast("string")).alias("item_id"),
-        F.concat(F.col("p_name"), F.lit(" "), F.col("l_orderkey").cast("string")).alias("item_name"),
-        F.col("p_type").alias("item_category"),
-        F.when(F.col("l_orderkey") % 3 == 0, F.lit(""))
-        .otherwise(F.concat(F.col("p_brand"), F.lit("-"), (F.col("l_orderkey") % 7).cast("string")))
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("candidate_id"),
+        (F.col("o_custkey") % 100).alias("dataset_id"),
+        F.concat(F.lit("I"), (F.lit(1001) + (F.col("o_custkey") * 7) % 3000).cast("string")).alias("item_id"),
+        F.concat(F.lit("Item "), F.col("o_orderkey").cast("string")).alias("item_name"),
+        F.col("o_orderpriority").alias("item_category"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(""))
+        .otherwise(F.concat(F.lit("Brand#"), (F.lit(1) + F.col("o_custkey") % 5).cast("string"),
+                            (F.lit(1) + F.col("o_orderkey") % 5).cast("string")))
         .alias("barcode_number"),
-        F.col("l_extendedprice").cast("decimal(10,2)").alias("cost_price"),
-        (F.col("l_extendedprice") * 1.2).cast("decimal(10,2)").alias("selling_price"),
+        F.col("o_totalprice").cast("decimal(10,2)").alias("cost_price"),
+        (F.col("o_totalprice") * 1.2).cast("decimal(10,2)").alias("selling_price"),
+    )
+
+
+def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested sale requests, one per order: header fields, ``OrderID`` and
+    ``items`` (array of item/quantity/price/category in line order).
+
+    A request holds one order's lines (a handful), so the per-order
+    ``collect_list`` is bounded by the order size.
+    """
+    h = sale_headers(spark, sf_dir)
+    lines = sale_lines(spark, sf_dir)
+    items = lines.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("line", "item", "quantity", "price", "category"))).alias("_items")
+    )
+    j = h.join(items, "request_id")
+    return j.select(
+        "dataset_id", "request_id", "ts", "payment_type",
+        F.concat(F.lit("O"), F.col("request_id").cast("string")).alias("OrderID"),
+        F.transform("_items", lambda x: F.struct(x.item.alias("item"), x.quantity.alias("quantity"),
+                                                 x.price.alias("price"), x.category.alias("category"))).alias("items"),
     )
