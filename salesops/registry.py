@@ -923,3 +923,32 @@ def q_land_upload(spark, d):
 )
 def q_explode_sales(spark, d):
     return records.explode_sales(T.sale_requests(spark, d))
+
+
+def q_stream_sales(spark, d):
+    """Requests arrive in two time slices; the stream runs after each
+    (same checkpoint), so the second run records only the new files."""
+    from salesops.sources.files import scratch_path
+    from salesops.streaming.sales_stream import run_sales_stream
+
+    req = T.sale_requests(spark, d).drop("OrderID")
+    folder, out = scratch_path(spark, "requests"), scratch_path(spark, "sales-stream")
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    req.where(F.col("ts") < cut).write.mode("append").json(folder)
+    run_sales_stream(spark, folder, out)
+    req.where(F.col("ts") >= cut).write.mode("append").json(folder)
+    sales_path, _ = run_sales_stream(spark, folder, out)
+    return spark.read.parquet(sales_path).drop("batch_id")
+
+
+register(
+    "stream_sales",
+    _VALID
+    + f"""SELECT num.request_id,
+              CAST(row_number() OVER (PARTITION BY num.request_id ORDER BY l.line, l.item, l.quantity, l.price, l.category) - 1 AS INTEGER) AS line,
+              strftime(num.ts, '%d/%m/%Y/%H:%M:%S') AS "Date", dayname(num.ts) AS "Day",
+              'O' || CAST(num.order_number AS VARCHAR) AS "OrderID", {O.strip('l.item')} AS "Item",
+              CAST(l.quantity AS BIGINT) AS "Quantity", CAST(l.price AS DOUBLE) AS "Price",
+              {O.strip('l.category')} AS "Category", {O.strip('num.payment_type')} AS "PaymentType"
+       FROM num JOIN l ON l.request_id = num.request_id""",
+)(q_stream_sales)
