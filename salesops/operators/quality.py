@@ -54,17 +54,6 @@ NUMERIC_COLUMNS = ("Quantity", "Price")
 # --- building cells -----------------------------------------------------------
 
 
-def _cell(type_: Column, text=None, num=None, ts=None, flag=None) -> Column:
-    null = F.lit(None)
-    return F.struct(
-        type_.alias("type"),
-        (text if text is not None else null.cast("string")).alias("text"),
-        (num if num is not None else null.cast("double")).alias("num"),
-        (ts if ts is not None else null.cast("timestamp_ntz")).alias("ts"),
-        (flag if flag is not None else null.cast("boolean")).alias("flag"),
-    )
-
-
 def text_cells(df: DataFrame, path: str | Column = "table", row_col: str = "row_number") -> DataFrame:
     """An all-text sales table as flat cells (see :func:`flatten`).
 
