@@ -173,10 +173,10 @@ def day_wise_pattern_wide(df: DataFrame, year, month) -> DataFrame:
     long = day_wise_pattern(df, year, month)
     from salesops.constants import BUCKETS
 
-    wide = long.groupBy("day").pivot("bucket", BUCKETS).agg(
-        F.first("sales_count").alias("sales_count"),
-        F.first("sales_amount").alias("sales_amount"),
-        F.first("intensity").alias("intensity"),
+    wide = long.groupBy("day").pivot("bucket", BUCKETS).agg(  # one row per (day, bucket)
+        F.max("sales_count").alias("sales_count"),
+        F.max("sales_amount").alias("sales_amount"),
+        F.max("intensity").alias("intensity"),
     )
     return wide.orderBy("day")
 

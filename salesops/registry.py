@@ -952,3 +952,17 @@ register(
               {O.strip('l.category')} AS "Category", {O.strip('num.payment_type')} AS "PaymentType"
        FROM num JOIN l ON l.request_id = num.request_id""",
 )(q_stream_sales)
+
+
+def _wide_sql() -> str:
+    parts = ", ".join(
+        f"max(CASE WHEN bucket = '{b}' THEN {m} END) AS {b}_{m}"
+        for b in ("morning", "daytime", "evening")
+        for m in ("sales_count", "sales_amount", "intensity")
+    )
+    return sql_day_wise_pattern(O.SALES_HOURS_CTE, "sales_hours", H_YEAR, H_MONTH) + f"SELECT day, {parts} FROM pts GROUP BY day"
+
+
+register("day_wise_pattern_wide", _wide_sql())(
+    lambda spark, d: charts.day_wise_pattern_wide(T.sales_hours(spark, d), H_YEAR, H_MONTH)
+)
