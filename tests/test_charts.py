@@ -132,3 +132,27 @@ def test_parameter_checks(spark):
 def test_filter_reaches_scan(spark):
     plan = charts.revenue_trend_month(T.sales(spark, SF_SMALL), 1997)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+@pytest.mark.parametrize("n_light,heavy_path", [(400, True), (2, False)])
+def test_market_basket_heavy_orders(spark, n_light, heavy_path, monkeypatch):
+    """Hot orders (more than `heavy_items` distinct items) are counted through
+    item masks, not pairs; the result equals the brute-force count either way
+    (with few light orders the threshold falls below K and all pairs are formed)."""
+    import random
+
+    rnd = random.Random(3)
+    items = [f"I{i:02d}" for i in range(12)]
+    orders = {f"H{h}": items[: 8 + h] for h in range(3)}  # three hot orders
+    for o in range(n_light):
+        orders[f"L{o:03d}"] = rnd.sample(items[:8], rnd.choice([3, 4]))
+    data = [r("05/06/1997/09:00:00", oid, item) for oid, its in orders.items() for item in its]
+    df = rows(spark, data)
+    seen = []
+    real = basket._pairs
+    monkeypatch.setattr(basket, "_pairs", lambda d: seen.append(d) or real(d))
+    got = [(x["label"], x["count"]) for x in basket.market_basket(df, 1997, heavy_items=5).collect()]
+    assert (len(seen) == 1) == heavy_path  # the heavy path forms pairs once, from light orders only
+    want, total = _py_basket(orders)
+    assert got == want
+    assert basket.market_basket_total(df, 1997).first()[0] == total
