@@ -44,6 +44,7 @@ from salesops.constants import (
     WORKBOOK_SUFFIXES,
 )
 from salesops.functions.text import py_strip
+from salesops.session import checkpoint_dir
 
 CELL_TYPE = (
     "struct<type: string, text: string, num: double, ts: timestamp_ntz, flag: boolean>"
@@ -250,6 +251,8 @@ def validation_report(files: DataFrame, cells_df: DataFrame) -> DataFrame:
     ``files`` is (path, length); ``cells_df`` the parsed rows (row 1 =
     header, row -1 = unreadable file) of the files that passed the gate.
     """
+    checkpoint_dir(cells_df.sparkSession)
+    cells_df = cells_df.checkpoint(eager=True)  # four checks read it: parse each workbook once
     gate = file_gate(files)
     unreadable = cells_df.where(F.col("row_number") == -1).select("path", F.lit(True).alias("unreadable")).distinct()
     sheet = cells_df.where(F.col("row_number") >= 1)

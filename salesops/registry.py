@@ -966,3 +966,58 @@ def _wide_sql() -> str:
 register("day_wise_pattern_wide", _wide_sql())(
     lambda spark, d: charts.day_wise_pattern_wide(T.sales_hours(spark, d), H_YEAR, H_MONTH)
 )
+
+
+# ---------------------------------------------------------------------------
+# Workbooks (S2, S6 as xlsx, V1/V6/V7): sales exported as workbooks, then
+# ingested and validated as an upload folder.
+# ---------------------------------------------------------------------------
+
+from salesops.sources import workbooks as WB  # noqa: E402
+
+
+def _workbooks(spark, d):
+    folder = FS.scratch_path(spark, "workbooks")
+    FS.export_workbooks(T.sales(spark, d), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_MONTH_FILES = _with(O.SALES_CTE) + """SELECT 'sales_' || lpad(CAST(year("Date") AS VARCHAR), 4, '0') || '_' ||
+       lpad(CAST(month("Date") AS VARCHAR), 2, '0') || '_0000.xlsx' AS file, count(*) AS rows
+       FROM sales GROUP BY year("Date"), month("Date")"""
+
+
+@register("export_workbooks", _MONTH_FILES)
+def q_export_workbooks(spark, d):
+    folder = FS.scratch_path(spark, "workbooks")
+    out = FS.export_workbooks(T.sales(spark, d), folder)
+    return out.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "rows")
+
+
+@register(
+    "ingest_workbooks",
+    _with(O.SALES_CTE) + """SELECT strftime("Date", '%d/%m/%Y/%H:%M:%S') AS "Date", "Day", "OrderID", "Item",
+       CAST(CAST("Quantity" AS DOUBLE) AS VARCHAR) AS "Quantity", CAST(CAST("Price" AS DOUBLE) AS VARCHAR) AS "Price",
+       "Category", "PaymentType" FROM sales""",
+)
+def q_ingest_workbooks(spark, d):
+    from salesops.constants import SALES_COLUMNS
+
+    cells = WB.ingest_workbooks(spark, _workbooks(spark, d) + "/*.xlsx")
+    return WB.rows_from_cells(cells).select(*SALES_COLUMNS)
+
+
+@register(
+    "validation_report",
+    _with(O.SALES_CTE, 'm AS (SELECT count(DISTINCT (year("Date"), month("Date"))) AS files FROM sales)')
+    + """SELECT n, "check", true AS is_valid, message, (SELECT files FROM m) AS files FROM (VALUES
+         (1, '1. File Type: Excel', 'File type is valid Excel format.'),
+         (2, '2. File Size: < 10MB', 'File size is less than 10MB.'),
+         (3, '3. Required Columns + Datatypes', 'Required columns and datatypes are valid.')) t(n, "check", message)""",
+)
+def q_validation_report(spark, d):
+    from salesops.operators import quality as Q
+
+    folder = _workbooks(spark, d) + "/*.xlsx"
+    rep = Q.validation_report(WB.list_files(spark, folder), WB.ingest_workbooks(spark, folder))
+    return rep.groupBy("n", "check", "is_valid", "message").agg(F.count(F.lit(1)).alias("files"))

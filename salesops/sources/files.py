@@ -101,3 +101,45 @@ def land_upload(rows: DataFrame, root: str) -> None:
 
     ``rows`` carries ``user_id`` and ``dataset_key`` (see catalog.valid_filename)."""
     rows.write.mode("append").partitionBy("user_id", "dataset_key").parquet(root)
+
+
+WORKBOOK_ROWS = 50_000
+
+
+def export_workbooks(df: DataFrame, folder: str, rows_per_file: int = WORKBOOK_ROWS) -> DataFrame:
+    """S6 as workbooks: the sales rows as .xlsx files, one per (year, month,
+    chunk), Date written as dd/MM/yyyy/HH:mm:ss text, numbers as numbers.
+
+    A month with more than ``rows_per_file`` rows is split by a hash of the
+    row into enough chunks, so every file is written by one task holding a
+    bounded group. Returns (path, rows) per file. Files are written from the
+    tasks, so ``folder`` must be a file-system path every executor sees (as
+    the workbook storage root is).
+    """
+    import pandas as pd
+
+    from salesops.sources.xlsx import write_xlsx
+
+    rows = with_partitions(df.select(*SALES_COLUMNS))
+    per_month = rows.groupBy("year", "month").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(per_month, ["year", "month"]).withColumn(
+        "chunk", F.pmod(F.xxhash64(*SALES_COLUMNS), F.ceil(F.col("_n") / rows_per_file)).cast("int")
+    )
+    out = rows.select(
+        "year", "month", "chunk",
+        F.date_format("Date", DATE_TEXT_FORMAT_SPARK).alias("Date"), "Day", "OrderID", "Item",
+        F.col("Quantity").cast("double").alias("Quantity"), F.col("Price").cast("double").alias("Price"),
+        "Category", "PaymentType",
+    )
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(SALES_COLUMNS, kind="mergesort")
+        y, m, c = int(pdf["year"].iloc[0]), int(pdf["month"].iloc[0]), int(pdf["chunk"].iloc[0])
+        path = os.path.join(folder, f"sales_{y:04d}_{m:02d}_{c:04d}.xlsx")
+        cells = [[None if pd.isna(v) else (float(v) if k in ("Quantity", "Price") else str(v)) for k, v in zip(SALES_COLUMNS, r)]
+                 for r in pdf[SALES_COLUMNS].itertuples(index=False, name=None)]
+        os.makedirs(folder, exist_ok=True)
+        write_xlsx(path, [SALES_COLUMNS] + cells)
+        return pd.DataFrame({"path": [path], "rows": [len(cells)]})
+
+    return out.groupBy("year", "month", "chunk").applyInPandas(write, "path string, rows long")

@@ -1,0 +1,74 @@
+"""A minimal .xlsx writer: one sheet, cells of text, number, boolean or date.
+
+Used by the workbook sink (``files.export_workbooks``), where each Spark task
+writes one file of bounded size, and by the tests for their fixtures.
+"""
+
+import datetime as dt
+import zipfile
+from xml.sax.saxutils import escape
+
+_CT = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">
+<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>
+<Default Extension="xml" ContentType="application/xml"/>
+<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>
+<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>
+<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>
+</Types>"""
+_RELS = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
+<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>
+</Relationships>"""
+_WB = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">
+<sheets><sheet name="Sales" sheetId="1" r:id="rId1"/></sheets></workbook>"""
+_WB_RELS = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
+<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>
+</Relationships>"""
+_STYLES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">
+<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>"""
+
+
+def _col(i):
+    s = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        s = chr(65 + r) + s
+    return s
+
+
+def _cell(ref, v):
+    if v is None:
+        return ""
+    if isinstance(v, bool):
+        return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, dt.datetime):
+        serial = (v - dt.datetime(1899, 12, 30)).total_seconds() / 86400
+        return f'<c r="{ref}" s="1"><v>{serial!r}</v></c>'
+    if isinstance(v, (int, float)):
+        return f'<c r="{ref}"><v>{v!r}</v></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def write_xlsx(path, rows):
+    """rows: list of lists (row 1 first); None rows are left out (gaps)."""
+    body = []
+    for r, row in enumerate(rows, start=1):
+        if row is None:
+            continue
+        cells = "".join(_cell(f"{_col(c)}{r}", v) for c, v in enumerate(row))
+        body.append(f'<row r="{r}">{cells}</row>')
+    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+             '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+             + "".join(body) + "</sheetData></worksheet>")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", _CT)
+        z.writestr("_rels/.rels", _RELS)
+        z.writestr("xl/workbook.xml", _WB)
+        z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
+        z.writestr("xl/styles.xml", _STYLES)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
