@@ -64,11 +64,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered, so a cluster never falls back to a
     machine-local path it did not choose.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir()
     if configured:
+        if not current:
+            sc.setCheckpointDir(configured)  # named by the cluster, not yet registered with the context
         return configured
+    if current:
+        return current
     local = tempfile.mkdtemp(prefix="salesops-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -120,6 +120,8 @@ def export_workbooks(df: DataFrame, folder: str, rows_per_file: int = WORKBOOK_R
 
     from salesops.sources.xlsx import write_xlsx
 
+    if folder.startswith("file:"):
+        folder = folder[len("file:"):]  # written with Python file IO inside the tasks
     rows = with_partitions(df.select(*SALES_COLUMNS))
     per_month = rows.groupBy("year", "month").agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.join(per_month, ["year", "month"]).withColumn(
