@@ -8,6 +8,7 @@ choice of shuffle partitions, checkpoint folder or memory.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -77,3 +78,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors through Spark's own file server.
+
+    Python workers import the functions they run by name, so a cluster whose
+    machines lack the repository needs the code; done once per application.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_salesops_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(os.path.join(root, "salesops")):  # already running from an archive
+        return
+    stem = os.path.join(tempfile.mkdtemp(prefix="salesops-code-"), "salesops_code")
+    sc.addPyFile(shutil.make_archive(stem, "zip", root_dir=root, base_dir="salesops"))
+    sc._salesops_shipped = True
