@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from salesops.llm.common import table
 
 
+def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.ann import approximate_neighbours
+
+    return approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.exact_topk import exact_top_k
 
@@ -34,5 +40,6 @@ QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_kmeans_tree": (op2_kmeans_tree, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
