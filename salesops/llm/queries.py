@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesops.llm.common import table
@@ -16,6 +16,30 @@ def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def held_out_quality() -> Column:
+    """The fourth of the ids that no label is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.quality import score_quality
+
+    out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), held_out=held_out_quality())
+    return out.select("doc_id", held_out_quality().alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.exact_topk import exact_top_k
 
@@ -41,5 +65,8 @@ QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_kmeans_tree": (op2_kmeans_tree, None),
+    "op4_token_files": (op4_token_files, None),
+    "op7_best_fit": (op7_best_fit, None),
+    "op9_quality": (op9_quality, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
