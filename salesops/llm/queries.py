@@ -22,6 +22,67 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.mixing import mix_to_weights
+
+    mixed = mix_to_weights(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *[F.col(f"mix.{n}") for n in ("domain", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "epoch")])
+
+
+def _share_sql(level: str, path: list[str], above: str, weight: str) -> str:
+    """CTEs that share the budgets of ``b_<above>`` out among one level's nodes."""
+    keys, parent = ", ".join(path), ", ".join(path[:-1]) or "1"
+    link = " AND ".join(f"n.{c} = p.{c}" for c in path[:-1]) or "TRUE"
+    return f"""
+n_{level} AS (SELECT {keys}, sum(capacity)::HUGEINT AS capacity, ({weight})::HUGEINT AS weight FROM leaves GROUP BY {keys}),
+w_{level} AS (
+  SELECT n.*, p.budget::HUGEINT AS budget,
+    coalesce(sum(n.capacity) OVER (PARTITION BY {", ".join("n." + c for c in path[:-1]) or "1"} ORDER BY CAST(n.capacity AS DOUBLE) / n.weight, n.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+    sum(n.weight) OVER (PARTITION BY {", ".join("n." + c for c in path[:-1]) or "1"} ORDER BY CAST(n.capacity AS DOUBLE) / n.weight, n.{level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS rest_weight
+  FROM n_{level} n JOIN b_{above} p ON {link}),
+f_{level} AS (SELECT *, capacity * rest_weight <= (budget - before) * weight AS held FROM w_{level}),
+b_{level} AS (
+  SELECT {keys}, CASE WHEN held THEN capacity ELSE
+    ((budget - coalesce(sum(capacity) FILTER (WHERE held) OVER (PARTITION BY {parent}), 0)::HUGEINT) * weight)
+      // (sum(weight) FILTER (WHERE NOT held) OVER (PARTITION BY {parent}))::HUGEINT END AS budget
+  FROM f_{level}),"""
+
+
+OP5_SQL = (
+    """
+WITH d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident,
+    CASE WHEN regexp_extract(coalesce(source, 'unknown'), '([0-9]+)$', 1) = '' THEN 'other'
+         ELSE 'domain' || CAST(CAST(right(regexp_extract(coalesce(source, 'unknown'), '([0-9]+)$', 1), 1) AS INTEGER) % 4 AS VARCHAR) END AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS leaf_tokens, sum(n_tokens)::HUGEINT * 4 AS capacity FROM d GROUP BY ALL),
+b_root AS (SELECT coalesce(sum(n_tokens), 0)::HUGEINT * 90 // 100 AS budget FROM d),"""
+    + _share_sql("domain", ["domain"], "root", "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END")
+    + _share_sql("lang", ["domain", "lang"], "domain", "CASE WHEN lang = 'en' THEN 5 WHEN lang IN ('de', 'fr', 'es') THEN 2 ELSE 1 END")
+    + _share_sql("source", ["domain", "lang", "source"], "lang", "1")
+    + """
+p AS (
+  SELECT l.domain, l.lang, l.source, l.leaf_tokens, b.budget::BIGINT AS leaf_budget,
+    CASE WHEN l.leaf_tokens > 0 THEN b.budget::BIGINT // l.leaf_tokens ELSE 0 END AS epochs
+  FROM leaves l JOIN b_source b USING (domain, lang, source)),
+o AS (
+  SELECT d.*, p.leaf_tokens, p.leaf_budget, p.epochs, p.leaf_budget - p.epochs * p.leaf_tokens AS rest,
+    sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('20:' || CAST(p.epochs AS VARCHAR) || ':' || ident), ident RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+  FROM d JOIN p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, CAST(e AS INTEGER) AS epoch
+FROM (SELECT o.*, unnest(range(CAST(epochs + CASE WHEN rest > 0 AND used <= rest THEN 1 ELSE 0 END AS BIGINT))) AS e FROM o)
+"""
+)
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.packing import pack_documents
 
@@ -66,7 +127,9 @@ QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_kmeans_tree": (op2_kmeans_tree, None),
     "op4_token_files": (op4_token_files, None),
+    "op5_mix": (op5_mix, OP5_SQL),
     "op7_best_fit": (op7_best_fit, None),
+    "op8_html_text": (op8_html_text, None),
     "op9_quality": (op9_quality, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
