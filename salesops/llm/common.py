@@ -84,7 +84,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _slices(data: bytes) -> Iterator[bytes]:
+def slices(data: bytes) -> Iterator[bytes]:
     """Cut at white space into slices of about SLICE_BYTES."""
     at = 0
     while len(data) - at > SLICE_BYTES:
@@ -102,10 +102,10 @@ def _slices(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def _hash_slice(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of each word of one slice."""
+def hash_slice(data: bytes, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, end byte) of each word; ``apart``: which bytes separate words."""
     raw = np.frombuffer(data, np.uint8)
-    solid = ~_IS_SPACE[raw]
+    solid = ~apart[raw]
     edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
@@ -121,7 +121,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words of one whole text."""
     if not text:
         return np.empty(0, np.uint64)
-    parts = [_hash_slice(x)[0] for x in _slices(text.encode("utf-8", "surrogatepass"))]
+    parts = [hash_slice(x)[0] for x in slices(text.encode("utf-8", "surrogatepass"))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -134,7 +134,7 @@ def batch_word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
         if not group:
             return
         sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
-        h, start, _ = _hash_slice(b"\n".join(group))
+        h, start, _ = hash_slice(b"\n".join(group))
         cuts = np.searchsorted(start, np.cumsum(sizes))
         at = 0
         for c in cuts:

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from salesops.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.ann import approximate_neighbours
 
@@ -125,6 +131,7 @@ QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_licenses": (op1_licenses, None),
     "op2_kmeans_tree": (op2_kmeans_tree, None),
     "op4_token_files": (op4_token_files, None),
     "op5_mix": (op5_mix, OP5_SQL),
