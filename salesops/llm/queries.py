@@ -35,6 +35,13 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"mix.{n}") for n in ("domain", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "epoch")])
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.near_dup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
 def _share_sql(level: str, path: list[str], above: str, weight: str) -> str:
     """CTEs that share the budgets of ``b_<above>`` out among one level's nodes."""
     keys, parent = ", ".join(path), ", ".join(path[:-1]) or "1"
@@ -135,6 +142,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_kmeans_tree": (op2_kmeans_tree, None),
     "op4_token_files": (op4_token_files, None),
     "op5_mix": (op5_mix, OP5_SQL),
+    "op6_near_dup": (op6_near_dup, None),
     "op7_best_fit": (op7_best_fit, None),
     "op8_html_text": (op8_html_text, None),
     "op9_quality": (op9_quality, None),
