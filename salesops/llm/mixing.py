@@ -91,10 +91,10 @@ def default_weights() -> dict[str, Column]:
     }
 
 
-def mix_to_weights(docs: DataFrame, *, levels: dict[str, Column] | None = None, weights: dict[str, Column] | None = None, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix_to_weights(docs: DataFrame, *, levels: dict[str, Column] | None = None, weights: dict[str, Column] | None = None, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", mix_col: str = "mix") -> DataFrame:
     """The chosen documents, one row for each epoch they are in.
 
-    All columns of ``docs`` and a struct ``mix`` (``domain, lang, source,
+    All columns of ``docs`` and a struct ``mix_col`` (``domain, lang, source,
     n_tokens, leaf_tokens, leaf_budget, epoch``). The budget is
     ``budget_percent`` of all tokens.
 
@@ -104,10 +104,10 @@ def mix_to_weights(docs: DataFrame, *, levels: dict[str, Column] | None = None,
     and stand or fall together, repeated rows count as often as they stand
     there; a leaf without tokens is given none and none of its rows; an empty
     table gives an empty result. Columns of ``docs`` named like the levels do
-    no harm, as those are kept in one struct; one named ``mix`` is replaced.
+    no harm, as those are kept in one struct; one named ``mix_col`` is replaced.
     """
     levels, weights = levels or default_levels(), weights or default_weights()
-    names = [n for n in docs.columns if n != "mix"]
+    names = [n for n in docs.columns if n != mix_col]
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     tree = F.struct(*[levels[n].alias(n) for n in LEVELS])
     slim = docs.select(tree.alias("leaf"), word_count(F.col(text_col)).alias("n"))
@@ -132,7 +132,7 @@ def mix_to_weights(docs: DataFrame, *, levels: dict[str, Column] | None = None,
 
     kept = F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc")
     rows = keyed([kept]).join(ends, "leaf", "left")
-    mix = lambda epoch: F.struct("leaf.*", F.col("n").alias("n_tokens"), "leaf_tokens", "leaf_budget", epoch.cast("int").alias("epoch")).alias("mix")
+    mix = lambda epoch: F.struct("leaf.*", F.col("n").alias("n_tokens"), "leaf_tokens", "leaf_budget", epoch.cast("int").alias("epoch")).alias(mix_col)
     passes = F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("bucket") < F.col("end_bucket")), 1).otherwise(0)
     full = rows.where(passes > 0).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1))).select("doc.*", mix(F.col("at")))
     place = Window.partitionBy("leaf", "bucket").orderBy("turn", "ident").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import batch_word_hashes, mix64, stored
+from salesops.llm.common import batch_word_hashes, mix64, stored, unused
 from salesops.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -219,9 +219,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
 def drop_near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group; texts without words all stay."""
     found = near_duplicates(docs, size=size, percent=percent, id_col=id_col, text_col=text_col)
-    heads = stored(found.where("is_first and n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "heads")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
+    own, head_id, head_hash = (unused(n, docs.columns) for n in ("text_hash", "head_id", "head_hash"))
+    heads = stored(found.where("is_first and n_shingles > 0").select(F.col("doc_id").alias(head_id), F.col("text_hash").alias(head_hash)).distinct(), "heads")
+    keyed = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(words).join(heads, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash")), "left_semi")
-    kept = kept.dropDuplicates([id_col, "_text_hash"])
+    kept = keyed.where(words).join(heads, F.col(id_col).cast("long").eqNullSafe(F.col(head_id)) & F.col(own).eqNullSafe(F.col(head_hash)), "left_semi")
+    kept = kept.dropDuplicates([id_col, own])
     return kept.unionByName(keyed.where(~words)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -141,16 +141,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, held_out: Column, thres
     single labelled class every score is 0.99 or 0.01, with none 0.5. Extra
     columns pass through, but ones named like the two new columns are replaced.
     """
-    model = fit(*labelled_sample(docs, labels, ~held_out))
+    score = scorer(fit(*labelled_sample(docs, labels, ~held_out)))
+    out = docs.withColumn("quality_score", score(F.col(text_col)))
+    return out.withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
+
+
+def scorer(model: CompressionModel):
+    """The model as a column function of a text."""
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(text.tolist()))
 
-    out = docs.withColumn("quality_score", score(F.col(text_col)))
-    return out.withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
+    return score
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, *, held_out: Column, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns unchanged."""
-    return score_quality(docs, labels, held_out=held_out, threshold=threshold).where(F.col("quality_predicted") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+def quality_filter(docs: DataFrame, labels: DataFrame, *, held_out: Column, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected; cases as in ``score_quality``, all columns unchanged."""
+    score = scorer(fit(*labelled_sample(docs, labels, ~held_out)))
+    return docs.where(score(F.col(text_col)) >= threshold)

@@ -22,6 +22,13 @@ def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.pitman_yor import score_documents
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return score_documents(table(spark, sf_dir, "documents"), held_out=held_out)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.token_files import token_files
 
@@ -140,6 +147,7 @@ QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_licenses": (op1_licenses, None),
     "op2_kmeans_tree": (op2_kmeans_tree, None),
+    "op3_pitman_yor": (op3_pitman_yor, None),
     "op4_token_files": (op4_token_files, None),
     "op5_mix": (op5_mix, OP5_SQL),
     "op6_near_dup": (op6_near_dup, None),
