@@ -97,9 +97,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             void = np.array(sizes, np.int64) == 0
             lists = []
             for m in (band_hashes(samples), sketches(samples)):
-                mask = np.append(void, False)
-                offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], mask=mask)
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m).ravel())))
+                offsets = np.append(0, np.cumsum(~void)) * m.shape[1]
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(m[~void]).ravel()), mask=pa.array(void)))
             yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(sign, SIGNATURES)
