@@ -6,12 +6,19 @@
 2. Classes that share a band are candidates. Pairs are not formed within a
    band bucket: each bucket names its most central member (the one whose
    buckets hold most) and every other member is held against that one.
-3. The population count of two sketches' XOR estimates their similarity; pairs
-   far below the threshold go, the others are confirmed on their full sets.
-4. Connected components; then only pairs of different components that share a
-   bucket remain to be tested. The centre's exact distances rule most of them
-   out (the Jaccard distance is a metric), the sketches most of the rest, and
-   what is left is confirmed on full sets, so no link of a bucket is lost.
+3. The population count of two sketches' XOR estimates their similarity; members
+   far from their centre go to step 5, the others are confirmed on full sets.
+   Links give connected components.
+4. Members outside their centre's component may still be linked to another
+   member. Relative to the centre m a set is m less its missing shingles a plus
+   its extra shingles b. If r is not linked to m, r and x can only be linked if
+   they share more than (|a_x| + 0.8 |b_x|) / 1.8 of x's edits a_x and b_x (at
+   0.8; from J = (|m| - |a_r u a_x| + |b_r n b_x|) / (|m| - |a_r n a_x| + |b_r u b_x|)).
+   So x lists its rarest edits, as many as cannot all be unshared, r lists all,
+   and only pairs that meet in an edit are confirmed: none can be lost, and
+   unlike copies of one text do not meet.
+5. Members far from their centre (the Jaccard distance is a metric, so their
+   partners are far as well) are compared with each other by their sketches.
 
 A pair at the threshold shares no band of 32 x 5 samples with a probability of
 3 in a million.
@@ -25,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesops.llm.common import batch_word_hashes, mix64, stored, unused
@@ -38,6 +45,8 @@ SKETCH_WORDS = SKETCH_BITS // 64
 # Estimates below these are taken for certain to lie under a similarity of 0.8:
 # the estimate's standard error there is about 0.035.
 CENTRE_ESTIMATE, PAIR_ESTIMATE = 0.5, 0.6
+# True similarity at most (four standard errors) of a member with an estimate below CENTRE_ESTIMATE.
+FAR_LIKENESS = 0.64
 _CHUNK = 2048
 
 SIGNATURES = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch array<long>"
@@ -114,27 +123,62 @@ def xor_count(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_WORDS)))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """``a, b`` with the sizes of intersection and union of their full sets (``shared, total``)."""
-    pairs = stored(pairs.select("a", "b"), "pairs")
-    needed = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    needed = stored(classes.join(needed, "nid").select("nid", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "needed")
+def shingle_sets(nids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``nid, shingles`` (sorted hashes as bytes) of the classes in ``nids``."""
+    needed = stored(classes.join(nids, "nid", "left_semi").select("nid", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(w, size).tobytes() for w in batch_word_hashes(b.column("text").to_pylist())]
             yield pa.record_batch([b.column("nid"), pa.array(found, pa.binary())], names=["nid", "shingles"])
 
-    rows = docs.join(needed, docs["doc_id"].eqNullSafe(needed["id"]) & docs["text_hash"].eqNullSafe(needed["hash"]))
-    full = stored(rows.select("nid", "text").mapInArrow(sets, "nid long, shingles binary").dropDuplicates(["nid"]), "sets")
+    # The same shuffle at every size: a broadcast of the ids would grow with the input.
+    rows = docs.join(needed.hint("merge"), docs["doc_id"].eqNullSafe(needed["id"]) & docs["text_hash"].eqNullSafe(needed["hash"]))
+    return stored(rows.select("nid", "text").mapInArrow(sets, "nid long, shingles binary").dropDuplicates(["nid"]), "sets")
 
-    @F.pandas_udf("long")
-    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
 
-    left, right = full.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", shared("sa", "sb").alias("shared"), (F.length("sa") / 8).cast("long").alias("na"), (F.length("sb") / 8).cast("long").alias("nb"))
-    return stored(met.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("total")), "confirmed")
+def edits_of(shingles: bytes, centre: bytes) -> tuple[int, int, int, np.ndarray]:
+    """Sizes of the intersection, of the missing and extra shingles, and these themselves."""
+    x, m = np.frombuffer(shingles, np.uint64), np.frombuffer(centre, np.uint64)
+    both, times = np.unique(np.concatenate([x, m]), return_counts=True)
+    edits = both[times == 1]
+    shared = len(both) - len(edits)
+    return shared, len(m) - shared, len(x) - shared, edits.view(np.int64)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, with_edits: bool = False) -> DataFrame:
+    """``a, b`` with ``shared, missing, extra`` on full sets: sizes of a n b, b less a, a less b (and all ``edits``)."""
+    kind = "struct<shared:long,missing:long,extra:long" + (",edits:array<long>>" if with_edits else ">")
+
+    @F.pandas_udf(kind)
+    def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        found = [edits_of(p, q)[: 4 if with_edits else 3] for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame(found, columns=["shared", "missing", "extra", "edits"][: 4 if with_edits else 3])
+
+    left, right = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return stored(met.select("a", "b", compare("sa", "sb").alias("c")).select("a", "b", "c.*"), "confirmed")
+
+
+def edit_pairs(stars: DataFrame, group_of: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that may be linked although ``a`` is not in the component of their common centre.
+
+    ``stars``: a (member), b (centre), missing, extra, edits; ``group_of``: node, component.
+    """
+    of = lambda c, out: group_of.select(F.col("node").alias(c), F.col("component").alias(out))
+    placed = stars.join(of("a", "g"), "a", "left").join(of("b", "gc"), "b", "left").withColumns({"g": F.coalesce("g", "a"), "gc": F.coalesce("gc", "b")})
+    mixed = placed.where("g <> gc").select("b").distinct()
+    placed = stored(placed.join(mixed, "b").select(F.col("a").alias("nid"), F.col("b").alias("centre"), "g", "gc", "missing", "extra", "edits"), "edits")
+    # Shared edits s satisfy s * (100 + percent) > 100 * missing + percent * extra of x, so at least this many:
+    least = F.floor((F.col("missing") * 100 + F.col("extra") * percent) / F.lit(100.0 + percent)) + 1
+    listed = placed.withColumn("rank_to", F.col("missing") + F.col("extra") - least + 1).select("nid", "centre", "g", "gc", "rank_to", F.explode("edits").alias("edit"))
+    often = listed.groupBy("centre", "edit").agg(F.count("*").alias("held")).where("held > 1")
+    listed = listed.join(often, ["centre", "edit"], "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    rarest = Window.partitionBy("centre", "nid").orderBy("held", "edit")
+    x = listed.withColumn("rank", F.row_number().over(rarest)).where("rank <= rank_to and held > 1").select("centre", "edit", F.col("nid").alias("x"), F.col("g").alias("x_g"))
+    r = listed.where("g <> gc and held > 1").select("centre", "edit", F.col("nid").alias("r"), "g")
+    met = r.join(x, ["centre", "edit"]).where("r <> x and g <> x_g")
+    return met.select(F.least("r", "x").alias("a"), F.greatest("r", "x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +198,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     words than ``size`` are one shingle. Other columns are ignored; an empty
     table gives an empty result.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("bands and sketches are laid out for 80 percent or more")
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = stored(signatures(docs, size), "signatures")
@@ -174,32 +220,31 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     sketched = lambda c, n, s: described.select(F.col("nid").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     stars = buckets.where("nid <> centre").select(F.col("nid").alias("a"), F.col("centre").alias("b")).distinct()
     stars = stars.join(sketched("a", "n_a", "s_a"), "a").join(sketched("b", "n_b", "s_b"), "b").where(xor_count("s_a", "s_b") <= odd_bits(CENTRE_ESTIMATE))
-    stars = confirm(stars, docs, classes, size)
-    linked = F.col("shared") * 100 >= F.col("total") * percent
+    sets = shingle_sets(buckets.select("nid").distinct(), docs, classes, size)
+    stars = confirm(stars, sets, with_edits=True)
+    linked = F.col("shared") * 100 >= (F.col("shared") + F.col("missing") + F.col("extra")) * percent
     links = stars.where(linked).select("a", "b")
     first_groups = components(links)
-
-    # Members of other components than their bucket's centre, against the rest of the bucket.
-    known = stars.select(F.col("a").alias("nid"), F.col("b").alias("centre"), (1 - F.col("shared") / F.col("total")).alias("apart"))
-    group_of = lambda c, out: first_groups.select(F.col("node").alias(c), F.col("component").alias(out))
-    placed = buckets.join(group_of("nid", "g"), "nid", "left").join(group_of("centre", "gc"), "centre", "left")
-    placed = placed.withColumn("g", F.coalesce("g", "nid")).withColumn("gc", F.coalesce("gc", "centre"))
-    mixed = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("key")
-    placed = placed.join(mixed, "key").where("nid <> centre").join(known, ["nid", "centre"], "left")
-    placed = stored(placed.join(classes.select("nid", "n", "sketch", "bands"), "nid"), "placed")
-    side = lambda p: placed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "g", "gc", "n", "sketch", "bands", "apart")])
-    far = 1 - percent / 100 + 1e-9
-    pairs = side("a").where("a_g <> a_gc").join(side("b"), "key")
-    pairs = pairs.where(
+    more = [edit_pairs(stars, first_groups, percent)]
+
+    # Members far from their centre, against others that are not near it.
+    likeness = F.col("shared") / (F.col("shared") + F.col("missing") + F.col("extra"))
+    known = stars.select(F.col("a").alias("nid"), F.col("b").alias("centre"), likeness.alias("like"))
+    placed = buckets.where("nid <> centre").join(known, ["nid", "centre"], "left").where(F.col("like").isNull() | (F.col("like") <= FAR_LIKENESS + 1 - percent / 100))
+    lone = placed.where("like is null").select("key").distinct()
+    placed = placed.join(lone, "key").join(first_groups.select(F.col("node").alias("nid"), F.col("component").alias("g")), "nid", "left")
+    placed = stored(placed.withColumn("g", F.coalesce("g", "nid")).join(classes.select("nid", "n", "sketch", "bands"), "nid"), "placed")
+    side = lambda p: placed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "g", "n", "sketch", "bands", "like")])
+    far = side("a").where("a_like is null").join(side("b"), "key").where(
         (F.col("a_g") != F.col("b_g"))
-        & ((F.col("b_g") == F.col("b_gc")) | (F.col("a_nid") < F.col("b_nid")))
+        & (F.col("b_like").isNotNull() | (F.col("a_nid") < F.col("b_nid")))
         & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-        & F.coalesce(F.abs(F.col("a_apart") - F.col("b_apart")) <= far, F.lit(True))
         & (xor_count("a_sketch", "b_sketch") <= odd_bits(PAIR_ESTIMATE))
         # A pair is formed in the first bucket that both share and in no other.
         & (F.expr("filter(a_bands, (x, i) -> x = b_bands[i])[0]") == F.col("key"))
     )
-    more = confirm(pairs.select(F.least("a_nid", "b_nid").alias("a"), F.greatest("a_nid", "b_nid").alias("b")).distinct(), docs, classes, size)
+    more.append(far.select(F.least("a_nid", "b_nid").alias("a"), F.greatest("a_nid", "b_nid").alias("b")))
+    more = confirm(more[0].unionByName(more[1]).distinct(), sets)
     links = stored(links.unionByName(more.where(linked).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     groups = components(links)
 
