@@ -151,7 +151,7 @@ def token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             place = place[:-2]
             sizes = np.array([len(h) for h in held], np.int64)
             counts = np.bincount(place[np.repeat(np.array(train, bool), sizes)], minlength=len(words))
-            cols = [[(task << 32) + seq], [len(words)], [int(sizes.sum())], [ids], [sizes.tolist()], [train], [pack(place)], [zstandard.ZstdCompressor(level=1).compress(words.tobytes())], [pack(counts)]]
+            cols = [[(task << 32) + seq], [len(words)], [int(sizes.sum())], [ids], [sizes.tolist()], [train], [pack(place)], [pack(np.diff(words, prepend=np.uint64(0)))], [pack(counts)]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -172,7 +172,7 @@ def token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
 
 
 def words_of(row: dict) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.uint64)
+    return np.cumsum(unpack(row["words"])[0])  # sorted; kept as differences
 
 
 def number_words(n_buckets: int):
@@ -180,7 +180,7 @@ def number_words(n_buckets: int):
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        lists = [unpack(p) for p in t["payload"].to_pylist()]
+        lists = [(np.cumsum(x), n) for x, n in map(unpack, t["payload"].to_pylist())]
         words, place = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
         count = np.bincount(place, np.concatenate([x[1] for x in lists]).astype(np.float64), minlength=len(words)).astype(np.int64)
         rank = np.empty(len(words), np.int64)
@@ -203,7 +203,7 @@ def send_words(n_buckets: int):
         for b in batches:
             for r in b.to_pylist():
                 words, (counts,) = words_of(r), unpack(r["counts"])
-                yield mail([(k, r["block"], pack(words[at], counts[at])) for k, at in deal(word_bucket(words, n_buckets), n_buckets)])
+                yield mail([(k, r["block"], pack(np.diff(words[at], prepend=np.uint64(0)), counts[at])) for k, at in deal(word_bucket(words, n_buckets), n_buckets)])
 
     return run
 
@@ -262,6 +262,7 @@ def merged_pairs(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray,
 
 
 STATE = "bucket int, u binary, w binary, c binary, t binary, kept binary, ones long, twos long"
+COUNTED = f"{STATE}, block long, payload binary"
 
 
 def _state(bucket: int, u, w, c, t, kept, ones: int = 0, twos: int = 0) -> pa.Table:
@@ -270,31 +271,34 @@ def _state(bucket: int, u, w, c, t, kept, ones: int = 0, twos: int = 0) -> pa.Ta
     return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in STATE.split(", ")])
 
 
-def count_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """First state of a bucket: pairs seen more than once, one table each; pairs seen once in ``kept`` form.
+def count_pairs(n_words: int):
+    """A pair bucket's first state: pairs seen more than once, with one table each.
 
-    ``u, w, c, t`` hold the repeated pairs; the pairs seen once are written as
-    (u, w) lists after them with c = 1, since their one table never changes.
+    The one table of a pair seen once never changes, so those pairs are not
+    kept: they are summed here, as mail to the word buckets (block -2 - bucket).
     """
-    _, _, u, w, c = merged_pairs(t)
-    some = c > 0
-    u, w, c = u[some], w[some], c[some]
-    order = np.argsort(c <= 1, kind="stable")
-    u, w, c = u[order], w[order], c[order]
-    return _state(key[0].as_py(), u, w, c, np.ones(len(c), np.int64), np.zeros(int((c > 1).sum()), np.int64), int((c == 1).sum()), int((c == 2).sum()))
 
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        _, _, u, w, c = merged_pairs(t)
+        more, one = c > 1, c == 1
+        state = _state(bucket, u[more], w[more], c[more], np.ones(int(more.sum()), np.int64), np.zeros(int(more.sum()), np.int64), int(one.sum()), int((c == 2).sum()))
+        state = state.append_column("block", pa.nulls(1, pa.int64())).append_column("payload", pa.nulls(1, pa.binary()))
+        once = mail([(k, -2 - b, p) for k, b, p in table_mail(u[one], w[one], c[one], bucket, n_words)])
+        rows = {n.split()[0]: once[n.split()[0]] if n.split()[0] in once.schema.names else pa.nulls(len(once), state.schema.field(n.split()[0]).type) for n in COUNTED.split(", ")}
+        return pa.concat_tables([state, pa.table(rows)])
+
+    return run
 
-def table_mail(u: np.ndarray, w: np.ndarray, t: np.ndarray, bucket: int, n_words: int, ask: np.ndarray) -> list[tuple]:
-    """Tables by word and by context, to the word buckets; ``ask``: ids whose totals are wanted back."""
-    ids, place = np.unique(np.concatenate([u, w, ask]), return_inverse=True)
+
+def table_mail(u: np.ndarray, w: np.ndarray, t: np.ndarray, bucket: int, n_words: int) -> list[tuple]:
+    """Tables by context and by word, to the word buckets."""
+    ids, place = np.unique(np.concatenate([u, w]), return_inverse=True)
     by_u = np.bincount(place[: len(u)], t.astype(np.float64), minlength=len(ids)).astype(np.int64)
     by_w = np.bincount(place[len(u) : len(u) + len(w)], t.astype(np.float64), minlength=len(ids)).astype(np.int64)
     return [(k, bucket, pack(ids[at], by_u[at], by_w[at])) for k, at in deal(ids % n_words, n_words)]
 
 
-TABLES = "bucket int, ones binary, first binary, second binary, total_tables long, total_customers long"
-
-
 def sum_tables(n_words: int, d0: float, vocabulary: int, root_before: int, seed: int):
     """A word bucket: customers and tables of its words in the root, tables of its contexts."""
 
@@ -331,23 +335,22 @@ def sweep(n_words: int, d: float, d0: float, vocabulary: int, total: int, root_t
         bucket = key[0].as_py()
         r = state.to_pylist()[0]
         u, w, c, t, kept = (unpack(r[n])[0].astype(np.int64) for n in ("u", "w", "c", "t", "kept"))
-        m = len(kept)
-        if m and replies.num_rows:
+        if len(c) and replies.num_rows:
             got = [unpack(p) for p in replies["payload"].to_pylist()]
             ids, tables, customers, root = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(4))
             order = np.argsort(ids)
             ids, tables, customers, root = ids[order], tables[order], customers[order], root[order]
-            pu, pw = np.searchsorted(ids, u[:m]), np.searchsorted(ids, w[:m])
+            pu, pw = np.searchsorted(ids, u), np.searchsorted(ids, w)
             parent = parent_probability(customers, root, d0, vocabulary, total, root_total)[pw]
             rng = np.random.default_rng([seed, bucket])
-            half = rng.integers(0, 2, m)
+            half = rng.integers(0, 2, len(c))
             for side in (0, 1):
                 at = np.flatnonzero(half == side)
                 new = sample_tables(c[at], np.maximum(tables[pu[at]] - t[at], 0).astype(np.float64), parent[at], THETA, d, rng, stirling)
                 np.add.at(tables, pu[at], new - t[at])
                 t[at] = new
         if keep:
-            kept = kept + t[:m]
+            kept = kept + t
         return _state(bucket, u, w, c, t, kept)
 
     return run
@@ -357,12 +360,8 @@ def send_tables(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                u, w, t, kept = (unpack(r[n])[0].astype(np.int64) for n in ("u", "w", "t", "kept"))
-                m = len(kept)
-                # Totals are asked back for repeated pairs only; pairs seen once are summed under block -1 - bucket.
-                yield mail(table_mail(u[:m], w[:m], t[:m], r["bucket"], n_words, np.empty(0, np.int64)))
-                once = table_mail(u[m:], w[m:], t[m:], r["bucket"], n_words, np.empty(0, np.int64))
-                yield mail([(k, -2 - b_, p) for k, b_, p in once])
+                u, w, t = (unpack(r[n])[0].astype(np.int64) for n in ("u", "w", "t"))
+                yield mail(table_mail(u, w, t, r["bucket"], n_words))
 
     return run
 
@@ -485,17 +484,16 @@ def score_documents(docs: DataFrame, *, held_out: Column, id_col: str = "doc_id"
     # Pairs: counts; then Gibbs sweeps over those seen more than once.
     sent = blocks.groupBy("block").cogroup(numbered.where("block >= 0").groupBy("block")).applyInArrow(send_pairs(wb, pb, n_train), MAIL)
     sent = kept.write(sent, "bucket", min(pb, parts))
-    state = stored(sent.groupBy("bucket").applyInArrow(count_pairs, STATE), "pair-state")
+    counted = stored(sent.groupBy("bucket").applyInArrow(count_pairs(wb), COUNTED), "pair-counts")
+    state = counted.where("payload is null").select(*[x.split()[0] for x in STATE.split(", ")])
+    once = counted.where("payload is not null").select("bucket", "block", "payload")
     one, two = state.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
     d, d0 = discount(one, two), discount(v1, v2)
-    once = None
     samples, sums = [], []
     root_before = vocabulary  # the root's tables in the sweep before; at first one for each word
     for k in range(BURN_IN + SAMPLES + 1):
-        mailed = state.mapInArrow(send_tables(wb), MAIL)
-        if once is None:
-            once = stored(mailed.where("block < -1"), "pairs-once")
-        summed = mailed.where("block >= 0").unionByName(once).groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(sum_tables(wb, d0, vocabulary, root_before, seed * 100 + k), MAIL)
+        mailed = state.select("bucket", "u", "w", "t").mapInArrow(send_tables(wb), MAIL)
+        summed = mailed.unionByName(once).groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(sum_tables(wb, d0, vocabulary, root_before, seed * 100 + k), MAIL)
         summed = stored(summed, "tables")
 
         def root_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
