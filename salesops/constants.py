@@ -74,7 +74,6 @@ MSG_SIZE_BAD = "File size must be less than 10MB."
 MSG_UNREADABLE = "Unable to read Excel file. The file might be corrupted."
 MSG_EMPTY_FILE = "Excel file is empty."
 MSG_BAD_HEADER = "Required columns are missing or in incorrect order. Expected: " + ", ".join(SALES_COLUMNS)
-MSG_CELL = "Invalid datatype/value for '{column}' at row {row}."
 MSG_NO_DATA = "Excel file must include at least one data row."
 MSG_SCHEMA_OK = "Required columns and datatypes are valid."
 MSG_SKIPPED = "Skipped because file type or file size validation failed."

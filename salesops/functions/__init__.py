@@ -7,7 +7,7 @@ from salesops.functions.dates import (  # noqa: F401
     period_bounds,
     time_bucket,
 )
-from salesops.functions.numbers import half_even, num_or_zero, pct  # noqa: F401
+from salesops.functions.numbers import num_or_zero, pct  # noqa: F401
 from salesops.functions.text import (  # noqa: F401
     is_missing_text,
     label_unknown,

@@ -24,11 +24,6 @@ def num_or_zero(col: Column | str, data_type: DataType | None = None) -> Column:
     return F.coalesce(F.nanvl(parsed, F.lit(0.0)), F.lit(0.0))
 
 
-def half_even(col: Column, scale: int) -> Column:
-    """Python ``round(x, n)`` on a double: round half to even."""
-    return F.bround(col, scale)
-
-
 def pct(part: Column, whole: Column) -> Column:
     """round((part / whole) * 100, 2) in double arithmetic, half to even."""
     return F.bround((part.cast("double") / whole.cast("double")) * F.lit(100.0), 2)

@@ -4,17 +4,20 @@ Pairs are unordered pairs of *distinct* items in one order, counted over
 orders; the chart shows the top 20 as "a + b" and the total number of pair
 occurrences over all orders.
 
-Plan:
+Plan, the same for every input:
 
 * ``distinct(OrderID, Item)`` first — repeated items in an order count once,
   and the year filter is applied before it (pushed into the scan);
 * the total is Σ n(n-1)/2 over per-order distinct item counts: an aggregate,
   no pairs are formed for it;
-* pair counts come from a self equi-join on OrderID with ``a.Item < b.Item``;
-  each join output row is folded at once into a map-side partial aggregate
-  (count, first order), so what is shuffled is one row per distinct pair per
-  task, not one per occurrence. A hot order is split by AQE's skew-join
-  handling (both sides are split for an inner join);
+* a pair's count is at most the support (number of orders) of either item. The
+  pairs of the best-supported items are counted first; their ``limit``-th
+  best count T bounds the result from below, so only items with a support of
+  at least T are paired. Exact, ties at T included;
+* an order's items are cut into blocks and joined on (OrderID, block a,
+  block b), so a large order is spread over many tasks, each with a bounded
+  number of pairs; every unordered pair meets in exactly one cell. Join rows
+  are folded at once into a map-side partial aggregate (count, first order);
 * ties keep the order in which pairs are first met when orders are visited in
   OrderID text order: count desc, then the smallest OrderID holding the
   pair, then the pair.
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 
 from salesops.constants import PAIR_SEPARATOR, TOP_PAIRS
 from salesops.operators.clean import by_year, clean_for
-from salesops.session import checkpoint_dir
 
 
 def order_items(df: DataFrame, year) -> DataFrame:
@@ -41,10 +43,10 @@ def pair_counts(df: DataFrame, year) -> DataFrame:
     return _pairs(order_items(df, year))
 
 
-# Orders with more distinct items than this are "heavy": their pairs are not
-# formed (up to MAX_HEAVY_ORDERS of them; see market_basket).
-HEAVY_ITEMS = 1000
-MAX_HEAVY_ORDERS = 62  # bits 0..61 of a long mask: positive, so the lowest-bit trick cannot overflow
+# Items of one order that one block holds, and the items whose pairs give the
+# first bound. Neither changes a result.
+BLOCK_ITEMS = 256
+BOUND_ITEMS = 200
 
 
 def _order():
@@ -52,68 +54,31 @@ def _order():
 
 
 def _pairs(d: DataFrame) -> DataFrame:
-    a = d.select(F.col("OrderID"), F.col("Item").alias("item_a"))
-    b = d.select(F.col("OrderID").alias("order_b"), F.col("Item").alias("item_b"))
-    pairs = a.join(b, (F.col("OrderID") == F.col("order_b")) & (F.col("item_a") < F.col("item_b")))
+    """Pairs of distinct (OrderID, Item) rows with their count and first order."""
+    sizes = d.groupBy("OrderID").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).cast("int").alias("blocks"))
+    x = d.join(sizes, "OrderID").withColumn("own", F.pmod(F.xxhash64("Item"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = x.select("OrderID", F.col("Item").alias("item_a"), F.col("own").alias("block_a"), every.alias("block_b"))
+    b = x.select("OrderID", F.col("Item").alias("item_b"), F.col("own").alias("block_b"), every.alias("block_a"))
+    pairs = a.join(b, ["OrderID", "block_a", "block_b"]).where(F.col("item_a") < F.col("item_b"))
     return pairs.groupBy("item_a", "item_b").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"), F.min("OrderID").alias("first_order")
     )
 
 
-def _top_pairs(d: DataFrame, limit: int, heavy_items: int) -> DataFrame:
-    """Exact top pairs; a few heavy orders are counted without forming their pairs.
-
-    With K ≤ MAX_HEAVY_ORDERS heavy orders (more than ``heavy_items``
-    distinct items), pairs are formed from light orders only. Let T be the
-    ``limit``-th best light-only count: at least ``limit`` pairs reach T, and a
-    pair's full count is at most its light count + K, so when T > K only light
-    pairs with a light count ≥ T − K can be in the result. For those the heavy
-    part is the number of heavy orders holding both items — a bit count on
-    per-item masks of the heavy orders (bit i = i-th heavy order in OrderID
-    order), whose lowest common bit also gives the earliest heavy order.
-    Otherwise (no heavy orders, too many, or T ≤ K) all pairs are formed.
-    """
-    spark = d.sparkSession
-    checkpoint_dir(spark)
-    d = d.checkpoint(eager=True)  # read by the check and by the pairs: scan and join once
-    sizes = d.groupBy("OrderID").agg(F.count(F.lit(1)).alias("n"))
-    heavy = sizes.where(F.col("n") > heavy_items).select("OrderID")
-    heavy_ids = [r[0] for r in heavy.orderBy("OrderID").limit(MAX_HEAVY_ORDERS + 1).collect()]
-    k = len(heavy_ids)
-    if k == 0 or k > MAX_HEAVY_ORDERS:
-        return _pairs(d).orderBy(*_order()).limit(limit)
-    bits = spark.createDataFrame([(o, i) for i, o in enumerate(heavy_ids)], "OrderID string, bit int")  # ≤ MAX_HEAVY_ORDERS rows
-    light = _pairs(d.join(F.broadcast(bits), "OrderID", "left_anti"))
-    best = light.orderBy(*_order()).limit(limit).agg(F.count(F.lit(1)).alias("m"), F.min("count").alias("t")).first()
-    t = best["t"] if best["m"] == limit else 0
-    if t <= k:
-        return _pairs(d).orderBy(*_order()).limit(limit)
-    masks = (
-        d.join(F.broadcast(bits), "OrderID")
-        .groupBy("Item")
-        .agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), bit)")).alias("mask"))
-    )
-    cand = light.where(F.col("count") >= t - k)
-    j = (
-        cand.join(masks.select(F.col("Item").alias("item_a"), F.col("mask").alias("ma")), "item_a", "left")
-        .join(masks.select(F.col("Item").alias("item_b"), F.col("mask").alias("mb")), "item_b", "left")
-        .withColumn("both", F.coalesce(F.col("ma"), F.lit(0)).bitwiseAND(F.coalesce(F.col("mb"), F.lit(0))))
-    )
-    low_bit = F.when(F.col("both") != 0, F.log2(F.col("both").bitwiseAND(-F.col("both"))).cast("int"))
-    names = F.array(*[F.lit(o) for o in heavy_ids])
-    heavy_first = F.element_at(names, low_bit + 1)
-    total = j.select(
-        "item_a", "item_b",
-        (F.col("count") + F.bit_count("both")).cast("bigint").alias("count"),
-        F.least(F.col("first_order"), heavy_first).alias("first_order"),
-    )
-    return total.orderBy(*_order()).limit(limit)
+def _top_pairs(d: DataFrame, limit: int) -> DataFrame:
+    support = d.groupBy("Item").agg(F.count(F.lit(1)).alias("support"))
+    best = support.orderBy(F.desc("support"), "Item").limit(BOUND_ITEMS).select("Item")
+    bound = _pairs(d.join(F.broadcast(best), "Item")).orderBy(*_order()).limit(limit)  # best: at most BOUND_ITEMS rows
+    floor = bound.agg(F.when(F.count(F.lit(1)) == limit, F.min("count")).otherwise(F.lit(1))).scalar()
+    frequent = support.where(F.col("support") >= floor).select("Item")
+    return _pairs(d.join(frequent, "Item")).orderBy(*_order()).limit(limit)
 
 
-def market_basket(df: DataFrame, year, limit: int = TOP_PAIRS, heavy_items: int = HEAVY_ITEMS) -> DataFrame:
+def market_basket(df: DataFrame, year, limit: int = TOP_PAIRS) -> DataFrame:
     """The top ``limit`` pairs: (rank, label, count)."""
     order = _order()
-    top = _top_pairs(order_items(df, year), limit, heavy_items)
+    top = _top_pairs(order_items(df, year), limit)
     return top.select(
         F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"),  # ≤ limit rows
         F.concat(F.col("item_a"), F.lit(PAIR_SEPARATOR), F.col("item_b")).alias("label"),

@@ -13,8 +13,8 @@ Shapes every chart shares:
   as the pinned tie-break); top-k charts use ``orderBy().limit()``, which Spark
   plans as a per-task top-k followed by a merge of k rows per task.
 
-Amounts are summed as decimal(18,2) (exact, independent of summation order)
-and returned as double. Percentages use double division and round half to
+Amounts are summed as given (see ``clean.money_sum``) and rounded once, half to
+even, when they are shown. Percentages use double division and round half to
 even, like Python's ``round``.
 """
 
@@ -33,13 +33,12 @@ from salesops.operators.clean import (
     check_month,
     check_year,
     clean_for,
+    money_sum,
 )
 from salesops.plans.calendar import day_bucket_grid, day_grid, month_grid, zero_fill
 
-# Largest payment axis the dense payment × category matrix accepts. The axis
-# is a list of distinct payment methods (a handful in practice); it becomes a
-# literal array, so its size is checked before use.
-MAX_PAYMENT_METHODS = 10_000
+# Parts into which the payment axis is dealt to meet the category axis.
+AXIS_PARTS = 16
 
 _KEEP = ("year", "month")
 
@@ -55,13 +54,18 @@ def available_years(df: DataFrame, chart: str = "revenue_trend") -> DataFrame:
     return c.select(F.year("Date").cast("bigint").alias("year")).distinct().orderBy("year")
 
 
+def _rank(*order):
+    """Place in the chart's order, from 1: over the groups of an axis, not over lines."""
+    return F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank")
+
+
 def _share(df: DataFrame, chart: str, col: str, out: str, year, month) -> DataFrame:
     c = by_month_opt(clean_for(df, chart, keep=_KEEP), year, month)
     g = c.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = _scalar(g.select(F.sum("count")))
     return (
-        g.select(F.col(col).alias(out), "count", pct(F.col("count"), total).alias("percentage"))
-        .orderBy(F.desc("count"), F.asc(out))
+        g.select(F.col(col).alias(out), "count", pct(F.col("count"), total).alias("percentage"), _rank(F.desc("count"), F.asc(col)))
+        .orderBy("rank")
     )
 
 
@@ -78,16 +82,17 @@ def category_performance(df: DataFrame, year, month=None) -> DataFrame:
 def revenue_split(df: DataFrame, year, month=None) -> DataFrame:
     """A3: summed Price per payment type and share; no rows when the total ≤ 0."""
     c = by_month_opt(clean_for(df, "revenue_split", keep=_KEEP), year, month)
-    g = c.groupBy("PaymentType").agg(F.sum("Price").alias("amount"))
+    g = c.groupBy("PaymentType").agg(money_sum().alias("amount"))
     total = _scalar(g.select(F.sum("amount")))
     return (
         g.where(total > 0)
         .select(
             F.col("PaymentType").alias("payment_method"),
-            F.col("amount").cast("double").alias("revenue"),
+            F.bround("amount", 2).alias("revenue"),
             pct(F.col("amount"), total).alias("percentage"),
+            _rank(F.desc("amount"), F.asc("PaymentType")),
         )
-        .orderBy(F.desc("revenue"), F.asc("payment_method"))
+        .orderBy("rank")
     )
 
 
@@ -95,12 +100,12 @@ def revenue_trend_month(df: DataFrame, year) -> DataFrame:
     """A4: revenue per month 1–12 of a year, zero-filled, labelled Jan…Dec."""
     y = check_year(year)
     c = by_year(clean_for(df, "revenue_trend", keep=_KEEP), y)
-    g = c.groupBy(F.month("Date").alias("month")).agg(F.sum("Price").alias("amount"))
-    filled = zero_fill(month_grid(df.sparkSession), g, ["month"], {"amount": 0})
+    g = c.groupBy(F.month("Date").alias("month")).agg(money_sum().alias("amount"))
+    filled = zero_fill(month_grid(df.sparkSession), g, ["month"], {"amount": 0.0})
     return filled.select(
         F.col("month").cast("bigint").alias("month"),
         month_abbr(F.col("month")).alias("label"),
-        F.col("amount").cast("double").alias("revenue"),
+        F.bround("amount", 2).alias("revenue"),
     ).orderBy("month")
 
 
@@ -108,12 +113,12 @@ def revenue_trend_day(df: DataFrame, year, month) -> DataFrame:
     """A5: revenue per day of one month, zero-filled, labelled '1'…'31'."""
     y, m = check_year(year), check_month(month, required=True)
     c = by_year_month(clean_for(df, "revenue_trend", keep=_KEEP), y, m)
-    g = c.groupBy(F.dayofmonth("Date").alias("day")).agg(F.sum("Price").alias("amount"))
-    filled = zero_fill(day_grid(df.sparkSession, y, m), g, ["day"], {"amount": 0})
+    g = c.groupBy(F.dayofmonth("Date").alias("day")).agg(money_sum().alias("amount"))
+    filled = zero_fill(day_grid(df.sparkSession, y, m), g, ["day"], {"amount": 0.0})
     return filled.select(
         F.col("day").cast("bigint").alias("day"),
         F.col("day").cast("string").alias("label"),
-        F.col("amount").cast("double").alias("revenue"),
+        F.bround("amount", 2).alias("revenue"),
     ).orderBy("day")
 
 
@@ -141,7 +146,7 @@ def _day_bucket_agg(df: DataFrame, year, month) -> DataFrame:
     y, m = check_year(year), check_month(month, required=True)
     c = by_year_month(clean_for(df, "day_wise_pattern", keep=_KEEP), y, m)
     return c.groupBy(F.dayofmonth("Date").alias("day"), time_bucket(F.col("Date")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("sales_count"), F.sum("Price").alias("amount")
+        F.count(F.lit(1)).alias("sales_count"), money_sum().alias("amount")
     )
 
 
@@ -157,13 +162,13 @@ def day_wise_pattern(df: DataFrame, year, month) -> DataFrame:
     )
     filled = zero_fill(
         day_bucket_grid(df.sparkSession, y, m), g, ["day", "bucket"],
-        {"sales_count": 0, "amount": 0, "intensity": 0.0},
+        {"sales_count": 0, "amount": 0.0, "intensity": 0.0},
     )
     return filled.select(
         F.col("day").cast("bigint").alias("day"),
         "bucket",
         F.col("sales_count").cast("bigint").alias("sales_count"),
-        F.col("amount").cast("double").alias("sales_amount"),
+        F.bround("amount", 2).alias("sales_amount"),
         F.col("intensity").cast("double").alias("intensity"),
     ).orderBy("day", F.col("bucket_pos") if "bucket_pos" in filled.columns else "bucket")
 
@@ -194,39 +199,43 @@ def top_selling_items(df: DataFrame, year, month=None, limit: int = TOP_ITEMS) -
     ).orderBy("rank")
 
 
+def payment_cells(df: DataFrame, year, month=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A10's sparse form: the cells that occur, and each axis with its totals
+    and rank (total desc, then name)."""
+    c = by_month_opt(clean_for(df, "payment_vs_category", keep=_KEEP), year, month)
+    g = c.groupBy("Category", "PaymentType").agg(F.count(F.lit(1)).alias("count"))
+    return g, _axis(g, "Category", "category_total"), _axis(g, "PaymentType", "payment_total")
+
+
+def _axis(cells: DataFrame, col: str, total: str) -> DataFrame:
+    axis = cells.groupBy(col).agg(F.sum("count").cast("bigint").alias(total))
+    return axis.withColumn(f"{total.split('_')[0]}_rank", _rank(F.desc(total), F.asc(col)))
+
+
 def payment_vs_category(df: DataFrame, year, month=None) -> DataFrame:
     """A10: dense category × payment matrix of row counts, with each cell's
     share of its category; both axes ordered by their totals (desc, then name).
 
-    The payment axis (distinct payment methods with their totals) is one
-    scalar-subquery array whose size is checked at run time against
-    MAX_PAYMENT_METHODS; each category row explodes it into its cells, which
-    are left-joined to the sparse counts. No cross join, no driver round trip.
+    The matrix is the chart's own shape. The payment axis is dealt by hash into
+    AXIS_PARTS parts and every category goes to each part, so the two axes meet
+    through an equi-join, in as many tasks as there are parts; the sparse counts
+    are left-joined to the cells. Neither axis is collected or bounded.
     """
-    c = by_month_opt(clean_for(df, "payment_vs_category", keep=_KEEP), year, month)
-    g = c.groupBy("Category", "PaymentType").agg(F.count(F.lit(1)).alias("count"))
-    cats = g.groupBy("Category").agg(F.sum("count").alias("category_total"))
-    pays = g.groupBy("PaymentType").agg(F.sum("count").alias("payment_total"))
-    arr = F.collect_list(F.struct("PaymentType", "payment_total"))
-    axis = _scalar(
-        pays.agg(arr.alias("a")).select(
-            F.when(F.size("a") <= MAX_PAYMENT_METHODS, F.col("a")).otherwise(
-                F.raise_error(F.lit(f"more than {MAX_PAYMENT_METHODS} payment methods"))
-            )
-        )
-    )
-    grid = cats.select("Category", "category_total", F.explode(axis).alias("p")).select(
-        "Category", "category_total", F.col("p.PaymentType").alias("PaymentType"), F.col("p.payment_total").alias("payment_total")
-    )
+    g, cats, pays = payment_cells(df, year, month)
+    part = F.pmod(F.xxhash64("PaymentType"), F.lit(AXIS_PARTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(AXIS_PARTS - 1)))
+    grid = cats.withColumn("part", every).join(pays.withColumn("part", part), "part").drop("part")
     cells = grid.join(g, ["Category", "PaymentType"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return cells.select(
         F.col("Category").alias("category"),
-        F.col("category_total").cast("bigint").alias("category_total"),
+        "category_total",
         F.col("PaymentType").alias("payment_method"),
-        F.col("payment_total").cast("bigint").alias("payment_total"),
+        "payment_total",
         F.col("count").cast("bigint").alias("count"),
-        F.when(F.col("category_total") > 0, pct(F.col("count"), F.col("category_total"))).otherwise(F.lit(0.0)).alias("percentage"),
-    ).orderBy(F.desc("category_total"), F.asc("category"), F.desc("payment_total"), F.asc("payment_method"))
+        pct(F.col("count"), F.col("category_total")).alias("percentage"),
+        "category_rank",
+        "payment_rank",
+    ).orderBy("category_rank", "payment_rank")
 
 
 # --- A12: the scalar totals next to each chart --------------------------------
@@ -241,8 +250,7 @@ def total_records(df: DataFrame, year, month=None, chart: str = "payment_method_
 def revenue_split_total(df: DataFrame, year, month=None) -> DataFrame:
     """A3 total: rounded sum of Price, 0.0 when ≤ 0."""
     c = by_month_opt(clean_for(df, "revenue_split", keep=_KEEP), year, month)
-    s = F.sum("Price")
-    return c.select(F.when(F.coalesce(s, F.lit(0)) > 0, s.cast("double")).otherwise(F.lit(0.0)).alias("total_revenue"))
+    return c.agg(money_sum().alias("s")).select(F.when(F.col("s") > 0, F.bround("s", 2)).otherwise(F.lit(0.0)).alias("total_revenue"))
 
 
 def revenue_trend_total(df: DataFrame, year, month=None) -> DataFrame:
@@ -282,27 +290,35 @@ def chart_totals(
     """Every chart's total for one (year, month) in one row.
 
     The day-wise totals come from ``hours_df`` (a table with times of day) for
-    (``hours_year``, ``hours_month``) when given, else from ``df``. Each total
-    is a scalar subquery over that chart's aggregate.
+    (``hours_year``, ``hours_month``) when given, else from ``df``. The revenue
+    totals and the record count come from one aggregate of the year by month
+    and day; order, item, basket and day-wise totals from one frame each.
     """
     from salesops.operators.basket import market_basket_total
 
-    spark = df.sparkSession
+    y, m = check_year(year), check_month(month, required=True)
     if hours_df is None:
         hours_df, hours_year, hours_month = df, year, month
-    parts = {
-        "total_revenue_year": revenue_trend_total(df, year),
-        "total_revenue_month": revenue_trend_total(df, year, month),
-        "total_orders": order_volume_total(df, year, month),
-        "total_quantity": top_selling_items_total(df, year, month),
-        "total_pair_occurrences": market_basket_total(df, year),
-        "total_records": total_records(df, year, month, "payment_vs_category"),
-        "total_revenue": revenue_split_total(df, year, month),
-    }
-    dw = day_wise_pattern_totals(hours_df, hours_year, hours_month)
-    cols = [_scalar(v).alias(k) for k, v in parts.items()]
-    cols += [
-        _scalar(dw.select("total_sales_count")).alias("total_sales_count"),
-        _scalar(dw.select("total_sales_amount")).alias("total_sales_amount"),
+    c = by_year(clean_for(df, "revenue_trend", keep=_KEEP), y)
+    days = c.groupBy(F.month("Date").alias("month"), F.dayofmonth("Date").alias("day")).agg(  # at most 366 rows
+        money_sum().alias("amount"), F.count(F.lit(1)).alias("n")
+    )
+    months = days.groupBy("month").agg(F.sum("amount").alias("amount"), F.sum(F.bround("amount", 2)).alias("points"), F.sum("n").alias("n"))
+    own = F.col("month") == m
+    picked = lambda col: F.coalesce(F.sum(F.when(own, F.col(col))), F.lit(0))
+    sums = months.agg(
+        F.bround(F.coalesce(F.sum(F.bround("amount", 2)), F.lit(0.0)), 2).alias("total_revenue_year"),
+        F.bround(picked("points"), 2).cast("double").alias("total_revenue_month"),
+        picked("n").cast("bigint").alias("total_records"),
+        F.bround(F.greatest(picked("amount"), F.lit(0)), 2).cast("double").alias("total_revenue"),
+    )
+    parts = [
+        sums,
+        order_volume_total(df, year, month),
+        top_selling_items_total(df, year, month),
+        market_basket_total(df, year),
+        day_wise_pattern_totals(hours_df, hours_year, hours_month),
     ]
-    return spark.range(1, 2, numPartitions=1).select(*cols)
+    structs = [f.select(F.struct(*f.columns)).scalar() for f in parts]  # one subquery for each frame
+    one = df.sparkSession.range(1, 2, numPartitions=1).select(*[x.alias(f"s{i}") for i, x in enumerate(structs)])
+    return one.select(*[F.col(f"s{i}.{n}") for i, f in enumerate(parts) for n in f.columns])

@@ -16,7 +16,7 @@ from salesops.functions.numbers import num_or_zero
 from salesops.functions.text import label_unknown, text_key
 
 # Rule per column, per chart: "date" (N1, then N2), "label" (N3), "key" (N4,
-# then N5), "number" (N6), "money" (N6 as an exact 2-decimal amount).
+# then N5), "number" (N6), "money" (N6, summed by ``money_sum``).
 CHART_RULES: dict[str, dict[str, str]] = {
     "revenue_trend": {"Date": "date", "Price": "money"},
     "payment_vs_category": {"Date": "date", "Category": "label", "PaymentType": "label"},
@@ -29,7 +29,8 @@ CHART_RULES: dict[str, dict[str, str]] = {
     "category_performance": {"Date": "date", "Category": "label"},
 }
 
-MONEY = DecimalType(18, 2)
+# Room for amounts of 28 integer digits with ten decimals.
+WIDE = DecimalType(38, 10)
 
 
 def require_columns(df: DataFrame, columns) -> DataFrame:
@@ -40,12 +41,23 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
     return df
 
 
-def money(col: str, df: DataFrame, dtype=None) -> Column:
-    """An amount as decimal(18,2): exact, order-independent sums."""
-    dtype = dtype if dtype is not None else df.schema[col].dataType
-    if isinstance(dtype, DecimalType):
-        return F.col(col).cast(MONEY)
-    return num_or_zero(col, dtype).cast(MONEY)
+def money(col: str, dtype) -> Column:
+    """An amount as it is given: decimals stay decimals, all else is a double."""
+    return F.coalesce(F.col(col), F.lit(0).cast(dtype)) if isinstance(dtype, DecimalType) else num_or_zero(col, dtype)
+
+
+def money_sum(col: str = "Price") -> Column:
+    """Sum of an amount as a double, not rounded.
+
+    Amounts are summed as wide decimals, exactly and in any order. Those that
+    have no place there (28 digits and more), and a decimal sum that overflows,
+    are summed as doubles: no cell makes the chart fail.
+    """
+    c = F.col(col)
+    wide = c.try_cast(WIDE)
+    exact = F.try_sum(wide)
+    rest = F.coalesce(F.sum(F.when(wide.isNull(), c.cast("double"))), F.lit(0.0))
+    return F.coalesce(exact.cast("double"), F.sum(F.when(wide.isNotNull(), c.cast("double"))), F.lit(0.0)) + rest
 
 
 def _rule(types: dict, col: str, rule: str) -> Column:
@@ -59,7 +71,7 @@ def _rule(types: dict, col: str, rule: str) -> Column:
     if rule == "number":
         return num_or_zero(col, dtype)
     if rule == "money":
-        return money(col, None, dtype)
+        return money(col, dtype)
     raise ValueError(f"unknown rule {rule}")
 
 
@@ -71,10 +83,7 @@ def clean_for(df: DataFrame, chart: str, keep=()) -> DataFrame:
     columns) are passed through for pruning.
     """
     rules = CHART_RULES[chart]
-    types = {f.name: f.dataType for f in df.schema.fields}  # one analysis, not one per column
-    missing = [c for c in rules if c not in types]
-    if missing:
-        raise ValueError(f"Dataset is missing required columns: {', '.join(missing)}")
+    types = {f.name: f.dataType for f in require_columns(df, rules).schema.fields}
     passthrough = [c for c in keep if c in types and c not in rules]
     out = df.select(*[_rule(types, c, r).alias(c) for c, r in rules.items()], *passthrough)
     out = drop_bad_dates(out)
@@ -95,16 +104,6 @@ def drop_bad_dates(df: DataFrame, col: str = "Date") -> DataFrame:
     return df.where(F.col(col).isNotNull())
 
 
-def label_unknowns(df: DataFrame, cols) -> DataFrame:
-    """N3"""
-    return df.withColumns({c: label_unknown(c) for c in cols})
-
-
-def text_keys(df: DataFrame, cols) -> DataFrame:
-    """N4"""
-    return df.withColumns({c: text_key(c) for c in cols})
-
-
 def drop_empty_keys(df: DataFrame, cols) -> DataFrame:
     """Drop rows whose trimmed key is '' (the 'nan' keys stay)."""
     cond = F.lit(True)
@@ -113,17 +112,23 @@ def drop_empty_keys(df: DataFrame, cols) -> DataFrame:
     return df.where(cond)
 
 
-def nums_or_zero(df: DataFrame, cols) -> DataFrame:
-    """N6"""
-    return df.withColumns({c: num_or_zero(c, df.schema[c].dataType) for c in cols})
+# --- filters (F1–F7) --------------------------------------------------------
 
 
-# --- filters (F1–F7) --------------------------------------------------------
+def _whole(value, name: str) -> int:
+    """A whole number, or the text of one."""
+    try:
+        n = int(value)
+    except (TypeError, ValueError) as e:
+        raise ValueError(f"{name} must be a whole number") from e
+    if not isinstance(value, str) and n != value:
+        raise ValueError(f"{name} must be a whole number")
+    return n
 
 
 def check_year(year) -> int:
     """year must be an integer 1900–3000."""
-    y = int(year)
+    y = _whole(year, "year")
     if not 1900 <= y <= 3000:
         raise ValueError("year must be between 1900 and 3000")
     return y
@@ -135,7 +140,7 @@ def check_month(month, required: bool = False) -> int | None:
         if required:
             raise ValueError("month is required")
         return None
-    m = int(month)
+    m = _whole(month, "month")
     if not 1 <= m <= 12:
         raise ValueError("month must be between 1 and 12")
     return m

@@ -136,7 +136,7 @@ def valid_quantity(i: int) -> Column:
 
 
 def valid_price(i: int) -> Column:
-    return F.col(f"t{i}").isin("int", "float") & (F.col(f"n{i}") >= 0)
+    return F.col(f"t{i}").isin("int", "float") & ~F.isnan(f"n{i}") & (F.col(f"n{i}") >= 0)  # NaN is above all numbers in Spark
 
 
 RULES = {

@@ -7,14 +7,13 @@ can be compared with an independent engine.
 
 from __future__ import annotations
 
-from salesops.constants import (
-    DATE_FORMAT_SQL,
-    DATE_TEXT_SHAPE,
-    EXCEL_NA_VALUES,
-    NUMBER_SHAPE,
-    PY_WHITESPACE,
-    UNKNOWN_WORDS,
-)
+# The oracle's own statement of the text rules; it takes none from the code it checks.
+PY_WHITESPACE = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+UNKNOWN_WORDS = ["", "nan", "None"]
+NUMBER_SHAPE = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+DATE_TEXT_SHAPE = r"\d{1,2}/\d{1,2}/\d{4}/\d{1,2}:\d{1,2}:\d{1,2}"
+DATE_FORMAT_SQL = "%d/%m/%Y/%H:%M:%S"
 
 
 def q(s: str) -> str:
@@ -31,7 +30,7 @@ def strip(x: str) -> str:
 
 
 def missing(x: str) -> str:
-    return f"({x} IS NULL OR {x} IN {in_list(EXCEL_NA_VALUES)})"
+    return f"({x} IS NULL OR {x} IN {in_list(MISSING_TEXTS)})"
 
 
 def label(x: str) -> str:
@@ -54,7 +53,12 @@ def num(x: str) -> str:
 
 
 def money(x: str) -> str:
-    return f"CAST({num(x)} AS DECIMAL(18,2))"
+    return f"CAST({num(x)} AS DECIMAL(38,10))"
+
+
+def shown(x: str) -> str:
+    """An amount as it is shown: rounded once, half to even."""
+    return f"round_even(CAST(coalesce({x}, 0) AS DOUBLE), 2)"
 
 
 def parse_date(x: str) -> str:

@@ -2,16 +2,19 @@
 
 ``row_number() OVER (PARTITION BY key ORDER BY …)`` sends every row of a key
 to one task; with a key holding a third of the data that task is the job.
-Here a key's rows are spread over range partitions instead:
-
-1. range-partition on (key, order) — a hot key spans many partitions — and
-   materialise that once with ``checkpoint()`` in the shared checkpoint folder,
-   so partition ids stay fixed even if executors are lost and tasks rerun;
-2. number rows inside each (partition, key) piece — bounded by partition size;
-3. count rows per (key, partition) — at most #partitions rows per key — and
-   turn the counts into offsets with a running sum;
-4. add the offset. The offsets join is on (key, partition) and the offsets
-   table is small (AQE broadcasts it when its measured size allows).
+Here a key's rows are spread over range partitions instead, with one shuffle:
+
+1. range-partition on (key, order) — a hot key spans many partitions — sort
+   inside each and materialise that once with ``checkpoint()`` in the shared
+   checkpoint folder, so pieces and places stay fixed even if executors are
+   lost and tasks rerun;
+2. a row's place in its partition is known from there on; the first place and
+   the number of rows of each (key, partition) are one small aggregate, at most
+   #partitions rows per key;
+3. a running sum of the counts gives each piece's offset; one join on (key,
+   partition) adds it (AQE broadcasts that side when its measured size allows).
+
+Keys may be null: null is a key like any other.
 """
 
 from __future__ import annotations
@@ -23,20 +26,26 @@ from salesops.session import checkpoint_dir
 
 
 def _ranged(df: DataFrame, keys, order, partitions: int | None) -> DataFrame:
-    """Range-partitioned on keys + order, with ``_part``, materialised once."""
+    """Range-partitioned and sorted on keys + order, with ``_part`` and the place ``_at``, materialised once."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)])
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
+    by = [F.col(c) for c in [*keys, *order]]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_at": place}).checkpoint(eager=True)
 
 
 def _before(keys):
-    spec = Window.partitionBy(*keys) if keys else Window
-    return spec.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _join_pieces(rows: DataFrame, pieces: DataFrame, keys) -> DataFrame:
+    """Join per-(key, piece) values; null keys meet null keys."""
+    p = pieces.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in pieces.columns if c not in [*keys, "_part"]])
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(p, on).drop("_p", *[f"_k{i}" for i in range(len(keys))])
 
 
 def number_within(
@@ -44,18 +53,14 @@ def number_within(
 ) -> DataFrame:
     """Add ``name`` = 1, 2, … per ``keys`` group, in ``order`` (must be a total order).
 
-    With ``keep_part`` the range piece id stays as ``_part``, so a later
-    :func:`running_max_within` in the same order can reuse the pieces."""
+    With ``keep_part`` the range piece id and place stay as ``_part`` and
+    ``_at``, so a later step in the same order can reuse the pieces."""
     keys, order = list(keys), list(order)
     ranged = _ranged(df, keys, order, partitions)
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
-    )
-    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_cnt").over(_before(keys)), F.lit(0)).alias("_off"))
-    out = local.join(offsets, keys + ["_part"])
-    out = out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_local", "_off")
-    return out if keep_part else out.drop("_part")
+    pieces = ranged.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    pieces = pieces.withColumn("_off", F.coalesce(F.sum("_cnt").over(_before(keys)), F.lit(0)) - F.col("_first") + 1).drop("_first", "_cnt")
+    out = _join_pieces(ranged, pieces, keys).withColumn(name, (F.col("_off") + F.col("_at")).cast("bigint")).drop("_off")
+    return out if keep_part else out.drop("_part", "_at")
 
 
 def running_max_within(df: DataFrame, keys, order, value: str, name: str, partitions: int | None = None) -> DataFrame:
@@ -70,6 +75,6 @@ def running_max_within(df: DataFrame, keys, order, value: str, name: str, partit
     upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_lmax", F.max(value).over(upto))
     piece = ranged.groupBy(*keys, "_part").agg(F.max(value).alias("_pmax"))
-    carry = piece.select(*keys, "_part", F.max("_pmax").over(_before(keys)).alias("_carry"))
-    out = local.join(carry, keys + ["_part"])
-    return out.withColumn(name, F.greatest("_lmax", "_carry")).drop("_part", "_lmax", "_carry")
+    carry = piece.withColumn("_carry", F.max("_pmax").over(_before(keys))).drop("_pmax")
+    out = _join_pieces(local, carry, keys)
+    return out.withColumn(name, F.greatest("_lmax", "_carry")).drop("_part", "_at", "_lmax", "_carry")

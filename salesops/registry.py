@@ -21,6 +21,7 @@ from salesops.sources import tables as T
 
 YEAR, MONTH = 1997, 3
 H_YEAR, H_MONTH = 2024, 1
+EMPTY_YEAR = 2015  # no sales
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -69,7 +70,8 @@ def sql_share(src, col, out, year, month=None):
     return (
         _clean_cte(src)
         + f", g AS (SELECT {col} AS {out}, count(*) AS count FROM c WHERE {_where(year, month)} GROUP BY 1)\n"
-        + f"SELECT {out}, count, {O.pct('count', '(SELECT sum(count) FROM g)')} AS percentage FROM g"
+        + f"SELECT {out}, count, {O.pct('count', '(SELECT sum(count) FROM g)')} AS percentage, "
+        + f"row_number() OVER (ORDER BY count DESC, {out}) AS rank FROM g"
     )
 
 
@@ -78,8 +80,9 @@ def sql_revenue_split(src, year, month=None):
         _clean_cte(src)
         + f""", g AS (SELECT pay AS payment_method, sum(price) AS amount FROM c WHERE {_where(year, month)} GROUP BY 1),
            t AS (SELECT sum(amount) AS total FROM g)
-        SELECT payment_method, CAST(amount AS DOUBLE) AS revenue,
-               {O.pct('amount', '(SELECT total FROM t)')} AS percentage
+        SELECT payment_method, {O.shown('amount')} AS revenue,
+               {O.pct('amount', '(SELECT total FROM t)')} AS percentage,
+               row_number() OVER (ORDER BY amount DESC, payment_method) AS rank
         FROM g WHERE (SELECT total FROM t) > 0"""
     )
 
@@ -89,7 +92,7 @@ def sql_revenue_trend_month(src, year):
         _clean_cte(src)
         + f""", g AS (SELECT month("Date") AS month, sum(price) AS amount FROM c WHERE {_where(year)} GROUP BY 1)
         SELECT CAST(m.month AS BIGINT) AS month, strftime(make_date(2000, CAST(m.month AS INTEGER), 1), '%b') AS label,
-               CAST(coalesce(g.amount, 0) AS DOUBLE) AS revenue
+               {O.shown('g.amount')} AS revenue
         FROM range(1, 13) m(month) LEFT JOIN g ON g.month = m.month"""
     )
 
@@ -105,7 +108,7 @@ def sql_revenue_trend_day(src, year, month):
         _clean_cte(src)
         + f""", g AS (SELECT day("Date") AS day, sum(price) AS amount FROM c WHERE {_where(year, month)} GROUP BY 1)
         SELECT CAST(m.day AS BIGINT) AS day, CAST(m.day AS VARCHAR) AS label,
-               CAST(coalesce(g.amount, 0) AS DOUBLE) AS revenue
+               {O.shown('g.amount')} AS revenue
         FROM range(1, {_days(year, month) + 1}) m(day) LEFT JOIN g ON g.day = m.day"""
     )
 
@@ -135,7 +138,7 @@ def sql_day_wise_pattern(src_cte, src, year, month):
                     (VALUES ('morning'), ('daytime'), ('evening')) b(bucket))""",
         f"""pts AS (SELECT CAST(grid.day AS BIGINT) AS day, grid.bucket,
               CAST(coalesce(g.sales_count, 0) AS BIGINT) AS sales_count,
-              CAST(coalesce(g.amount, 0) AS DOUBLE) AS sales_amount,
+              {O.shown('g.amount')} AS sales_amount,
               CASE WHEN g.amount IS NULL THEN 0.0
                    WHEN coalesce((SELECT top FROM mx), 0) <= 0 THEN 0.0
                    ELSE {O.pct('g.amount', '(SELECT top FROM mx)')} END AS intensity
@@ -182,12 +185,13 @@ def sql_payment_vs_category(src, year, month=None):
         _clean_cte(src)
         + f""", g AS (SELECT cat AS category, pay AS payment_method, count(*) AS count
                    FROM c WHERE {_where(year, month)} GROUP BY 1, 2),
-           ct AS (SELECT category, sum(count) AS category_total FROM g GROUP BY 1),
-           pt AS (SELECT payment_method, sum(count) AS payment_total FROM g GROUP BY 1)
+           ct AS (SELECT category, sum(count) AS category_total, row_number() OVER (ORDER BY sum(count) DESC, category) AS category_rank FROM g GROUP BY 1),
+           pt AS (SELECT payment_method, sum(count) AS payment_total, row_number() OVER (ORDER BY sum(count) DESC, payment_method) AS payment_rank FROM g GROUP BY 1)
         SELECT ct.category, CAST(ct.category_total AS BIGINT) AS category_total,
                pt.payment_method, CAST(pt.payment_total AS BIGINT) AS payment_total,
                CAST(coalesce(g.count, 0) AS BIGINT) AS count,
-               CASE WHEN ct.category_total > 0 THEN {O.pct('coalesce(g.count, 0)', 'ct.category_total')} ELSE 0.0 END AS percentage
+               CASE WHEN ct.category_total > 0 THEN {O.pct('coalesce(g.count, 0)', 'ct.category_total')} ELSE 0.0 END AS percentage,
+               category_rank, payment_rank
         FROM ct CROSS JOIN pt LEFT JOIN g ON g.category = ct.category AND g.payment_method = pt.payment_method"""
     )
 
@@ -210,7 +214,7 @@ def sql_chart_totals(year, month, h_year, h_month):
       (SELECT CAST(coalesce(sum(quantity), 0) AS BIGINT) FROM ({ti})) AS total_quantity,
       (SELECT total_pair_occurrences FROM ({mb})) AS total_pair_occurrences,
       (SELECT CAST(sum(count) AS BIGINT) FROM ({pv})) AS total_records,
-      (SELECT CASE WHEN coalesce(s, 0) > 0 THEN CAST(s AS DOUBLE) ELSE 0.0 END FROM ({rs})) AS total_revenue,
+      (SELECT CASE WHEN coalesce(s, 0) > 0 THEN {O.shown('s')} ELSE 0.0 END FROM ({rs})) AS total_revenue,
       (SELECT CAST(sum(sales_count) AS BIGINT) FROM ({dw})) AS total_sales_count,
       (SELECT round_even(sum(sales_amount), 2) FROM ({dw})) AS total_sales_amount"""
 
@@ -234,6 +238,31 @@ def _chart_set(src: str, load, suffix: str):
     register(f"revenue_trend_day{suffix}", sql_revenue_trend_day(src, YEAR, MONTH))(
         lambda spark, d: charts.revenue_trend_day(load(spark, d), YEAR, MONTH)
     )
+    register(f"payment_method_split_month{suffix}", sql_share(src, "pay", "payment_method", YEAR, MONTH))(
+        lambda spark, d: charts.payment_method_split(load(spark, d), YEAR, MONTH)
+    )
+    register(f"category_performance_year{suffix}", sql_share(src, "cat", "category", YEAR))(
+        lambda spark, d: charts.category_performance(load(spark, d), YEAR)
+    )
+    register(f"revenue_split_month{suffix}", sql_revenue_split(src, YEAR, MONTH))(
+        lambda spark, d: charts.revenue_split(load(spark, d), YEAR, MONTH)
+    )
+    register(f"top_selling_items_month{suffix}", sql_top_selling_items(src, YEAR, MONTH))(
+        lambda spark, d: charts.top_selling_items(load(spark, d), YEAR, MONTH)
+    )
+    register(f"payment_vs_category_month{suffix}", sql_payment_vs_category(src, YEAR, MONTH))(
+        lambda spark, d: charts.payment_vs_category(load(spark, d), YEAR, MONTH)
+    )
+    for chart, keys in (("order_volume", ("oid",)), ("market_basket", ("oid", "item")), ("top_selling_items", ("item",))):
+        register(f"available_years_{chart}{suffix}", sql_available_years(src) + "".join(f" AND {k} <> ''" for k in keys))(
+            lambda spark, d, chart=chart: charts.available_years(load(spark, d), chart)
+        )
+    register(f"revenue_trend_month_empty{suffix}", sql_revenue_trend_month(src, EMPTY_YEAR))(
+        lambda spark, d: charts.revenue_trend_month(load(spark, d), EMPTY_YEAR)
+    )
+    register(f"revenue_split_empty{suffix}", sql_revenue_split(src, EMPTY_YEAR))(
+        lambda spark, d: charts.revenue_split(load(spark, d), EMPTY_YEAR)
+    )
     register(f"order_volume{suffix}", sql_order_volume(src, YEAR, MONTH))(
         lambda spark, d: charts.order_volume(load(spark, d), YEAR, MONTH)
     )
@@ -671,7 +700,7 @@ def q_slug(spark, d):
 
 
 _KEYS = r"""st AS (SELECT CAST(c_nationkey AS BIGINT) AS user_id,
-                   lpad(lower(hex(c_custkey)), 8, '0') || '_' || regexp_replace(replace(trim(c_name), ' ', '_'), '[^\w.-]', '', 'g') || '.xlsx' AS dataset_key
+                   lpad(lower(hex(c_custkey)), 8, '0') || '_' || regexp_replace(replace(trim(c_name), ' ', '_'), '[^\p{L}\p{N}_.-]', '', 'g') || '.xlsx' AS dataset_key
             FROM customer)"""
 
 
@@ -682,8 +711,9 @@ _KEYS = r"""st AS (SELECT CAST(c_nationkey AS BIGINT) AS user_id,
         """lk AS (SELECT user_id, dataset_key AS key FROM st
                UNION ALL SELECT user_id, '../' || dataset_key FROM st
                UNION ALL SELECT user_id + 1, dataset_key FROM st
+               UNION ALL SELECT user_id, dataset_key || '/' FROM st
                UNION ALL SELECT user_id, 'folder/..' FROM st)""",
-        "lk2 AS (SELECT *, regexp_extract(key, '([^/]*)$', 1) AS resolved_key FROM lk)",
+        "lk2 AS (SELECT *, regexp_extract(rtrim(key, '/'), '([^/]*)$', 1) AS resolved_key FROM lk)",
     )
     + """SELECT user_id, key, resolved_key,
               CASE WHEN resolved_key IN ('', '.', '..') THEN 'refused'
@@ -703,6 +733,7 @@ def q_dataset_by_key(spark, d):
         stored.select("user_id", F.col("dataset_key").alias("key"))
         .unionByName(stored.select("user_id", F.concat(F.lit("../"), "dataset_key").alias("key")))
         .unionByName(stored.select((F.col("user_id") + 1).alias("user_id"), F.col("dataset_key").alias("key")))
+        .unionByName(stored.select("user_id", F.concat("dataset_key", F.lit("/")).alias("key")))
         .unionByName(stored.select("user_id", F.lit("folder/..").alias("key")))
     )
     return catalog.dataset_by_key(lookups, stored)

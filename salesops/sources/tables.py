@@ -13,7 +13,6 @@ the keys otherwise (part and orders both grow with the data).
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,22 +25,9 @@ TABLES = (
 ).split()
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, read from ``<sf_dir>/<name>.parquet``.
-
-    The driver's tables are read-only, so the relation (file listing and
-    footer schema) is built once per session and path and reused; each query
-    still plans and scans from scratch.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark._jsparkSession), path)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    """One driver table, read from ``<sf_dir>/<name>.parquet``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,25 +134,70 @@ def test_filter_reaches_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
 
 
-@pytest.mark.parametrize("n_light,heavy_path", [(400, True), (2, False)])
-def test_market_basket_heavy_orders(spark, n_light, heavy_path, monkeypatch):
-    """Hot orders (more than `heavy_items` distinct items) are counted through
-    item masks, not pairs; the result equals the brute-force count either way
-    (with few light orders the threshold falls below K and all pairs are formed)."""
+def _orders_frame(spark, orders):
+    return rows(spark, [r("05/06/1997/09:00:00", oid, item) for oid, its in orders.items() for item in its])
+
+
+@pytest.mark.parametrize("n_large,n_small", [(100, 40), (1, 0), (3, 400)])
+def test_market_basket_large_orders(spark, n_large, n_small, monkeypatch):
+    """Large orders span several blocks; the result equals the brute-force count."""
     import random
 
+    monkeypatch.setattr(basket, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(basket, "BOUND_ITEMS", 10)
     rnd = random.Random(3)
-    items = [f"I{i:02d}" for i in range(12)]
-    orders = {f"H{h}": items[: 8 + h] for h in range(3)}  # three hot orders
-    for o in range(n_light):
-        orders[f"L{o:03d}"] = rnd.sample(items[:8], rnd.choice([3, 4]))
-    data = [r("05/06/1997/09:00:00", oid, item) for oid, its in orders.items() for item in its]
-    df = rows(spark, data)
-    seen = []
-    real = basket._pairs
-    monkeypatch.setattr(basket, "_pairs", lambda d: seen.append(d) or real(d))
-    got = [(x["label"], x["count"]) for x in basket.market_basket(df, 1997, heavy_items=5).collect()]
-    assert (len(seen) == 1) == heavy_path  # the heavy path forms pairs once, from light orders only
+    items = [f"I{i:02d}" for i in range(60)]
+    orders = {f"H{h:03d}": rnd.sample(items, 30) for h in range(n_large)}
+    orders |= {f"L{o:03d}": rnd.sample(items[:8], rnd.choice([3, 4])) for o in range(n_small)}
+    df = _orders_frame(spark, orders)
     want, total = _py_basket(orders)
-    assert got == want
+    assert [(x["label"], x["count"]) for x in basket.market_basket(df, 1997).collect()] == want
     assert basket.market_basket_total(df, 1997).first()[0] == total
+
+
+def test_market_basket_one_order_of_1500_items(spark):
+    df = _orders_frame(spark, {"O1": [f"I{i:04d}" for i in range(1500)]})
+    got = basket.market_basket(df, 1997).collect()
+    assert [x["label"] for x in got] == [f"I0000 + I{i:04d}" for i in range(1, 21)]
+    assert basket.market_basket_total(df, 1997).first()[0] == 1500 * 1499 // 2
+
+
+def test_payment_matrix_of_20000_methods(spark):
+    df = spark.range(20_000).selectExpr(
+        "'01/03/1997/10:00:00' AS Date", "concat('C', id % 2) AS Category", "concat('P', id) AS PaymentType"
+    )
+    out = charts.payment_vs_category(df, 1997)
+    assert out.count() == 40_000
+    assert out.where("count = 1").count() == 20_000
+
+
+def test_money_is_summed_unrounded_and_never_fails(spark):
+    data = [r("05/03/1997/10:00:00", price="0.004", pay="Cash") for _ in range(1000)]
+    data += [r("06/03/1997/10:00:00", price="3.333", pay="Card") for _ in range(1000)]
+    got = {x.day: x.revenue for x in charts.revenue_trend_day(rows(spark, data), 1997, 3).collect()}
+    assert got[5] == 4.0 and got[6] == 3333.0 and got[7] == 0.0
+    split = {x.payment_method: x.revenue for x in charts.revenue_split(rows(spark, data), 1997).collect()}
+    assert split == {"Cash": 4.0, "Card": 3333.0}
+    for cell in ("1e20", "1e30", "-1e35"):
+        odd = [*data, r("07/03/1997/10:00:00", price=cell, pay="Odd")]
+        assert {x.day: x.revenue for x in charts.revenue_trend_day(rows(spark, odd), 1997, 3).collect()}[7] == float(cell)
+        assert charts.chart_totals(rows(spark, odd), 1997, 3).first().total_records == 2001
+
+
+def test_empty_period(spark):
+    s = T.sales(spark, SF_SMALL)
+    assert [x.revenue for x in charts.revenue_trend_month(s, 2015).collect()] == [0.0] * 12
+    assert charts.revenue_split(s, 2015).collect() == [] and charts.payment_vs_category(s, 2015).collect() == []
+    t = charts.chart_totals(s, 2015, 3).first()
+    assert (t.total_revenue_year, t.total_orders, t.total_records, t.total_revenue) == (0.0, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("value", [1997.9, "x", None, float("nan")])
+def test_year_must_be_whole(spark, value):
+    with pytest.raises(ValueError):
+        charts.revenue_trend_month(T.sales(spark, SF_SMALL), value)
+
+
+def test_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="Price"):
+        charts.revenue_trend_month(T.sales(spark, SF_SMALL).drop("Price"), 1997)
