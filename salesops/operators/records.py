@@ -7,16 +7,20 @@ current inventory and each other (E5) and merged in (E6).
 
 Every per-dataset step is an aggregate or a join on (dataset, key); numbering
 uses :func:`salesops.plans.numbering.number_within`, so a dataset with a third
-of all requests is still spread over many tasks.
+of all requests is still spread over many tasks. A batch is settled as if its
+rows came one by one, in the order of their ids: what a row may do depends on
+the rows accepted before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesops.constants import (
     DATE_TEXT_FORMAT_SPARK,
+    FIRST_LAST_ITEM_NUMBER,
+    FIRST_LAST_ORDER_NUMBER,
     INVENTORY_TIME_FORMAT,
     ITEM_PREFIX,
     MAX_BARCODE_LEN,
@@ -30,7 +34,8 @@ from salesops.constants import (
     WEEKDAY_FORMAT,
 )
 from salesops.functions.text import py_strip
-from salesops.plans.numbering import number_within
+from salesops.plans.numbering import number_within, running_max_within
+from salesops.session import checkpoint_dir
 
 
 def _text_ok(col: Column, max_len: int) -> Column:
@@ -89,7 +94,7 @@ def assign_order_ids(headers: DataFrame, datasets: DataFrame) -> DataFrame:
     numbered = number_within(headers, ["dataset_id"], ["ts", "request_id"], "_k")
     last = datasets.select("dataset_id", "last_order_number")
     j = numbered.join(last, "dataset_id", "left")
-    n = F.coalesce(F.col("last_order_number"), F.lit(100)) + F.col("_k")
+    n = F.coalesce(F.col("last_order_number"), F.lit(FIRST_LAST_ORDER_NUMBER)) + F.col("_k")
     return j.withColumn("order_number", n.cast("bigint")).withColumn(
         "OrderID", F.concat(F.lit(ORDER_PREFIX), F.col("order_number").cast("string"))
     ).drop("_k", "last_order_number")
@@ -151,40 +156,112 @@ def record_sales(headers: DataFrame, lines: DataFrame, datasets: DataFrame) -> D
 # --- E4 / E5 / E6 / E7 ---------------------------------------------------------------
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def accepted_item_ids(candidates: DataFrame, datasets: DataFrame, order_col: str = "candidate_id") -> DataFrame:
+    """E4's accepted proposals: (dataset_id, ``order_col``, number).
+
+    A proposal is accepted when its number is the next after those accepted
+    before it. So the accepted ones of a dataset have the numbers last + 1,
+    last + 2, …, each the first proposal of its number after the one before:
+    a path through "first later proposal of the next number", followed from
+    its start by doubling (as many rounds as the path's length has bits).
+    """
+    text = py_strip(F.col("item_id"))
+    digits = F.regexp_extract(text, f"^{ITEM_PREFIX}([0-9]+)$", 1).try_cast("bigint")
+    last = datasets.select("dataset_id", "last_inventory_item_number")
+    c = candidates.select("dataset_id", F.col(order_col).alias("_at"), text.alias("_text"), digits.alias("_n"))
+    c = c.where(F.col("_text") == F.concat(F.lit(ITEM_PREFIX), F.col("_n").cast("string"))).join(last, "dataset_id", "left")
+    c = c.withColumn("_last", F.coalesce("last_inventory_item_number", F.lit(FIRST_LAST_ITEM_NUMBER))).where(F.col("_n") > F.col("_last"))
+    c = _kept(c.select("dataset_id", "_at", "_n", "_last"))
+    # The first later proposal of the next number: both kinds of row side by side, per (dataset, number).
+    asks = c.select("dataset_id", (F.col("_n") + 1).alias("_n"), "_at", F.lit(True).alias("_asks"))
+    both = asks.unionByName(c.select("dataset_id", "_n", "_at", F.lit(False).alias("_asks")))
+    later = Window.partitionBy("dataset_id", "_n").orderBy("_at", "_asks").rowsBetween(1, Window.unboundedFollowing)
+    step = both.withColumn("_next", F.first(F.when(~F.col("_asks"), F.col("_at")), ignorenulls=True).over(later)).where("_asks and _next is not null")
+    jump = _kept(step.select("dataset_id", "_at", "_next"))
+    path = _kept(c.where(F.col("_n") == F.col("_last") + 1).groupBy("dataset_id").agg(F.min("_at").alias("_at")))
+    size = path.count()
+    while True:
+        path = _kept(path.unionByName(path.join(jump, ["dataset_id", "_at"]).select("dataset_id", F.col("_next").alias("_at"))).distinct())
+        grown = path.count()
+        if grown == size:
+            return path.join(c, ["dataset_id", "_at"]).select("dataset_id", F.col("_at").alias(order_col), F.col("_n").alias("number"))
+        size = grown
+        onward = jump.select("dataset_id", F.col("_at").alias("_next"), F.col("_next").alias("_then"))
+        jump = _kept(jump.join(onward, ["dataset_id", "_next"]).select("dataset_id", "_at", F.col("_then").alias("_next")))
+
+
 def assign_item_ids(candidates: DataFrame, datasets: DataFrame, order_col: str = "candidate_id") -> DataFrame:
-    """The id each new item gets, 'I<last+k>' for the k-th new item of its
-    dataset (in ``order_col`` order); ``id_ok`` says whether a proposed
-    ``item_id`` equals it."""
-    numbered = number_within(candidates, ["dataset_id"], [order_col], "_k")
+    """Adds ``expected_item_id``, the id that was due when the proposal came
+    (in ``order_col`` order), and ``id_ok``: it was the one proposed. The
+    dataset's counter moves on with an accepted proposal only."""
+    taken = accepted_item_ids(candidates, datasets, order_col)
+    j = candidates.join(taken, ["dataset_id", order_col], "left")
+    j = running_max_within(j, ["dataset_id"], [order_col], "number", "_upto")
     last = datasets.select("dataset_id", "last_inventory_item_number")
-    j = numbered.join(last, "dataset_id", "left")
-    n = F.coalesce(F.col("last_inventory_item_number"), F.lit(1000)) + F.col("_k")
-    j = j.withColumn("expected_item_id", F.concat(F.lit(ITEM_PREFIX), n.cast("string")))
-    if "item_id" in candidates.columns:
-        j = j.withColumn("id_ok", py_strip(F.col("item_id")) == F.col("expected_item_id"))
-    return j.drop("_k", "last_inventory_item_number")
+    j = j.join(last, "dataset_id", "left")
+    due = F.coalesce("number", F.greatest("_upto", F.lit(0)) + 1)
+    due = F.greatest(due, F.coalesce("last_inventory_item_number", F.lit(FIRST_LAST_ITEM_NUMBER)) + 1)
+    j = j.withColumn("expected_item_id", F.concat(F.lit(ITEM_PREFIX), due.cast("string"))).withColumn("id_ok", F.col("number").isNotNull())
+    return j.drop("number", "_upto", "last_inventory_item_number")
+
+
+def next_item_numbers(candidates: DataFrame, datasets: DataFrame, order_col: str = "candidate_id") -> DataFrame:
+    """The datasets' item counters after a batch: last + number of accepted proposals."""
+    n = accepted_item_ids(candidates, datasets, order_col).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
+    return datasets.join(n, "dataset_id", "left").select(
+        "dataset_id", (F.col("last_inventory_item_number") + F.coalesce(F.col("_n"), F.lit(0))).cast("bigint").alias("last_inventory_item_number")
+    )
+
+
+def _first_wins(rows: DataFrame) -> DataFrame:
+    """``candidate_id`` of the rows accepted one by one, by (dataset, id) and (dataset, non-blank barcode).
+
+    Each round settles the rows that come first among the open ones for both
+    keys, and refuses all others that share a key with them. The first open
+    row of every dataset is settled in each round.
+    """
+    open_rows, accepted = _kept(rows.select("candidate_id", "dataset_id", "_id", "_bc")), None
+    while True:
+        blank = F.col("_bc") == ""
+        ids = open_rows.groupBy("dataset_id", "_id").agg(F.min("candidate_id").alias("_first_id"))
+        codes = open_rows.where(~blank).groupBy("dataset_id", "_bc").agg(F.min("candidate_id").alias("_first_bc"))
+        # Blank barcodes share no key, so they stay out of the barcode join.
+        coded = open_rows.where(~blank).join(codes, ["dataset_id", "_bc"])
+        marked = coded.unionByName(open_rows.where(blank).withColumn("_first_bc", F.col("candidate_id"))).join(ids, ["dataset_id", "_id"])
+        won = _kept(marked.where("candidate_id = _first_id and candidate_id = _first_bc").select("candidate_id", "dataset_id", "_id", "_bc"))
+        accepted = won.select("candidate_id") if accepted is None else accepted.unionByName(won.select("candidate_id"))
+        rest = open_rows.join(won.select("dataset_id", "_id"), ["dataset_id", "_id"], "left_anti")
+        codes_won = won.where(~blank).select("dataset_id", "_bc")
+        rest = rest.where(blank).unionByName(rest.where(~blank).join(codes_won, ["dataset_id", "_bc"], "left_anti").select(*rest.columns))
+        open_rows = _kept(rest)
+        if open_rows.isEmpty():
+            return accepted
 
 
 def inventory_conflicts(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
-    """E5 (create): flags per candidate — its (dataset, item id) exists, its
-    non-blank trimmed barcode exists in the dataset, or the barcode repeats
-    inside the batch; ``accepted`` when none holds."""
+    """E5 (create): flags per candidate — its (dataset, item id) exists or its
+    non-blank trimmed barcode exists in the dataset, or a candidate accepted
+    before it has either; ``accepted`` when none holds."""
     ids = inventory.select("dataset_id", py_strip(F.col("item_id")).alias("_id")).distinct().withColumn("id_exists", F.lit(True))
     codes = (
         inventory.select("dataset_id", py_strip(F.col("barcode_number")).alias("_bc"))
         .where(F.col("_bc") != "").distinct().withColumn("barcode_exists", F.lit(True))
     )
     c = candidates.withColumn("_id", py_strip(F.col("item_id"))).withColumn("_bc", py_strip(F.coalesce(F.col("barcode_number"), F.lit(""))))
-    dups = (
-        c.where(F.col("_bc") != "").groupBy("dataset_id", "_bc").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1).select("dataset_id", "_bc", F.lit(True).alias("barcode_repeated"))
-    )
-    j = c.join(ids, ["dataset_id", "_id"], "left").join(codes, ["dataset_id", "_bc"], "left").join(dups, ["dataset_id", "_bc"], "left")
-    flags = {k: F.coalesce(F.col(k), F.lit(False)) for k in ["id_exists", "barcode_exists", "barcode_repeated"]}
-    j = j.withColumns(flags)
+    c = c.join(ids, ["dataset_id", "_id"], "left").withColumn("id_exists", F.coalesce("id_exists", F.lit(False)))
+    blank = F.col("_bc") == ""
+    coded = c.where(~blank).join(codes, ["dataset_id", "_bc"], "left").withColumn("barcode_exists", F.coalesce("barcode_exists", F.lit(False)))
+    c = _kept(coded.unionByName(c.where(blank).withColumn("barcode_exists", F.lit(False))))
+    won = _first_wins(c.where("not id_exists and not barcode_exists")).withColumn("accepted", F.lit(True))
+    j = c.join(won, "candidate_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     return j.select(
-        "candidate_id", "dataset_id", "item_id", "barcode_number", *flags.keys(),
-        (~(F.col("id_exists") | F.col("barcode_exists") | F.col("barcode_repeated"))).alias("accepted"),
+        "candidate_id", "dataset_id", "item_id", "barcode_number", "id_exists", "barcode_exists",
+        (~F.col("accepted") & ~F.col("id_exists") & ~F.col("barcode_exists")).alias("taken_in_batch"), "accepted",
     )
 
 
@@ -207,7 +284,8 @@ INVENTORY_FIELDS = ["item_name", "item_category", "barcode_number", "cost_price"
 
 def upsert_inventory(inventory: DataFrame, changes: DataFrame, now) -> DataFrame:
     """Rows of ``changes`` whose (dataset, item id) exists update only the
-    five editable fields; the others are inserted with ``created_at = now``.
+    five editable fields; the others are inserted with ``created_at = now`` and
+    ids after the largest, in (dataset, item id) order.
 
     Returns the new inventory; write it to a new folder (Spark cannot
     overwrite a path it is reading).
@@ -226,7 +304,11 @@ def upsert_inventory(inventory: DataFrame, changes: DataFrame, now) -> DataFrame
         ],
         F.coalesce(F.col("created_at"), F.lit(now).cast("timestamp_ntz")).alias("created_at"),
     ]
-    return j.select(*cols)
+    whole = j.select(*cols)
+    old_rows = whole.where(F.col("inventory_id").isNotNull())
+    added = number_within(whole.where(F.col("inventory_id").isNull()), [], ["dataset_id", "item_id"], "_k")
+    top = inventory.agg(F.coalesce(F.max("inventory_id"), F.lit(0))).scalar()
+    return old_rows.unionByName(added.withColumn("inventory_id", (top + F.col("_k")).cast("bigint")).drop("_k"))
 
 
 def inventory_list(inventory: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -259,7 +341,8 @@ def validate_inventory_items(items: DataFrame) -> DataFrame:
 
 def dataset_name_conflicts(proposals: DataFrame, datasets: DataFrame) -> DataFrame:
     """A proposed (user_id, name) is accepted when the trimmed name is
-    non-empty, ≤ 120 chars, and no dataset of that user has it ignoring case."""
+    non-empty, ≤ 120 chars, and no dataset of that user has it ignoring case,
+    nor any accepted proposal with a smaller id."""
     existing = datasets.select("user_id", F.lower(py_strip(F.col("name"))).alias("_k")).distinct().withColumn("_taken", F.lit(True))
     p = proposals.withColumn("clean_name", py_strip(F.col("name"))).withColumn("_k", F.lower(F.col("clean_name")))
     j = p.join(existing, ["user_id", "_k"], "left")
@@ -268,4 +351,7 @@ def dataset_name_conflicts(proposals: DataFrame, datasets: DataFrame) -> DataFra
         .when(F.length(F.col("clean_name")) > MAX_DATASET_NAME_LEN, F.lit("Ensure this field has no more than 120 characters."))
         .when(F.coalesce(F.col("_taken"), F.lit(False)), F.lit("A dataset with this name already exists."))
     )
+    first = j.where(error.isNull()).groupBy("user_id", "_k").agg(F.min("proposal_id").alias("_first"))
+    j = j.withColumn("_error", error).join(first, ["user_id", "_k"], "left")
+    error = F.when(F.col("_error").isNull() & (F.col("proposal_id") != F.col("_first")), F.lit("A dataset with this name already exists.")).otherwise(F.col("_error"))
     return j.select("proposal_id", "user_id", "clean_name", error.isNull().alias("accepted"), error.alias("error"))

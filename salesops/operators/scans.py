@@ -5,66 +5,127 @@ accepted when its code differs from the *last accepted* code or more than
 ``repeat_ms`` passed since the last accepted scan. The rule chains on
 accepted scans, so it is not a ``lag`` or a watermark dedupe.
 
-What makes it distributable: the first scan after a code change, and the
-first scan after a gap longer than ``repeat_ms``, are always accepted (the
-last accepted code is then the previous code, the last accepted time is at or
-before the previous scan). So a device's scans fall into independent
-*segments* — same code, consecutive gaps ≤ ``repeat_ms`` — and the chain only
-runs inside a segment. Segment starts come from a join with the previous scan
-(positions from skew-safe numbering); each scan finds its segment by a
-distributed running max; the chain is folded per segment over its non-start
-scans only. A device with a third of all scans is spread over many tasks;
-only one unbroken run of one code scanned faster than the limit is one group.
+One shuffle: scans are range-partitioned and sorted by (device, time, id) and
+materialised, so a device with a third of all scans spans many pieces. Each
+piece is then walked in order, twice, with constant state:
+
+1. a first pass tells how a piece turns the state it is entered with into the
+   one it is left with. That is a fixed state as soon as another device, code
+   or a pause longer than the limit occurs in the piece (the scan there is
+   accepted whatever came before); otherwise it depends on the time of the
+   last accepted scan, through the scans of the piece's first ``repeat_ms``
+   only, and the pass returns that short table;
+2. the pieces' tables, one row each, are chained into every piece's entry
+   state, and a second pass emits the accepted scans.
+
+A null device is a device like any other.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesops.constants import SCAN_REPEAT_MS
 from salesops.functions.text import py_strip
-from salesops.plans.numbering import number_within, running_max_within
+from salesops.session import checkpoint_dir
+
+
+def next_accepted_exits(times: list[int], limit: int) -> list[int]:
+    """For each scan of one unbroken run of a code: the last scan accepted if it is accepted itself."""
+    out = list(times)
+    for i in range(len(times) - 1, -1, -1):
+        j = bisect_right(times, times[i] + limit, i)
+        if j < len(times):
+            out[i] = out[j]
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(b.column("device").to_pylist(), b.column("code").to_pylist(), b.column("us").to_pylist(), strict=True)
+
+
+def summarise_piece(rows: Iterator[tuple], limit: int) -> dict | None:
+    """How a piece's entry state becomes its exit state; None for an empty piece.
 
+    ``window``/``exits``: scans within the limit of the first, and the time of
+    the last accepted scan if the chain starts there. ``state``: the exit state
+    (device, code, time) where it does not depend on the entry.
+    """
+    first = last = state = None
+    run: list[int] = []  # the first unbroken run; only its times may depend on the entry
+    for device, code, us in rows:
+        if first is None:
+            first = (device, code)
+        elif state is None and ((device, code) != first or us - last > limit):
+            state = (device, code, us)
+        elif state is not None and ((device, code) != state[:2] or us - state[2] > limit):
+            state = (device, code, us)
+        if state is None:
+            run.append(us)
+        last = us
+    if first is None:
+        return None
+    n = bisect_right(run, run[0] + limit) + 1
+    return {"device": first[0], "code": first[1], "window": run[:n], "exits": next_accepted_exits(run, limit)[:n], "state": state}
 
-def _micros(ts):
-    return F.unix_micros(ts.cast("timestamp"))
+
+def exit_state(piece: dict, entry: tuple | None, limit: int) -> tuple:
+    if piece["state"] is not None:
+        return piece["state"]
+    own = (piece["device"], piece["code"])
+    if entry is None or entry[:2] != own:
+        return (*own, piece["exits"][0])
+    i = bisect_right(piece["window"], entry[2] + limit)
+    return (*own, piece["exits"][i]) if i < len(piece["exits"]) else entry
 
 
 def debounce_scans(scans: DataFrame, repeat_ms: int = SCAN_REPEAT_MS) -> DataFrame:
     """Accepted scans: (device, ts, code, scan_id); ``scan_id`` breaks time ties."""
-    limit = F.lit(int(repeat_ms) * 1000)
+    spark, limit = scans.sparkSession, int(repeat_ms) * 1000
     s = scans.select("device", "ts", py_strip(F.col("code")).alias("code"), "scan_id").where(
         F.col("code").isNotNull() & (F.col("code") != "")
     )
-    s = s.withColumn("us", _micros(F.col("ts")))
-    pos = number_within(s, ["device"], ["ts", "scan_id"], "pos", keep_part=True)
-    prev = pos.select("device", (F.col("pos") + 1).alias("pos"), F.col("code").alias("prev_code"), F.col("us").alias("prev_us"))
-    # (positions follow (ts, scan_id), so the pieces of ``pos`` serve the running max below)
-    j = pos.join(prev, ["device", "pos"], "left")
-    start = F.col("prev_code").isNull() | (F.col("code") != F.col("prev_code")) | ((F.col("us") - F.col("prev_us")) > limit)
-    j = j.withColumn("is_start", start).withColumn("_start_pos", F.when(F.col("is_start"), F.col("pos")))
-    seg = running_max_within(j, ["device"], ["pos"], "_start_pos", "seg")
-
-    starts = seg.where("is_start").select("device", "ts", "code", "scan_id")
-    start_us = seg.where("is_start").select("device", F.col("pos").alias("seg"), F.col("us").alias("seg_us"))
-    rest = seg.where(~F.col("is_start")).join(start_us, ["device", "seg"])
-    chains = rest.groupBy("device", "seg", "seg_us").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "us", "ts", "code", "scan_id"))).alias("xs")
-    )
-    empty = F.filter("xs", lambda x: F.lit(False))  # an empty array of the element type
-    init = F.struct(F.col("seg_us").alias("last"), empty.alias("acc"))
-    folded = chains.select(
-        "device",
-        F.aggregate(
-            "xs",
-            init,
-            lambda st, x: F.when(
-                x.us - st.last > limit,
-                F.struct(x.us.alias("last"), F.array_append(st.acc, x).alias("acc")),
-            ).otherwise(st),
-        ).acc.alias("acc"),
-    )
-    kept = folded.select("device", F.explode("acc").alias("x"))
-    later = kept.select("device", F.col("x.ts").alias("ts"), F.col("x.code").alias("code"), F.col("x.scan_id").alias("scan_id"))
-    return starts.unionByName(later)
+    s = s.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    checkpoint_dir(spark)
+    order = ["device", "us", "scan_id"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = s.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    device = f"device {pieces.schema['device'].dataType.simpleString()}, code string"
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = summarise_piece(_rows(batches), limit)
+        if p:
+            rows = [{**p, "piece": TaskContext.get().partitionId(), "state": p["state"] and dict(zip(("device", "code", "us"), p["state"], strict=True))}]
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    summary = f"piece int, {device}, window array<long>, exits array<long>, state struct<{', '.join(x.replace(' ', ':', 1) for x in device.split(', '))},us:long>"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    shape = to_arrow_schema(StructType.fromDDL(summary))
+    entries: dict[int, tuple | None] = {}
+    state = None
+    found = pieces.select("device", "code", "us").mapInArrow(summarise, summary).orderBy("piece").collect()  # one row per piece
+    for r in found:
+        entries[r["piece"]] = state
+        state = exit_state({"device": r["device"], "code": r["code"], "window": r["window"], "exits": r["exits"], "state": r["state"] and tuple(r["state"])}, state, limit)
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = entries.get(TaskContext.get().partitionId())
+        for b in batches:
+            keep = []
+            for device, code, us in _rows([b]):
+                ok = now is None or now[:2] != (device, code) or us - now[2] > limit
+                if ok:
+                    now = (device, code, us)
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return pieces.mapInArrow(accept, pieces.schema).select("device", "ts", "code", "scan_id")

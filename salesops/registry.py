@@ -538,35 +538,78 @@ _INV = """inv AS (SELECT p_partkey AS inventory_id, p_partkey % 100 AS dataset_i
           FROM part)"""
 
 
+# Proposals for E4: numbers from a small range, so that some meet the number due.
+_PROPOSED = """pp AS (SELECT o_orderkey AS candidate_id, o_custkey % 100 AS dataset_id,
+                  CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE '' END || 'I' || CAST(1001 + (o_orderkey * 13) % 7 + (o_orderkey // 2000) AS VARCHAR) AS item_id
+           FROM orders)"""
+
+
+def _proposed(spark, d):
+    o = T.table(spark, d, "orders")
+    number = F.lit(1001) + (F.col("o_orderkey") * 13) % 7 + F.expr("o_orderkey div 2000")
+    return o.select(F.col("o_orderkey").alias("candidate_id"), (F.col("o_custkey") % 100).alias("dataset_id"),
+                    F.concat(F.when(F.col("o_orderkey") % 11 == 0, F.lit(" ")).otherwise(F.lit("")), F.lit("I"), number.cast("string")).alias("item_id"))
+
+
+_ONE_BY_ONE = (
+    "WITH RECURSIVE " + _PROPOSED + """,
+    s AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY candidate_id) AS pos FROM pp),
+    r AS (SELECT dataset_id, CAST(0 AS BIGINT) AS pos, CAST(1001 AS BIGINT) AS due, CAST(1001 AS BIGINT) AS next_due, false AS ok FROM (SELECT DISTINCT dataset_id FROM s)
+          UNION ALL
+          SELECT s.dataset_id, s.pos, r.next_due, r.next_due + CASE WHEN trim(s.item_id) = 'I' || CAST(r.next_due AS VARCHAR) THEN 1 ELSE 0 END,
+                 trim(s.item_id) = 'I' || CAST(r.next_due AS VARCHAR)
+          FROM r JOIN s ON s.dataset_id = r.dataset_id AND s.pos = r.pos + 1)
+    """
+)
+
+
 @register(
     "assign_item_ids",
-    _with(_CAND)
-    + """SELECT candidate_id, dataset_id, item_id, expected_item_id, item_id = expected_item_id AS id_ok FROM (
-           SELECT candidate_id, dataset_id, item_id,
-                  'I' || CAST(1000 + row_number() OVER (PARTITION BY dataset_id ORDER BY candidate_id) AS VARCHAR) AS expected_item_id
-           FROM cand)""",
+    _ONE_BY_ONE
+    + """SELECT s.candidate_id, s.dataset_id, s.item_id, 'I' || CAST(r.due AS VARCHAR) AS expected_item_id, r.ok AS id_ok
+       FROM r JOIN s ON s.dataset_id = r.dataset_id AND s.pos = r.pos""",
 )
 def q_assign_item_ids(spark, d):
-    r = records.assign_item_ids(T.inventory_candidates(spark, d), T.datasets(spark, d))
+    r = records.assign_item_ids(_proposed(spark, d), T.datasets(spark, d))
     return r.select("candidate_id", "dataset_id", "item_id", "expected_item_id", "id_ok")
 
 
+@register(
+    "next_item_numbers",
+    _ONE_BY_ONE
+    + """SELECT c.c_custkey AS dataset_id, CAST(1000 + coalesce(n.n, 0) AS BIGINT) AS last_inventory_item_number
+       FROM customer c LEFT JOIN (SELECT dataset_id, count(*) AS n FROM r WHERE ok GROUP BY 1) n ON n.dataset_id = c.c_custkey""",
+)
+def q_next_item_numbers(spark, d):
+    return records.next_item_numbers(_proposed(spark, d), T.datasets(spark, d))
+
+
 @register(
     "inventory_conflicts",
-    _with(
+    "WITH RECURSIVE "
+    + ",\n".join([
         _CAND,
         _INV,
         f"""c AS (SELECT *, {O.strip('item_id')} AS _id, {O.strip("coalesce(barcode_number, '')")} AS _bc FROM cand)""",
         f"ids AS (SELECT DISTINCT dataset_id, {O.strip('item_id')} AS _id FROM inv)",
         f"codes AS (SELECT DISTINCT dataset_id, {O.strip('barcode_number')} AS _bc FROM inv WHERE {O.strip('barcode_number')} <> '')",
-        "dups AS (SELECT dataset_id, _bc FROM c WHERE _bc <> '' GROUP BY 1, 2 HAVING count(*) > 1)",
-        """f AS (SELECT c.candidate_id, c.dataset_id, c.item_id, c.barcode_number,
+        """f AS (SELECT c.*,
                      EXISTS (SELECT 1 FROM ids WHERE ids.dataset_id = c.dataset_id AND ids._id = c._id) AS id_exists,
                      EXISTS (SELECT 1 FROM codes WHERE codes.dataset_id = c.dataset_id AND codes._bc = c._bc) AS barcode_exists,
-                     EXISTS (SELECT 1 FROM dups WHERE dups.dataset_id = c.dataset_id AND dups._bc = c._bc) AS barcode_repeated
+                     row_number() OVER (PARTITION BY c.dataset_id ORDER BY c.candidate_id) AS pos
               FROM c)""",
-    )
-    + "SELECT *, NOT (id_exists OR barcode_exists OR barcode_repeated) AS accepted FROM f",
+        """r AS (SELECT dataset_id, CAST(0 AS BIGINT) AS pos, false AS accepted, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS bcs
+                FROM (SELECT DISTINCT dataset_id FROM f)
+              UNION ALL
+              SELECT x.dataset_id, x.pos, x.ok, CASE WHEN x.ok THEN list_append(x.ids, x._id) ELSE x.ids END,
+                     CASE WHEN x.ok AND x._bc <> '' THEN list_append(x.bcs, x._bc) ELSE x.bcs END
+              FROM (SELECT f.dataset_id, f.pos, f._id, f._bc, r.ids, r.bcs,
+                           NOT f.id_exists AND NOT f.barcode_exists AND NOT list_contains(r.ids, f._id) AND NOT list_contains(r.bcs, f._bc) AS ok
+                    FROM r JOIN f ON f.dataset_id = r.dataset_id AND f.pos = r.pos + 1) x)""",
+    ])
+    + """ SELECT f.candidate_id, f.dataset_id, f.item_id, f.barcode_number, f.id_exists, f.barcode_exists,
+              NOT r.accepted AND NOT f.id_exists AND NOT f.barcode_exists AS taken_in_batch, r.accepted
+       FROM f JOIN r ON r.dataset_id = f.dataset_id AND r.pos = f.pos""",
 )
 def q_inventory_conflicts(spark, d):
     return records.inventory_conflicts(T.inventory_candidates(spark, d), T.inventory(spark, d))
@@ -609,7 +652,9 @@ def _latest_changes(c):
                       arg_max(cost_price, candidate_id) AS cost_price, arg_max(selling_price, candidate_id) AS selling_price
                FROM cand GROUP BY 1, 2)""",
     )
-    + f"""SELECT inv.inventory_id, coalesce(inv.dataset_id, ch.dataset_id) AS dataset_id, coalesce(inv.item_id, ch.item_id) AS item_id,
+    + f"""SELECT coalesce(inv.inventory_id, (SELECT max(inventory_id) FROM inv)
+                  + row_number() OVER (PARTITION BY inv.inventory_id IS NULL ORDER BY ch.dataset_id, ch.item_id)) AS inventory_id,
+              coalesce(inv.dataset_id, ch.dataset_id) AS dataset_id, coalesce(inv.item_id, ch.item_id) AS item_id,
               CASE WHEN ch.item_name IS NOT NULL THEN {O.strip('ch.item_name')} ELSE inv.item_name END AS item_name,
               CASE WHEN ch.item_name IS NOT NULL THEN {O.strip('ch.item_category')} ELSE inv.item_category END AS item_category,
               CASE WHEN ch.item_name IS NOT NULL THEN {O.strip('ch.barcode_number')} ELSE inv.barcode_number END AS barcode_number,
@@ -648,7 +693,9 @@ def q_inventory_list(spark, d):
 
 _PROPOSALS = """pr AS (SELECT c_custkey AS proposal_id, CAST(c_nationkey AS BIGINT) AS user_id, ' ' || upper(c_name) AS name FROM customer
                 UNION ALL
-                SELECT 1000000 + s_suppkey, CAST(s_nationkey AS BIGINT), s_name FROM supplier)"""
+                SELECT 1000000 + s_suppkey, CAST(s_nationkey AS BIGINT), s_name FROM supplier
+                UNION ALL
+                SELECT 2000000 + s_suppkey, CAST(s_nationkey AS BIGINT), upper(s_name) || ' ' FROM supplier)"""
 
 
 @register(
@@ -663,8 +710,10 @@ _PROPOSALS = """pr AS (SELECT c_custkey AS proposal_id, CAST(c_nationkey AS BIGI
                           WHEN EXISTS (SELECT 1 FROM ex WHERE ex.user_id = p.user_id AND ex.k = lower(p.clean_name))
                           THEN 'A dataset with this name already exists.' END AS error
               FROM p)""",
+        """w AS (SELECT *, error IS NULL AND row_number() OVER (PARTITION BY user_id, lower(clean_name), error IS NULL ORDER BY proposal_id) > 1 AS again FROM e)""",
     )
-    + "SELECT proposal_id, user_id, clean_name, error IS NULL AS accepted, error FROM e",
+    + """SELECT proposal_id, user_id, clean_name, error IS NULL AND NOT again AS accepted,
+              CASE WHEN again THEN 'A dataset with this name already exists.' ELSE error END AS error FROM w""",
 )
 def q_dataset_name_conflicts(spark, d):
     from pyspark.sql import functions as F
@@ -677,6 +726,9 @@ def q_dataset_name_conflicts(spark, d):
     ).unionByName(
         s.select((F.lit(1000000) + F.col("s_suppkey")).alias("proposal_id"), F.col("s_nationkey").cast("bigint").alias("user_id"),
                  F.col("s_name").alias("name"))
+    ).unionByName(
+        s.select((F.lit(2000000) + F.col("s_suppkey")).alias("proposal_id"), F.col("s_nationkey").cast("bigint").alias("user_id"),
+                 F.concat(F.upper("s_name"), F.lit(" ")).alias("name"))
     )
     return records.dataset_name_conflicts(proposals, T.datasets(spark, d))
 
