@@ -15,8 +15,9 @@
    they share more than (|a_x| + 0.8 |b_x|) / 1.8 of x's edits a_x and b_x (at
    0.8; from J = (|m| - |a_r u a_x| + |b_r n b_x|) / (|m| - |a_r n a_x| + |b_r u b_x|)).
    So x lists its rarest edits, as many as cannot all be unshared, r lists all,
-   and only pairs that meet in an edit are confirmed: none can be lost, and
-   unlike copies of one text do not meet.
+   and only pairs that meet in an edit go on. A second odd sketch, of the whole
+   set, bounds the symmetric difference from below (one element flips one bit),
+   which rules most of them out; the rest is confirmed. No link can be lost.
 5. Members far from their centre (the Jaccard distance is a metric, so their
    partners are far as well) are compared with each other by their sketches.
 
@@ -49,7 +50,8 @@ CENTRE_ESTIMATE, PAIR_ESTIMATE = 0.5, 0.6
 FAR_LIKENESS = 0.64
 _CHUNK = 2048
 
-SIGNATURES = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch array<long>"
+PARITY_BITS = 256
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch array<long>, parity array<long>"
 
 
 def multipliers() -> np.ndarray:
@@ -83,6 +85,12 @@ def sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, SKETCH_BITS), axis=1).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set: two bitmaps differ in no more bits than the sets in elements."""
+    odd = np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def band_hashes(samples: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
     part = samples.reshape(len(samples), BANDS, ROWS)
@@ -97,18 +105,18 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = multipliers()
         for b in batches:
-            sizes, nodes, samples = [], [], np.empty((b.num_rows, SAMPLES), np.uint64)
+            sizes, nodes, samples, odd = [], [], np.empty((b.num_rows, SAMPLES), np.uint64), np.empty((b.num_rows, PARITY_BITS // 64), np.int64)
             for i, words in enumerate(batch_word_hashes(b.column("text").to_pylist())):
                 s = shingle_set(words, size)
                 sizes.append(len(s))
-                samples[i] = minhash(s, a)
+                samples[i], odd[i] = minhash(s, a), parity(s)
                 nodes.append(np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
             void = np.array(sizes, np.int64) == 0
             lists = []
-            for m in (band_hashes(samples), sketches(samples)):
+            for m in (band_hashes(samples), sketches(samples), odd):
                 offsets = np.append(0, np.cumsum(~void)) * m.shape[1]
                 lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(m[~void]).ravel()), mask=pa.array(void)))
-            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
+            yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch", "parity"])
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(sign, SIGNATURES)
 
@@ -119,8 +127,14 @@ def odd_bits(estimate: float) -> int:
     return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-2 * apart / SKETCH_BITS)))
 
 
-def xor_count(a: str, b: str) -> Column:
-    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_WORDS)))
+def xor_count(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(bits // 64)))
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """False if the parity bitmaps prove two sets (``<a>_n, <a>_parity``, …) too far apart: a link has a
+    symmetric difference of at most (100 - percent) / (100 + percent) of the sizes' sum."""
+    return xor_count(f"{a}_parity", f"{b}_parity", PARITY_BITS) * (100 + percent) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - percent)
 
 
 def shingle_sets(nids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -160,7 +174,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, with_edits: bool = False) -> Data
     return stored(met.select("a", "b", compare("sa", "sb").alias("c")).select("a", "b", "c.*"), "confirmed")
 
 
-def edit_pairs(stars: DataFrame, group_of: DataFrame, percent: int) -> DataFrame:
+def edit_pairs(stars: DataFrame, group_of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that may be linked although ``a`` is not in the component of their common centre.
 
     ``stars``: a (member), b (centre), missing, extra, edits; ``group_of``: node, component.
@@ -175,9 +189,10 @@ def edit_pairs(stars: DataFrame, group_of: DataFrame, percent: int) -> DataFrame
     often = listed.groupBy("centre", "edit").agg(F.count("*").alias("held")).where("held > 1")
     listed = listed.join(often, ["centre", "edit"], "left").withColumn("held", F.coalesce("held", F.lit(1)))
     rarest = Window.partitionBy("centre", "nid").orderBy("held", "edit")
+    own = lambda p: classes.select(F.col("nid").alias(p), F.col("n").alias(f"{p}_n"), F.col("parity").alias(f"{p}_parity"))
     x = listed.withColumn("rank", F.row_number().over(rarest)).where("rank <= rank_to and held > 1").select("centre", "edit", F.col("nid").alias("x"), F.col("g").alias("x_g"))
     r = listed.where("g <> gc and held > 1").select("centre", "edit", F.col("nid").alias("r"), "g")
-    met = r.join(x, ["centre", "edit"]).where("r <> x and g <> x_g")
+    met = r.join(own("r"), "r").join(x.join(own("x"), "x"), ["centre", "edit"]).where((F.col("r") != F.col("x")) & (F.col("g") != F.col("x_g")) & may_link("r", "x", percent))
     return met.select(F.least("r", "x").alias("a"), F.greatest("r", "x").alias("b")).distinct()
 
 
@@ -204,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = stored(signatures(docs, size), "signatures")
     one = signed.where("node is not null").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")
     )
     classes = stored(one.withColumn("nid", F.monotonically_increasing_id()), "classes")
 
@@ -225,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     linked = F.col("shared") * 100 >= (F.col("shared") + F.col("missing") + F.col("extra")) * percent
     links = stars.where(linked).select("a", "b")
     first_groups = components(links)
-    more = [edit_pairs(stars, first_groups, percent)]
+    more = [edit_pairs(stars, first_groups, classes, percent)]
 
     # Members far from their centre, against others that are not near it.
     likeness = F.col("shared") / (F.col("shared") + F.col("missing") + F.col("extra"))
@@ -233,13 +248,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     placed = buckets.where("nid <> centre").join(known, ["nid", "centre"], "left").where(F.col("like").isNull() | (F.col("like") <= FAR_LIKENESS + 1 - percent / 100))
     lone = placed.where("like is null").select("key").distinct()
     placed = placed.join(lone, "key").join(first_groups.select(F.col("node").alias("nid"), F.col("component").alias("g")), "nid", "left")
-    placed = stored(placed.withColumn("g", F.coalesce("g", "nid")).join(classes.select("nid", "n", "sketch", "bands"), "nid"), "placed")
-    side = lambda p: placed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "g", "n", "sketch", "bands", "like")])
+    placed = stored(placed.withColumn("g", F.coalesce("g", "nid")).join(classes.select("nid", "n", "sketch", "bands", "parity"), "nid"), "placed")
+    side = lambda p: placed.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("nid", "g", "n", "sketch", "bands", "parity", "like")])
     far = side("a").where("a_like is null").join(side("b"), "key").where(
         (F.col("a_g") != F.col("b_g"))
         & (F.col("b_like").isNotNull() | (F.col("a_nid") < F.col("b_nid")))
         & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
         & (xor_count("a_sketch", "b_sketch") <= odd_bits(PAIR_ESTIMATE))
+        & may_link("a", "b", percent)
         # A pair is formed in the first bucket that both share and in no other.
         & (F.expr("filter(a_bands, (x, i) -> x = b_bands[i])[0]") == F.col("key"))
     )

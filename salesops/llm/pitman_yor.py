@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from salesops.llm.common import batch_word_hashes, mix64, shared_path, stored
 
-BLOCK_TOKENS = 1_000_000
-BUCKET_ITEMS = 1_000_000
+BLOCK_TOKENS = 500_000
+BUCKET_ITEMS = 400_000
 BURN_IN, SAMPLES = 1, 2
 THETA, ROOT_THETA = 1.0, 1.0
 MAX_EXACT = 64
