@@ -1,10 +1,10 @@
 """salesops — retail sales analytics as Spark DataFrame operators.
 
-Every public operator takes and returns a ``pyspark.sql.DataFrame`` (or a
-``Column`` for the expression helpers in :mod:`salesops.functions`) and stays
-lazy: nothing is collected to the driver, so Catalyst sees the whole plan and
-can prune columns, push filters into the Parquet scan and pick join
-strategies at run time (AQE).
+Public operators take and return a ``pyspark.sql.DataFrame`` (or a ``Column``
+for the expression helpers in :mod:`salesops.functions`). Most only build a
+plan; those that fix an order or settle a batch step by step run jobs while
+they build it and say so. What reaches the driver is bounded: one row per
+partition, per leaf of a tree, or a sample of a stated size.
 
 Layout::
 
@@ -12,9 +12,9 @@ Layout::
     sources/     the test-table mapping, file sources and sinks, catalog
     operators/   cleaning, charts, market basket, validation, records,
                  profile, messages, barcode debounce
-    plans/       reusable plan shapes (calendar grids, ranking, numbering,
-                 chart payloads, size-checked broadcast)
+    plans/       reusable plan shapes (calendar grids, numbering)
     streaming/   Structured Streaming versions of debounce and sale intake
+    llm/         operators for training-data pipelines
 """
 
 from salesops.session import build_session, checkpoint_dir  # noqa: F401

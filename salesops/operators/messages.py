@@ -52,11 +52,11 @@ def is_business_query(messages: DataFrame, keywords=BUSINESS_KEYWORDS, lookback:
     pos = number_within(flagged, ["conv_id"], ["turn"], "pos")
     marks = (
         pos.where("has_keyword")
-        .select("conv_id", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + lookback)).alias("pos"))
+        .select(F.col("conv_id").alias("_conv"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + lookback)).alias("_pos"))
         .distinct()
         .withColumn("after_keyword", F.lit(True))
     )
-    j = pos.join(marks, ["conv_id", "pos"], "left")
+    j = pos.join(marks, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("pos") == F.col("_pos")), "left")
     on_topic = F.col("has_keyword") | (F.col("is_follow_up") & F.coalesce(F.col("after_keyword"), F.lit(False)))
     return j.select("conv_id", "turn", "role", "has_keyword", "is_follow_up", on_topic.alias("is_business"))
 
@@ -84,21 +84,24 @@ def chat_payload(
     dataset_context: DataFrame | None = None,
     dataset_prompt: str = DEFAULT_DATASET_PROMPT,
 ) -> DataFrame:
-    """One JSON request per conversation for its last message.
+    """One JSON request per conversation for its last user message.
 
-    The last message (highest turn) is the new user message; the messages
-    before it are the history, trimmed by C4. With ``dataset_context``
-    (conv_id, context) the dataset instructions and context come first,
-    else the general instructions. Output: (conv_id, payload).
+    The last *user* message (highest turn with that role) is the new message;
+    the messages before it are the history, trimmed by C4. One window ranks a
+    conversation's messages once. With ``dataset_context`` (conv_id, context)
+    the dataset instructions and context come first, else the general
+    instructions. Output: (conv_id, payload).
     """
-    last_turn = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    m = messages.join(last_turn, "conv_id")
-    new = m.where(F.col("turn") == F.col("_last")).select("conv_id", F.col("text").alias("_new"))
-    hist = recent_history(m.where(F.col("turn") < F.col("_last")).drop("_last"))
+    role = F.lower(py_strip(F.col("role").cast("string")))
+    asked = messages.where(role == "user").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("_q"))
+    asked = asked.select(F.col("conv_id").alias("_conv"), F.col("_q.turn").alias("_last"), F.col("_q.text").alias("_new"))
+    new = asked.select(F.col("_conv").alias("conv_id"), "_new")
+    m = messages.join(asked.drop("_new"), F.col("conv_id").eqNullSafe(F.col("_conv"))).where(F.col("turn") < F.col("_last"))
+    hist = recent_history(m.drop("_last", "_conv"))
     hist_arr = hist.groupBy("conv_id").agg(  # at most HISTORY_KEEP rows per conversation
         F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("_h")
     )
-    base = new.join(hist_arr, "conv_id", "left")
+    base = new.join(hist_arr.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
     if dataset_context is not None:
         base = base.join(dataset_context.select("conv_id", "context"), "conv_id", "left")
         system = F.when(

@@ -44,7 +44,6 @@ from salesops.constants import (
     WORKBOOK_SUFFIXES,
 )
 from salesops.functions.text import py_strip
-from salesops.session import checkpoint_dir
 
 CELL_TYPE = (
     "struct<type: string, text: string, num: double, ts: timestamp_ntz, flag: boolean>"
@@ -249,27 +248,29 @@ def validation_report(files: DataFrame, cells_df: DataFrame) -> DataFrame:
     """V7: three titled checks per file: (path, check, is_valid, message).
 
     ``files`` is (path, length); ``cells_df`` the parsed rows (row 1 =
-    header, row -1 = unreadable file) of the files that passed the gate.
+    header, row -1 = unreadable file, row -2 = refused by the gate).
     """
-    checkpoint_dir(cells_df.sparkSession)
-    cells_df = cells_df.checkpoint(eager=True)  # four checks read it: parse each workbook once
-    gate = file_gate(files)
-    unreadable = cells_df.where(F.col("row_number") == -1).select("path", F.lit(True).alias("unreadable")).distinct()
-    sheet = cells_df.where(F.col("row_number") >= 1)
-    header = check_header(sheet.where(F.col("row_number") == 1))
-    data = sheet.where(F.col("row_number") > 1)
-    first = first_violation(data).select("path", F.col("message").alias("cell_message"))
-    rows = flatten(sheet).groupBy("path").agg(
-        F.count(F.lit(1)).alias("sheet_rows"),
-        F.count(F.when((F.col("row_number") > 1) & ~_blank_row(), F.lit(1))).alias("data_rows"),
+    f = flatten(cells_df)
+    row, data = F.col("row_number"), (F.col("row_number") > 1) & ~_blank_row()
+    header = F.lit(True)
+    for i, want in enumerate(SALES_COLUMNS):
+        header = header & (F.coalesce(F.col(f"s{i}"), F.lit("")) == F.lit(want))
+    bad = [F.when(~F.coalesce(RULES[name](i), F.lit(False)), F.lit(i)) for i, name in enumerate(SALES_COLUMNS)]
+    names = F.array(*[F.lit(n) for n in SALES_COLUMNS])
+    first = F.when(data, F.coalesce(*bad))  # the first bad cell of a row
+    per_file = f.groupBy("path").agg(  # one aggregate for all checks
+        F.max(row == -1).alias("unreadable"),
+        F.max(F.when(row == 1, header)).alias("header_ok"),
+        F.count(F.when(row >= 1, F.lit(1))).alias("sheet_rows"),
+        F.count(F.when(data, F.lit(1))).alias("data_rows"),
+        F.min(F.when(first.isNotNull(), F.struct(row.alias("row"), first.alias("col")))).alias("first"),
     )
+    message = F.format_string("Invalid datatype/value for '%s' at row %d.", F.element_at(names, F.col("first.col") + 1), F.col("first.row"))
     per_file = (
-        gate.join(unreadable, "path", "left")
-        .join(header, "path", "left")
-        .join(first, "path", "left")
-        .join(rows, "path", "left")
+        file_gate(files).join(per_file, "path", "left")
         .withColumn("readable", ~F.coalesce(F.col("unreadable"), F.lit(False)))
         .withColumn("header_ok", F.when(F.col("sheet_rows") > 0, F.coalesce(F.col("header_ok"), F.lit(False))))
+        .withColumn("cell_message", F.when(F.col("first").isNotNull(), message))
     )
     gate_ok = F.col("type_ok") & F.col("size_ok")
     schema_msg = (

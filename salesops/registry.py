@@ -883,6 +883,7 @@ register("profile_text", None)(lambda spark, d: prof.profile_text(T.table(spark,
 # ---------------------------------------------------------------------------
 
 from salesops.operators import scans as SC  # noqa: E402
+from salesops.sources import files as FS  # noqa: E402
 
 SCAN_LIMIT_MS = 2 * 60 * 60 * 1000
 
@@ -904,9 +905,17 @@ register("debounce_scans", _DEBOUNCE_SQL)(lambda spark, d: SC.debounce_scans(T.s
 
 
 def q_debounce_stream(spark, d):
+    """Scans arrive week by week; the stream goes on after each (same
+    checkpoint), so a device's state is carried from batch to batch."""
     from salesops.streaming.debounce import run_debounce
 
-    return run_debounce(spark, d, SCAN_LIMIT_MS, name_glob="events.parquet")
+    events = T.table(spark, d, "events")
+    folder, out = FS.scratch_path(spark, "scans"), FS.scratch_path(spark, "debounce")
+    weeks = ["0001-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "9999-12-31"]
+    for start, end in zip(weeks, weeks[1:]):
+        events.where((F.col("ts") >= start) & (F.col("ts") < end)).write.mode("append").parquet(folder)
+        result = run_debounce(spark, folder, SCAN_LIMIT_MS, out_path=out)
+    return result
 
 
 register("debounce_scans_stream", _DEBOUNCE_SQL)(q_debounce_stream)
@@ -917,7 +926,6 @@ register("debounce_scans_stream", _DEBOUNCE_SQL)(q_debounce_stream)
 # under the shared checkpoint folder, read back, compared with the input.
 # ---------------------------------------------------------------------------
 
-from salesops.sources import files as FS  # noqa: E402
 
 
 def _stored_sales(spark, d):
@@ -977,20 +985,56 @@ def q_scan_csv(spark, d):
 register("create_dataset", None)(lambda spark, d: FS.create_dataset(spark, FS.scratch_path(spark, "empty")))
 
 
+_UPLOADS = """up AS (SELECT *, 1 + (row_number // 100) % 3 AS user_id, 'sales ' || CAST((row_number // 100) % 7 AS VARCHAR) || '.xlsx' AS file_name FROM raw_sales),
+  ky AS (SELECT user_id, file_name, substr(sha256(CAST(user_id AS VARCHAR) || '/' || file_name || '/' || CAST(count(*) AS VARCHAR)), 1, 8)
+                || '_' || replace(file_name, ' ', '_') AS dataset_key FROM up GROUP BY 1, 2)"""
+
+
+def _uploads(spark, d):
+    order = F.expr("row_number div 100")
+    return T.raw_sales(spark, d).withColumns({
+        "user_id": (1 + order % 3).cast("bigint"),
+        "file_name": F.concat(F.lit("sales "), (order % 7).cast("string"), F.lit(".xlsx")),
+    })
+
+
 @register(
     "land_upload",
-    _with(O.RAW_SALES_CTE)
-    + """SELECT row_number, "Date", "Item", "Price", CAST(1 AS INTEGER) AS user_id,
-              'sales_' || substr("Date", 7, 4) || '_' || substr("Date", 4, 2) || '.xlsx' AS dataset_key
-       FROM raw_sales WHERE regexp_full_match("Date", '[0-9]{2}/[0-9]{2}/[0-9]{4}/.*')""",
+    _with(O.RAW_SALES_CTE, _UPLOADS)
+    + """SELECT row_number, "Date", "Day", "OrderID", "Item", "Quantity", "Price", "Category", "PaymentType", user_id, dataset_key
+       FROM up JOIN ky USING (user_id, file_name)""",
 )
 def q_land_upload(spark, d):
-    raw = T.raw_sales(spark, d).where(F.col("Date").rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}/"))
-    rows = raw.select("row_number", "Date", "Item", "Price", F.lit(1).alias("user_id"),
-                      F.concat(F.lit("sales_"), F.substring("Date", 7, 4), F.lit("_"), F.substring("Date", 4, 2), F.lit(".xlsx")).alias("dataset_key"))
     root = FS.scratch_path(spark, "uploads")
-    FS.land_upload(rows, root)
-    return spark.read.parquet(root).select("row_number", "Date", "Item", "Price", "user_id", "dataset_key")
+    FS.land_upload(_uploads(spark, d), root)
+    FS.land_upload(_uploads(spark, d), root)  # the same uploads again: refused, not stored twice
+    back = spark.read.parquet(root)
+    return back.select("row_number", *FS.RAW_SALES_SCHEMA.names, F.col("user_id").cast("bigint").alias("user_id"), "dataset_key")
+
+
+def _landed_chart(spark, d, chart):
+    """Key to stored table to chart: the table landed for user 1 under one file's key."""
+    root = FS.scratch_path(spark, "uploads")
+    files = FS.land_upload(_uploads(spark, d), root)
+    lookup = files.where("user_id = 1 and file_name = 'sales 3.xlsx'").select("user_id", F.concat(F.lit("uploads/"), "dataset_key").alias("key"))
+    found = catalog.dataset_by_key(lookup, files.select("user_id", "dataset_key")).where("status = 'found'").first()  # one name
+    return chart(spark.read.parquet(root).where((F.col("user_id") == found["user_id"]) & (F.col("dataset_key") == found["resolved_key"])))
+
+
+_ONE_UPLOAD = O.RAW_SALES_CTE.replace("raw_sales AS (", "every_sale AS (", 1) + """,
+  raw_sales AS (SELECT * FROM every_sale WHERE 1 + (row_number // 100) % 3 = 1 AND (row_number // 100) % 7 = 3)"""
+
+for _name, _sql, _chart in (
+    ("revenue_trend_day", sql_revenue_trend_day("raw_sales", YEAR, MONTH), lambda df: charts.revenue_trend_day(df, YEAR, MONTH)),
+    ("top_selling_items", sql_top_selling_items("raw_sales", YEAR), lambda df: charts.top_selling_items(df, YEAR)),
+):
+    register(f"{_name}_landed", _sql.replace(O.RAW_SALES_CTE, _ONE_UPLOAD))(lambda spark, d, chart=_chart: _landed_chart(spark, d, chart))
+
+for _name, _sql, _chart in (
+    ("revenue_trend_day", sql_revenue_trend_day("sales", YEAR, MONTH), lambda df: charts.revenue_trend_day(df, YEAR, MONTH)),
+    ("top_selling_items", sql_top_selling_items("sales", YEAR), lambda df: charts.top_selling_items(df, YEAR)),
+):
+    register(f"{_name}_stored", _sql)(lambda spark, d, chart=_chart: chart(FS.read_sales(spark, _stored_sales(spark, d))))
 
 
 @register(
@@ -1018,9 +1062,10 @@ def q_stream_sales(spark, d):
     folder, out = scratch_path(spark, "requests"), scratch_path(spark, "sales-stream")
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
     req.where(F.col("ts") < cut).write.mode("append").json(folder)
-    run_sales_stream(spark, folder, out)
+    last = T.datasets(spark, d).withColumn("last_order_number", F.lit(100) + F.col("dataset_id") % 7 * 50)
+    run_sales_stream(spark, folder, out, datasets=last)
     req.where(F.col("ts") >= cut).write.mode("append").json(folder)
-    sales_path, _ = run_sales_stream(spark, folder, out)
+    sales_path, _ = run_sales_stream(spark, folder, out, datasets=last)
     return spark.read.parquet(sales_path).drop("batch_id")
 
 
@@ -1030,7 +1075,7 @@ register(
     + f"""SELECT num.request_id,
               CAST(row_number() OVER (PARTITION BY num.request_id ORDER BY l.line, l.item, l.quantity, l.price, l.category) - 1 AS INTEGER) AS line,
               strftime(num.ts, '%d/%m/%Y/%H:%M:%S') AS "Date", dayname(num.ts) AS "Day",
-              'O' || CAST(num.order_number AS VARCHAR) AS "OrderID", {O.strip('l.item')} AS "Item",
+              'O' || CAST(num.order_number + num.dataset_id % 7 * 50 AS VARCHAR) AS "OrderID", {O.strip('l.item')} AS "Item",
               CAST(l.quantity AS BIGINT) AS "Quantity", CAST(l.price AS DOUBLE) AS "Price",
               {O.strip('l.category')} AS "Category", {O.strip('num.payment_type')} AS "PaymentType"
        FROM num JOIN l ON l.request_id = num.request_id""",
@@ -1050,57 +1095,58 @@ register("day_wise_pattern_wide", _wide_sql())(
     lambda spark, d: charts.day_wise_pattern_wide(T.sales_hours(spark, d), H_YEAR, H_MONTH)
 )
 
-
 # ---------------------------------------------------------------------------
-# Workbooks (S2, S6 as xlsx, V1/V6/V7): sales exported as workbooks, then
-# ingested and validated as an upload folder.
+# Validation of uploads (V1, V6, V7): the dirty table as ten uploads, some of
+# them with a wrong name, size, header, no data or unreadable.
 # ---------------------------------------------------------------------------
 
-from salesops.sources import workbooks as WB  # noqa: E402
-
-
-def _workbooks(spark, d):
-    folder = FS.scratch_path(spark, "workbooks")
-    FS.export_workbooks(T.sales(spark, d), folder).write.format("noop").mode("overwrite").save()
-    return folder
-
-
-_MONTH_FILES = _with(O.SALES_CTE) + """SELECT 'sales_' || lpad(CAST(year("Date") AS VARCHAR), 4, '0') || '_' ||
-       lpad(CAST(month("Date") AS VARCHAR), 2, '0') || '_0000.xlsx' AS file, count(*) AS rows
-       FROM sales GROUP BY year("Date"), month("Date")"""
-
-
-@register("export_workbooks", _MONTH_FILES)
-def q_export_workbooks(spark, d):
-    folder = FS.scratch_path(spark, "workbooks")
-    out = FS.export_workbooks(T.sales(spark, d), folder)
-    return out.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "rows")
-
-
-@register(
-    "ingest_workbooks",
-    _with(O.SALES_CTE) + """SELECT strftime("Date", '%d/%m/%Y/%H:%M:%S') AS "Date", "Day", "OrderID", "Item",
-       CAST(CAST("Quantity" AS DOUBLE) AS VARCHAR) AS "Quantity", CAST(CAST("Price" AS DOUBLE) AS VARCHAR) AS "Price",
-       "Category", "PaymentType" FROM sales""",
-)
-def q_ingest_workbooks(spark, d):
-    from salesops.constants import SALES_COLUMNS
-
-    cells = WB.ingest_workbooks(spark, _workbooks(spark, d) + "/*.xlsx")
-    return WB.rows_from_cells(cells).select(*SALES_COLUMNS)
-
-
-@register(
-    "validation_report",
-    _with(O.SALES_CTE, 'm AS (SELECT count(DISTINCT (year("Date"), month("Date"))) AS files FROM sales)')
-    + """SELECT n, "check", true AS is_valid, message, (SELECT files FROM m) AS files FROM (VALUES
-         (1, '1. File Type: Excel', 'File type is valid Excel format.'),
-         (2, '2. File Size: < 10MB', 'File size is less than 10MB.'),
-         (3, '3. Required Columns + Datatypes', 'Required columns and datatypes are valid.')) t(n, "check", message)""",
-)
-def q_validation_report(spark, d):
-    from salesops.operators import quality as Q
-
-    folder = _workbooks(spark, d) + "/*.xlsx"
-    rep = Q.validation_report(WB.list_files(spark, folder), WB.ingest_workbooks(spark, folder))
-    return rep.groupBy("n", "check", "is_valid", "message").agg(F.count(F.lit(1)).alias("files"))
+_GOOD_CELLS = {"Date": "01/02/1997/00:00:00", "OrderID": "O1", "Price": "1", "Category": "c", "PaymentType": "p"}
+
+
+def _checked_uploads(spark, d):
+    """(files, cells): upload k holds every tenth order; see ``_report_sql``."""
+    names = FS.RAW_SALES_SCHEMA.names
+    k = F.expr("(row_number div 100) % 10")
+    path = F.concat(F.lit("in/upload_"), F.col("k").cast("string"), F.when(F.col("k") == 0, F.lit(".csv")).otherwise(F.lit(".XLSX")))
+    rows = T.raw_sales(spark, d).withColumn("k", k).withColumn("path", path)
+    files = rows.groupBy("path", "k").agg(F.count(F.lit(1)).alias("n"))
+    files = files.select("path", "k", F.when(F.col("k") == 1, F.lit(10 * 1024 * 1024)).otherwise(F.col("n")).alias("length"))
+    data = rows.where("k <> 4").withColumns({c: F.when(F.col("k") == 5, F.lit(v)).otherwise(F.col(c)) for c, v in _GOOD_CELLS.items()})
+    data = data.withColumns({c: F.when(F.col("k") == 3, F.lit(" ")).otherwise(F.col(c)) for c in names})
+    swapped = [names[1], names[0], *names[2:]]
+    header = files.where("k <> 4").select(
+        "path", F.lit(1).cast("bigint").alias("row_number"),
+        *[F.when(F.col("k") == 2, F.lit(w)).otherwise(F.lit(f" {c} ")).alias(c) for c, w in zip(names, swapped)],
+    )
+    lost = files.where("k = 4").select("path", F.lit(-1).cast("bigint").alias("row_number"), *[F.lit(None).cast("string").alias(c) for c in names])
+    whole = data.select("path", "row_number", *names).unionByName(header).unionByName(lost)
+    return files.select("path", "length"), quality.text_cells(whole, F.col("path"))
+
+
+def _report_sql() -> str:
+    cells = [f"CASE WHEN k = 3 THEN ' ' WHEN k = 5 THEN {O.q(_GOOD_CELLS[c])} ELSE \"{c}\" END AS \"{c}\"" if c in _GOOD_CELLS
+             else f"CASE WHEN k = 3 THEN ' ' ELSE \"{c}\" END AS \"{c}\"" for c in FS.RAW_SALES_SCHEMA.names]
+    ctes = O.RAW_SALES_CTE.replace("raw_sales AS (", "every_sale AS (", 1) + f""",
+      keyed AS (SELECT *, (row_number // 100) % 10 AS k FROM every_sale),
+      files AS (SELECT k, CASE WHEN k = 1 THEN 10485760 ELSE count(*) END AS length FROM keyed GROUP BY k),
+      raw_sales AS (SELECT k, row_number, {", ".join(cells)} FROM keyed WHERE k <> 4)"""
+    base = _viol_sql().replace(O.RAW_SALES_CTE, ctes).replace("SELECT 'raw_sales' AS path", "SELECT k AS path")
+    return base + """,
+      f AS (SELECT path AS k, arg_min("column", row_number * 10 + col_index) AS "column", min(row_number) AS row_number FROM v GROUP BY 1),
+      d AS (SELECT k, count(*) AS n FROM nb GROUP BY 1),
+      r AS (SELECT 'in/upload_' || CAST(files.k AS VARCHAR) || CASE WHEN files.k = 0 THEN '.csv' ELSE '.XLSX' END AS path,
+                   files.k <> 0 AS type_ok, length < 10485760 AS size_ok,
+                   CASE WHEN files.k IN (0, 1) THEN 'Skipped because file type or file size validation failed.'
+                        WHEN files.k = 4 THEN 'Unable to read Excel file. The file might be corrupted.'
+                        WHEN files.k = 2 THEN 'Required columns are missing or in incorrect order. Expected: Date, Day, OrderID, Item, Quantity, Price, Category, PaymentType'
+                        WHEN f.k IS NOT NULL THEN 'Invalid datatype/value for ''' || "column" || ''' at row ' || CAST(f.row_number AS VARCHAR) || '.'
+                        WHEN d.n IS NULL THEN 'Excel file must include at least one data row.'
+                        ELSE 'Required columns and datatypes are valid.' END AS message
+            FROM files LEFT JOIN f ON f.k = files.k LEFT JOIN d ON d.k = files.k)
+    SELECT path, 1 AS n, '1. File Type: Excel' AS "check", type_ok AS is_valid,
+           CASE WHEN type_ok THEN 'File type is valid Excel format.' ELSE 'Only Excel files (.xlsx/.xlsm/.xltx/.xltm) are allowed.' END AS message FROM r
+    UNION ALL SELECT path, 2, '2. File Size: < 10MB', size_ok, CASE WHEN size_ok THEN 'File size is less than 10MB.' ELSE 'File size must be less than 10MB.' END FROM r
+    UNION ALL SELECT path, 3, '3. Required Columns + Datatypes', message = 'Required columns and datatypes are valid.', message FROM r"""
+
+
+register("validation_report", _report_sql())(lambda spark, d: quality.validation_report(*_checked_uploads(spark, d)))

@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 
 from salesops.constants import DATE_TEXT_FORMAT_SPARK, SALES_COLUMNS
 from salesops.session import checkpoint_dir
+from salesops.sources.catalog import valid_filename
 
 SALES_SCHEMA = StructType(
     [
@@ -32,18 +33,25 @@ SALES_SCHEMA = StructType(
         StructField("OrderID", StringType()),
         StructField("Item", StringType()),
         StructField("Quantity", DoubleType()),
-        StructField("Price", DecimalType(18, 2)),
+        StructField("Price", DecimalType(38, 10)),  # as given, not rounded
         StructField("Category", StringType()),
         StructField("PaymentType", StringType()),
     ]
 )
 RAW_SALES_SCHEMA = StructType([StructField(c, StringType()) for c in SALES_COLUMNS])
 PARTITIONS = ["year", "month"]
+ROWS_PER_FILE = 1_000_000
 # A stored table: the eight columns plus its partition columns. Reading with
 # this schema skips inference and works for a table that has no rows yet.
 STORED_SALES_SCHEMA = StructType(SALES_SCHEMA.fields + [StructField("year", IntegerType()), StructField("month", IntegerType())])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on any file system Spark can reach."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "salesops-out", f"{name}-{uuid.uuid4().hex[:12]}")
@@ -81,10 +89,26 @@ def create_dataset(spark: SparkSession, path: str) -> DataFrame:
     return read_sales(spark, path)
 
 
+def clustered(df: DataFrame, keys, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows of one output folder together, a large folder's spread by measured counts.
+
+    So a write makes a folder's rows / ``rows_per_file`` files, not one for each
+    task and folder, and no task gets more than about ``rows_per_file`` rows.
+    """
+    files = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files"))
+    files = files.select("_files", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # A hash of the row: the same in every attempt of a task (equal rows share a file).
+    salt = F.pmod(F.xxhash64(*df.columns), F.col("_files")).cast("int")
+    return df.join(files, on, "left").withColumn("_salt", salt).repartition(*keys, "_salt").select(*df.columns)
+
+
 def append_sales(df: DataFrame, path: str) -> None:
     """Append sales rows; each (year, month) folder gets new files only."""
     rows = df.select(*[F.col(f.name).cast(f.dataType) for f in SALES_SCHEMA.fields])
-    with_partitions(rows).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    clustered(with_partitions(rows), PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def export_dataset(df: DataFrame, path: str) -> None:
@@ -96,52 +120,26 @@ def export_dataset(df: DataFrame, path: str) -> None:
     out.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def land_upload(rows: DataFrame, root: str) -> None:
-    """Store accepted upload rows per user and dataset key.
-
-    ``rows`` carries ``user_id`` and ``dataset_key`` (see catalog.valid_filename)."""
-    rows.write.mode("append").partitionBy("user_id", "dataset_key").parquet(root)
-
+def land_upload(rows: DataFrame, root: str) -> DataFrame:
+    """Store accepted upload rows, whole, per user and dataset key.
 
-WORKBOOK_ROWS = 50_000
-
-
-def export_workbooks(df: DataFrame, folder: str, rows_per_file: int = WORKBOOK_ROWS) -> DataFrame:
-    """S6 as workbooks: the sales rows as .xlsx files, one per (year, month,
-    chunk), Date written as dd/MM/yyyy/HH:mm:ss text, numbers as numbers.
-
-    A month with more than ``rows_per_file`` rows is split by a hash of the
-    row into enough chunks, so every file is written by one task holding a
-    bounded group. Returns (path, rows) per file. Files are written from the
-    tasks, so ``folder`` must be a file-system path every executor sees (as
-    the workbook storage root is).
+    ``rows`` carries ``user_id`` and ``file_name``. A file's key is eight hex
+    digits and its safe name; the digits are a hash of user, file and content
+    size, so landing the same upload twice finds the first. Keys that are stored
+    already are refused, not added to. Returns (user_id, file_name, dataset_key,
+    stored) per file.
     """
-    import pandas as pd
-
-    from salesops.sources.xlsx import write_xlsx
-
-    if folder.startswith("file:"):
-        folder = folder[len("file:"):]  # written with Python file IO inside the tasks
-    rows = with_partitions(df.select(*SALES_COLUMNS))
-    per_month = rows.groupBy("year", "month").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(per_month, ["year", "month"]).withColumn(
-        "chunk", F.pmod(F.xxhash64(*SALES_COLUMNS), F.ceil(F.col("_n") / rows_per_file)).cast("int")
-    )
-    out = rows.select(
-        "year", "month", "chunk",
-        F.date_format("Date", DATE_TEXT_FORMAT_SPARK).alias("Date"), "Day", "OrderID", "Item",
-        F.col("Quantity").cast("double").alias("Quantity"), F.col("Price").cast("double").alias("Price"),
-        "Category", "PaymentType",
-    )
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SALES_COLUMNS, kind="mergesort")
-        y, m, c = int(pdf["year"].iloc[0]), int(pdf["month"].iloc[0]), int(pdf["chunk"].iloc[0])
-        path = os.path.join(folder, f"sales_{y:04d}_{m:02d}_{c:04d}.xlsx")
-        cells = [[None if pd.isna(v) else (float(v) if k in ("Quantity", "Price") else str(v)) for k, v in zip(SALES_COLUMNS, r)]
-                 for r in pdf[SALES_COLUMNS].itertuples(index=False, name=None)]
-        os.makedirs(folder, exist_ok=True)
-        write_xlsx(path, [SALES_COLUMNS] + cells)
-        return pd.DataFrame({"path": [path], "rows": [len(cells)]})
-
-    return out.groupBy("year", "month", "chunk").applyInPandas(write, "path string, rows long")
+    files = rows.groupBy("user_id", "file_name").agg(F.count(F.lit(1)).alias("_rows"))
+    digits = F.substring(F.sha2(F.concat_ws("/", "user_id", "file_name", "_rows"), 256), 1, 8)
+    files = files.select("user_id", "file_name", F.concat(digits, F.lit("_"), valid_filename(F.col("file_name"))).alias("dataset_key"))
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    if path_exists(spark, root):
+        old = spark.read.parquet(root).select("user_id", "dataset_key").distinct().withColumn("_old", F.lit(True))
+        files = files.join(old, ["user_id", "dataset_key"], "left")
+    else:
+        files = files.withColumn("_old", F.lit(None).cast("boolean"))
+    files = files.withColumn("stored", F.col("_old").isNull()).drop("_old").checkpoint(eager=True)  # before the write changes it
+    new = rows.join(files.where("stored").drop("stored"), ["user_id", "file_name"]).drop("file_name")
+    clustered(new, ["user_id", "dataset_key"]).write.mode("append").partitionBy("user_id", "dataset_key").parquet(root)
+    return files

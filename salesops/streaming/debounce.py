@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from salesops.constants import PY_WHITESPACE, SCAN_REPEAT_MS
 from salesops.sources.files import scratch_path
 
+FILES_PER_TRIGGER = 64  # bounds a micro-batch, and so a device's slice of it
 OUT_SCHEMA = "device long, ts timestamp_ntz, code string, scan_id long"
 STATE_SCHEMA = "last_code string, last_us long"
 
@@ -60,7 +61,7 @@ def run_debounce(
     spark: SparkSession,
     source_path: str,
     repeat_ms: int = SCAN_REPEAT_MS,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = FILES_PER_TRIGGER,
     out_path: str | None = None,
     name_glob: str | None = None,
 ) -> DataFrame:
@@ -68,11 +69,9 @@ def run_debounce(
     (events layout; ``name_glob`` picks files) to the end (``availableNow``)
     into Parquet; return the written result."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_path).selectExpr("user_id AS device", "ts", "event_type AS code", "event_id AS scan_id")
     out = out_path or scratch_path(spark, "debounce")
     q = (

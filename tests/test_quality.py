@@ -62,7 +62,8 @@ def test_report_first_violation_and_typed_cells(spark):
 
 def test_size_gate_does_not_open_large_files(spark):
     folder = _folder({"big.xlsx": b"x" * (10 * 1024 * 1024)})
-    assert W.ingest_workbooks(spark, folder + "/*").count() == 0
+    marks = W.ingest_workbooks(spark, folder + "/*").collect()
+    assert [(os.path.basename(x.path), x.row_number, x.cells) for x in marks] == [("big.xlsx", -2, None)]  # refused, and said so
     rep = _report(spark, folder)
     assert rep[("big.xlsx", 2)][0] is False and rep[("big.xlsx", 3)] == (False, MSG_SKIPPED)
 
@@ -85,3 +86,26 @@ def test_profile_gate(spark):
     files = spark.createDataFrame([("/x/a.CSV", 10 * 1024 * 1024), ("/x/b.xls", 10 * 1024 * 1024 + 1), ("/x/c.txt", 1)], "path string, length long")
     g = {x.path: (x.type_ok, x.size_ok) for x in Q.profile_gate(files).collect()}
     assert g == {"/x/a.CSV": (True, True), "/x/b.xls": (True, False), "/x/c.txt": (False, True)}
+
+
+def test_rows_and_cells_without_references(spark):
+    """The row and cell references of a sheet are optional."""
+    import re
+    import zipfile
+
+    folder = _folder({"a.XLSX": [SALES_COLUMNS, GOOD]})
+    path = os.path.join(folder, "a.XLSX")
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    sheet = parts["xl/worksheets/sheet1.xml"].decode()
+    parts["xl/worksheets/sheet1.xml"] = re.sub(r' r="[A-Z]*[0-9]+"', "", sheet).encode()
+    with zipfile.ZipFile(os.path.join(folder, "b.xlsx"), "w") as z:
+        for n, c in parts.items():
+            z.writestr(n, c)
+    rep = _report(spark, folder)
+    assert rep[("a.XLSX", 3)] == rep[("b.xlsx", 3)] == (True, MSG_SCHEMA_OK)
+
+
+def test_nan_is_no_price(spark):
+    cells = spark.createDataFrame([("f", 2, "float", float("nan"))], "path string, row_number long, t5 string, n5 double")
+    assert cells.select(Q.valid_price(5).alias("ok")).first().ok is False

@@ -26,3 +26,46 @@ def test_stream_equals_batch(spark):
     got = sorted(x.scan_id for x in streamed.collect())
     want = sorted(x.scan_id for x in batch.collect())
     assert got == want and 0 < len(got) < events.count()
+
+
+def test_sale_stream_counts_from_the_catalog_and_fails_on_damage(spark):
+    import glob
+
+    import pytest
+
+    from salesops.streaming.sales_stream import REQUEST_SCHEMA, run_sales_stream
+
+    folder = tempfile.mkdtemp(prefix="sale-stream-", dir="/tmp")
+    source, out = os.path.join(folder, "in"), os.path.join(folder, "out")
+
+    def arrive(request_id):
+        rows = [(1, request_id, None, "Cash", [("Tea", 1, None, "D")])]
+        df = spark.createDataFrame(rows, REQUEST_SCHEMA)
+        df = df.withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+        df = df.withColumn("items", F.expr("transform(items, x -> named_struct('item', x.item, 'quantity', x.quantity, 'price', cast(1 as decimal(10,2)), 'category', x.category))"))
+        df.write.mode("append").json(source)
+
+    catalog = spark.createDataFrame([(1, 500)], "dataset_id long, last_order_number long")
+    for i in (1, 2):
+        arrive(i)
+        sales, counters = run_sales_stream(spark, source, out, datasets=catalog)
+    assert sorted(x.OrderID for x in spark.read.parquet(sales).collect()) == ["O501", "O502"]
+    arrive(3)
+    for f in glob.glob(counters + "/batch_id=1/*.parquet"):
+        with open(f, "wb") as fh:
+            fh.write(b"damaged")
+    with pytest.raises(Exception):
+        run_sales_stream(spark, source, out, datasets=catalog)
+
+
+def test_stored_charts_prune_folders(spark):
+    from salesops.operators import charts
+    from salesops.sources import files as FS
+
+    path = FS.scratch_path(spark, "sales")
+    FS.create_dataset(spark, path)
+    FS.append_sales(T.sales(spark, SF_SMALL), path)
+    plan = charts.revenue_trend_day(FS.read_sales(spark, path), 1997, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "(year#" in plan and "(month#" in plan
+    names = [f for f in spark.read.parquet(path).inputFiles() if "year=1997/month=3/" in f]
+    assert len(names) == 1  # clustered: one file of a small folder
