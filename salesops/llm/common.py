@@ -15,7 +15,7 @@ from salesops.session import checkpoint_dir
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # Texts are hashed in slices of about this many bytes, cut at white space, so
 # memory is bounded however long a text is.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name`` or the first of its longer forms that is no column yet."""
     taken = {c.lower() for c in columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import SLICE_BYTES, hash_slice, mix64, slices
+from salesops.llm.common import SLICE_BYTES, hash_slice, mix64, slices, small
 
 GRAM = 3
 WINDOW = 3
@@ -229,7 +229,7 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str, str]] | No
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = [c.split()[0] for c in MATCHES.split(", ")]
-        for b in batches:
+        for b in small(batches):
             rows: list[tuple] = []
             held, ids, size = [], [], 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesops.llm.common import batch_word_hashes, mix64, stored, unused
+from salesops.llm.common import batch_word_hashes, mix64, small, stored, unused
 from salesops.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = multipliers()
-        for b in batches:
+        for b in small(batches):
             sizes, nodes, samples, odd = [], [], np.empty((b.num_rows, SAMPLES), np.uint64), np.empty((b.num_rows, PARITY_BITS // 64), np.int64)
             for i, words in enumerate(batch_word_hashes(b.column("text").to_pylist())):
                 s = shingle_set(words, size)
@@ -142,7 +142,7 @@ def shingle_sets(nids: DataFrame, docs: DataFrame, classes: DataFrame, size: int
     needed = stored(classes.join(nids, "nid", "left_semi").select("nid", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [shingle_set(w, size).tobytes() for w in batch_word_hashes(b.column("text").to_pylist())]
             yield pa.record_batch([b.column("nid"), pa.array(found, pa.binary())], names=["nid", "shingles"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import stored
+from salesops.llm.common import small, stored
 from salesops.llm.tokens import default_tokenizer, encode_ids, encoder
 
 CAPACITY = 4096
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(path)
-        for b in batches:
+        for b in small(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 own = encode_ids(ids, text.as_py(), end_id)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import batch_word_hashes, mix64, shared_path, stored
+from salesops.llm.common import batch_word_hashes, mix64, shared_path, small, stored
 
 BLOCK_TOKENS = 500_000
 BUCKET_ITEMS = 400_000
@@ -155,7 +155,7 @@ def token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
-        for b in batches:
+        for b in small(batches):
             names, use = b.column("doc_id").to_pylist(), b.column("train").to_pylist()
             for i, words in enumerate(batch_word_hashes(b.column("text").to_pylist())):
                 ids.append(names[i])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesops.llm.common import shared_path, stored
+from salesops.llm.common import shared_path, small, stored
 from salesops.llm.tokens import default_tokenizer, encode_ids, encoder
 
 SEQUENCE_LENGTH = 2048
@@ -96,9 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str | None = N
         stem = f"{root}/part-{shard:05d}-{uuid.uuid4().hex}"
         tokens = index = None
         total = n_docs = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in small(batches):
             if tokens is None:
                 tokens = SequenceWriter(f"{stem}.tokens.arrow", length, ids.tokenizer.get_vocab_size() <= 1 << 16)
                 system, name = fs.FileSystem.from_uri(f"{stem}.docs.arrow")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Chunks remembered by one task; when full the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 # Characters of text encoded at a time, cut at white space.
 PIECE_BYTES = 1 << 22
 # Marks that always stand alone for the vocabulary when they end a word.
