@@ -29,6 +29,11 @@ HEADLINE = [
     "day_wise_pattern",
     "is_business_query",
     "debounce_scans",
+    "chart_totals",
+    "validation_report",
+    "record_sales",
+    "inventory_conflicts",
+    "stream_sales",
 ]
 
 

@@ -102,6 +102,7 @@ WEEKDAY_FORMAT = "EEEE"
 SAMPLE_ROWS = 20
 SAMPLE_VALUE_CHARS = 80
 MAX_CONTEXT_CHARS = 7000
+MSG_EMPTY_DATASET = "The uploaded dataset is empty."
 TOPIC_LOOKBACK = 6
 HISTORY_KEEP = 8
 HISTORY_ROLES = ["user", "assistant"]

@@ -177,7 +177,7 @@ def by_year_month(df: DataFrame, year, month, col: str = "Date") -> DataFrame:
 
 def by_owner(df: DataFrame, id_col: str, id_value, user_col: str, user_id) -> DataFrame:
     """the row with this id owned by this user."""
-    return df.where((F.col(id_col) == F.lit(id_value)) & (F.col(user_col) == F.lit(user_id)))
+    return df.where((F.col(id_col) == id_value) & (F.col(user_col) == user_id))
 
 
 def iequals(col: Column | str, value: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesops.constants import MAX_CONTEXT_CHARS, SAMPLE_ROWS, SAMPLE_VALUE_CHARS
+from salesops.constants import MSG_EMPTY_DATASET, MAX_CONTEXT_CHARS, SAMPLE_ROWS, SAMPLE_VALUE_CHARS
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
@@ -65,22 +65,46 @@ def sample_rows(df: DataFrame, order_cols, n: int = SAMPLE_ROWS) -> DataFrame:
     return shown.select(*[_shown(f.name, f.dataType).alias(f.name) for f in clean.schema.fields])
 
 
+def _json_string(c):
+    """A text as Python's ``json.dumps`` writes it: ASCII only, by UTF-16 code unit."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), 1)
+    short = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}
+
+    def shown(u):
+        out = None
+        for code, text in short.items():
+            out = F.when(u == code, F.lit(text)) if out is None else out.when(u == code, F.lit(text))
+        n = F.conv(u, 16, 10).cast("int")
+        return out.when((n >= 32) & (n < 128), F.chr(n)).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(units, shown), ""), F.lit('"'))
+
+
 def sample_json(df: DataFrame, order_cols, n: int = SAMPLE_ROWS) -> DataFrame:
-    """P3 as one JSON array of records (null values written as null)."""
+    """P3 as one JSON array of records, written as ``json.dumps`` writes it
+    (blanks after commas and colons, nulls as null)."""
     s = sample_rows(df, order_cols, n)
-    rec = F.struct(*[F.col(f"`{c}`") for c in s.columns])
+    fields = []
+    for i, c in enumerate(s.columns):
+        name = _json_string(F.lit(c))
+        value = F.coalesce(_json_string(F.col(f"`{c}`")), F.lit("null"))
+        fields += [F.lit(", " if i else ""), name, F.lit(": "), value]
+    rec = F.concat(F.lit("{"), *fields, F.lit("}"))
     ordered = s.select(F.monotonically_increasing_id().alias("_i"), rec.alias("r"))
-    return ordered.agg(  # ≤ n rows
-        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_i", "r"))), lambda x: x.r), {"ignoreNullFields": "false"}).alias("sample")
-    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_i", "r"))), lambda x: x.r)  # ≤ n rows
+    return ordered.agg(F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("sample"))
 
 
 def profile_text(df: DataFrame, name: str, order_cols) -> DataFrame:
-    """The five-line summary, cut to 7,000 characters, as a one-row frame."""
+    """The five-line summary, cut to 7,000 characters, as a one-row frame.
+
+    A dataset without a non-empty row is an error, raised when the frame is read.
+    """
     clean = trimmed_columns(drop_all_null_rows(df))
     cols = [f.name for f in clean.schema.fields]
     types = "; ".join(f"{f.name}: {dtype_name(f.dataType)}" for f in clean.schema.fields)
-    rows = clean.select(F.count(F.lit(1))).scalar()
+    counted = clean.select(F.count(F.lit(1))).scalar()
+    rows = F.when(counted == 0, F.raise_error(F.lit(MSG_EMPTY_DATASET)).cast("bigint")).otherwise(counted)
     sample = sample_json(df, order_cols).select("sample")
     shown = sample.select(
         F.concat(

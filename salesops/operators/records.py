@@ -265,6 +265,32 @@ def inventory_conflicts(candidates: DataFrame, inventory: DataFrame) -> DataFram
     )
 
 
+def create_inventory(candidates: DataFrame, inventory: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Creating items one by one: field rules, then E5, then E4 (the id due).
+
+    A candidate is accepted when its fields are valid, neither its id nor its
+    barcode is in the inventory or among those accepted before it, and its id
+    is the next after the accepted ones. Accepted ids differ by themselves, so
+    only barcodes can clash within a batch: the first clash on each dataset's
+    path is taken out and the path is followed anew, until none is left.
+    Returns (candidate_id, dataset_id, item_id, accepted).
+    """
+    free = inventory_conflicts(candidates, inventory).where("not id_exists and not barcode_exists").select("candidate_id")
+    valid = validate_inventory_items(candidates).where("is_valid").join(free, "candidate_id", "left_semi")
+    left = _kept(valid.select("candidate_id", "dataset_id", "item_id", py_strip(F.coalesce(F.col("barcode_number"), F.lit(""))).alias("_bc")))
+    while True:
+        path = accepted_item_ids(left, datasets)
+        coded = path.join(left, ["dataset_id", "candidate_id"]).where(F.col("_bc") != "")
+        before = coded.groupBy("dataset_id", "_bc").agg(F.min("candidate_id").alias("_first"))
+        clash = coded.join(before, ["dataset_id", "_bc"]).where("candidate_id > _first").groupBy("dataset_id").agg(F.min("candidate_id").alias("candidate_id"))
+        clash = _kept(clash)
+        if clash.isEmpty():
+            done = path.select("candidate_id", F.lit(True).alias("accepted"))
+            out = candidates.join(done, "candidate_id", "left")
+            return out.select("candidate_id", "dataset_id", "item_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        left = _kept(left.join(clash, ["dataset_id", "candidate_id"], "left_anti"))
+
+
 def barcode_update_conflicts(updates: DataFrame, inventory: DataFrame) -> DataFrame:
     """E5 (update): a new non-blank barcode conflicts when another row of the
     same dataset (not the row itself) already has it."""

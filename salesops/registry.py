@@ -615,6 +615,49 @@ def q_inventory_conflicts(spark, d):
     return records.inventory_conflicts(T.inventory_candidates(spark, d), T.inventory(spark, d))
 
 
+_CREATED = """ccand AS (SELECT candidate_id, dataset_id, item_id, 'Item ' || CAST(candidate_id AS VARCHAR) AS item_name,
+    CASE WHEN candidate_id % 9 = 0 THEN ' ' ELSE 'c' END AS item_category,
+    CASE WHEN candidate_id % 3 = 0 THEN '' ELSE 'B' || CAST(candidate_id % 4 AS VARCHAR) END AS barcode_number FROM pp)"""
+
+
+@register(
+    "create_inventory",
+    "WITH RECURSIVE " + _PROPOSED + "," + _CREATED + """,
+    s AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY candidate_id) AS pos FROM ccand),
+    r AS (SELECT dataset_id, CAST(0 AS BIGINT) AS pos, CAST(1001 AS BIGINT) AS due, false AS accepted, CAST([] AS VARCHAR[]) AS bcs FROM (SELECT DISTINCT dataset_id FROM s)
+          UNION ALL
+          SELECT dataset_id, pos, due + CASE WHEN ok THEN 1 ELSE 0 END, ok, CASE WHEN ok AND barcode_number <> '' THEN list_append(bcs, barcode_number) ELSE bcs END
+          FROM (SELECT s.dataset_id, s.pos, r.due, r.bcs, s.barcode_number,
+                       trim(s.item_id) = 'I' || CAST(r.due AS VARCHAR) AND trim(s.item_category) <> '' AND NOT list_contains(r.bcs, s.barcode_number) AS ok
+                FROM r JOIN s ON s.dataset_id = r.dataset_id AND s.pos = r.pos + 1) x)
+    SELECT s.candidate_id, s.dataset_id, s.item_id, r.accepted FROM r JOIN s ON s.dataset_id = r.dataset_id AND s.pos = r.pos""",
+)
+def q_create_inventory(spark, d):
+    """Proposals into an inventory that holds other datasets only, so ids and barcodes clash within the batch."""
+    c = _proposed(spark, d)
+    c = c.withColumns({
+        "item_name": F.concat(F.lit("Item "), F.col("candidate_id").cast("string")),
+        "item_category": F.when(F.col("candidate_id") % 9 == 0, F.lit(" ")).otherwise(F.lit("c")),
+        "barcode_number": F.when(F.col("candidate_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("B"), (F.col("candidate_id") % 4).cast("string"))),
+        "cost_price": F.lit(1).cast("decimal(10,2)"), "selling_price": F.lit(2).cast("decimal(10,2)"),
+    })
+    inventory = T.inventory(spark, d).withColumn("dataset_id", F.col("dataset_id") + 1000)
+    return records.create_inventory(c, inventory, T.datasets(spark, d))
+
+
+register(
+    "by_owner",
+    "SELECT c_custkey AS dataset_id, CAST(c_nationkey AS BIGINT) AS user_id FROM customer WHERE c_custkey = 7 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 7)",
+)(lambda spark, d: clean.by_owner(
+    T.datasets(spark, d).select("dataset_id", "user_id"), "dataset_id", 7, "user_id", T.datasets(spark, d).where("dataset_id = 7").select("user_id").scalar()))
+register("iequals", "SELECT c_custkey AS dataset_id FROM customer WHERE upper(c_mktsegment) = 'BUILDING'")(
+    lambda spark, d: T.table(spark, d, "customer").where(clean.iequals("c_mktsegment", "bUiLdInG")).select(F.col("c_custkey").alias("dataset_id"))
+)
+register("not_self", "SELECT c_custkey AS dataset_id FROM customer WHERE c_custkey <> 7")(
+    lambda spark, d: clean.not_self(T.datasets(spark, d).select("dataset_id"), "dataset_id", 7)
+)
+
+
 @register(
     "barcode_update_conflicts",
     _with(
@@ -856,7 +899,17 @@ register(
     + f"""SELECT conv_id, turn, lower({O.strip('role')}) AS role, {O.strip("coalesce(text, '')")} AS content FROM r
         WHERE rn <= {HISTORY_KEEP} AND lower({O.strip('role')}) IN ('user', 'assistant') AND {O.strip("coalesce(text, '')")} <> ''""",
 )(lambda spark, d: msg.recent_history(T.messages(spark, d)))
-register("chat_payload", None)(lambda spark, d: msg.chat_payload(T.messages(spark, d), model="assistant-model"))
+register(
+    "chat_payload",
+    f"""WITH m AS (SELECT conv_id, turn, lower({O.strip('role')}) AS role, {O.strip("coalesce(text, '')")} AS content, text FROM conversations),
+      u AS (SELECT conv_id, max(turn) AS last FROM m WHERE role = 'user' GROUP BY 1),
+      r AS (SELECT m.*, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn DESC) AS rn FROM m JOIN u ON u.conv_id = m.conv_id AND m.turn < u.last),
+      h AS (SELECT conv_id, list({{'role': role, 'content': content}} ORDER BY turn) AS hist FROM r
+            WHERE rn <= 8 AND role IN ('user', 'assistant') AND content <> '' GROUP BY 1)
+    SELECT u.conv_id, CAST(to_json({{'model': 'assistant-model', 'temperature': 0.2, 'max_tokens': 500,
+        'messages': list_concat([{{'role': 'system', 'content': {O.q(msg.DEFAULT_SYSTEM_PROMPT)}}}], coalesce(h.hist, []), [{{'role': 'user', 'content': m.text}}])}}) AS VARCHAR) AS payload
+    FROM u JOIN m ON m.conv_id = u.conv_id AND m.turn = u.last LEFT JOIN h ON h.conv_id = u.conv_id""",
+)(lambda spark, d: msg.chat_payload(T.messages(spark, d), model="assistant-model"))
 
 register(
     "drop_all_null_rows",
@@ -875,7 +928,17 @@ register(
               substr(c_mktsegment, 1, 80) AS c_mktsegment
        FROM customer ORDER BY customer.c_custkey LIMIT 20""",
 )(lambda spark, d: prof.sample_rows(T.table(spark, d, "customer"), ["c_custkey"]))
-register("profile_text", None)(lambda spark, d: prof.profile_text(T.table(spark, d, "customer"), "customer.csv", ["c_custkey"]))
+register(
+    "profile_text",
+    """WITH s AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 20)
+    SELECT substr('Dataset name: customer.csv' || chr(10) || 'Rows: ' || (SELECT count(*) FROM customer) || chr(10)
+      || 'Columns (5): c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' || chr(10)
+      || 'Column types: c_custkey: int64; c_name: object; c_nationkey: int64; c_acctbal: float64; c_mktsegment: object' || chr(10)
+      || 'Sample rows (first ' || count(*) || '): [' || string_agg(
+           '{"c_custkey": "' || c_custkey || '", "c_name": "' || c_name || '", "c_nationkey": "' || c_nationkey
+           || '", "c_acctbal": "' || c_acctbal || '", "c_mktsegment": "' || c_mktsegment || '"}', ', ' ORDER BY c_custkey) || ']', 1, 7000) AS context
+    FROM s""",
+)(lambda spark, d: prof.profile_text(T.table(spark, d, "customer"), "customer.csv", ["c_custkey"]))
 
 
 # ---------------------------------------------------------------------------

@@ -78,3 +78,29 @@ def test_rounding(spark):
     assert got == [round(1 / 32 * 100, 2), round(23 / 160 * 100, 2), round(1 / 3 * 100, 2)] == [3.12, 14.37, 33.33]
     q = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "q double").select(F.bround("q", 0).cast("long")).collect()
     assert [r[0] for r in q] == [round(0.5), round(1.5), round(2.5)] == [0, 2, 2]
+
+
+def test_profile_text_is_written_like_json_dumps(spark):
+    import json
+
+    import pytest
+
+    from salesops.operators.profile import profile_text
+
+    rows = [(1, 'é "q" \\ \n\t 日本 😀 /'), (2, None), (None, None)]
+    df = spark.createDataFrame(rows, "a long, ` b` string")
+    text = profile_text(df, "x.csv", ["a"]).first().context
+    want = json.dumps([{"a": "1", "b": rows[0][1]}, {"a": "2", "b": None}], ensure_ascii=True)
+    assert text == f"Dataset name: x.csv\nRows: 2\nColumns (2): a, b\nColumn types: a: int64; b: object\nSample rows (first 2): {want}"
+    with pytest.raises(Exception, match="The uploaded dataset is empty"):
+        profile_text(df.where("a is null"), "x.csv", ["a"]).collect()
+
+
+def test_names_of_any_script_and_trailing_slashes(spark):
+    from pyspark.sql import functions as F
+
+    from salesops.sources.catalog import basename, valid_filename
+
+    df = spark.createDataFrame([(" Märkte 2024.xlsx", "a/b.xlsx/"), ("日本_1-a.csv", "../c//"), ("a b?.x", "/")], "n string, p string")
+    got = df.select(valid_filename(F.col("n")).alias("n"), basename(F.col("p")).alias("p")).collect()
+    assert [(x.n, x.p) for x in got] == [("Märkte_2024.xlsx", "b.xlsx"), ("日本_1-a.csv", "c"), ("a_b.x", "")]
