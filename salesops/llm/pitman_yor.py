@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from salesops.llm.common import batch_word_hashes, mix64, shared_path, small, stored
 
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_ITEMS = 400_000
 BURN_IN, SAMPLES = 1, 2
 THETA, ROOT_THETA = 1.0, 1.0
@@ -299,23 +299,38 @@ def table_mail(u: np.ndarray, w: np.ndarray, t: np.ndarray, bucket: int, n_words
     return [(k, bucket, pack(ids[at], by_u[at], by_w[at])) for k, at in deal(ids % n_words, n_words)]
 
 
-def sum_tables(n_words: int, d0: float, vocabulary: int, root_before: int, seed: int):
-    """A word bucket: customers and tables of its words in the root, tables of its contexts."""
+def add_tables(lists: list, tables: np.ndarray, customers: np.ndarray, n_words: int) -> None:
+    for ids, by_u, by_w in lists:
+        at = ids.astype(np.int64) // n_words
+        tables[at] += by_u.astype(np.int64)
+        customers[at] += by_w.astype(np.int64)
+
+
+def sum_once(n_words: int):
+    """A word bucket: what the pairs seen once add to its words, the same in every sweep (block -1)."""
 
     def run(key: tuple[pa.Scalar, ...], sent: pa.Table, words: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
         (count,) = unpack(words["payload"].to_pylist()[0])
         tables, customers = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+        add_tables([unpack(p) for p in sent["payload"].to_pylist()], tables, customers, n_words)
+        return pa.Table.from_batches([mail([(key[0].as_py(), -1, pack(tables, customers))])])
+
+    return run
+
+
+def sum_tables(n_words: int, d0: float, vocabulary: int, root_before: int, seed: int):
+    """A word bucket: customers and tables of its words in the root, tables of its contexts."""
+
+    def run(key: tuple[pa.Scalar, ...], sent: pa.Table, once: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        tables, customers = (x.astype(np.int64) for x in unpack(once["payload"].to_pylist()[0]))
         lists = [(b, unpack(p)) for b, p in zip(sent["block"].to_pylist(), sent["payload"].to_pylist(), strict=True)]
-        for _, (ids, by_u, by_w) in lists:
-            at = ids.astype(np.int64) // n_words
-            tables[at] += by_u.astype(np.int64)
-            customers[at] += by_w.astype(np.int64)
+        add_tables([x for _, x in lists], tables, customers, n_words)
         rng = np.random.default_rng([seed, bucket])
         some = np.flatnonzero(customers)
-        root = np.zeros(len(count), np.int64)
+        root = np.zeros(len(tables), np.int64)
         root[some] = sample_tables(customers[some], np.full(len(some), float(root_before)), np.full(len(some), 1.0 / (vocabulary + 1)), ROOT_THETA, d0, rng, log_stirling(d0))
-        rows = [(bucket, block, pack(x[0], tables[at], customers[at], root[at])) for block, x in lists if block >= 0 for at in [x[0].astype(np.int64) // n_words]]
+        rows = [(bucket, block, pack(x[0], tables[at], customers[at], root[at])) for block, x in lists for at in [x[0].astype(np.int64) // n_words]]
         rows.append((bucket, -1, pack(tables, customers, root)))
         return pa.Table.from_batches([mail(rows)])
 
@@ -367,17 +382,15 @@ def send_tables(n_words: int):
 
 
 def answer_pairs(key: tuple[pa.Scalar, ...], sent: pa.Table, state: pa.Table) -> pa.Table:
-    """To each block: count and kept tables (summed over samples) of its pairs."""
+    """To each block: its pairs' counts and, of those seen more than once, the kept tables (summed over samples)."""
     bucket = key[0].as_py()
     blocks, place, u, w, c = merged_pairs(sent)
-    tables = np.where(c > 0, SAMPLES, 0).astype(np.int64)
-    r = state.to_pylist()[0]
-    kept = unpack(r["kept"])[0].astype(np.int64)
-    tables[np.flatnonzero(c > 1)] = kept  # the state keeps repeated pairs in this order
+    tables = np.zeros(len(c), np.int64)
+    tables[c > 1] = unpack(state.to_pylist()[0]["kept"])[0].astype(np.int64)  # the state keeps repeated pairs in this order
     rows, at = [], 0
     for block, n in blocks:
         own = place[at : at + n]
-        rows.append((bucket, block, pack(c[own], tables[own])))
+        rows.append((bucket, block, pack(c[own], tables[own][c[own] > 1])))
         at += n
     return pa.Table.from_batches([mail(rows)])
 
@@ -413,7 +426,13 @@ def score_block(n_words: int, n_pairs: int, d: float, d0: float, vocabulary: int
         context = count.copy()
         context[start] = n_train
         u, w, which = block_pairs(place, sizes, len(words), start)
-        c, tables = answers(of_pairs, pair_bucket(ids[u], ids[w], context[u], n_pairs), n_pairs, 2)
+        c, tables = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        by = dict(zip(of_pairs["bucket"].to_pylist(), of_pairs["payload"].to_pylist(), strict=True))
+        for k, at in deal(pair_bucket(ids[u], ids[w], context[u], n_pairs), n_pairs):
+            seen, more = (x.astype(np.int64) for x in unpack(by[k]))
+            c[at], own_tables = seen, np.where(seen == 1, SAMPLES, 0)  # a pair seen once has one table in every sample
+            own_tables[seen > 1] = more
+            tables[at] = own_tables
         chance = (SAMPLES * c - d * tables).astype(np.float64)
         for s, (total, root_total) in enumerate(totals):
             own_tables, customers, root = rest[3 * s : 3 * s + 3]
@@ -487,13 +506,14 @@ def score_documents(docs: DataFrame, *, held_out: Column, id_col: str = "doc_id"
     counted = stored(sent.groupBy("bucket").applyInArrow(count_pairs(wb), COUNTED), "pair-counts")
     state = counted.where("payload is null").select(*[x.split()[0] for x in STATE.split(", ")])
     once = counted.where("payload is not null").select("bucket", "block", "payload")
+    once = stored(once.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(sum_once(wb), MAIL), "pairs-once")
     one, two = state.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
     d, d0 = discount(one, two), discount(v1, v2)
     samples, sums = [], []
     root_before = vocabulary  # the root's tables in the sweep before; at first one for each word
     for k in range(BURN_IN + SAMPLES + 1):
         mailed = state.select("bucket", "u", "w", "t").mapInArrow(send_tables(wb), MAIL)
-        summed = mailed.unionByName(once).groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(sum_tables(wb, d0, vocabulary, root_before, seed * 100 + k), MAIL)
+        summed = mailed.groupBy("bucket").cogroup(once.groupBy("bucket")).applyInArrow(sum_tables(wb, d0, vocabulary, root_before, seed * 100 + k), MAIL)
         summed = stored(summed, "tables")
 
         def root_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
