@@ -7,7 +7,8 @@ occurrences over all orders.
 Plan, the same for every input:
 
 * ``distinct(OrderID, Item)`` first — repeated items in an order count once,
-  and the year filter is applied before it (pushed into the scan);
+  and the year filter is applied before it (pushed into the scan). These rows
+  are read several times below, so they are materialised once (``checkpoint``);
 * the total is Σ n(n-1)/2 over per-order distinct item counts: an aggregate,
   no pairs are formed for it;
 * a pair's count is at most the support (number of orders) of either item. The
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from salesops.constants import PAIR_SEPARATOR, TOP_PAIRS
 from salesops.operators.clean import by_year, clean_for
+from salesops.session import checkpoint_dir
 
 
 def order_items(df: DataFrame, year) -> DataFrame:
@@ -67,6 +69,8 @@ def _pairs(d: DataFrame) -> DataFrame:
 
 
 def _top_pairs(d: DataFrame, limit: int) -> DataFrame:
+    checkpoint_dir(d.sparkSession)
+    d = d.checkpoint(eager=True)
     support = d.groupBy("Item").agg(F.count(F.lit(1)).alias("support"))
     best = support.orderBy(F.desc("support"), "Item").limit(BOUND_ITEMS).select("Item")
     bound = _pairs(d.join(F.broadcast(best), "Item")).orderBy(*_order()).limit(limit)  # best: at most BOUND_ITEMS rows
