@@ -8,7 +8,7 @@ Plan, the same for every input:
 
 * ``distinct(OrderID, Item)`` first — repeated items in an order count once,
   and the year filter is applied before it (pushed into the scan). These rows
-  are read several times below, so they are materialised once (``checkpoint``);
+  are read several times below, so they are written once below the shared folder;
 * the total is Σ n(n-1)/2 over per-order distinct item counts: an aggregate,
   no pairs are formed for it;
 * a pair's count is at most the support (number of orders) of either item. The
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from salesops.constants import PAIR_SEPARATOR, TOP_PAIRS
 from salesops.operators.clean import by_year, clean_for
-from salesops.session import checkpoint_dir
+from salesops.sources.files import written
 
 
 def order_items(df: DataFrame, year) -> DataFrame:
@@ -42,7 +42,7 @@ def order_items(df: DataFrame, year) -> DataFrame:
 
 def pair_counts(df: DataFrame, year) -> DataFrame:
     """Every co-occurring pair: (item_a, item_b, count, first_order), item_a < item_b."""
-    return _pairs(order_items(df, year))
+    return _pairs(_blocked(order_items(df, year)))
 
 
 # Items of one order that one block holds, and the items whose pairs give the
@@ -55,10 +55,14 @@ def _order():
     return [F.desc("count"), F.asc("first_order"), F.asc("item_a"), F.asc("item_b")]
 
 
-def _pairs(d: DataFrame) -> DataFrame:
-    """Pairs of distinct (OrderID, Item) rows with their count and first order."""
+def _blocked(d: DataFrame) -> DataFrame:
+    """Distinct (OrderID, Item) rows with the order's number of blocks and the item's own."""
     sizes = d.groupBy("OrderID").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).cast("int").alias("blocks"))
-    x = d.join(sizes, "OrderID").withColumn("own", F.pmod(F.xxhash64("Item"), F.col("blocks")).cast("int"))
+    return d.join(sizes, "OrderID").withColumn("own", F.pmod(F.xxhash64("Item"), F.col("blocks")).cast("int"))
+
+
+def _pairs(x: DataFrame) -> DataFrame:
+    """Pairs of ``_blocked`` rows with their count and first order."""
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = x.select("OrderID", F.col("Item").alias("item_a"), F.col("own").alias("block_a"), every.alias("block_b"))
     b = x.select("OrderID", F.col("Item").alias("item_b"), F.col("own").alias("block_b"), every.alias("block_a"))
@@ -69,14 +73,13 @@ def _pairs(d: DataFrame) -> DataFrame:
 
 
 def _top_pairs(d: DataFrame, limit: int) -> DataFrame:
-    checkpoint_dir(d.sparkSession)
-    d = d.checkpoint(eager=True)
-    support = d.groupBy("Item").agg(F.count(F.lit(1)).alias("support"))
+    x = written(_blocked(d), "order-items")
+    support = x.groupBy("Item").agg(F.count(F.lit(1)).alias("support"))
     best = support.orderBy(F.desc("support"), "Item").limit(BOUND_ITEMS).select("Item")
-    bound = _pairs(d.join(F.broadcast(best), "Item")).orderBy(*_order()).limit(limit)  # best: at most BOUND_ITEMS rows
+    bound = _pairs(x.join(F.broadcast(best), "Item", "left_semi")).orderBy(F.desc("count")).limit(limit)  # best: at most BOUND_ITEMS rows
     floor = bound.agg(F.when(F.count(F.lit(1)) == limit, F.min("count")).otherwise(F.lit(1))).scalar()
     frequent = support.where(F.col("support") >= floor).select("Item")
-    return _pairs(d.join(frequent, "Item")).orderBy(*_order()).limit(limit)
+    return _pairs(x.join(frequent, "Item", "left_semi")).orderBy(*_order()).limit(limit)
 
 
 def market_basket(df: DataFrame, year, limit: int = TOP_PAIRS) -> DataFrame:

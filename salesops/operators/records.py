@@ -35,7 +35,7 @@ from salesops.constants import (
 )
 from salesops.functions.text import py_strip
 from salesops.plans.numbering import number_within, running_max_within
-from salesops.session import checkpoint_dir
+from salesops.sources.files import written
 
 
 def _text_ok(col: Column, max_len: int) -> Column:
@@ -157,8 +157,7 @@ def record_sales(headers: DataFrame, lines: DataFrame, datasets: DataFrame) -> D
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "batch")
 
 
 def accepted_item_ids(candidates: DataFrame, datasets: DataFrame, order_col: str = "candidate_id") -> DataFrame:

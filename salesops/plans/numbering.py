@@ -5,9 +5,8 @@ to one task; with a key holding a third of the data that task is the job.
 Here a key's rows are spread over range partitions instead, with one shuffle:
 
 1. range-partition on (key, order) — a hot key spans many partitions — sort
-   inside each and materialise that once with ``checkpoint()`` in the shared
-   checkpoint folder, so pieces and places stay fixed even if executors are
-   lost and tasks rerun;
+   inside each and write that once, with each row's piece and place, below the
+   shared checkpoint folder, so they stay fixed even if executors are lost;
 2. a row's place in its partition is known from there on; the first place and
    the number of rows of each (key, partition) are one small aggregate, at most
    #partitions rows per key;
@@ -22,17 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesops.session import checkpoint_dir
+from salesops.sources.files import written
 
 
 def _ranged(df: DataFrame, keys, order, partitions: int | None) -> DataFrame:
     """Range-partitioned and sorted on keys + order, with ``_part`` and the place ``_at``, materialised once."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c) for c in [*keys, *order]]
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_at": place}).checkpoint(eager=True)
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_at": place})
+    return written(ranged, "ranged")
 
 
 def _before(keys):

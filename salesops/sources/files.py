@@ -57,6 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "salesops-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below the shared checkpoint folder, read back.
+
+    Cuts lineage and fixes row ids and places. Unlike an unpersisted
+    ``checkpoint``, the rows are computed once.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_partitions(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.year("Date")).withColumn("month", F.month("Date"))
 
