@@ -1,7 +1,7 @@
 """The registered queries: one per operator, each with its DuckDB oracle.
 
 Each entry maps a key to ``(spark_fn, oracle_sql)``. ``spark_fn(spark,
-sf_dir)`` returns a lazy DataFrame over the driver's tables; ``oracle_sql`` is
+sf_dir)`` returns a DataFrame over the driver's tables; ``oracle_sql`` is
 the same result in DuckDB SQL over the pre-registered views (``None`` where
 the result is not expressible in SQL and is checked by own tests instead).
 

@@ -220,7 +220,7 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = lines.groupBy("request_id").agg(
         F.sort_array(F.collect_list(F.struct("line", "item", "quantity", "price", "category"))).alias("_items")
     )
-    j = h.join(items, "request_id")
+    j = h.join(items, "request_id", "left")  # a request without items arrives too (E3 refuses it)
     return j.select(
         "dataset_id", "request_id", "ts", "payment_type",
         F.concat(F.lit("O"), F.col("request_id").cast("string")).alias("OrderID"),
