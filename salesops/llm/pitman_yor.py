@@ -151,7 +151,7 @@ def token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             place = place[:-2]
             sizes = np.array([len(h) for h in held], np.int64)
             counts = np.bincount(place[np.repeat(np.array(train, bool), sizes)], minlength=len(words))
-            cols = [[(task << 32) + seq], [len(words)], [int(sizes.sum())], [ids], [sizes.tolist()], [train], [pack(place)], [pack(np.diff(words, prepend=np.uint64(0)))], [pack(counts)]]
+            cols = [[(task << 32) + seq], [len(words)], [int(sizes.sum())], [ids], [sizes.tolist()], [train], [pack(_ranks(counts)[place])], [pack(np.diff(words, prepend=np.uint64(0)))], [pack(counts)]]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -171,6 +171,19 @@ def token_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
     return docs.mapInArrow(cut, BLOCKS)
 
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Rank of each word of a block by falling count: small numbers for frequent words pack well."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts.astype(np.int64), kind="stable")] = np.arange(len(counts))
+    return rank
+
+
+def tokens_of(row: dict) -> np.ndarray:
+    """Each token's place among the block's words."""
+    (ranks,), (counts,) = unpack(row["tokens"]), unpack(row["counts"])
+    return np.argsort(-counts.astype(np.int64), kind="stable")[ranks.astype(np.int64)]
+
+
 def words_of(row: dict) -> np.ndarray:
     return np.cumsum(unpack(row["words"])[0])  # sorted; kept as differences
 
@@ -221,13 +234,34 @@ def answers(rows: pa.Table, bucket: np.ndarray, n: int, width: int) -> list[np.n
 # --- pairs -------------------------------------------------------------------
 
 
-def block_pairs(place: np.ndarray, sizes: np.ndarray, n_words: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, word) places of a block, and which pair each token is."""
+def block_pairs(place: np.ndarray, sizes: np.ndarray, ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) places of a block in the order of their numbers, and which pair each token is."""
+    n_words = len(ids)
     before = np.empty(len(place), np.int64)
     before[1:] = place[:-1]
     before[np.cumsum(sizes) - sizes] = start
     pairs, which = np.unique(before * n_words + place, return_inverse=True)
-    return pairs // n_words, pairs % n_words, which
+    u, w = pairs // n_words, pairs % n_words
+    order = np.lexsort((ids[w], ids[u]))
+    turn = np.empty(len(order), np.int64)
+    turn[order] = np.arange(len(order))
+    return u[order], w[order], turn[which]
+
+
+def pack_pairs(u: np.ndarray, w: np.ndarray, seen: np.ndarray) -> bytes:
+    """Pairs sorted by (u, w), as differences."""
+    new = np.diff(u, prepend=-1) > 0
+    return pack(np.diff(u, prepend=0), np.where(new, w, np.diff(w, prepend=0)), seen)
+
+
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    du, dw, seen = unpack(data)
+    new = du > 0
+    new[:1] = True
+    total = np.cumsum(dw)
+    first = np.flatnonzero(new)
+    before = (total[first] - dw[first])[np.cumsum(new) - 1]
+    return np.cumsum(du), total - before, seen
 
 
 def pair_bucket(u: np.ndarray, w: np.ndarray, count_u: np.ndarray, n: int) -> np.ndarray:
@@ -241,12 +275,11 @@ def send_pairs(n_words: int, n_pairs: int, n_train: int):
         r = blocks.to_pylist()[0]
         words = words_of(r)
         ids, count = answers(replies, word_bucket(words, n_words), n_words, 2)
-        (place,) = unpack(r["tokens"])
-        sizes, start = np.array(r["sizes"], np.int64), int(np.searchsorted(words, START))
+        place, sizes, start = tokens_of(r), np.array(r["sizes"], np.int64), int(np.searchsorted(words, START))
         count[start] = n_train
-        u, w, which = block_pairs(place.astype(np.int64), sizes, len(words), start)
+        u, w, which = block_pairs(place, sizes, ids, start)
         seen = np.bincount(which[np.repeat(np.array(r["train"], bool), sizes)], minlength=len(u))
-        rows = [(k, r["block"], pack(ids[u[at]], ids[w[at]], seen[at])) for k, at in deal(pair_bucket(ids[u], ids[w], count[u], n_pairs), n_pairs)]
+        rows = [(k, r["block"], pack_pairs(ids[u[at]], ids[w[at]], seen[at])) for k, at in deal(pair_bucket(ids[u], ids[w], count[u], n_pairs), n_pairs)]
         return pa.Table.from_batches([mail(rows)])
 
     return run
@@ -254,7 +287,7 @@ def send_pairs(n_words: int, n_pairs: int, n_train: int):
 
 def merged_pairs(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A pair bucket's distinct pairs: (sizes by block, place of each item, u, w, c), in a fixed order."""
-    lists = [unpack(p) for p in t["payload"].to_pylist()]
+    lists = [unpack_pairs(p) for p in t["payload"].to_pylist()]
     u, w, c = (np.concatenate([x[i] for x in lists]) for i in range(3))
     _, first, place = np.unique(mix64(u) + w * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
     total = np.bincount(place, c.astype(np.float64), minlength=len(first)).astype(np.int64)
@@ -421,11 +454,10 @@ def score_block(n_words: int, n_pairs: int, d: float, d0: float, vocabulary: int
         words = words_of(r)
         of_words, of_pairs = (replies.filter(pa.compute.equal(replies["kind"], k)) for k in ("word", "pair"))
         ids, count, *rest = answers(of_words, word_bucket(words, n_words), n_words, 2 + 3 * SAMPLES)
-        (place,) = unpack(r["tokens"])
-        place, sizes, start = place.astype(np.int64), np.array(r["sizes"], np.int64), int(np.searchsorted(words, START))
+        place, sizes, start = tokens_of(r), np.array(r["sizes"], np.int64), int(np.searchsorted(words, START))
         context = count.copy()
         context[start] = n_train
-        u, w, which = block_pairs(place, sizes, len(words), start)
+        u, w, which = block_pairs(place, sizes, ids, start)
         c, tables = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
         by = dict(zip(of_pairs["bucket"].to_pylist(), of_pairs["payload"].to_pylist(), strict=True))
         for k, at in deal(pair_bucket(ids[u], ids[w], context[u], n_pairs), n_pairs):

@@ -205,6 +205,14 @@ def test_packed_arrays():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, P.unpack(P.pack(*arrays)), strict=True))
 
 
+def test_packed_pairs():
+    rng = np.random.default_rng(1)
+    u, w = rng.integers(0, 40, 500), rng.integers(0, 2**33, 500)
+    order = np.lexsort((w, u))
+    got = P.unpack_pairs(P.pack_pairs(u[order], w[order], u[order] + 1))
+    assert all((a == b).all() for a, b in zip(got, (u[order], w[order], u[order] + 1), strict=True))
+
+
 def test_pipeline_stages(spark, make_docs, copies, edge, tmp_path):
     docs = make_docs([*copies, *edge]).withColumn("mix", F.lit("clash")).withColumn("quality_score", F.lit("clash"))
     labels = spark.createDataFrame([(d, 1, 0) for d, _ in copies[:50]], "doc_id long, quality int, toxic int")
