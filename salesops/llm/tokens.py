@@ -9,13 +9,14 @@ property for the file in use, and other files are encoded text by text.
 from __future__ import annotations
 
 import os
-import unicodedata
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
 # Chunks remembered by one task; when full the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 # Characters of text encoded at a time, cut at white space.
 PIECE_BYTES = 1 << 22
 # Marks that always stand alone for the vocabulary when they end a word.
@@ -38,17 +39,19 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if chunk[-1] in _TAIL and unicodedata.normalize("NFC", chunk[:-1].decode()).lower()[-1:].isalpha():
+        text = chunk.decode()
+        # A mark after a Latin letter stands apart; Latin letters are lowered one by one.
+        if chunk[-1] in _TAIL and text[-2:-1].isalpha() and text[-2] < "\u0130":
             ids = self[chunk[:-1]] + self[chunk[-1:]]
-        elif chunk.isalpha() and (small := chunk.lower()) != chunk:
-            ids = self[small]
+        elif text.isalpha() and max(text) < "\u0130" and (small := text.lower()) != text:
+            ids = self[small.encode()]
         else:
-            ids = self.direct(chunk.decode("utf-8"))
+            ids = self.direct(text)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
@@ -82,6 +85,8 @@ def encoder(path: str) -> ChunkIds:
 
 def check_chunks(ids: ChunkIds) -> None:
     """Fail early on a file whose ids depend on what stands around a chunk."""
+    if array("I").itemsize != 4 or sys.byteorder != "little":
+        raise ValueError("ids are held as little-endian unsigned 32-bit integers")
     probe = "It's 12 o'clock, they've\tsaid: \"no\"!?\nÉté-- ñandú; (x_y) 3.14 a.b,c <|endoftext|> THE End."
     if ids.encode(probe) != ids.direct(probe):
         raise ValueError("the tokenizer's ids of a text are not those of its white-space separated chunks")
