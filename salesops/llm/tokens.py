@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-# Chunks remembered by one task; when full the memory starts anew.
-REMEMBERED = 1_000_000
+# Chunks remembered by one task in each of two generations: when the newer is
+# full it becomes the older, and what is met again moves on to the newer.
+REMEMBERED = 500_000
 # Characters of text encoded at a time, cut at white space.
 PIECE_BYTES = 1 << 22
 # Marks that always stand alone for the vocabulary when they end a word.
@@ -41,21 +42,28 @@ class ChunkIds(dict):
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    older: dict[bytes, bytes] = {}  # noqa: RUF012 - replaced, never changed
+
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > REMEMBERED:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.made(chunk)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        text = chunk.decode()
-        # A mark after a Latin letter stands apart; Latin letters are lowered one by one.
-        if chunk[-1] in _TAIL and text[-2:-1].isalpha() and text[-2] < "\u0130":
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        elif text.isalpha() and max(text) < "\u0130" and (small := text.lower()) != text:
-            ids = self[small.encode()]
-        else:
-            ids = self.direct(text)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
+    def made(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        # A mark after a Latin letter stands apart; Latin letters are lowered one by one.
+        if chunk[-1] in _TAIL and text[-2:-1].isalpha() and text[-2] < "\u0130":
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        if text.isalpha() and max(text) < "\u0130" and (small := text.lower()) != text:
+            return self[small.encode()]
+        return self.direct(text)
+
     def encode(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
         if len(data) <= PIECE_BYTES:
