@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,16 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 # Elements that never have an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is not text of the page.
-RAW = "script|style|noscript|template|iframe|svg|canvas|select|textarea|button|object|math|title|head"
+# Elements whose content is no markup; it goes on to their end tag and is not text of the page.
+RAW = frozenset("script style noscript iframe textarea title".split())
+# Elements of markup that is not text of the page. Without an end tag they hide nothing.
+HIDING = frozenset("template svg canvas select button object".split())
+# Formulas are text within their paragraph; drawing elements are only met in an svg that has no end tag.
+MATH = frozenset(
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+DRAWING = frozenset("circle clippath defs ellipse g line lineargradient mask path polygon polyline radialgradient rect stop symbol text tspan use".split())
 # Enclosing elements and words in class, id or role that mark page furniture.
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
 FURNITURE_WORDS = frozenset(
@@ -50,8 +59,8 @@ ANYWHERE = [
     # article text: headings, paragraphs, short lines, links in prose
     (1, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 1, 0, 1), (8, 0.4, 0, 1, 0, 1), (12, 0.0, 0, 1, 0, 1), (30, 0.3, 0, 1, 0, 1), (70, 0.0, 0, 1, 0, 1), (200, 0.1, 0, 1, 0, 1),
     (2, 0.0, 0, 1, 1, 1), (9, 0.0, 0, 1, 1, 1), (10, 0.6, 0, 1, 0, 1),
-    # lists of links inside the article
-    (3, 1.0, 0, 1, 0, 0), (8, 1.0, 0, 1, 0, 0), (14, 0.9, 0, 1, 0, 0),
+    # links inside the article are its text, too
+    (3, 1.0, 0, 1, 0, 1), (8, 1.0, 0, 1, 0, 1), (14, 0.9, 0, 1, 0, 1),
 ]
 # Blocks of pages that mark no article: (words, links, words and links before, words and links after, heading, main)
 UNMARKED = [
@@ -109,9 +118,12 @@ def is_main(tree: Node, features: tuple) -> bool:
 
 
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*[^<>]*)>?|<[!?][^>]*>?",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*[^<>]*)>?|<[!?][^>]*>?",
     re.S | re.I,
 )
+# The tag that ends a raw element: of code the next end tag; a further start tag of the others shows that the first has no end.
+_RAW_END = {t: re.compile(rf"<({'/' if t in ('script', 'style') else '/?'}){t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
+_HIDING = re.compile(rf"<(?:{'|'.join(sorted(HIDING))})\b", re.I)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -140,6 +152,51 @@ def _role(tag: str, attrs: str) -> str:
     return found
 
 
+def _tags(page: str, ends: dict[int, int]) -> Iterator[tuple[re.Match, str, int]]:
+    """(markup, its tag or '', place after it and what it hides), in order.
+
+    ``ends``: where the hiding elements end, by the place of their start tag.
+    """
+    at = foreign = 0
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if tag in ("svg", "math") and not m["attrs"].endswith("/") and m.start() not in ends:
+            foreign = max(0, foreign + (-1 if m["end"] else 1))
+        if tag in RAW and not m["end"] and not (foreign and m["attrs"].endswith("/")):
+            end = _RAW_END[tag].search(page, at)
+            if end and end[1]:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+        at = ends.get(m.start(), at)
+        yield m, tag, at
+
+
+def _hiding_ends(page: str) -> dict[int, int]:
+    """Where the hiding elements that have an end tag end, by the place of their start tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    unended: Counter = Counter()
+    if not _HIDING.search(page):
+        return ends
+    for m, tag, _ in _tags(page, {}):
+        if not tag or tag in RAW or tag in VOID or tag in INLINE:
+            continue
+        if unended[tag] and (m["end"] or tag in ("button", "select")):  # these two do not nest
+            while True:
+                name, start = stack.pop()
+                unended[name] -= 1
+                if name == tag:
+                    break
+            if m["end"] and tag in HIDING:
+                ends[start] = m.end()
+        if not m["end"] and not m["attrs"].endswith("/"):
+            stack.append((tag, m.start()))
+            unended[tag] += 1
+    return ends
+
+
 @dataclass
 class Block:
     text: str
@@ -175,19 +232,20 @@ def text_blocks(page: str) -> list[Block]:
         heading -= tag in HEADINGS
 
     at = 0
-    for m in _MARKUP.finditer(page):
+    for m, tag, after in _tags(page, _hiding_ends(page)):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
                 link_parts.append(piece)
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] and m["raw"].lower() not in INLINE:
+        at = after
+        if not tag or tag in MATH or tag in DRAWING:
+            if tag in ("annotation", "annotation-xml", "mtr", "mtd"):
                 parts.append(" ")
             continue
-        tag = tag.lower()
+        if tag in RAW or tag in HIDING:
+            parts.append(" ")
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m["end"] else 1
@@ -196,6 +254,8 @@ def text_blocks(page: str) -> list[Block]:
             continue
         close()
         in_link = 0
+        if tag == "head":  # what it may hold is stepped over; anything else belongs to the body
+            continue
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -242,8 +302,9 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", labelled: list[tup
     the label).
 
     Defined cases: null or empty html, and pages without main text, give an
-    empty text of 0 characters; tags and comments left open end with the page;
-    equal pages give equal texts; columns already named ``text`` or
+    empty text of 0 characters; tags, comments, scripts and styles left open end
+    with the page; other elements without an end tag hide nothing; formulas and
+    links of an article are its text; equal pages give equal texts; columns already named ``text`` or
     ``n_chars`` are replaced; an empty table gives an empty result.
     """
     tree = train_tree(labelled or LABELLED)

@@ -49,6 +49,26 @@ def test_pages_without_a_marked_article():
     assert text.startswith("Some longer") and "More text" in text and "Home" not in text and not text.endswith("b")
 
 
+def test_elements_without_an_end_tag_hide_nothing():
+    tree = train_tree(LABELLED)
+    body = "Body of the article."
+    assert main_text(f"<html><head><title>X</title><meta charset=utf-8><body><article><p>{body}", tree) == body
+    assert main_text(f"<html><head><title>X</title><article><p>{body}", tree) == body
+    for tag in ("svg", "button", "object", "canvas", "select", "template", "iframe", "noscript", "textarea"):
+        for start in (f"<{tag} class=share-icon>", f'<{tag} class="share-icon"/>', f"<{tag}><path class=share-icon d=M0>"):
+            for end in ("", f"<div><{tag}>Off</{tag}></div>"):
+                assert main_text(f"<article><p>First.</p>{start}<p>{body}</p>{end}</article>", tree) == f"First.\n{body}", (start, end)
+        assert main_text(f"<article><p>One <{tag} id=a>two <i>three</i></{tag}> four.</p></article>", tree) == "One four."
+    assert main_text(f"<article><svg><title/><style/><g><svg><text>Off</text></svg></g></svg><p>{body}</article>", tree) == body
+    assert main_text(f"<article><p>{body}</p><script>x = '<p>';", tree) == body
+
+
+def test_formulas_and_links_of_an_article_are_text():
+    tree = train_tree(LABELLED)
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p><a href=/a>A paragraph that is one link</a></p><ul><li><a href=/b>Link</a></ul></article>", tree) == "Let x=1 be.\nA paragraph that is one link\nLink"
+    assert main_text('<nav><a href=/a>One</a></nav><article><p>Text.</p><div class="related"><a href=/b>Link</a></div></article>', tree) == "Text."
+
+
 def test_tree_fits_its_table():
     tree = train_tree(LABELLED)
     wrong = sum(is_main(tree, r[:-1]) != bool(r[-1]) for r in LABELLED)
