@@ -5,8 +5,9 @@ count) and every run of ``GRAM`` words is hashed; of each ``WINDOW``
 neighbouring hashes the smallest is kept (winnowing). An inverted index maps
 fingerprints to places in templates. Texts are fingerprinted the same way, so
 any run of ``GRAM + WINDOW - 1`` words shared with a template meets it in the
-index. Hits on neighbouring diagonals form a candidate, which an alignment
-within a band around them confirms: matched words, coverage and span.
+index. Every band of diagonals around a hit is a candidate, which an alignment
+within it confirms: matched words, coverage and span. The best match is taken
+first, and the words outside the spans taken are aligned again.
 
 The index is built from the templates alone and travels with each task; texts
 are scanned whole, where they are, without a shuffle.
@@ -14,7 +15,9 @@ are scanned whole, where they are, without a shuffle.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -131,24 +134,42 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, i
 
     Returns (matched words, first, last matched place in ``text``). Cell
     (i, j) matches template word i with text word j, |j - i - diagonal| <= BAND;
-    among equal counts the shorter span wins.
+    among equal counts the shorter span wins, then the first.
     """
     width = 2 * BAND + 1
-    best = [(0, 0, 0)] * width  # (matched, -first, -last) of row i, by j - i - diagonal + BAND
+    low = max(0, diagonal - BAND)
+    near = text[low : max(0, len(template) + diagonal + BAND)].tolist()
+    best = [(0, 0)] * width  # (matched, latest first) of row i, by j - i - diagonal + BAND
+    top = (0, 0, 0)  # (matched, first - last, -first)
     for i, word in enumerate(template.tolist()):
-        row: list[tuple[int, int, int]] = [(0, 0, 0)] * width
+        row = []
+        cell = (0, 0)
         for d in range(width):
-            j = i + diagonal + d - BAND
-            up = best[d + 1] if d + 1 < width else (0, 0, 0)  # skip a template word
-            left = row[d - 1] if d else (0, 0, 0)  # skip a text word
-            cell = max(up, left)
-            if 0 <= j < len(text) and int(text[j]) == word:
-                m, first, _ = best[d]
-                cell = max(cell, (m + 1, first if m else -j, -j))
-            row[d] = cell
+            j = i + diagonal + d - BAND - low
+            if d + 1 < width and best[d + 1] > cell:  # skip a template word; else a text word
+                cell = best[d + 1]
+            if 0 <= j < len(near) and near[j] == word:
+                m, first = best[d]
+                here = (m + 1, first if m else j)
+                cell = max(cell, here)
+                top = max(top, (here[0], here[1] - j, -here[1]))
+            row.append(cell)
         best = row
-    m, first, last = max(best)
-    return m, -first, -last
+    m, span, first = top
+    return (m, low - first, low - first - span) if m else (0, 0, 0)
+
+
+def reach(words: np.ndarray, template: np.ndarray, diagonals: np.ndarray, band: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """At most so many template words match ``words[low:high]`` within ``band`` of each diagonal."""
+    high = len(words) if high is None else high
+    at = np.arange(len(template))[:, None] + np.arange(-band, band + 1)
+    out = np.zeros(len(diagonals), np.int64)
+    step = max(1, (1 << 18) // at.size)
+    for k in range(0, len(diagonals), step):
+        j = diagonals[k : k + step, None, None] + at
+        same = (words[np.clip(j, 0, len(words) - 1)] == template[:, None]) & (j >= low) & (j < high)
+        out[k : k + step] = same.any(2).sum(1)
+    return out
 
 
 def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
@@ -159,24 +180,48 @@ def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tup
 
 
 def confirm(words, text, template, place, index, min_coverage) -> list[tuple[int, int, int, int]]:
-    found = []
-    for t in np.unique(template):
+    """Matches in the bands around the hits, the best first: most matched words, then better covered, shorter, earlier.
+
+    Each further match is aligned between the spans already found, until no
+    band holds one of the needed coverage.
+    """
+    spans: list[tuple[int, int, int, int]] = []  # (first, last, template, matched) in order
+
+    def best(t: int, d: int) -> tuple | None:
+        """The band's best match between the spans found, as a heap entry."""
+        own, top = index.words[t], None
+        need = min_coverage * len(own)
+        low, stop = max(0, d - BAND), min(len(words), d + len(own) + BAND)
+        at = max(0, bisect_left(spans, (low,)) - 1)
+        while low < stop:
+            while at < len(spans) and spans[at][1] < low:
+                at += 1
+            high = min(stop, spans[at][0]) if at < len(spans) else stop
+            if high - low >= need and reach(words, own, np.array([d]), BAND, low, high)[0] >= need:
+                m, first, last = align(words[low:high], own, d - low)
+                if m and m >= need:
+                    entry = (-m, -m / len(own), last - first, first + low, t, d, last + low)
+                    top = min(top or entry, entry)
+            low = spans[at][1] + 1 if at < len(spans) else stop
+        return top
+
+    # A band's entry stands at its best match while the words of that are free, before that at a bound of it.
+    heap: list[tuple] = []
+    for t in np.unique(template).tolist():
         own = template == t
-        diagonals = np.unique(text[own] - place[own])
-        groups = np.split(diagonals, np.flatnonzero(np.diff(diagonals) > BAND) + 1)
-        for g in groups:
-            # Hits of one group lie on close diagonals; each band's width of it is aligned.
-            for d in range(int(g[0]), int(g[-1]) + 1, BAND):
-                m, first, last = align(words, index.words[t], d)
-                if m >= min_coverage * len(index.words[t]):
-                    found.append((int(t), m, first, last))
-    # Of overlapping matches the one with most matched words stays, then the better covered.
-    found.sort(key=lambda x: (-x[1], -x[1] / len(index.words[x[0]]), x[2], x[0]))
-    kept: list[tuple[int, int, int, int]] = []
-    for f in found:
-        if all(f[3] < k[2] or f[2] > k[3] for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda x: x[2])
+        size = len(index.words[t])
+        bands = np.unique(np.unique(text[own] - place[own])[:, None] + np.arange(-BAND, BAND + 1))
+        most = reach(words, index.words[t], bands, BAND)
+        heap += [(-m, -m / size, 0, 0, t, d, -1) for d, m in zip(bands.tolist(), most.tolist(), strict=True) if m >= min_coverage * size]
+    heapify(heap)
+    while heap:
+        m, _, _, first, t, d, last = heappop(heap)
+        at = bisect_left(spans, (last + 1,))
+        if last >= 0 and not (at and spans[at - 1][1] >= first):
+            spans.insert(at, (first, last, t, -m))
+        if entry := best(t, d):
+            heappush(heap, entry)
+    return [(t, m, first, last) for first, last, t, m in spans]
 
 
 def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str, str]] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

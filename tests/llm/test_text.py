@@ -6,7 +6,7 @@ import pyspark.sql.types as T
 
 from salesops.llm.common import batch_word_hashes, word_hashes
 from salesops.llm.html_text import LABELLED, extract_text, is_main, main_text, train_tree
-from salesops.llm.licenses import TEMPLATES, Index, align, scan_licenses, winnow
+from salesops.llm.licenses import BAND, TEMPLATES, Index, align, scan_licenses, scan_words, winnow
 from salesops.llm.quality import fit, score_quality
 
 
@@ -105,6 +105,53 @@ def test_licenses_equal_plain_search_and_stand_edits(make_docs, edge):
     assert {r.doc_id for r in got} == {*range(100, 100 + len(lines)), 200, 202}
 
 
+def test_notices_close_together_are_all_found(make_docs):
+    line = "Released under the MIT License."
+    texts = [
+        (f"{line} {line}", 2), (" ".join([line] * 40), 40), (f"a.py {line} b.py {line} some c.py {line}", 3),
+        (f"Released under MIT License. {line}", 2), (f"{line} Licensed under CC BY 4.0. {line} Licensed under CC BY 4.0.", 4),
+        (f"{TEMPLATES[1][2]} {TEMPLATES[1][2]} {line}", 3),
+    ]
+    got = scan_licenses(make_docs([(i, t) for i, (t, _) in enumerate(texts)])).collect()
+    assert [sum(r.doc_id == i for r in got) for i in range(len(texts))] == [n for _, n in texts]
+    assert [texts[3][0][r.start_char : r.end_char] for r in got if r.doc_id == 3] == ["Released under MIT License", line[:-1]]
+
+
+def every_band(words, index, need, low, high):
+    """The best match of all templates and diagonals, then those on both of its sides."""
+    top = None
+    for t, own in enumerate(index.words):
+        for d in range(-len(own) - BAND, high - low + BAND):
+            m, first, last = align(words[low:high], own, d)
+            if m and m >= need * len(own):
+                top = min(top or (1,), (-m, -m / len(own), last - first, first + low, t, last + low))
+    if not top:
+        return []
+    m, _, _, first, t, last = top
+    return [*every_band(words, index, need, low, first), (t, -m, first, last), *every_band(words, index, need, last + 1, high)]
+
+
+def random_notices(rng, templates, fill, edits):
+    """A text of templates close together, ``edits`` words of each lost, changed or put in."""
+    out = []
+    for _ in range(int(rng.integers(1, 6))):
+        own = list(templates[rng.integers(len(templates))])
+        for _ in range(int(rng.integers(0, edits + 1))):
+            at = int(rng.integers(len(own)))
+            own[at : at + int(rng.integers(0, 2))] = [rng.choice(fill)] * int(rng.integers(0, 3))
+            own = own or [fill[0]]
+        out += [*own, *rng.choice(fill, int(rng.integers(0, 4)))]
+    return np.array(out, np.uint64)
+
+
+def test_close_notices_equal_brute_force():
+    index = Index([t for t in TEMPLATES if len(t[2]) < 50])
+    rng, fill = np.random.default_rng(3), np.arange(1, 9, dtype=np.uint64)
+    for _ in range(40):
+        words = random_notices(rng, index.words, fill, 0)
+        assert scan_words(words, index, 0.8) == every_band(words, index, 0.8, 0, len(words))
+
+
 def test_alignment_and_winnowing():
     t = np.array([5, 6, 7, 8, 9], np.uint64)
     assert align(np.array([1, 5, 6, 2, 7, 8, 9, 3], np.uint64), t, 1) == (5, 1, 6)
