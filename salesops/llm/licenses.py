@@ -1,13 +1,16 @@
-"""License scans: winnowed fingerprints, an inverted index, banded alignment.
+"""License scans: an inverted index of anchor words and winnowed fingerprints, banded alignment.
 
 Templates are split into words (letters and digits; case and marks do not
-count) and every run of ``GRAM`` words is hashed; of each ``WINDOW``
-neighbouring hashes the smallest is kept (winnowing). An inverted index maps
-fingerprints to places in templates. Texts are fingerprinted the same way, so
-any run of ``GRAM + WINDOW - 1`` words shared with a template meets it in the
-index. Every band of diagonals around a hit is a candidate, which an alignment
-within it confirms: matched words, coverage and span. The best match is taken
-first, and the words outside the spans taken are aligned again.
+count). A match may leave out a fifth of a template's words (``MIN_COVERAGE``),
+so of any larger part of them it holds one word at least. Such a part, the words
+that the templates share least, are a template's anchors; each word of a text is
+looked up among them. Of templates so long that each match must hold
+``GRAM + WINDOW - 1`` words in a row, every run of ``GRAM`` words is hashed
+instead, and of each ``WINDOW`` neighbouring hashes of a text the smallest is
+looked up (winnowing). Either way no match is missed. Every band of diagonals
+around a hit is a candidate, which an alignment within it confirms: matched
+words, coverage and span. The best match is taken first, and the words outside
+the spans taken are aligned again.
 
 The index is built from the templates alone and travels with each task; texts
 are scanned whole, where they are, without a shuffle.
@@ -16,8 +19,10 @@ are scanned whole, where they are, without a shuffle.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +110,18 @@ def winnow(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints and of their anchor words.
 
-    def __init__(self, templates: list[tuple[str, str, str]]):
+    A template that leaves out at most ``spare`` words matches one at least of
+    any ``spare + 1`` of its words; those that the templates share least are
+    its anchors. Winnowing serves the templates long enough for every match to
+    hold a run that it cannot miss.
+    """
+
+    def __init__(self, templates: list[tuple[str, str, str]], min_coverage: float = MIN_COVERAGE):
         self.names = [t[:2] for t in templates]
-        self.words = [hash_slice(t[2].encode(), APART)[0] for t in templates]
+        hashed = [hash_slice(t[2].encode(), APART) for t in templates]
+        self.words = [h for h, _, _ in hashed]
         rows = []
         for t, words in enumerate(self.words):
             h = grams(words)
@@ -119,6 +131,43 @@ class Index:
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.template = np.array([r[1] for r in rows], np.int64)
         self.place = np.array([r[2] for r in rows], np.int64)
+        shared = Counter(x for words in self.words for x in words.tolist())
+        self.need = [max(1, ceil(min_coverage * len(words))) for words in self.words]
+        self.winnowed = np.zeros(len(templates), bool)
+        rows = []
+        for t, (words, start, end) in enumerate(hashed):
+            spare = max(0, len(words) - self.need[t])
+            # A band has room for 2 * BAND words put in, and one more for each word left out, which each end a run.
+            self.winnowed[t] = -(-self.need[t] // (2 * BAND + 2 * spare + 1)) >= GRAM + WINDOW - 1
+            if not self.winnowed[t]:
+                order = sorted(range(len(words)), key=lambda i: (shared[int(words[i])], start[i] - end[i], i))  # noqa: B023
+                rows += [(int(words[i]), t, i) for i in order[: spare + 1]]
+        rows.sort()
+        self.anchors, self.anchor_low, self.anchor_n = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True, return_counts=True)
+        self.anchor_template = np.array([r[1] for r in rows], np.int64)
+        self.anchor_place = np.array([r[2] for r in rows], np.int64)
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text place, template, template place) of hits, one at least in the band of every match."""
+        parts = []
+        if self.winnowed.any():
+            h = grams(words)
+            found = self.hits(h, winnow(h))
+            parts.append([x[self.winnowed[found[1]]] for x in found])
+        if len(self.anchors) and len(words):
+            entry = np.minimum(np.searchsorted(self.anchors, words), len(self.anchors) - 1)
+            at = np.flatnonzero(self.anchors[entry] == words)
+            n = self.anchor_n[entry[at]]
+            text = np.repeat(at, n)
+            row = np.repeat(self.anchor_low[entry[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            template, place = self.anchor_template[row], self.anchor_place[row]
+            # All bands with a hit lie within 2 * BAND of it: most hits have too few words of the template there.
+            keep = np.zeros(len(text), bool)
+            for t in np.unique(template).tolist():
+                own = np.flatnonzero(template == t)
+                keep[own] = reach(words, self.words[t], text[own] - place[own], 2 * BAND) >= self.need[t]
+            parts.append([text[keep], template[keep], place[keep]])
+        return tuple(np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]) for i in range(3))
 
     def hits(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text place, template, template place) of every fingerprint found."""
@@ -174,9 +223,7 @@ def reach(words: np.ndarray, template: np.ndarray, diagonals: np.ndarray, band:
 
 def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first, last) of the confirmed matches in one text."""
-    h = grams(words)
-    text, template, place = index.hits(h, winnow(h))
-    return confirm(words, text, template, place, index, min_coverage)
+    return confirm(words, *index.candidates(words), index, min_coverage)
 
 
 def confirm(words, text, template, place, index, min_coverage) -> list[tuple[int, int, int, int]]:
@@ -227,6 +274,9 @@ def confirm(words, text, template, place, index, min_coverage) -> list[tuple[int
 def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str, str]] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each notice found (``MATCHES``), spans in characters and words.
 
+    A notice is found if ``min_coverage`` of a template's words stand in order
+    within ``BAND`` of one diagonal, whatever words stand around or between.
+
     ``templates``: (name, licence, text) rows; they and their index must fit a
     task's memory, as licence texts do. Templates of fewer words than ``GRAM``
     are refused.
@@ -236,7 +286,7 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str, str]] | No
     itself part of a longer matched template is reported with the longer one
     only; an empty table gives an empty result. Other columns are ignored.
     """
-    index = Index(templates or TEMPLATES)
+    index = Index(templates or TEMPLATES, min_coverage)
     if any(len(w) < GRAM for w in index.words):
         raise ValueError(f"a template needs {GRAM} words at least")
 
@@ -253,9 +303,8 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str, str]] | No
         byte0 = np.cumsum(sizes) - sizes
         words, start, end = hash_slice(b"\n".join(datas), APART)
         word0 = np.searchsorted(start, np.append(byte0, sizes.sum()))
-        h = grams(words)
-        # Windows that reach over a text's end only add fingerprints; a match must lie within its text.
-        text, template, place = index.hits(h, winnow(h))
+        # Grams and bands that reach over a text's end only add candidates; a match must lie within its text.
+        text, template, place = index.candidates(words)
         owner = np.searchsorted(word0, text, side="right") - 1
         for i in np.unique(owner):
             a, b, own = word0[i], word0[i + 1], owner == i

@@ -152,6 +152,26 @@ def test_close_notices_equal_brute_force():
         assert scan_words(words, index, 0.8) == every_band(words, index, 0.8, 0, len(words))
 
 
+def test_changed_notices_equal_brute_force():
+    index = Index([t for t in TEMPLATES if len(t[2]) < 50])
+    rng, fill = np.random.default_rng(5), np.arange(1, 9, dtype=np.uint64)
+    for _ in range(60):
+        words = random_notices(rng, index.words, fill, 2)
+        assert scan_words(words, index, 0.8) == every_band(words, index, 0.8, 0, len(words))
+    long = Index([("long", "x", " ".join(f"w{i}" for i in range(400)))], 0.98)
+    assert long.winnowed.all() and not index.winnowed.any()
+    text = long.words[0].copy()
+    text[::50] = 1
+    assert [m[1] for m in scan_words(text, long, 0.98)] == [392]
+
+
+def test_short_notices_are_found_in_every_context(make_docs):
+    changed = ["Licensed under the CC BY 4.0.", "Released under an MIT License.", "Licensed under CC BY version 4.0.", "Distributed under a 3-Clause BSD License."]
+    docs = [(i * 30 + k, f"word{k} other{7 * k} {line} next{3 * k} word{k}") for i, line in enumerate(changed) for k in range(30)]
+    got = scan_licenses(make_docs(docs)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(120))
+
+
 def test_alignment_and_winnowing():
     t = np.array([5, 6, 7, 8, 9], np.uint64)
     assert align(np.array([1, 5, 6, 2, 7, 8, 9, 3], np.uint64), t, 1) == (5, 1, 6)
