@@ -8,22 +8,27 @@ into a probability by a logistic curve, fitted on labelled texts that did
 not go into the dictionaries.
 
 The model is a bounded object (two dictionaries and a few coefficients) that
-travels with the task. Only training reads labels.
+travels with the task. Only training reads labels. It learns from a bounded
+number of rows, each whole; their texts stay in tasks, and the driver gets
+dictionaries, ids and sizes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of what training collects: texts of each class, characters of each.
+from salesops.llm.common import small, stored
+
+# Bound of what training reads: texts of each class.
 TRAIN_PER_CLASS = 2000
-TRAIN_CHARS = 20_000
 DICTIONARY_BYTES = 112640
 LEVEL = 3
 
@@ -92,48 +97,93 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(data)[-DICTIONARY_BYTES:]
 
 
-def fit(good: list[str], bad: list[str], share_good: float | None = None) -> CompressionModel:
-    """Dictionaries from two thirds of each class; the curve from the last third.
+def one_class(good: bool, bad: bool) -> CompressionModel:
+    """One class or none: nothing to tell apart."""
+    p = 0.5 if good == bad else (0.99 if good else 0.01)
+    return CompressionModel(b"", b"", [float(np.log(p / (1 - p))), *[0.0] * 6], [0.0] * 6, [1.0] * 6)
+
+
+def _part(xs: list, last: bool) -> list:
+    """The last third of a class, or the rest; all of it if that is none."""
+    return [x for i, x in enumerate(xs) if (i % 3 == 2) == last] or xs
+
+
+def fit_curve(model: CompressionModel, good: np.ndarray, bad: np.ndarray, share_good: float | None = None) -> CompressionModel:
+    """The model with its curve fitted on the sizes of good and of bad texts.
 
     ``share_good``: the class share among all labelled rows, when the two lists
     were sampled at other rates; the curve is weighted back to it.
     """
-    if not good or not bad:  # one class or none: nothing to tell apart
-        p = 0.5 if not good and not bad else (0.99 if good else 0.01)
-        return CompressionModel(b"", b"", [float(np.log(p / (1 - p))), *[0.0] * 6], [0.0] * 6, [1.0] * 6)
-    part = lambda xs, last: [t for i, t in enumerate(xs) if (i % 3 == 2) == last] or xs
-    model = CompressionModel(_dictionary(part(good, False)), _dictionary(part(bad, False)), [], [], [])
-    held = (part(good, True), part(bad, True))
-    x = features(model.sizes([*held[0], *held[1]]))
-    y = np.repeat([1.0, 0.0], [len(held[0]), len(held[1])])
+    x = features(np.concatenate([good, bad]))
+    y = np.repeat([1.0, 0.0], [len(good), len(bad)])
     model.mean, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-9).tolist()
     w = fit_logistic((x - model.mean) / model.scale, y)
     if share_good is not None and 0 < share_good < 1:
-        w[0] += np.log(share_good / (1 - share_good)) - np.log(len(held[0]) / len(held[1]))
+        w[0] += np.log(share_good / (1 - share_good)) - np.log(len(good) / len(bad))
     model.weights = w.tolist()
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = TRAIN_PER_CLASS) -> tuple[list[str], list[str], float | None]:
-    """At most ``per_class`` training texts of each class, the first by hash of id."""
+def fit(good: list[str], bad: list[str], share_good: float | None = None) -> CompressionModel:
+    """Dictionaries from two thirds of each class; the curve from the last third."""
+    if not good or not bad:
+        return one_class(bool(good), bool(bad))
+    model = CompressionModel(_dictionary(_part(good, False)), _dictionary(_part(bad, False)), [], [], [])
+    return fit_curve(model, model.sizes(_part(good, True)), model.sizes(_part(bad, True)), share_good)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = TRAIN_PER_CLASS) -> tuple[DataFrame, float | None]:
+    """At most ``per_class`` training rows of each class, the first by hash of id, with whole texts."""
     names = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).select("doc_id", "quality").dropDuplicates(["doc_id"])
     n = {r["quality"]: r["n"] for r in names.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     # Choose ids first, so that only their texts are read into the join.
     picks = [names.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (1, 0)]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * per_class ids
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = text.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.substring("text", 1, TRAIN_CHARS).alias("text"), "quality")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").collect()
-    of = lambda q: [r["text"] for r in rows if r["quality"] == q]
+    rows = text.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("s"))
     total = sum(n.values())
-    return of(1), of(0), (n.get(1, 0) / total if total else None)
+    return rows.select(F.col("doc_id").cast("long"), F.col("s.text").alias("text"), F.col("s.quality").cast("int").alias("quality")), (n.get(1, 0) / total if total else None)
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, train: Column) -> CompressionModel:
+    """``fit`` on the labelled sample, its texts read whole in tasks."""
+    rows, share_good = labelled_sample(docs, labels, train)
+    sample = stored(rows, "quality-sample")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each class's dictionary, and the ids that did not go into it."""
+        held: dict[int, list[tuple[int, str]]] = {}
+        for b in batches:
+            for doc, text, quality in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "quality")), strict=True):
+                held.setdefault(quality, []).append((doc, text))
+        for quality, own in held.items():
+            own.sort()
+            dictionary = _dictionary([t for _, t in _part(own, False)])
+            yield pa.record_batch([pa.array([quality], pa.int32()), pa.array([dictionary], pa.binary()), pa.array([[d for d, _ in _part(own, True)]], pa.list_(pa.int64()))], names=["quality", "dictionary", "curve"])
+
+    # A class is one task: its rows are at most TRAIN_PER_CLASS.
+    learnt = {r["quality"]: r for r in sample.repartition(2, "quality").mapInArrow(learn, "quality int, dictionary binary, curve array<long>").collect()}
+    if len(learnt) < 2:
+        return one_class(1 in learnt, 0 in learnt)
+    model = CompressionModel(bytes(learnt[1]["dictionary"]), bytes(learnt[0]["dictionary"]), [], [], [])
+    ids = {*learnt[0]["curve"], *learnt[1]["curve"]}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            b = b.filter(pa.array([d in ids for d in b.column("doc_id").to_pylist()], pa.bool_()))
+            sizes = model.sizes(b.column("text").to_pylist())
+            yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array(list(sizes), pa.list_(pa.float64()))], names=["doc_id", "quality", "sizes"])
+
+    found = sorted(sample.mapInArrow(measure, "doc_id long, quality int, sizes array<double>").collect())
+    return fit_curve(model, *(np.array([r["sizes"] for r in found if r["quality"] == q]) for q in (1, 0)), share_good)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, held_out: Column, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``quality_score`` and ``quality_predicted``.
 
     The model learns from labelled rows for which ``held_out`` is false. The
-    training sample is bounded: ``TRAIN_PER_CLASS`` texts of each class and
-    ``TRAIN_CHARS`` characters of each; scoring reads every text whole.
+    training sample is bounded: ``TRAIN_PER_CLASS`` texts of each class; training
+    and scoring read every text whole.
 
     Defined cases: a null or empty text gets the score that an empty text
     earns; equal texts get equal scores; labels other than 0 and 1, or with a
@@ -141,7 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, held_out: Column, thres
     single labelled class every score is 0.99 or 0.01, with none 0.5. Extra
     columns pass through, but ones named like the two new columns are replaced.
     """
-    score = scorer(fit(*labelled_sample(docs, labels, ~held_out)))
+    score = scorer(fit_sample(docs, labels, ~held_out))
     out = docs.withColumn("quality_score", score(F.col(text_col)))
     return out.withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
 
@@ -158,5 +208,5 @@ def scorer(model: CompressionModel):
 
 def quality_filter(docs: DataFrame, labels: DataFrame, *, held_out: Column, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected; cases as in ``score_quality``, all columns unchanged."""
-    score = scorer(fit(*labelled_sample(docs, labels, ~held_out)))
+    score = scorer(fit_sample(docs, labels, ~held_out))
     return docs.where(score(F.col(text_col)) >= threshold)

@@ -212,6 +212,19 @@ def test_quality_held_out_accuracy_and_cases(spark, make_docs, edge):
     assert fit(["a"], []).score(["x"])[0] > 0.9
 
 
+def test_training_reads_whole_texts(spark, make_docs):
+    docs, labels = quality_table(spark, 60)
+    start = "".join(chr(97 + i * 7 % 26) for i in range(20_000))  # the classes differ behind it only
+    docs = [(d, f"{start} {t} {t}") for d, t in docs]
+    held = F.col("doc_id") % 4 == 2
+    got = {r.doc_id: r for r in score_quality(make_docs(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), held_out=held).collect()}
+    test = [d for d, _, _ in labels if d % 4 == 2]
+    assert all(got[d].quality_predicted == int(d % 3 != 0) for d in test)
+    good, bad = ([t for d, t in docs if d % 4 != 2 and (d % 3 != 0) == q] for q in (True, False))
+    want = fit(good, bad, len(good) / (len(good) + len(bad))).score([docs[d][1] for d in test])
+    assert np.allclose([got[d].quality_score for d in test], want)
+
+
 def test_labels_of_held_out_rows_do_not_count(spark, make_docs):
     docs, labels = quality_table(spark)
     held = F.col("doc_id") % 4 == 2
