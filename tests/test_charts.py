@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesops.operators import basket, charts
 from salesops.sources import tables as T
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 COLS = "Date string, Day string, OrderID string, Item string, Quantity string, Price string, Category string, PaymentType string"
 

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from salesops.registry import REGISTRY
 from salesops.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def _norm(v):

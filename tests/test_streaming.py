@@ -9,7 +9,7 @@ from salesops.operators import scans as S
 from salesops.sources import tables as T
 from salesops.streaming.debounce import run_debounce
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 LIMIT = 2 * 60 * 60 * 1000
 
