@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tree_merge(parts: DataFrame, keys: list[str], merge: Callable, name: str, fan_in: int = 16) -> DataFrame:
+    """One row per ``keys``: rows with neighbouring ``place`` (an int, unique within the keys) merged, round by round.
+
+    ``merge(key, table)`` gives one Arrow row for at most ``fan_in`` of them, sorted
+    by place, so no task holds more, however many partitions there were.
+    """
+    parts = stored(parts, name)
+    last = parts.agg(F.max("place")).first()[0] or 0
+
+    def run(key, table):
+        return merge(key, table.sort_by("place"))
+
+    while last > 0:
+        up = parts.withColumn("up", F.floor(F.col("place") / fan_in).cast("int"))
+        merged = up.groupBy(*keys, "up").applyInArrow(run, up.schema)
+        parts = stored(merged.withColumn("place", F.col("up")).drop("up"), name)
+        last //= fan_in
+    return parts
+
+
+def by_length(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, row numbers, matrix) of each length in an Arrow list column without nulls."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, lists_to_matrix(column if len(at) == len(sizes) else column.take(pa.array(at))).reshape(len(at), int(d))
+
+
 def small(batches: Iterator, rows: int = 500) -> Iterator:
     """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
     for b in batches:

@@ -144,6 +144,15 @@ FROM s
 QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 """
 
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings"))
+    # A square sum that 64 bits cannot hold (from millions of rows on) is null as a long, and whole beside it.
+    return out.withColumn("deviation_whole", F.col("deviation")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_licenses": (op1_licenses, None),
     "op2_kmeans_tree": (op2_kmeans_tree, None),
@@ -155,4 +164,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_html_text": (op8_html_text, None),
     "op9_quality": (op9_quality, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
+    "op13_whitening": (op13_whitening, None),
 }
