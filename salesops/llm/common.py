@@ -61,12 +61,25 @@ def tree_merge(parts: DataFrame, keys: list[str], merge: Callable, name: str, fa
     return parts
 
 
-def by_length(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, row numbers, matrix) of each length in an Arrow list column without nulls."""
-    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    for d in np.unique(sizes):
+def vector_column(df: DataFrame, name: str) -> Column:
+    """A list column as floats or doubles; these two pass as they are."""
+    kind = df.select(F.col(name)).schema[0].dataType.simpleString()
+    return F.col(name) if kind in ("array<float>", "array<double>") else F.col(name).cast("array<double>")
+
+
+def finite_by_length(column: pa.Array, limit: float = float("inf")) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, row numbers, matrix of doubles) of each length above 0 in an Arrow list column.
+
+    Rows that are null or hold a null or non-finite entry, or one of ``limit`` or more, are left out.
+    """
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == d)
-        yield int(d), at, lists_to_matrix(column if len(at) == len(sizes) else column.take(pa.array(at))).reshape(len(at), int(d))
+        flat = column.take(pa.array(at)).flatten() if len(at) < len(sizes) else column.flatten()
+        m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), int(d))  # nulls become NaN
+        ok = (np.abs(m) < limit).all(axis=1)
+        if ok.any():
+            yield int(d), at[ok], m[ok]
 
 
 def small(batches: Iterator, rows: int = 500) -> Iterator:

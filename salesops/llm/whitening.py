@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import by_length, tree_merge, valid_vector
+from salesops.llm.common import finite_by_length, tree_merge, vector_column
 
-FOLD_ROWS = 512
+FOLD_ROWS = 2048
 SCALE, OFFSET = 1024, 100000
-# Scaled components from here on are no longer whole numbers a double can tell apart.
-LIMIT = 2.0**52
+# Entries from here on, once scaled, are no longer whole numbers a double can tell apart.
+LIMIT = 2.0**42
 _EPS = np.finfo(np.float64).eps
 # Eigenvalues below this part of the largest are rounding errors of zero.
 NO_SPREAD = 1e-12
@@ -204,7 +204,7 @@ def fit_spectra(rows: DataFrame, fold_rows: int = FOLD_ROWS) -> dict[int, tuple[
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[Spectrum, list[int]]] = {}
         for b in batches:
-            for dims, _, m in by_length(b.column("v")):
+            for dims, _, m in finite_by_length(b.column("v"), LIMIT):
                 spectrum, sums = held.get(dims) or (Spectrum(dims), [0] * dims)
                 x = whole_numbers(m)
                 for at in range(0, len(x), fold_rows):
@@ -247,7 +247,7 @@ def _scatter(rows: DataFrame, maps: dict[int, tuple[Centre, np.ndarray]], name:
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for dims, _, m in by_length(b.column("v")):
+            for dims, _, m in finite_by_length(b.column("v"), LIMIT):
                 centre, by = maps[dims]
                 p = np.hstack([np.ones((len(m), 1)), centre.centred(whole_numbers(m)) @ by])
                 held[dims] = held.get(dims, 0.0) + p.T @ p
@@ -271,7 +271,7 @@ def whiten(vectors: DataFrame, components: int = 8, *, id_col: str = "vec_id", v
     identity; one value for all lengths).
 
     Defined cases: vectors that are null, empty or hold null or non-finite
-    entries, or entries beyond 2^42, are dropped. Rows with a null id take part
+    entries, or entries of 2^42 or more, are dropped. Rows with a null id take part
     and keep it; repeated rows count and come back each. Vectors of another
     length are a fit of their own, with their own n. A component without spread
     (its eigenvalue below 1e-12 of the largest) has a null ``whitened``, takes
@@ -282,9 +282,7 @@ def whiten(vectors: DataFrame, components: int = 8, *, id_col: str = "vec_id", v
     columns are ignored. The table is read four times; store it first if its
     plan is dear or not deterministic.
     """
-    v = F.col(vector_col).cast("array<double>")
-    fits_ = ~F.exists(v, lambda x: F.abs(x) * SCALE >= F.lit(LIMIT))
-    rows = vectors.where(valid_vector(F.col(vector_col)) & (F.size(v) > 0) & fits_).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector_column(vectors, vector_col).alias("v"))
 
     fits = fit_spectra(rows, fold_rows)
     centres = {dims: Centre(n, sums) for dims, (n, sums, _) in fits.items()}
@@ -308,7 +306,7 @@ def whiten(vectors: DataFrame, components: int = 8, *, id_col: str = "vec_id", v
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dims, at, m in by_length(b.column("v")):
+            for dims, at, m in finite_by_length(b.column("v"), LIMIT):
                 centre, by, spread = maps[dims]
                 x, k = whole_numbers(m), by.shape[1]
                 w = centre.centred(x) @ by

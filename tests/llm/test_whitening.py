@@ -73,7 +73,7 @@ def brute(m, components=8):
     return n, deviation, c @ u / np.sqrt(e), e / np.trace(c.T @ c / n)
 
 
-@pytest.mark.parametrize("fold_rows", [1, 512])
+@pytest.mark.parametrize("fold_rows", [1, 2048])
 def test_whitening_equals_brute_force(spark, fold_rows):
     rng = np.random.default_rng(2)
     m = (rng.normal(size=(300, 12)) * np.linspace(0.2, 2, 12)) @ np.linalg.qr(rng.normal(size=(12, 12)))[0]
