@@ -41,6 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` and the path, for a table that is given up with ``forget``."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that a later one, already written, stands in for."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def tree_merge(parts: DataFrame, keys: list[str], merge: Callable, name: str, fan_in: int = 16) -> DataFrame:
     """One row per ``keys``: rows with neighbouring ``place`` (an int, unique within the keys) merged, round by round.
 

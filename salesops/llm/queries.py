@@ -145,6 +145,55 @@ QUALIFY row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) <= 5
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.vector_codes import encode
+
+    out = encode(table(spark, sf_dir, "embeddings"))
+    # Sums that 64 bits cannot hold are null as longs; the operator gives them whole.
+    return out.drop("label").withColumns({c: F.expr(f"try_cast({c} AS BIGINT)") for c in ("error", "label_error")})
+
+
+def _op11_sql(rounds: int = 4, entries: int = 256) -> str:
+    """k-means on each part, round by round; ``d * entries + j`` orders by distance, then index."""
+
+    def assign(t: int) -> str:
+        return f"""
+a{t} AS MATERIALIZED (
+  SELECT r, q, any_value(x) AS x, min(CAST(x2 + c2 - 2 * list_inner_product(x, c) AS BIGINT) * {entries} + j) AS near
+  FROM p JOIN c{t} USING (q) GROUP BY r, q)"""
+
+    def move(t: int) -> str:
+        return f"""
+u{t} AS (SELECT q, near % {entries} AS j, i, CAST(sum(x[i]) AS HUGEINT) AS s, count(*) AS n FROM a{t}, range(1, 1 + len(x)) g(i) GROUP BY ALL),
+m{t} AS (SELECT q, j, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM u{t} GROUP BY q, j),
+c{t + 1} AS MATERIALIZED (
+  SELECT q, j, c, list_inner_product(c, c) AS c2
+  FROM (SELECT c{t}.q, c{t}.j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} ON m{t}.q = c{t}.q AND m{t}.j = c{t}.j))"""
+
+    chain = ",".join(x for t in range(rounds) for x in (assign(t), move(t)))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT r, q, x, list_inner_product(x, x) AS x2 FROM (
+    SELECT r, q, e[q * (len(e) // 4) + 1 : (q + 1) * (len(e) // 4)] AS x FROM v, range(4) g(q))),
+c0 AS MATERIALIZED (
+  SELECT q, j, x AS c, x2 AS c2 FROM (SELECT q, x, x2, row_number() OVER (PARTITION BY q ORDER BY vec_id NULLS LAST, e) - 1 AS j FROM p JOIN v USING (r))
+  WHERE j < {entries}),{chain},{assign(rounds)},
+b AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY q, j, i)) AS codebooks_sha256 FROM c{rounds}, range(1, 1 + len(c)) g(i)),
+f AS (
+  SELECT r, string_agg(format('{{:02x}}', near % {entries}), '' ORDER BY q) AS code, CAST(sum(near // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM f JOIN v USING (r), b
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.whitening import whiten
 
@@ -164,5 +213,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_html_text": (op8_html_text, None),
     "op9_quality": (op9_quality, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
+    "op11_vector_codes": (op11_vector_codes, OP11_SQL),
     "op13_whitening": (op13_whitening, None),
 }
