@@ -194,6 +194,13 @@ FROM f JOIN v USING (r), b
 OP11_SQL = _op11_sql()
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from salesops.llm.simhash import simhash_duplicates
+
+    out = simhash_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from salesops.llm.whitening import whiten
 
@@ -214,5 +221,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_quality": (op9_quality, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
     "op11_vector_codes": (op11_vector_codes, OP11_SQL),
+    "op12_simhash": (op12_simhash, None),
     "op13_whitening": (op13_whitening, None),
 }
