@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesops.constants import TOP_ITEMS
-from salesops.functions.dates import month_abbr, time_bucket
+from salesops.functions.dates import days_in_month, month_abbr, time_bucket
 from salesops.functions.numbers import pct
 from salesops.operators.clean import (
     by_month_opt,
@@ -122,6 +122,16 @@ def revenue_trend_day(df: DataFrame, year, month) -> DataFrame:
     ).orderBy("day")
 
 
+def revenue_trend_day_by(df: DataFrame, keys, year, month) -> DataFrame:
+    """A5 of every dataset at once: ``keys`` name a dataset; each has all days of the month."""
+    y, m = check_year(year), check_month(month, required=True)
+    c = by_year_month(clean_for(df, "revenue_trend", keep=(*_KEEP, *keys)), y, m)
+    g = c.groupBy(*keys, F.dayofmonth("Date").alias("day")).agg(money_sum().alias("amount"))
+    grid = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(days_in_month(y, m)))).alias("day"))
+    filled = grid.join(g, [*keys, "day"], "left")
+    return filled.select(*keys, F.col("day").cast("bigint").alias("day"), F.col("day").cast("string").alias("label"), F.bround(F.coalesce("amount", F.lit(0.0)), 2).alias("revenue"))
+
+
 def revenue_trend(df: DataFrame, year, month=None) -> DataFrame:
     """A4 when no month is given, A5 otherwise (as one chart)."""
     if month is None:
@@ -199,6 +209,17 @@ def top_selling_items(df: DataFrame, year, month=None, limit: int = TOP_ITEMS) -
     ).orderBy("rank")
 
 
+def top_selling_items_by(df: DataFrame, keys, year, month=None, limit: int = TOP_ITEMS) -> DataFrame:
+    """A8 of every dataset at once: the top ``limit`` items of each of ``keys``' values.
+
+    Ranked over summed items, with a limit in every task before the shuffle.
+    """
+    c = by_month_opt(clean_for(df, "top_selling_items", keep=(*_KEEP, *keys)), year, month)
+    g = c.groupBy(*keys, "Item").agg(F.sum("Quantity").alias("q"))
+    ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q"), F.asc("Item")))).where(F.col("rank") <= limit)
+    return ranked.select(*keys, F.col("rank").cast("bigint").alias("rank"), F.col("Item").alias("item"), F.bround("q", 0).cast("bigint").alias("quantity"))
+
+
 def payment_cells(df: DataFrame, year, month=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A10's sparse form: the cells that occur, and each axis with its totals
     and rank (total desc, then name)."""

@@ -1033,7 +1033,7 @@ def _exported(spark, d):
 
 @register("export_dataset", _EXPORT_SQL)
 def q_export_dataset(spark, d):
-    return spark.read.schema(FS.RAW_SALES_SCHEMA).option("header", True).csv(_exported(spark, d))
+    return FS.csv_reader(spark).schema(FS.RAW_SALES_SCHEMA).csv(_exported(spark, d))
 
 
 @register(
@@ -1045,54 +1045,6 @@ def q_scan_csv(spark, d):
     return FS.scan_csv(spark, _exported(spark, d))
 
 
-register("create_dataset", None)(lambda spark, d: FS.create_dataset(spark, FS.scratch_path(spark, "empty")))
-
-
-_UPLOADS = """up AS (SELECT *, 1 + (row_number // 100) % 3 AS user_id, 'sales ' || CAST((row_number // 100) % 7 AS VARCHAR) || '.xlsx' AS file_name FROM raw_sales),
-  ky AS (SELECT user_id, file_name, substr(sha256(CAST(user_id AS VARCHAR) || '/' || file_name || '/' || CAST(count(*) AS VARCHAR)), 1, 8)
-                || '_' || replace(file_name, ' ', '_') AS dataset_key FROM up GROUP BY 1, 2)"""
-
-
-def _uploads(spark, d):
-    order = F.expr("row_number div 100")
-    return T.raw_sales(spark, d).withColumns({
-        "user_id": (1 + order % 3).cast("bigint"),
-        "file_name": F.concat(F.lit("sales "), (order % 7).cast("string"), F.lit(".xlsx")),
-    })
-
-
-@register(
-    "land_upload",
-    _with(O.RAW_SALES_CTE, _UPLOADS)
-    + """SELECT row_number, "Date", "Day", "OrderID", "Item", "Quantity", "Price", "Category", "PaymentType", user_id, dataset_key
-       FROM up JOIN ky USING (user_id, file_name)""",
-)
-def q_land_upload(spark, d):
-    root = FS.scratch_path(spark, "uploads")
-    FS.land_upload(_uploads(spark, d), root)
-    FS.land_upload(_uploads(spark, d), root)  # the same uploads again: refused, not stored twice
-    back = spark.read.parquet(root)
-    return back.select("row_number", *FS.RAW_SALES_SCHEMA.names, F.col("user_id").cast("bigint").alias("user_id"), "dataset_key")
-
-
-def _landed_chart(spark, d, chart):
-    """Key to stored table to chart: the table landed for user 1 under one file's key."""
-    root = FS.scratch_path(spark, "uploads")
-    files = FS.land_upload(_uploads(spark, d), root)
-    lookup = files.where("user_id = 1 and file_name = 'sales 3.xlsx'").select("user_id", F.concat(F.lit("uploads/"), "dataset_key").alias("key"))
-    found = catalog.dataset_by_key(lookup, files.select("user_id", "dataset_key")).where("status = 'found'").first()  # one name
-    return chart(spark.read.parquet(root).where((F.col("user_id") == found["user_id"]) & (F.col("dataset_key") == found["resolved_key"])))
-
-
-_ONE_UPLOAD = O.RAW_SALES_CTE.replace("raw_sales AS (", "every_sale AS (", 1) + """,
-  raw_sales AS (SELECT * FROM every_sale WHERE 1 + (row_number // 100) % 3 = 1 AND (row_number // 100) % 7 = 3)"""
-
-for _name, _sql, _chart in (
-    ("revenue_trend_day", sql_revenue_trend_day("raw_sales", YEAR, MONTH), lambda df: charts.revenue_trend_day(df, YEAR, MONTH)),
-    ("top_selling_items", sql_top_selling_items("raw_sales", YEAR), lambda df: charts.top_selling_items(df, YEAR)),
-):
-    register(f"{_name}_landed", _sql.replace(O.RAW_SALES_CTE, _ONE_UPLOAD))(lambda spark, d, chart=_chart: _landed_chart(spark, d, chart))
-
 for _name, _sql, _chart in (
     ("revenue_trend_day", sql_revenue_trend_day("sales", YEAR, MONTH), lambda df: charts.revenue_trend_day(df, YEAR, MONTH)),
     ("top_selling_items", sql_top_selling_items("sales", YEAR), lambda df: charts.top_selling_items(df, YEAR)),
@@ -1213,3 +1165,6 @@ def _report_sql() -> str:
 
 
 register("validation_report", _report_sql())(lambda spark, d: quality.validation_report(*_checked_uploads(spark, d)))
+
+# Further parts of the registry; each registers its queries when it is imported.
+from salesops import registry_uploads  # noqa: E402, F401

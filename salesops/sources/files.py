@@ -1,4 +1,4 @@
-"""Reading and writing sales tables.
+"""Reading and writing sales tables.
 
 The stored sales table is Parquet partitioned by ``year`` and ``month`` of
 ``Date``: chart filters on those columns skip whole folders, and appends only
@@ -23,8 +23,8 @@ from pyspark.sql.types import (
 )
 
 from salesops.constants import DATE_TEXT_FORMAT_SPARK, SALES_COLUMNS
+from salesops.functions.text import slug
 from salesops.session import checkpoint_dir
-from salesops.sources.catalog import valid_filename
 
 SALES_SCHEMA = StructType(
     [
@@ -88,9 +88,15 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_SALES_SCHEMA).parquet(path)
 
 
+def csv_reader(spark: SparkSession, multi_line: bool = True):
+    """A reader of CSV as other tools write it. A quoted line break keeps a file in one
+    task, so ``export_dataset`` writes files of bounded size."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+
+
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a CSV with a header row, types inferred."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """S3: a CSV with a header row, types inferred; quoted cells may hold commas, doubled quotes and line breaks."""
+    return csv_reader(spark).option("inferSchema", True).csv(path)
 
 
 def create_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +106,24 @@ def create_dataset(spark: SparkSession, path: str) -> DataFrame:
     return read_sales(spark, path)
 
 
+def create_datasets(datasets: DataFrame, root: str) -> None:
+    """S4 for a batch of (user_id, dataset_id, name): all share one sales table, in which each
+    is a name of its own; a dataset without rows is a row of the catalog table."""
+    spark = datasets.sparkSession
+    named = datasets.select("user_id", "dataset_id", "name", F.concat(slug("name"), F.lit("_"), F.col("dataset_id").cast("string")).alias("table_name"))
+    named.write.mode("errorifexists").parquet(f"{root}/catalog")
+    empty = with_partitions(spark.createDataFrame([], SALES_SCHEMA)).withColumn("table_name", F.lit(None).cast("string"))
+    empty.write.mode("errorifexists").partitionBy("table_name", *PARTITIONS).parquet(f"{root}/sales")
+
+
+def created_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """The created datasets with their number of rows and columns."""
+    schema = StructType([*SALES_SCHEMA.fields, StructField("table_name", StringType()), *STORED_SALES_SCHEMA.fields[-2:]])
+    rows = spark.read.schema(schema).parquet(f"{root}/sales").groupBy("table_name").agg(F.count(F.lit(1)).alias("rows"))
+    listed = spark.read.parquet(f"{root}/catalog").join(rows, "table_name", "left")
+    return listed.select("user_id", "dataset_id", "name", "table_name", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), F.lit(", ".join(SALES_COLUMNS)).alias("columns"))
+
+
 def clustered(df: DataFrame, keys, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Rows of one output folder together, a large folder's spread by measured counts.
 
@@ -123,34 +147,15 @@ def append_sales(df: DataFrame, path: str) -> None:
 
 
 def export_dataset(df: DataFrame, path: str) -> None:
-    """The whole table as CSV with a header, dates as dd/MM/yyyy/HH:mm:ss."""
+    """The whole table as CSV with a header, dates as dd/MM/yyyy/HH:mm:ss.
+
+    Quotes within a cell are doubled, outer blanks and empty texts are kept (a
+    missing cell is an empty field, an empty text is ``""``); a file holds at
+    most ``ROWS_PER_FILE`` rows.
+    """
     out = df.select(
         F.date_format("Date", DATE_TEXT_FORMAT_SPARK).alias("Date") if dict(df.dtypes).get("Date") != "string" else F.col("Date"),
         *[c for c in SALES_COLUMNS[1:]],
     )
-    out.write.mode("errorifexists").option("header", True).csv(path)
-
-
-def land_upload(rows: DataFrame, root: str) -> DataFrame:
-    """Store accepted upload rows, whole, per user and dataset key.
-
-    ``rows`` carries ``user_id`` and ``file_name``. A file's key is eight hex
-    digits and its safe name; the digits are a hash of user, file and content
-    size, so landing the same upload twice finds the first. Keys that are stored
-    already are refused, not added to. Returns (user_id, file_name, dataset_key,
-    stored) per file.
-    """
-    files = rows.groupBy("user_id", "file_name").agg(F.count(F.lit(1)).alias("_rows"))
-    digits = F.substring(F.sha2(F.concat_ws("/", "user_id", "file_name", "_rows"), 256), 1, 8)
-    files = files.select("user_id", "file_name", F.concat(digits, F.lit("_"), valid_filename(F.col("file_name"))).alias("dataset_key"))
-    spark = rows.sparkSession
-    checkpoint_dir(spark)
-    if path_exists(spark, root):
-        old = spark.read.parquet(root).select("user_id", "dataset_key").distinct().withColumn("_old", F.lit(True))
-        files = files.join(old, ["user_id", "dataset_key"], "left")
-    else:
-        files = files.withColumn("_old", F.lit(None).cast("boolean"))
-    files = files.withColumn("stored", F.col("_old").isNull()).drop("_old").checkpoint(eager=True)  # before the write changes it
-    new = rows.join(files.where("stored").drop("stored"), ["user_id", "file_name"]).drop("file_name")
-    clustered(new, ["user_id", "dataset_key"]).write.mode("append").partitionBy("user_id", "dataset_key").parquet(root)
-    return files
+    plain = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxRecordsPerFile": ROWS_PER_FILE}
+    out.write.mode("errorifexists").options(**plain).csv(path)
