@@ -100,6 +100,8 @@ def flatten(cells_df: DataFrame) -> DataFrame:
     """Array-of-struct cells → flat cells; flat frames pass through."""
     if "cells" not in cells_df.columns:
         return cells_df
+    if cells_df.schema["cells"].dataType.elementType.typeName() == "variant":
+        return _flatten_variants(cells_df)
     types, texts, nums = [], [], []
     for i in range(len(SALES_COLUMNS)):
         c = F.col("cells").getItem(i)
@@ -115,6 +117,33 @@ def flatten(cells_df: DataFrame) -> DataFrame:
     return cells_df.select("*", *types, *texts, *nums)
 
 
+# The type of a variant, as its schema names it, and the cell type it is.
+_VARIANT_TYPES = {"BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool", "STRING": "str", "DATE": "datetime", "TIMESTAMP": "datetime", "TIMESTAMP_NTZ": "datetime"}
+
+
+def _flatten_variants(cells_df: DataFrame) -> DataFrame:
+    """Cells as an array of variants (any type in any column) → flat cells.
+
+    Decimals count as floats; arrays and objects are no cell's type, so every
+    rule refuses them. Rows may have fewer or more than eight cells.
+    """
+    n = len(SALES_COLUMNS)
+    each = cells_df.select("*", *[F.get("cells", F.lit(i)).alias(f"_v{i}") for i in range(n)])
+    each = each.select("*", *[F.schema_of_variant(f"_v{i}").alias(f"_k{i}") for i in range(n)])
+    types, texts, nums = [], [], []
+    for i in range(n):
+        kind, v = F.col(f"_k{i}"), F.col(f"_v{i}")
+        t = F.when(kind.isNull() | kind.isin("VOID", "NULL"), F.lit("none")).when(kind.startswith("DECIMAL"), F.lit("float"))
+        for name, cell in _VARIANT_TYPES.items():
+            t = t.when(kind == name, F.lit(cell))
+        plain = ~(kind.startswith("ARRAY") | kind.startswith("OBJECT"))
+        types.append(t.otherwise(F.lit("other")).alias(f"t{i}"))
+        texts.append(py_strip(F.when(plain, F.try_variant_get(v, "$", "string")).when(kind.isNotNull(), F.lit("{}"))).alias(f"s{i}"))
+        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        nums.append(F.when(numeric, F.try_variant_get(v, "$", "double")).alias(f"n{i}"))
+    return each.select(*cells_df.columns, *types, *texts, *nums)
+
+
 def _blank(i: int) -> Column:
     return (F.col(f"t{i}") == "none") | (F.coalesce(F.col(f"s{i}"), F.lit("")) == "")
 

@@ -151,3 +151,132 @@ def q_create_dataset(spark, d):
     root = FS.scratch_path(spark, "datasets")
     FS.create_datasets(T.datasets(spark, d), root)
     return FS.created_datasets(spark, root)
+
+
+# ---------------------------------------------------------------------------
+# The dirty table dealt into workbooks of up to 500 rows by tasks, read
+# back by the data source; some are refused or unreadable.
+# ---------------------------------------------------------------------------
+
+BOOK_ROWS = 500
+
+
+def _write_books(rows, folder):
+    """One workbook for each ``book``: a header, then its rows in the order of ``at``; returns what was written."""
+    names, width = list(NAMES), len(NAMES)
+
+    def write(key, table):
+        import pyarrow as pa
+
+        from salesops.sources.workbook_fixture import workbook_bytes
+        from salesops.sources.workbook_source import write_file
+
+        table = table.sort_by("at")
+        cells = list(zip(*[table[c].to_pylist() for c in names], strict=True))
+        k = key[0].as_py()
+        data = b"no workbook" if k % 11 == 5 else workbook_bytes([names, *cells])
+        name = f"book_{k}.{'xlsb' if k % 13 == 7 else 'xlsx' if k % 2 else 'XLSM'}"
+        write_file(folder, name, data)
+        return pa.table({"name": [name], "cells": pa.array([len(cells) * width], pa.int64())})
+
+    return FS.written(rows.groupBy("book").applyInArrow(write, "name string, cells long"), "books")
+
+
+@register(
+    "ingest_workbooks",
+    _with(
+        O.RAW_SALES_CTE,
+        f"nb AS (SELECT *, row_number() OVER (ORDER BY row_number, {', '.join(f'{c} NULLS FIRST' for c in QUOTED.split(', '))}) - 1 AS pos FROM raw_sales)",  # row numbers are not unique
+        f"bk AS (SELECT *, pos // {BOOK_ROWS} AS book, CAST(pos % {BOOK_ROWS} + 2 AS BIGINT) AS sheet_row FROM nb)",
+        """nm AS (SELECT DISTINCT book, 'book_' || CAST(book AS VARCHAR) || CASE WHEN book % 13 = 7 THEN '.xlsb' WHEN book % 2 = 1 THEN '.xlsx' ELSE '.XLSM' END AS name FROM bk)""",
+    )
+    + f"""SELECT name, sheet_row AS row_number, {QUOTED} FROM bk JOIN nm USING (book) WHERE book % 11 <> 5 AND book % 13 <> 7
+       UNION ALL SELECT name, 1, {", ".join(O.q(c) for c in NAMES)} FROM nm WHERE book % 11 <> 5 AND book % 13 <> 7
+       UNION ALL SELECT name, CASE WHEN book % 13 = 7 THEN -2 ELSE -1 END, {", ".join("NULL" for _ in NAMES)} FROM nm WHERE book % 11 = 5 OR book % 13 = 7""",
+)
+def q_ingest_workbooks(spark, d):
+    from salesops.plans.numbering import number_within
+    from salesops.sources.workbook_source import read_workbooks
+    from salesops.sources.workbooks import cell_texts
+
+    folder = FS.scratch_path(spark, "books")
+    rows = number_within(T.raw_sales(spark, d), [], ["row_number", *NAMES], "at")
+    _write_books(rows.withColumn("book", F.expr(f"(at - 1) div {BOOK_ROWS}")), folder)
+    back = read_workbooks(spark, folder)
+    return back.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "row_number", *cell_texts())
+
+
+# ---------------------------------------------------------------------------
+# V1 and V3 on typed cells: every type in every column, and typed headers.
+# ---------------------------------------------------------------------------
+
+# What a cell becomes by (row number + 3 * column) % 13; 9 to 12 leave its good value.
+_TYPED = 9
+
+
+def _typed_cells(spark, d):
+    """The clean table as variants: a cell's type is chosen by its row and column."""
+    rows = T.raw_sales(spark, d).select("row_number", *NAMES)
+    good = {
+        "Date": F.to_timestamp_ntz(F.lit("1997-03-04 10:00:00")).cast("variant"), "Quantity": F.lit(2).cast("variant"), "Price": F.lit(3.5).cast("double").cast("variant"),
+    }
+    cells = []
+    for i, c in enumerate(NAMES):
+        kind = F.pmod(F.col("row_number") + 3 * i, F.lit(13))
+        text = F.concat(F.lit(" "), F.coalesce(F.col(c), F.lit("text")))
+        typed = (
+            F.when(kind == 0, F.lit(None).cast("variant"))
+            .when(kind == 1, F.lit(" \t").cast("variant"))
+            .when(kind == 2, text.cast("variant"))
+            .when(kind == 3, (F.col("row_number") % 5 - 1).cast("bigint").cast("variant"))
+            .when(kind == 4, F.lit(4.0).cast("double").cast("variant"))
+            .when(kind == 5, F.lit(2.5).cast("double").cast("variant"))
+            .when(kind == 6, (F.col("row_number") % 2 == 0).cast("variant"))
+            .when(kind == 7, F.to_timestamp_ntz(F.lit("2024-02-29 23:59:59")).cast("variant"))
+            .when(kind == 8, F.lit("5").cast("variant"))
+            .otherwise(good.get(c, F.lit("good").cast("variant")))
+        )
+        cells.append(F.when(F.col("row_number") % 17 == 0, F.lit(None).cast("variant")).otherwise(typed))
+    return rows.select(F.lit("typed").alias("path"), "row_number", F.array(*cells).alias("cells"))
+
+
+def _typed_sql() -> str:
+    parts = []
+    for i, c in enumerate(NAMES):
+        k = f"(row_number + {3 * i}) % 13"
+        n = "(row_number % 5 - 1)"
+        if c == "Date":
+            s = f"""trim(' ' || coalesce("{c}", 'text'))"""
+            shape = O.q(O.DATE_TEXT_SHAPE)
+            ok = f"""CASE WHEN {k} = 2 THEN regexp_full_match({s}, {shape}) AND try_strptime({s}, {O.q(O.DATE_FORMAT_SQL)}) IS NOT NULL ELSE {k} = 7 OR {k} >= 9 END"""
+        elif c == "Quantity":
+            ok = f"CASE WHEN {k} = 3 THEN {n} > 0 ELSE {k} = 4 OR {k} >= 9 END"
+        elif c == "Price":
+            ok = f"CASE WHEN {k} = 3 THEN {n} >= 0 ELSE {k} IN (4, 5) OR {k} >= 9 END"
+        else:
+            ok = f"""CASE WHEN {k} = 2 THEN {O.strip(f"' ' || coalesce({chr(34)}{c}{chr(34)}, 'text')")} <> '' ELSE {k} = 8 OR {k} >= 9 END"""
+        parts.append(f"""SELECT row_number, CAST({i} AS BIGINT) AS col_index, '{c}' AS "column" FROM raw_sales WHERE row_number % 17 <> 0 AND NOT ({ok})""")
+    return _with(O.RAW_SALES_CTE) + "SELECT 'typed' AS path, * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+register("typed_violations", _typed_sql())(lambda spark, d: quality.row_violations(FS.written(_typed_cells(spark, d), "typed")))
+
+
+@register(
+    "typed_headers",
+    _with(O.RAW_SALES_CTE, "f AS (SELECT DISTINCT row_number // 100 AS k FROM raw_sales)")
+    + """SELECT 'sheet_' || CAST(k AS VARCHAR) AS path, k % 7 IN (0, 6) AS header_ok FROM f""",
+)
+def q_typed_headers(spark, d):
+    """A header row for each order of the table: by its number right, or with a number, a flag, a date, no cell, another text or a ninth cell."""
+    k = F.col("k")
+    odd = (
+        F.when(k % 7 == 1, F.lit(5).cast("variant")).when(k % 7 == 2, F.lit(True).cast("variant")).when(k % 7 == 3, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).cast("variant"))
+        .when(k % 7 == 4, F.lit(None).cast("variant")).when(k % 7 == 5, F.lit("Dates").cast("variant"))
+    )
+    heads = T.raw_sales(spark, d).select(F.expr("row_number div 100").alias("k")).distinct()
+    cells = [F.lit(f" {c} ").cast("variant") for c in NAMES]
+    at = F.pmod(k, F.lit(len(NAMES)))
+    cells = [F.when((at == i) & (k % 7).between(1, 5), odd).otherwise(c) for i, c in enumerate(cells)]
+    rows = heads.select(F.concat(F.lit("sheet_"), k.cast("string")).alias("path"), F.lit(1).cast("bigint").alias("row_number"), F.array(*cells, F.lit("more").cast("variant")).alias("cells"))
+    return quality.check_header(rows)

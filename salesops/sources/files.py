@@ -149,9 +149,9 @@ def append_sales(df: DataFrame, path: str) -> None:
 def export_dataset(df: DataFrame, path: str) -> None:
     """The whole table as CSV with a header, dates as dd/MM/yyyy/HH:mm:ss.
 
-    Quotes within a cell are doubled, outer blanks and empty texts are kept (a
-    missing cell is an empty field, an empty text is ``""``); a file holds at
-    most ``ROWS_PER_FILE`` rows.
+    Quotes within a cell are doubled and outer blanks are kept. A missing cell
+    is an empty field and an empty text is ``""``, which readers take as missing
+    too. A file holds at most ``ROWS_PER_FILE`` rows.
     """
     out = df.select(
         F.date_format("Date", DATE_TEXT_FORMAT_SPARK).alias("Date") if dict(df.dtypes).get("Date") != "string" else F.col("Date"),

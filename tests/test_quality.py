@@ -10,7 +10,7 @@ from salesops.constants import MSG_BAD_HEADER, MSG_NO_DATA, MSG_SCHEMA_OK, MSG_S
 from salesops.operators import quality as Q
 from salesops.sources import workbooks as W
 
-from xlsx_writer import write_xlsx
+from salesops.sources.workbook_fixture import write_xlsx
 
 GOOD = ["01/02/2024/10:00:00", "Thursday", "O101", "Tea", 2, 3.5, "Drinks", "Cash"]
 
@@ -109,3 +109,34 @@ def test_rows_and_cells_without_references(spark):
 def test_nan_is_no_price(spark):
     cells = spark.createDataFrame([("f", 2, "float", float("nan"))], "path string, row_number long, t5 string, n5 double")
     assert cells.select(Q.valid_price(5).alias("ok")).first().ok is False
+
+
+def test_source_reads_as_ingest_does(spark):
+    from salesops.sources.workbook_source import read_workbooks
+
+    folder = _folder({"a.xlsx": [SALES_COLUMNS, GOOD, None, [dt.datetime(2024, 2, 1, 9, 0), True, 5, "x\ry", 2.5]], "b.XLSM": [SALES_COLUMNS], "c.csv": b"x", "d.xlsx": b"no zip", "_e.xlsx": b"hidden", "big.xlsx": b"x" * 5000})
+    key = lambda r: (os.path.basename(r.path), r.row_number, str(r.cells))
+    for size in (1, 1 << 30):
+        got = read_workbooks(spark, folder, partitionBytes=size, maxBytes=4000)
+        assert got.rdd.getNumPartitions() == (5 if size == 1 else 1)  # hidden files are no input
+        assert sorted(map(key, got.collect())) == sorted(map(key, W.ingest_workbooks(spark, folder + "/[a-z]*", max_bytes=4000).collect()))
+    os.makedirs(folder + "/empty")
+    assert read_workbooks(spark, folder + "/empty").collect() == []
+
+
+def test_rules_on_variant_cells(spark):
+    """Every rule against every type of cell, by what the rules say in words."""
+    values = {"none": "NULL", "void": "cast(NULL as string)", "blank": "' '", "text": "'x'", "date text": "' 1/2/2024/3:04:05 '", "number text": "'5'", "int": "3", "zero": "0", "negative": "-1", "long": "cast(5000000000 as bigint)",
+              "whole float": "2.0D", "float": "2.5D", "NaN": "double('NaN')", "decimal": "2.5BD", "whole decimal": "cast(2 as decimal(10,2))", "true": "true", "date": "date'2024-01-02'", "time": "timestamp_ntz'2024-01-02 03:04:05'", "list": "array(1)"}
+    good = {"Date": {"date text", "date", "time"}, "Quantity": {"int", "long", "whole float", "whole decimal"}, "Price": {"int", "zero", "long", "whole float", "float", "decimal", "whole decimal"}}
+    texts = {"text", "date text", "number text"}
+    for i, c in enumerate(SALES_COLUMNS):
+        rows = ", ".join(f"({n}, cast({v} as variant))" for n, v in enumerate(values.values()))
+        df = spark.sql(f"select 'f' as path, cast(n as bigint) as row_number, v from values {rows} as t(n, v)")
+        filler = [F.lit("keep").cast("variant") if j != i else F.col("v") for j in range(len(SALES_COLUMNS))]
+        bad = Q.row_violations(df.select("path", "row_number", F.array(*filler).alias("cells"))).where(F.col("column") == c).collect()
+        assert {k for n, k in enumerate(values) if n not in {r.row_number for r in bad}} == good.get(c, texts), c
+    short = spark.sql("select 'f' as path, 2L as row_number, array(cast('x' as variant)) as cells")
+    assert Q.row_violations(short).count() == 8  # 'x' is no date, and missing cells are no values
+    blank = spark.sql("select 'f' as path, 2L as row_number, array(cast(' ' as variant), cast(NULL as variant)) as cells")
+    assert Q.skip_blank_rows(blank).count() == 0
