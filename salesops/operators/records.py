@@ -35,6 +35,7 @@ from salesops.constants import (
 )
 from salesops.functions.text import py_strip
 from salesops.plans.numbering import number_within, running_max_within
+from salesops.plans.settle import PIECE_ROWS, components, node, walk
 from salesops.sources.files import written
 
 
@@ -217,35 +218,39 @@ def next_item_numbers(candidates: DataFrame, datasets: DataFrame, order_col: str
     )
 
 
-def _first_wins(rows: DataFrame) -> DataFrame:
-    """``candidate_id`` of the rows accepted one by one, by (dataset, id) and (dataset, non-blank barcode).
+def _first_wins(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``candidate_id`` of the rows accepted one by one, by (dataset, id) and (dataset, non-blank barcode)."""
+    coded = F.col("_bc") != ""
+    keyed = written(rows.select("candidate_id", "dataset_id", "_id", "_bc").withColumns({"_x": node("id", "dataset_id", "_id"), "_y": F.when(coded, node("code", "dataset_id", "_bc"))}), "keyed")
+    groups = components(keyed.where("_y is not null").select(F.col("_x").alias("x"), F.col("_y").alias("y")))
+    keyed = keyed.join(groups.select(F.col("node").alias("_x"), "group"), "_x", "left").withColumn("group", F.coalesce("group", "_x")).drop("_x", "_y")
 
-    Each round settles the rows that come first among the open ones for both
-    keys, and refuses all others that share a key with them. The first open
-    row of every dataset is settled in each round.
-    """
-    open_rows, accepted = _kept(rows.select("candidate_id", "dataset_id", "_id", "_bc")), None
-    while True:
-        blank = F.col("_bc") == ""
-        ids = open_rows.groupBy("dataset_id", "_id").agg(F.min("candidate_id").alias("_first_id"))
-        codes = open_rows.where(~blank).groupBy("dataset_id", "_bc").agg(F.min("candidate_id").alias("_first_bc"))
-        # Blank barcodes share no key, so they stay out of the barcode join.
-        coded = open_rows.where(~blank).join(codes, ["dataset_id", "_bc"])
-        marked = coded.unionByName(open_rows.where(blank).withColumn("_first_bc", F.col("candidate_id"))).join(ids, ["dataset_id", "_id"])
-        won = _kept(marked.where("candidate_id = _first_id and candidate_id = _first_bc").select("candidate_id", "dataset_id", "_id", "_bc"))
-        accepted = won.select("candidate_id") if accepted is None else accepted.unionByName(won.select("candidate_id"))
-        rest = open_rows.join(won.select("dataset_id", "_id"), ["dataset_id", "_id"], "left_anti")
-        codes_won = won.where(~blank).select("dataset_id", "_bc")
-        rest = rest.where(blank).unionByName(rest.where(~blank).join(codes_won, ["dataset_id", "_bc"], "left_anti").select(*rest.columns))
-        open_rows = _kept(rest)
-        if open_rows.isEmpty():
-            return accepted
-
-
-def inventory_conflicts(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
-    """E5 (create): flags per candidate — its (dataset, item id) exists or its
-    non-blank trimmed barcode exists in the dataset, or a candidate accepted
-    before it has either; ``accepted`` when none holds."""
+    def in_order(key, table):
+        import pyarrow as pa
+
+        ids, codes, won = set(), set(), []
+        cols = [table.sort_by("candidate_id")[c].to_pylist() for c in ("candidate_id", "dataset_id", "_id", "_bc")]
+        for candidate, dataset, item, code in zip(*cols, strict=True):
+            if (dataset, item) not in ids and (not code or (dataset, code) not in codes):
+                won.append((candidate, dataset, item, code))
+                ids.add((dataset, item))
+                codes.add((dataset, code))
+        names = ["candidate_id", "dataset_id", "_id", "_bc"]
+        return pa.table({n: pa.array([w[k] for w in won], table.schema.field(n).type) for k, n in enumerate(names)})
+
+    kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in ("candidate_id", "dataset_id", "_id", "_bc"))
+
+    def step(piece: DataFrame, done: DataFrame | None) -> DataFrame:
+        if done is not None:
+            piece = piece.join(done.select("dataset_id", "_id"), ["dataset_id", "_id"], "left_anti")
+            piece = piece.join(done.where(F.col("_bc") != "").select("dataset_id", "_bc"), ["dataset_id", "_bc"], "left_anti")
+        return piece.groupBy("group").applyInArrow(in_order, kinds)
+
+    return walk(keyed, ["candidate_id"], step, piece_rows).select("candidate_id")
+
+
+def _stored_conflicts(candidates: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Candidates with ``_id, _bc, id_exists, barcode_exists``, by the stored inventory alone."""
     ids = inventory.select("dataset_id", py_strip(F.col("item_id")).alias("_id")).distinct().withColumn("id_exists", F.lit(True))
     codes = (
         inventory.select("dataset_id", py_strip(F.col("barcode_number")).alias("_bc"))
@@ -255,8 +260,15 @@ def inventory_conflicts(candidates: DataFrame, inventory: DataFrame) -> DataFram
     c = c.join(ids, ["dataset_id", "_id"], "left").withColumn("id_exists", F.coalesce("id_exists", F.lit(False)))
     blank = F.col("_bc") == ""
     coded = c.where(~blank).join(codes, ["dataset_id", "_bc"], "left").withColumn("barcode_exists", F.coalesce("barcode_exists", F.lit(False)))
-    c = _kept(coded.unionByName(c.where(blank).withColumn("barcode_exists", F.lit(False))))
-    won = _first_wins(c.where("not id_exists and not barcode_exists")).withColumn("accepted", F.lit(True))
+    return written(coded.unionByName(c.where(blank).withColumn("barcode_exists", F.lit(False))), "conflicts")
+
+
+def inventory_conflicts(candidates: DataFrame, inventory: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """E5 (create): flags per candidate — its (dataset, item id) exists or its
+    non-blank trimmed barcode exists in the dataset, or a candidate accepted
+    before it has either; ``accepted`` when none holds."""
+    c = _stored_conflicts(candidates, inventory)
+    won = _first_wins(c.where("not id_exists and not barcode_exists"), piece_rows).withColumn("accepted", F.lit(True))
     j = c.join(won, "candidate_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     return j.select(
         "candidate_id", "dataset_id", "item_id", "barcode_number", "id_exists", "barcode_exists",
@@ -264,30 +276,121 @@ def inventory_conflicts(candidates: DataFrame, inventory: DataFrame) -> DataFram
     )
 
 
-def create_inventory(candidates: DataFrame, inventory: DataFrame, datasets: DataFrame) -> DataFrame:
+def create_inventory(candidates: DataFrame, inventory: DataFrame, datasets: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Creating items one by one: field rules, then E5, then E4 (the id due).
 
     A candidate is accepted when its fields are valid, neither its id nor its
     barcode is in the inventory or among those accepted before it, and its id
-    is the next after the accepted ones. Accepted ids differ by themselves, so
-    only barcodes can clash within a batch: the first clash on each dataset's
-    path is taken out and the path is followed anew, until none is left.
-    Returns (candidate_id, dataset_id, item_id, accepted).
+    is the next after the accepted ones. So a dataset's candidates are walked
+    in order, in pieces of bounded size, with the id due and the barcodes taken
+    so far. Returns (candidate_id, dataset_id, item_id, accepted).
     """
-    free = inventory_conflicts(candidates, inventory).where("not id_exists and not barcode_exists").select("candidate_id")
+    free = _stored_conflicts(candidates, inventory).where("not id_exists and not barcode_exists").select("candidate_id")
     valid = validate_inventory_items(candidates).where("is_valid").join(free, "candidate_id", "left_semi")
-    left = _kept(valid.select("candidate_id", "dataset_id", "item_id", py_strip(F.coalesce(F.col("barcode_number"), F.lit(""))).alias("_bc")))
-    while True:
-        path = accepted_item_ids(left, datasets)
-        coded = path.join(left, ["dataset_id", "candidate_id"]).where(F.col("_bc") != "")
-        before = coded.groupBy("dataset_id", "_bc").agg(F.min("candidate_id").alias("_first"))
-        clash = coded.join(before, ["dataset_id", "_bc"]).where("candidate_id > _first").groupBy("dataset_id").agg(F.min("candidate_id").alias("candidate_id"))
-        clash = _kept(clash)
-        if clash.isEmpty():
-            done = path.select("candidate_id", F.lit(True).alias("accepted"))
-            out = candidates.join(done, "candidate_id", "left")
-            return out.select("candidate_id", "dataset_id", "item_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-        left = _kept(left.join(clash, ["dataset_id", "candidate_id"], "left_anti"))
+    text = py_strip(F.col("item_id"))
+    number = F.regexp_extract(text, f"^{ITEM_PREFIX}([0-9]+)$", 1).try_cast("bigint")
+    last = datasets.select("dataset_id", F.col("last_inventory_item_number").alias("_last"))
+    rows = valid.join(last, "dataset_id", "left").select(
+        "candidate_id", "dataset_id", number.alias("_n"), py_strip(F.coalesce(F.col("barcode_number"), F.lit(""))).alias("_bc"),
+        F.coalesce("_last", F.lit(FIRST_LAST_ITEM_NUMBER)).cast("bigint").alias("_last"), (text == F.concat(F.lit(ITEM_PREFIX), number.cast("string"))).alias("_plain"),
+    )
+    rows = rows.where("_plain and _n > _last").drop("_plain").withColumn("group", node("dataset", "dataset_id"))
+
+    def in_order(key, table):
+        import pyarrow as pa
+
+        due, codes, won = {}, set(), []
+        cols = [table.sort_by("candidate_id")[c].to_pylist() for c in ("candidate_id", "dataset_id", "_n", "_bc", "_last")]
+        for candidate, dataset, n, code, before in zip(*cols, strict=True):
+            if n == due.setdefault(dataset, before) + 1 and (not code or (dataset, code) not in codes):
+                won.append((candidate, dataset, n, code))
+                due[dataset] = n
+                codes.add((dataset, code))
+        names = ["candidate_id", "dataset_id", "_n", "_bc"]
+        return pa.table({c: pa.array([w[k] for w in won], table.schema.field(c).type) for k, c in enumerate(names)})
+
+    kinds = f"candidate_id {rows.schema['candidate_id'].dataType.simpleString()}, dataset_id {rows.schema['dataset_id'].dataType.simpleString()}, _n bigint, _bc string"
+
+    def step(piece: DataFrame, done: DataFrame | None) -> DataFrame:
+        if done is not None:
+            upto = done.groupBy("dataset_id").agg(F.max("_n").alias("_upto"))
+            piece = piece.join(upto, "dataset_id", "left").withColumn("_last", F.coalesce("_upto", "_last")).drop("_upto")
+            piece = piece.join(done.where(F.col("_bc") != "").select("dataset_id", "_bc"), ["dataset_id", "_bc"], "left_anti")
+        return piece.groupBy("group").applyInArrow(in_order, kinds)
+
+    won = walk(rows, ["candidate_id"], step, piece_rows).select("candidate_id", F.lit(True).alias("accepted"))
+    return candidates.join(won, "candidate_id", "left").select("candidate_id", "dataset_id", "item_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def apply_inventory_updates(updates: DataFrame, inventory: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """E5/E6 for a batch of updates, one by one in ``update_id`` order.
+
+    ``updates``: (update_id, dataset_id, inventory_id, barcode_number). An
+    update is accepted when its item is in the dataset and its trimmed barcode
+    is blank or no *other* item holds it at that moment; an accepted update
+    frees the item's old barcode for those after it. Returns (update_id,
+    dataset_id, inventory_id, barcode_number, accepted, final_barcode), the last
+    being the item's barcode after the whole batch (null: no such item).
+
+    Items and barcodes that updates or present holdings connect are one group.
+    A task gets a piece's updates, the present barcode of each of its items
+    and, for each barcode it wants, how many other items hold it.
+    """
+    held = inventory.groupBy("dataset_id", "inventory_id").agg(F.min(py_strip(F.coalesce(F.col("barcode_number"), F.lit("")))).alias("code"))  # an item is one row
+    held = written(held, "holdings")
+    wanted = updates.select("update_id", "dataset_id", "inventory_id", py_strip(F.coalesce(F.col("barcode_number"), F.lit(""))).alias("code"))
+    wanted = written(wanted.join(held, ["dataset_id", "inventory_id"], "left_semi"), "updates")
+    item, code = node("item", "dataset_id", "inventory_id"), F.when(F.col("code") != "", node("code", "dataset_id", "code"))
+    codes, items = wanted.where("code <> ''").select("dataset_id", "code").distinct(), wanted.select("dataset_id", "inventory_id").distinct()
+    links = wanted.select(item.alias("x"), code.alias("y")).where("y is not null")
+    present = held.join(items, ["dataset_id", "inventory_id"], "left_semi").join(codes, ["dataset_id", "code"], "left_semi").select(item.alias("x"), code.alias("y"))
+    groups = written(components(links.unionByName(present)), "groups")
+    of = lambda df, key: df.withColumn("_x", key).join(groups.withColumnRenamed("node", "_x"), "_x", "left").withColumn("group", F.coalesce("group", "_x")).drop("_x")
+    dataset, inv, upd = (updates.schema[c].dataType.simpleString() for c in ("dataset_id", "inventory_id", "update_id"))
+
+    def in_order(key, table):
+        import pyarrow as pa
+
+        kind, *cols = (table.sort_by([("kind", "ascending"), ("update_id", "ascending")])[c].to_pylist() for c in ("kind", "update_id", "dataset_id", "inventory_id", "code", "n"))
+        now, holders, out = {}, {}, []
+        for k, update, d, i, c, n in zip(kind, *cols, strict=True):
+            if k == 0:  # an item's present barcode
+                now[d, i] = c
+                holders[d, c] = holders.get((d, c), 0) + 1
+            elif k == 1:  # other items that hold a barcode and stay as they are
+                holders[d, c] = holders.get((d, c), 0) + n
+            else:
+                own = now[d, i]
+                ok = not c or holders.get((d, c), 0) == (own == c)
+                if ok and own != c:
+                    holders[d, own] -= 1
+                    holders[d, c] = holders.get((d, c), 0) + 1
+                    now[d, i] = c
+                out.append((update, d, i, c, ok))
+        names = ["update_id", "dataset_id", "inventory_id", "code"]
+        cols = {c: pa.array([o[k] for o in out], table.schema.field(c).type) for k, c in enumerate(names)}
+        return pa.table({**cols, "ok": pa.array([o[4] for o in out], pa.bool_())})
+
+    def current(done: DataFrame | None) -> DataFrame:
+        if done is None:
+            return held
+        last = done.where("ok").groupBy("dataset_id", "inventory_id").agg(F.max_by("code", "update_id").alias("_new"))
+        return held.join(last, ["dataset_id", "inventory_id"], "left").withColumn("code", F.coalesce("_new", "code")).drop("_new")
+
+    def step(piece: DataFrame, done: DataFrame | None) -> DataFrame:
+        state, mine, asked = current(done), piece.select("dataset_id", "inventory_id").distinct(), piece.where("code <> ''").select("dataset_id", "code").distinct()
+        none = F.lit(None)
+        own = of(state.join(mine, ["dataset_id", "inventory_id"], "left_semi"), item).select("group", F.lit(0).alias("kind"), none.cast(upd).alias("update_id"), "dataset_id", "inventory_id", "code", F.lit(1).cast("bigint").alias("n"))
+        others = state.join(mine, ["dataset_id", "inventory_id"], "left_anti").join(asked, ["dataset_id", "code"], "left_semi").groupBy("dataset_id", "code").agg(F.count(F.lit(1)).alias("n"))
+        others = of(others, code).select("group", F.lit(1).alias("kind"), none.cast(upd).alias("update_id"), "dataset_id", none.cast(inv).alias("inventory_id"), "code", "n")
+        ask = piece.select("group", F.lit(2).alias("kind"), "update_id", "dataset_id", "inventory_id", "code", none.cast("bigint").alias("n"))
+        whole = ask.unionByName(own).unionByName(others)
+        return whole.groupBy("group").applyInArrow(in_order, f"update_id {upd}, dataset_id {dataset}, inventory_id {inv}, code string, ok boolean")
+
+    done = walk(of(wanted, item), ["update_id"], step, piece_rows)
+    after = current(done).withColumnRenamed("code", "final_barcode")
+    out = updates.select("update_id", "dataset_id", "inventory_id", "barcode_number").join(done.select("update_id", "ok"), "update_id", "left").join(after, ["dataset_id", "inventory_id"], "left")
+    return out.select("update_id", "dataset_id", "inventory_id", "barcode_number", F.coalesce("ok", F.lit(False)).alias("accepted"), "final_barcode")
 
 
 def barcode_update_conflicts(updates: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -307,16 +410,26 @@ def barcode_update_conflicts(updates: DataFrame, inventory: DataFrame) -> DataFr
 INVENTORY_FIELDS = ["item_name", "item_category", "barcode_number", "cost_price", "selling_price"]
 
 
-def upsert_inventory(inventory: DataFrame, changes: DataFrame, now) -> DataFrame:
+def last_changes(changes: DataFrame, order_col: str) -> DataFrame:
+    """The last change of each (dataset, item id), as if they came one by one."""
+    whole = changes.groupBy("dataset_id", "item_id").agg(F.max(F.struct(order_col, *INVENTORY_FIELDS)).alias("_c"))
+    return whole.select("dataset_id", "item_id", *[F.col(f"_c.{f}").alias(f) for f in INVENTORY_FIELDS])
+
+
+def upsert_inventory(inventory: DataFrame, changes: DataFrame, now, order_col: str | None = None) -> DataFrame:
     """Rows of ``changes`` whose (dataset, item id) exists update only the
     five editable fields; the others are inserted with ``created_at = now`` and
-    ids after the largest, in (dataset, item id) order.
+    ids after the largest, in (dataset, item id) order. Of several changes of
+    one item the last by ``order_col`` counts; without that column (or where it
+    ties) the largest by their fields does, so an item is always one row.
 
     Returns the new inventory; write it to a new folder (Spark cannot
     overwrite a path it is reading).
     """
     old = inventory.alias("o")
-    new = changes.select("dataset_id", "item_id", *[F.col(c).alias(f"new_{c}") for c in INVENTORY_FIELDS]).alias("n")
+    if order_col is None:
+        order_col, changes = "_same", changes.withColumn("_same", F.lit(0))
+    new = last_changes(changes, order_col).select("dataset_id", "item_id", *[F.col(c).alias(f"new_{c}") for c in INVENTORY_FIELDS]).alias("n")
     j = old.join(new, ["dataset_id", "item_id"], "full_outer")
     cols = [
         F.col("inventory_id"),

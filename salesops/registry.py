@@ -677,14 +677,6 @@ def q_barcode_update_conflicts(spark, d):
 _NOW = "2024-06-01 00:00:00"
 
 
-def _latest_changes(c):
-    from pyspark.sql import functions as F
-
-    fields = ["candidate_id", *records.INVENTORY_FIELDS]
-    latest = c.groupBy("dataset_id", "item_id").agg(F.max(F.struct(*fields)).alias("_c"))
-    return latest.select("dataset_id", "item_id", *[F.col(f"_c.{f}").alias(f) for f in records.INVENTORY_FIELDS])
-
-
 @register(
     "upsert_inventory",
     _with(
@@ -711,7 +703,7 @@ def q_upsert_inventory(spark, d):
 
     from pyspark.sql import functions as F
 
-    out = records.upsert_inventory(T.inventory(spark, d), _latest_changes(T.inventory_candidates(spark, d)), dt.datetime(2024, 6, 1))
+    out = records.upsert_inventory(T.inventory(spark, d), T.inventory_candidates(spark, d), dt.datetime(2024, 6, 1), "candidate_id")
     return out.withColumns({
         "cost_price": F.col("cost_price").cast("double"),
         "selling_price": F.col("selling_price").cast("double"),
@@ -1167,4 +1159,4 @@ def _report_sql() -> str:
 register("validation_report", _report_sql())(lambda spark, d: quality.validation_report(*_checked_uploads(spark, d)))
 
 # Further parts of the registry; each registers its queries when it is imported.
-from salesops import registry_uploads  # noqa: E402, F401
+from salesops import registry_inventory, registry_uploads  # noqa: E402, F401
