@@ -7,11 +7,11 @@ the text is assembled in a one-row frame — no rows pass through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesops.constants import MSG_EMPTY_DATASET, MAX_CONTEXT_CHARS, SAMPLE_ROWS, SAMPLE_VALUE_CHARS
+from salesops.constants import EXCEL_NA_VALUES, MAX_CONTEXT_CHARS, MSG_EMPTY_DATASET, NUMBER_SHAPE, SAMPLE_ROWS, SAMPLE_VALUE_CHARS
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
@@ -24,28 +24,83 @@ def trimmed_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def dtype_name(dt: T.DataType) -> str:
-    """The type name a pandas reader would show for such a column."""
+def type_of(name: str, dt: T.DataType) -> Column:
+    """The type name a pandas reader would show for a typed column, as an aggregate: a
+    missing value makes a whole number a float and a flag an object."""
+    missing = F.count(F.lit(1)) > F.count(F.col(f"`{name}`"))
     if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return "int64"
+        return F.when(missing, F.lit("float64")).otherwise(F.lit("int64"))
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return "float64"
+        return F.lit("float64")
     if isinstance(dt, T.BooleanType):
-        return "bool"
+        return F.when(missing, F.lit("object")).otherwise(F.lit("bool"))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "datetime64[ns]"
-    return "object"
+        return F.lit("datetime64[ns]")
+    return F.lit("object")
+
+
+def _rows_of(clean: DataFrame, types: list[Column]) -> DataFrame:
+    """(position, column, type, rows) from one aggregate over the table."""
+    one = clean.agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.array(*types).alias("_types"))
+    names = F.array(*[F.lit(c) for c in clean.columns])
+    return one.select("rows", F.posexplode("_types").alias("position", "type")).select("position", F.get(names, F.col("position")).alias("column"), "type", "rows")
 
 
 def profile(df: DataFrame) -> DataFrame:
     """(position, column, type, rows) — one row per column; ``rows`` is
     the row count after P1."""
-    spark = df.sparkSession
     clean = trimmed_columns(drop_all_null_rows(df))
-    schema = [(i, f.name, dtype_name(f.dataType)) for i, f in enumerate(clean.schema.fields)]
-    cols = spark.createDataFrame(schema, "position int, column string, type string")
-    rows = clean.select(F.count(F.lit(1)).cast("bigint")).scalar()
-    return cols.select("position", "column", "type", rows.alias("rows"))
+    return _rows_of(clean, [type_of(f.name, f.dataType) for f in clean.schema.fields])
+
+
+# What a text cell can be read as; a column's types are the union of its cells'.
+_NA, _WHOLE, _NEGATIVE, _UNSIGNED, _BEYOND, _FLOAT, _BOOL, _TEXT = (1 << i for i in range(8))
+_MAX_UNSIGNED = (1 << 64) - 1
+
+
+def _cell_types(c: Column) -> Column:
+    """The bit of what one text cell is: numbers may have outer ASCII blanks, flags may not."""
+    s = F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    whole = s.try_cast("decimal(38,0)")
+    return (
+        F.when(c.isNull() | c.isin(*EXCEL_NA_VALUES), F.lit(_NA))
+        .when(F.lower(c).isin("true", "false"), F.lit(_BOOL))
+        .when(
+            s.rlike("^[+-]?[0-9]+$"),
+            F.when(s.try_cast("bigint").isNotNull(), F.when(s.startswith("-"), F.lit(_NEGATIVE)).otherwise(F.lit(_WHOLE)))
+            .when(whole.between(F.lit(0), F.lit(str(_MAX_UNSIGNED)).cast("decimal(38,0)")) & ~s.startswith("-"), F.lit(_UNSIGNED))
+            .otherwise(F.lit(_BEYOND)),
+        )
+        .when(s.rlike(NUMBER_SHAPE) | F.lower(s).rlike("^[+-]?inf(inity)?$"), F.lit(_FLOAT))
+        .otherwise(F.lit(_TEXT))
+    )
+
+
+def profile_types(df: DataFrame) -> DataFrame:
+    """P2 of an all-text table, typed as a CSV reader infers it: (position, column, type, rows).
+
+    Every cell has a type; a column's is their least common one, merged as a
+    bitwise OR with partial results in every task. Whole numbers and fractions
+    make floats, a missing cell makes whole numbers floats and flags objects,
+    anything mixed with text or flags, and numbers beyond 64 bits, are objects.
+    Such a number beside fractions is too, though a reader that meets a
+    fraction first says float; a table has no first row.
+    """
+    clean = trimmed_columns(drop_all_null_rows(df))
+    types = []
+    for c in clean.columns:
+        bits = F.bit_or(_cell_types(F.col(f"`{c}`").cast("string")))
+        has = lambda b, bits=bits: bits.bitwiseAND(F.lit(b)) != 0
+        types.append(
+            F.when(bits.isNull() | has(_TEXT | _BEYOND), F.lit("object"))
+            .when(bits == _NA, F.lit("float64"))
+            .when(has(_BOOL), F.when(bits == _BOOL, F.lit("bool")).otherwise(F.lit("object")))
+            .when(has(_FLOAT), F.lit("float64"))
+            .when(has(_UNSIGNED), F.when(has(_NEGATIVE | _NA), F.lit("object")).otherwise(F.lit("uint64")))
+            .when(has(_NA), F.lit("float64"))
+            .otherwise(F.lit("int64"))
+        )
+    return _rows_of(clean, types)
 
 
 def _shown(c: str, dt: T.DataType):
@@ -102,14 +157,14 @@ def profile_text(df: DataFrame, name: str, order_cols) -> DataFrame:
     """
     clean = trimmed_columns(drop_all_null_rows(df))
     cols = [f.name for f in clean.schema.fields]
-    types = "; ".join(f"{f.name}: {dtype_name(f.dataType)}" for f in clean.schema.fields)
+    types = clean.agg(F.concat_ws("; ", *[F.concat(F.lit(f"{f.name}: "), type_of(f.name, f.dataType)) for f in clean.schema.fields])).scalar()
     counted = clean.select(F.count(F.lit(1))).scalar()
     rows = F.when(counted == 0, F.raise_error(F.lit(MSG_EMPTY_DATASET)).cast("bigint")).otherwise(counted)
     sample = sample_json(df, order_cols).select("sample")
     shown = sample.select(
         F.concat(
             F.lit(f"Dataset name: {name}\nRows: "), rows.cast("string"),
-            F.lit(f"\nColumns ({len(cols)}): {', '.join(cols)}\nColumn types: {types}\nSample rows (first "),
+            F.lit(f"\nColumns ({len(cols)}): {', '.join(cols)}\nColumn types: "), types, F.lit("\nSample rows (first "),
             F.least(rows, F.lit(SAMPLE_ROWS)).cast("string"), F.lit("): "), F.col("sample"),
         ).alias("text")
     )

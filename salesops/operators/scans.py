@@ -14,7 +14,7 @@ piece is then walked in order, twice, with constant state:
    or a pause longer than the limit occurs in the piece (the scan there is
    accepted whatever came before); otherwise it depends on the time of the
    last accepted scan, through the scans of the piece's first ``repeat_ms``
-   only, and the pass returns that short table;
+   only, and the pass returns that table, with one step for each exit it has;
 2. the pieces' tables, one row each, are chained into every piece's entry
    state, and a second pass emits the accepted scans.
 
@@ -54,9 +54,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def summarise_piece(rows: Iterator[tuple], limit: int) -> dict | None:
     """How a piece's entry state becomes its exit state; None for an empty piece.
 
+    ``state``: the exit state (device, code, time) where it does not depend on
+    the entry. Where it does (the piece is one unbroken run of one code),
     ``window``/``exits``: scans within the limit of the first, and the time of
-    the last accepted scan if the chain starts there. ``state``: the exit state
-    (device, code, time) where it does not depend on the entry.
+    the last accepted scan if the chain starts there, as steps of equal exits.
     """
     first = last = state = None
     run: list[int] = []  # the first unbroken run; only its times may depend on the entry
@@ -72,8 +73,13 @@ def summarise_piece(rows: Iterator[tuple], limit: int) -> dict | None:
         last = us
     if first is None:
         return None
+    if state is not None:  # the entry does not matter
+        return {"device": first[0], "code": first[1], "window": [], "exits": [], "state": state}
     n = bisect_right(run, run[0] + limit) + 1
-    return {"device": first[0], "code": first[1], "window": run[:n], "exits": next_accepted_exits(run, limit)[:n], "state": state}
+    exits = next_accepted_exits(run, limit)[:n]
+    # Starts with the same exit are one step of the table; its last one stands for them.
+    ends = [i for i in range(len(exits)) if i + 1 == len(exits) or exits[i + 1] != exits[i]]
+    return {"device": first[0], "code": first[1], "window": [run[i] for i in ends], "exits": [exits[i] for i in ends], "state": None}
 
 
 def exit_state(piece: dict, entry: tuple | None, limit: int) -> tuple:

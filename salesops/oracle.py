@@ -7,6 +7,8 @@ can be compared with an independent engine.
 
 from __future__ import annotations
 
+import unicodedata
+
 # The oracle's own statement of the text rules; it takes none from the code it checks.
 PY_WHITESPACE = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -15,6 +17,26 @@ NUMBER_SHAPE = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 DATE_TEXT_SHAPE = r"\d{1,2}/\d{1,2}/\d{4}/\d{1,2}:\d{1,2}:\d{1,2}"
 DATE_FORMAT_SQL = "%d/%m/%Y/%H:%M:%S"
 
+# FIXED VALUES of the message rules, stated again for the oracle.
+NON_WORD = "[^abcdefghijklmnopqrstuvwxyz0123456789\\t\\n\\x0B\\x0C\\r -]"
+SPACE_RUN = "(\\t|\\n|\\x0B|\\x0C|\\r| )+"
+FOLLOW_UPS = ["yes", "no", "ok", "okay", "sure", "continue", "go ahead", "next", "first", "second", "third"]
+BUSINESS_WORDS = [
+    "business", "sale", "sales", "profit", "profits", "revenue", "inventory", "inventories", "pricing", "price", "prices",
+    "margin", "margins", "customer", "customers", "marketing", "promotion", "promotions", "forecast", "forecasting", "demand",
+    "order", "orders", "stock", "stocks", "cost", "costs", "retail", "upsell", "cross-sell", "cross sell", "growth", "strategy",
+    "strategies", "operation", "operations", "trend", "trending", "month", "year", "cashflow", "cash flow", "conversion", "store",
+]
+SYSTEM_PROMPT = (
+    "You are a business assistant for a retail management platform. Answer only questions about sales, profit, inventory, pricing, "
+    "promotions, customers, forecasting and costs; politely decline other topics. Keep answers short and practical."
+)
+
+
+def digit_class() -> str:
+    """Characters with a digit value in the Unicode tables, as a pattern."""
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(0x20000)) if unicodedata.digit(c, None) is not None) + "]"
+
 
 def q(s: str) -> str:
     """SQL string literal."""

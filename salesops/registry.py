@@ -830,7 +830,6 @@ def q_dataset_by_key(spark, d):
 # Chat messages (C1–C5) and dataset profile
 # ---------------------------------------------------------------------------
 
-from salesops.constants import BUSINESS_KEYWORDS, FOLLOW_UP_PHRASES, HISTORY_KEEP, TOPIC_LOOKBACK  # noqa: E402
 from salesops.functions import messages as MF  # noqa: E402
 from salesops.operators import messages as msg  # noqa: E402
 from salesops.operators import profile as prof  # noqa: E402
@@ -841,7 +840,7 @@ DATA_KEYWORDS = ["ent", "tion", "ung", "the"]
 
 def _sql_compact(x: str) -> str:
     n = f"lower({O.strip(x)})"
-    return f"trim(regexp_replace(regexp_replace({n}, {O.q(MF.NON_WORD)}, ' ', 'g'), {O.q(MF.SPACE_RUN)}, ' ', 'g'), ' ')"
+    return f"trim(regexp_replace(regexp_replace({n}, {O.q(O.NON_WORD)}, ' ', 'g'), {O.q(O.SPACE_RUN)}, ' ', 'g'), ' ')"
 
 
 def _sql_keyword(x: str, keywords) -> str:
@@ -853,14 +852,14 @@ def _sql_keyword(x: str, keywords) -> str:
 def _sql_follow_up(x: str) -> str:
     n = f"lower({O.strip(x)})"
     return (
-        f"coalesce({n} <> '' AND (regexp_full_match({n}, {O.q(MF.DIGIT_CLASS + '+')}) "
-        f"OR (length({n}) <= 20 AND {n} IN {O.in_list(FOLLOW_UP_PHRASES)})), false)"
+        f"coalesce({n} <> '' AND (regexp_full_match({n}, {O.q(O.digit_class() + '+')}) "
+        f"OR (length({n}) <= 20 AND {n} IN {O.in_list(O.FOLLOW_UPS)})), false)"
     )
 
 
 register(
     "has_business_keyword",
-    f"SELECT conv_id, turn, {_sql_keyword('text', BUSINESS_KEYWORDS)} AS has_keyword FROM conversations",
+    f"SELECT conv_id, turn, {_sql_keyword('text', O.BUSINESS_WORDS)} AS has_keyword FROM conversations",
 )(lambda spark, d: T.messages(spark, d).select("conv_id", "turn", MF.has_business_keyword(F.col("text")).alias("has_keyword")))
 register(
     "has_business_keyword_data",
@@ -877,11 +876,11 @@ def _sql_business(keywords):
         f"""f AS (SELECT conv_id, turn, role, {_sql_keyword('text', keywords)} AS has_keyword,
                         {_sql_follow_up('text')} AS is_follow_up FROM conversations)""",
         f"""w AS (SELECT *, coalesce(max(CAST(has_keyword AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn
-                        ROWS BETWEEN {TOPIC_LOOKBACK} PRECEDING AND 1 PRECEDING), 0) = 1 AS after_keyword FROM f)""",
+                        ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) = 1 AS after_keyword FROM f)""",
     ) + "SELECT conv_id, turn, role, has_keyword, is_follow_up, has_keyword OR (is_follow_up AND after_keyword) AS is_business FROM w"
 
 
-register("is_business_query", _sql_business(BUSINESS_KEYWORDS))(lambda spark, d: msg.is_business_query(T.messages(spark, d)))
+register("is_business_query", _sql_business(O.BUSINESS_WORDS))(lambda spark, d: msg.is_business_query(T.messages(spark, d)))
 register("is_business_query_data", _sql_business(DATA_KEYWORDS))(
     lambda spark, d: msg.is_business_query(T.messages(spark, d), DATA_KEYWORDS)
 )
@@ -889,7 +888,7 @@ register(
     "recent_history",
     _with(f"r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)")
     + f"""SELECT conv_id, turn, lower({O.strip('role')}) AS role, {O.strip("coalesce(text, '')")} AS content FROM r
-        WHERE rn <= {HISTORY_KEEP} AND lower({O.strip('role')}) IN ('user', 'assistant') AND {O.strip("coalesce(text, '')")} <> ''""",
+        WHERE rn <= 8 AND lower({O.strip('role')}) IN ('user', 'assistant') AND {O.strip("coalesce(text, '')")} <> ''""",
 )(lambda spark, d: msg.recent_history(T.messages(spark, d)))
 register(
     "chat_payload",
@@ -899,7 +898,7 @@ register(
       h AS (SELECT conv_id, list({{'role': role, 'content': content}} ORDER BY turn) AS hist FROM r
             WHERE rn <= 8 AND role IN ('user', 'assistant') AND content <> '' GROUP BY 1)
     SELECT u.conv_id, CAST(to_json({{'model': 'assistant-model', 'temperature': 0.2, 'max_tokens': 500,
-        'messages': list_concat([{{'role': 'system', 'content': {O.q(msg.DEFAULT_SYSTEM_PROMPT)}}}], coalesce(h.hist, []), [{{'role': 'user', 'content': m.text}}])}}) AS VARCHAR) AS payload
+        'messages': list_concat([{{'role': 'system', 'content': {O.q(O.SYSTEM_PROMPT)}}}], coalesce(h.hist, []), [{{'role': 'user', 'content': m.text}}])}}) AS VARCHAR) AS payload
     FROM u JOIN m ON m.conv_id = u.conv_id AND m.turn = u.last LEFT JOIN h ON h.conv_id = u.conv_id""",
 )(lambda spark, d: msg.chat_payload(T.messages(spark, d), model="assistant-model"))
 
@@ -907,12 +906,6 @@ register(
     "drop_all_null_rows",
     "SELECT * FROM conversations WHERE NOT (conv_id IS NULL AND turn IS NULL AND role IS NULL AND text IS NULL)",
 )(lambda spark, d: prof.drop_all_null_rows(T.messages(spark, d)))
-register(
-    "profile",
-    """SELECT CAST(position AS INTEGER) AS position, "column", type, (SELECT count(*) FROM customer) AS rows
-       FROM (VALUES (0, 'c_custkey', 'int64'), (1, 'c_name', 'object'), (2, 'c_nationkey', 'int64'),
-                    (3, 'c_acctbal', 'float64'), (4, 'c_mktsegment', 'object')) t(position, "column", type)""",
-)(lambda spark, d: prof.profile(T.table(spark, d, "customer")))
 register(
     "sample_rows",
     """SELECT substr(CAST(c_custkey AS VARCHAR), 1, 80) AS c_custkey, substr(c_name, 1, 80) AS c_name,
@@ -976,6 +969,29 @@ def q_debounce_stream(spark, d):
 register("debounce_scans_stream", _DEBOUNCE_SQL)(q_debounce_stream)
 
 
+def q_debounce_late(spark, d):
+    """Every scan arrives up to three days late, so files and rows are out of order."""
+    from salesops.streaming.debounce_late import run_debounce_late
+
+    events = T.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3 * 86400))
+    arrival = F.expr("unix_micros(cast(ts as timestamp)) div 1000000") + late
+    dealt = FS.written(events.withColumn("file", F.floor(arrival / F.lit(4 * 86400))), "late-scans")
+    folder, out = FS.scratch_path(spark, "late"), FS.scratch_path(spark, "debounce-late")
+    files = [r["file"] for r in dealt.select("file").distinct().orderBy("file").collect()]  # one per four days
+    for k in files:
+        dealt.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(folder)
+        if k == files[len(files) // 2]:
+            run_debounce_late(spark, folder, SCAN_LIMIT_MS, "3 days", out)
+    # A scan of the far future moves the watermark past all others.
+    close = spark.sql("SELECT -1L AS event_id, timestamp_ntz'2100-01-01 00:00:00' AS ts, -1L AS user_id, 'end' AS event_type")
+    close.coalesce(1).write.mode("append").parquet(folder)
+    return run_debounce_late(spark, folder, SCAN_LIMIT_MS, "3 days", out).where("device <> -1")
+
+
+register("debounce_scans_late", _DEBOUNCE_SQL)(q_debounce_late)
+
+
 # ---------------------------------------------------------------------------
 # Sources and sinks (S1, S3–S7): whole tables written to a scratch folder
 # under the shared checkpoint folder, read back, compared with the input.
@@ -1159,4 +1175,4 @@ def _report_sql() -> str:
 register("validation_report", _report_sql())(lambda spark, d: quality.validation_report(*_checked_uploads(spark, d)))
 
 # Further parts of the registry; each registers its queries when it is imported.
-from salesops import registry_inventory, registry_uploads  # noqa: E402, F401
+from salesops import registry_inventory, registry_profile, registry_uploads  # noqa: E402, F401

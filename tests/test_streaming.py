@@ -69,3 +69,48 @@ def test_stored_charts_prune_folders(spark):
     assert "PartitionFilters: [" in plan and "(year#" in plan and "(month#" in plan
     names = [f for f in spark.read.parquet(path).inputFiles() if "year=1997/month=3/" in f]
     assert len(names) == 1  # clustered: one file of a small folder
+
+
+def _late(spark, batches, limit=1000, delay="10 seconds"):
+    """Batches of (device, second, code, id), one file each, in arrival order; accepted ids, by batch of output."""
+    from salesops.streaming.debounce_late import run_debounce_late
+
+    folder = tempfile.mkdtemp(prefix="late-", dir="/tmp")
+    out = []
+    for rows in batches:
+        df = spark.createDataFrame([(i, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}", d, c) for d, s, c, i in rows], "event_id long, ts string, user_id long, event_type string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder + "/in")
+        out.append(sorted(x.scan_id for x in run_debounce_late(spark, folder + "/in", limit, delay, folder + "/out").collect()))
+    return out
+
+
+def test_late_scans_are_put_in_order(spark):
+    # In arrival order 'b' at 3 would split the run of 'a'; in time order it does so between 2 and 4.
+    got = _late(spark, [[(1, 4, " a ", 40), (1, 2, "a", 20)], [(1, 3, "b", 30), (1, 4, "a", 41), (2, 1, "", 50)], [(9, 100, "end", 99)]], limit=10_000)
+    assert got[:2] == [[], []] and got[2] == [20, 30, 40]  # 41 is the same code at the same time
+    # Behind the watermark: dropped, and the state stays as it was.
+    got = _late(spark, [[(1, 0, "a", 1)], [(1, 60, "a", 2)], [(1, 5, "b", 3)], [(9, 200, "end", 99)]])
+    assert got[-1] == [1, 2]
+
+
+def test_pieces_of_one_unbroken_run(spark):
+    """Equal exits are one step of a piece's table: as a plain walk gives."""
+    import random
+
+    rng = random.Random(4)
+    rows, t = [], 0
+    for i in range(600):
+        t += rng.choice([0, 1, 1, 2, 7])
+        rows.append((1, t, "a" if rng.random() < 0.97 else "b", i))
+    want, last = [], None
+    for _, t, c, i in rows:
+        if last is None or c != last[0] or t - last[1] > 5:
+            last = (c, t)
+            want.append(i)
+    df = spark.createDataFrame(rows, "device long, s long, code string, scan_id long").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    for n in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert sorted(x.scan_id for x in S.debounce_scans(df, 5000).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
