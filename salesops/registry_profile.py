@@ -135,3 +135,38 @@ def q_validate_sales_broken(spark, d):
         F.when(s % 41 == 0, F.lit("c" * 81)).otherwise(F.col("p_type")).alias("category"),
     )
     return records.validate_sales(h.withColumn("payment_type", pay), lines)
+
+
+# ---------------------------------------------------------------------------
+# Row numbers of CSV files: the dirty table written in order over many files,
+# read in splits of 64 KiB.
+# ---------------------------------------------------------------------------
+
+
+@register(
+    "csv_row_numbers",
+    _with(
+        O.RAW_SALES_CTE,
+        f"nb AS (SELECT *, row_number() OVER (ORDER BY row_number, {', '.join(f'{c} NULLS FIRST' for c in QUOTED)}) AS position FROM raw_sales)",
+    )
+    + f"""SELECT (position - 1) // 20000 AS file, 2 + (position - 1) % 20000 AS sheet_row, position, {", ".join(QUOTED)} FROM nb""",
+)
+def q_csv_row_numbers(spark, d):
+    from salesops.plans.numbering import number_within
+    from salesops.plans.row_numbers import with_row_numbers
+
+    path = FS.scratch_path(spark, "csv")
+    rows = number_within(T.raw_sales(spark, d), [], ["row_number", *NAMES], "at").withColumn("file", F.expr("(at - 1) div 20000"))
+    plain = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    # Files of 20,000 rows each, in order; a folder's name keeps the order of numbers.
+    rows.withColumn("file", F.lpad(F.col("file").cast("string"), 8, "0")).repartition("file").sortWithinPartitions("file", "at").drop("row_number", "at").write.options(**plain).partitionBy("file").csv(path)
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 64 * 1024)
+    try:
+        # The plan takes the setting when it is made, in both passes; a write makes it now.
+        found = with_row_numbers(FS.csv_reader(spark, multi_line=False).schema(FS.RAW_SALES_SCHEMA).csv(f"{path}/*"), "sheet_row", "path", first=2)
+        found = FS.written(found, "numbered")
+    finally:
+        spark.conf.set(setting, before)
+    return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file"), "sheet_row", "position", *NAMES)
