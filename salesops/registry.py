@@ -263,6 +263,18 @@ def _chart_set(src: str, load, suffix: str):
     register(f"revenue_split_empty{suffix}", sql_revenue_split(src, EMPTY_YEAR))(
         lambda spark, d: charts.revenue_split(load(spark, d), EMPTY_YEAR)
     )
+    # What each chart shows when the filter leaves nothing.
+    for name, sql, chart in (
+        ("payment_method_split", sql_share(src, "pay", "payment_method", EMPTY_YEAR), lambda df: charts.payment_method_split(df, EMPTY_YEAR)),
+        ("category_performance", sql_share(src, "cat", "category", EMPTY_YEAR, MONTH), lambda df: charts.category_performance(df, EMPTY_YEAR, MONTH)),
+        ("revenue_trend_day", sql_revenue_trend_day(src, EMPTY_YEAR, MONTH), lambda df: charts.revenue_trend_day(df, EMPTY_YEAR, MONTH)),
+        ("order_volume", sql_order_volume(src, EMPTY_YEAR, MONTH), lambda df: charts.order_volume(df, EMPTY_YEAR, MONTH)),
+        ("top_selling_items", sql_top_selling_items(src, EMPTY_YEAR), lambda df: charts.top_selling_items(df, EMPTY_YEAR)),
+        ("market_basket", sql_market_basket(src, EMPTY_YEAR), lambda df: basket.market_basket(df, EMPTY_YEAR)),
+        ("payment_vs_category", sql_payment_vs_category(src, EMPTY_YEAR), lambda df: charts.payment_vs_category(df, EMPTY_YEAR)),
+    ):
+        if not suffix:
+            register(f"{name}_empty", sql)(lambda spark, d, chart=chart: chart(load(spark, d)))
     register(f"order_volume{suffix}", sql_order_volume(src, YEAR, MONTH))(
         lambda spark, d: charts.order_volume(load(spark, d), YEAR, MONTH)
     )
@@ -285,6 +297,9 @@ _chart_set("sales", T.sales, "")
 register("day_wise_pattern", sql_day_wise_pattern(O.SALES_HOURS_CTE, "sales_hours", H_YEAR, H_MONTH) + "SELECT * FROM pts")(
     lambda spark, d: charts.day_wise_pattern(T.sales_hours(spark, d), H_YEAR, H_MONTH)
 )
+register("day_wise_pattern_empty", sql_day_wise_pattern(O.SALES_HOURS_CTE, "sales_hours", EMPTY_YEAR, H_MONTH) + "SELECT * FROM pts")(
+    lambda spark, d: charts.day_wise_pattern(T.sales_hours(spark, d), EMPTY_YEAR, H_MONTH)
+)
 register("chart_totals", sql_chart_totals(YEAR, MONTH, H_YEAR, H_MONTH))(
     lambda spark, d: charts.chart_totals(T.sales(spark, d), YEAR, MONTH, T.sales_hours(spark, d), H_YEAR, H_MONTH)
 )
