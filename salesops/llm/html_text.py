@@ -2,12 +2,18 @@
 
 A page is cut into flat text blocks (runs of text between block-level tags).
 Each block is described by its own and its neighbours' word count and link
-density and by what encloses it; a decision tree decides whether it is main
-text. The tree is trained here, on the small labelled table below.
+density and by how what encloses it is marked; a decision tree decides whether
+it is main text. The tree is trained here, on the small labelled table below.
+Marks are features beside the counts, as pages mark wrongly or not at all:
+clear furniture never is main text; text of a marked article always is, unless
+a word that may also name its subject (``legal``, ``header``) marks it; there,
+on pages that mark no article, and outside an article that is marked, words and
+link density of the block and its neighbours decide.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -33,45 +39,51 @@ MATH = frozenset(
     "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
 DRAWING = frozenset("circle clippath defs ellipse g line lineargradient mask path polygon polyline radialgradient rect stop symbol text tspan use".split())
-# Enclosing elements and words in class, id or role that mark page furniture.
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
+# Enclosing elements, and words in class, id or role, that mark page furniture.
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup "
-    "sidebar widget related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments "
-    "disqus reply replies login search pagination pager tags legal copyright toolbar contentinfo complementary form".split()
+    "sidebar widget related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
+    "disqus reply replies login search pagination pager toolbar contentinfo complementary".split()
 )
+# Words that may as well name what an article is about, or a part of it.
+WEAK_WORDS = frozenset("header legal copyright tags form".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article main content post entry story articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "zone", "heading")
-# What may stand beside a block: (words, links) before and after it.
-BESIDE = (((0, 0.0), (0, 0.0)), ((1, 1.0), (1, 1.0)), ((4, 0.0), (15, 0.0)), ((15, 0.0), (2, 1.0)), ((60, 0.0), (80, 0.0)), ((2, 1.0), (90, 0.0)), ((120, 0.0), (3, 0.0)), ((30, 0.1), (30, 0.3)))
-# The labelled table, in two parts. zone: 1 inside the article, 0 the page marks
-# none, -1 outside the article that the page marks. Blocks whose label does not
-# depend on what stands beside them (words, links, furniture, zone, heading, main):
-ANYWHERE = [
-    # furniture of all lengths, wherever it stands
-    (1, 1.0, 1, -1, 0, 0), (4, 0.0, 1, -1, 0, 0), (12, 0.0, 1, -1, 0, 0), (45, 0.0, 1, -1, 0, 0), (3, 1.0, 1, 0, 0, 0), (20, 0.0, 1, 0, 0, 0), (90, 0.0, 1, 0, 0, 0),
-    (5, 0.0, 1, 0, 1, 0), (6, 0.0, 1, 1, 0, 0), (15, 0.0, 1, 1, 0, 0), (70, 0.1, 1, 1, 0, 0), (4, 0.0, 1, 1, 1, 0),
-    # outside the article that the page marks
-    (2, 1.0, 0, -1, 0, 0), (5, 0.0, 0, -1, 0, 0), (14, 0.0, 0, -1, 0, 0), (60, 0.0, 0, -1, 0, 0), (4, 0.0, 0, -1, 1, 0),
-    # article text: headings, paragraphs, short lines, links in prose
-    (1, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 1, 0, 1), (8, 0.4, 0, 1, 0, 1), (12, 0.0, 0, 1, 0, 1), (30, 0.3, 0, 1, 0, 1), (70, 0.0, 0, 1, 0, 1), (200, 0.1, 0, 1, 0, 1),
-    (2, 0.0, 0, 1, 1, 1), (9, 0.0, 0, 1, 1, 1), (10, 0.6, 0, 1, 0, 1),
-    # links inside the article are its text, too
-    (3, 1.0, 0, 1, 0, 1), (8, 1.0, 0, 1, 0, 1), (14, 0.9, 0, 1, 0, 1),
-]
-# Blocks of pages that mark no article: (words, links, words and links before, words and links after, heading, main)
-UNMARKED = [
-    (80, 0.0, 60, 0.0, 70, 0.0, 0, 1), (40, 0.1, 9, 0.0, 50, 0.0, 0, 1), (25, 0.0, 40, 0.0, 30, 0.0, 0, 1), (18, 0.0, 30, 0.0, 45, 0.0, 0, 1), (150, 0.02, 2, 1.0, 3, 1.0, 0, 1),
-    (9, 0.0, 60, 0.0, 80, 0.0, 0, 1), (5, 0.0, 70, 0.0, 60, 0.0, 1, 1), (7, 0.0, 2, 1.0, 60, 0.0, 1, 1), (12, 0.0, 7, 0.0, 40, 0.0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 1),
-    (22, 0.0, 50, 0.0, 2, 1.0, 0, 1), (12, 0.2, 90, 0.0, 70, 0.0, 0, 1), (16, 0.0, 1, 1.0, 5, 1.0, 0, 1), (35, 0.3, 3, 1.0, 2, 1.0, 0, 1), (6, 0.0, 45, 0.0, 40, 0.0, 0, 1),
-    (4, 0.0, 1, 1.0, 2, 1.0, 0, 0), (6, 0.0, 3, 1.0, 1, 1.0, 0, 0), (8, 0.0, 0, 0.0, 2, 1.0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0), (5, 0.0, 2, 1.0, 0, 0.0, 0, 0),
-    (2, 0.0, 3, 0.0, 4, 0.0, 0, 0), (4, 0.0, 2, 0.5, 3, 0.5, 1, 0), (7, 0.0, 4, 1.0, 0, 0.0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0),
-    (6, 1.0, 60, 0.0, 50, 0.0, 0, 0), (20, 0.9, 3, 1.0, 3, 1.0, 0, 0), (45, 0.8, 2, 1.0, 2, 1.0, 0, 0), (10, 0.7, 70, 0.0, 4, 1.0, 0, 0), (30, 0.8, 90, 0.0, 60, 0.0, 0, 0),
-]
-LABELLED = [(w, k, *before, *after, f, z, h, y) for w, k, f, z, h, y in ANYWHERE for before, after in BESIDE] + [(*r[:6], 0, 0, *r[6:]) for r in UNMARKED]
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "weak", "zone", "heading")
+# The labelled table: blocks of these sizes (words, links), with these beside them
+# (nothing, links, a short line, prose), under all marks. zone: 1 inside the
+# article, 0 the page marks none, -1 outside the article that the page marks.
+SIZES = [(w, k) for w in (2, 6, 9, 12, 16, 25, 45, 90, 250) for k in (0.0, 0.3, 0.9)]
+SIDES = [(0, 0.0), (3, 1.0), (6, 0.0), (30, 0.0), (60, 0.9), (60, 0.1)]
+MARKS = [(f, weak, zone, h) for f in (0, 1) for weak in (0, 1) for zone in (-1, 0, 1) for h in (0, 1)]
+
+
+def is_main_by_hand(size: tuple, before: tuple, after: tuple, marks: tuple) -> bool:
+    """How the table is labelled: what a reader of such pages says of a block."""
+    (words, links), (furniture, weak, zone, heading) = size, marks
+    prose = lambda side, n: side[0] >= n and side[1] <= 0.5
+    between = prose(before, 20) and prose(after, 20)
+    if furniture:
+        return False
+    if zone == 1 and not weak:
+        return True  # links of the article are its text, too
+    if links > 0.5:
+        return False
+    if zone == 1:  # a word that may name the subject: on prose, headings and lines between paragraphs
+        return bool(heading or words >= 12 or between)
+    if zone == -1:  # the marked article is not all: long prose that goes on
+        return not weak and words >= 45 and prose(before, 60) and prose(after, 60)
+    if weak:
+        return words >= 25 and (prose(before, 20) or prose(after, 20))
+    if words >= 16:
+        return True
+    return between or bool(heading and prose(after, 20)) or (words >= 9 and (prose(before, 20) or prose(after, 20)))
+
+
+LABELLED = [(*size, *before, *after, *marks, int(is_main_by_hand(size, before, after, marks))) for size in SIZES for before in SIDES for after in SIDES for marks in MARKS]
 
 
 @dataclass
@@ -85,7 +97,7 @@ class Node:
     high: Node | None = None
 
 
-def train_tree(rows: list[tuple], depth: int = 8) -> Node:
+def train_tree(rows: list[tuple], depth: int = 12) -> Node:
     """CART with the Gini impurity; cuts lie midway between neighbouring values."""
     data = np.array(rows, float)
     x, y = data[:, :-1], data[:, -1]
@@ -111,44 +123,65 @@ def train_tree(rows: list[tuple], depth: int = 8) -> Node:
     return grow(np.arange(len(data)), depth)
 
 
+@functools.cache
+def default_tree() -> Node:
+    return train_tree(LABELLED)
+
+
 def is_main(tree: Node, features: tuple) -> bool:
     while tree.feature >= 0:
         tree = tree.low if features[tree.feature] <= tree.cut else tree.high
     return tree.main
 
 
+# A quoted value may hold '<' where its closing quote stands before a blank, '/' or '>'.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*[^<>]*)>?|<[!?][^>]*>?",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)"
+    r"(?P<attrs>(?:[^<>\"'=]|=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|=|\"[^\"<]*\"|'[^'<]*')*[^<>]*)>?|<[!?][^>]*>?",
     re.S | re.I,
 )
+_HIDING = re.compile(rf"<(?:{'|'.join(sorted(HIDING))})\b", re.I)
 # The tag that ends a raw element: of code the next end tag; a further start tag of the others shows that the first has no end.
 _RAW_END = {t: re.compile(rf"<({'/' if t in ('script', 'style') else '/?'}){t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
-_HIDING = re.compile(rf"<(?:{'|'.join(sorted(HIDING))})\b", re.I)
-_MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
+# What a form that is a whole page's frame holds.
+_FRAMED = re.compile(r"<(?:article|main|h1|nav|footer)\b", re.I)
 
 
-def _role(tag: str, attrs: str) -> str:
-    """'furniture', 'article' or '' for an element that opens."""
-    if tag in FURNITURE_TAGS:
+def attributes(attrs: str) -> dict[str, str]:
+    """Attribute values by lower-case name; of a repeated one the first."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def _role(tag: str, attrs: str, in_article: bool) -> str:
+    """'furniture', 'weak', 'article' or '' for an element that opens."""
+    if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
         return "furniture"
     found = "article" if tag in ARTICLE_TAGS else ""
-    if "=" in attrs or "hidden" in attrs:
-        if _HIDDEN.search(attrs):
-            return "furniture"
-        for _, a, b, c in _MARKS.findall(attrs):
-            for name in (a or b or c).lower().split():
-                parts = re.split(r"[-_]+", name)
-                if parts[0] in ("has", "with", "no", "is"):
-                    continue
-                if tag in ARTICLE_TAGS or tag in ("html", "body"):
-                    if parts[0].startswith("comment") and tag == "article":
-                        return "furniture"
-                    continue
-                if parts[0] in FURNITURE_WORDS or parts[-1] in FURNITURE_WORDS:
+    values = attributes(attrs) if attrs else {}
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(values.get("style", "")):
+        return "furniture"
+    for key in ("class", "id", "role"):
+        for name in values.get(key, "").lower().split():
+            parts = re.split(r"[-_]+", name)
+            if parts[0] in ("has", "with", "no", "is"):
+                continue
+            comments = parts[0].startswith("comment") or parts[-1].startswith("comment")
+            if tag in ARTICLE_TAGS or tag in ("html", "body"):
+                if comments and tag == "article":
                     return "furniture"
-                if parts[0] in ARTICLE_WORDS or parts[-1] in ARTICLE_WORDS:
-                    found = "article"
+                continue
+            ends = {parts[0], parts[-1]}
+            if comments or ends & FURNITURE_WORDS:
+                return "furniture"
+            if ends & WEAK_WORDS:
+                found = "weak"
+            elif ends & ARTICLE_WORDS and found != "weak":
+                found = "article"
     return found
 
 
@@ -173,13 +206,11 @@ def _tags(page: str, ends: dict[int, int]) -> Iterator[tuple[re.Match, str, int]
         yield m, tag, at
 
 
-def _hiding_ends(page: str) -> dict[int, int]:
-    """Where the hiding elements that have an end tag end, by the place of their start tag."""
+def _extents(page: str) -> dict[int, int]:
+    """Where the elements that have an end tag end, by the place of their start tag."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     unended: Counter = Counter()
-    if not _HIDING.search(page):
-        return ends
     for m, tag, _ in _tags(page, {}):
         if not tag or tag in RAW or tag in VOID or tag in INLINE:
             continue
@@ -189,7 +220,7 @@ def _hiding_ends(page: str) -> dict[int, int]:
                 unended[name] -= 1
                 if name == tag:
                     break
-            if m["end"] and tag in HIDING:
+            if m["end"]:
                 ends[start] = m.end()
         if not m["end"] and not m["attrs"].endswith("/"):
             stack.append((tag, m.start()))
@@ -203,6 +234,7 @@ class Block:
     words: int
     links: float
     furniture: int
+    weak: int
     article: bool
     heading: int
 
@@ -213,7 +245,10 @@ def text_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    furniture = article = heading = in_link = 0
+    held = dict.fromkeys(("furniture", "weak", "article", ""), 0)
+    heading = in_link = 0
+    ends = _extents(page)
+    starts = {at: e for at, e in ends.items() if _HIDING.match(page, at)}
 
     def close() -> None:
         nonlocal parts, link_parts
@@ -222,17 +257,16 @@ def text_blocks(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = len(html.unescape(" ".join(link_parts)).split())
-                blocks.append(Block(text, words, min(1.0, linked / words), int(furniture > 0), article > 0, int(heading > 0)))
+                blocks.append(Block(text, words, min(1.0, linked / words), int(held["furniture"] > 0), int(held["weak"] > 0), held["article"] > 0, int(heading > 0)))
             parts, link_parts = [], []
 
     def leave(tag: str, role: str) -> None:
-        nonlocal furniture, article, heading
-        furniture -= role == "furniture"
-        article -= role == "article"
+        nonlocal heading
+        held[role] -= 1
         heading -= tag in HEADINGS
 
     at = 0
-    for m, tag, after in _tags(page, _hiding_ends(page)):
+    for m, tag, after in _tags(page, starts):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -266,12 +300,13 @@ def text_blocks(page: str) -> list[Block]:
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if stack and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
                 leave(*stack.pop())
-            role = _role(tag, m["attrs"])
-            if tag == "header" and not article:
-                role = "furniture"
+            role = _role(tag, m["attrs"], held["article"] > 0)
+            if role == "furniture" and tag in FURNITURE_TAGS:
+                end = ends.get(m.start())
+                if end is None or (tag == "form" and _FRAMED.search(page, m.end(), end)):
+                    role = ""  # without an end tag it marks nothing; a form around a page is its frame
             stack.append((tag, role))
-            furniture += role == "furniture"
-            article += role == "article"
+            held[role] += 1
             heading += tag in HEADINGS
     if at < len(page):
         parts.append(page[at:])
@@ -288,7 +323,7 @@ def main_text(page: str | None, tree: Node) -> str:
         before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
         features = (
             b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0,
-            b.furniture, (1 if b.article else -1) if marked else 0, b.heading,
+            b.furniture, b.weak, (1 if b.article else -1) if marked else 0, b.heading,
         )
         if is_main(tree, features):
             kept.append(b.text)
@@ -307,7 +342,7 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", labelled: list[tup
     links of an article are its text; equal pages give equal texts; columns already named ``text`` or
     ``n_chars`` are replaced; an empty table gives an empty result.
     """
-    tree = train_tree(labelled or LABELLED)
+    tree = train_tree(labelled) if labelled else default_tree()
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -5,7 +5,7 @@ import pyspark.sql.functions as F
 import pyspark.sql.types as T
 
 from salesops.llm.common import batch_word_hashes, word_hashes
-from salesops.llm.html_text import LABELLED, extract_text, is_main, main_text, train_tree
+from salesops.llm.html_text import FEATURES, LABELLED, default_tree, extract_text, is_main, main_text
 from salesops.llm.licenses import BAND, TEMPLATES, Index, align, scan_licenses, scan_words, winnow
 from salesops.llm.quality import fit, score_quality
 
@@ -40,17 +40,17 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>if (a<b) x("</p>
 
 
 def test_main_text_of_a_page():
-    assert main_text(PAGE, train_tree(LABELLED)) == "The & title\nFirst paragraph with a link in it and a second line of text.\nShort.\nfirst item of a list\nsecond item"
+    assert main_text(PAGE, default_tree()) == "The & title\nFirst paragraph with a link in it and a second line of text.\nShort.\nfirst item of a list\nsecond item"
 
 
 def test_pages_without_a_marked_article():
     page = '<body><div><a>Home</a> <a>News</a></div><div>' + "<p>" + "Some longer text of the page goes here. " * 6 + "</p>" * 1 + "<p>" + "More text follows in this place now. " * 5 + "</p></div><div><a>a</a> <a>b</a></div>"
-    text = main_text(page, train_tree(LABELLED))
+    text = main_text(page, default_tree())
     assert text.startswith("Some longer") and "More text" in text and "Home" not in text and not text.endswith("b")
 
 
 def test_elements_without_an_end_tag_hide_nothing():
-    tree = train_tree(LABELLED)
+    tree = default_tree()
     body = "Body of the article."
     assert main_text(f"<html><head><title>X</title><meta charset=utf-8><body><article><p>{body}", tree) == body
     assert main_text(f"<html><head><title>X</title><article><p>{body}", tree) == body
@@ -64,13 +64,13 @@ def test_elements_without_an_end_tag_hide_nothing():
 
 
 def test_formulas_and_links_of_an_article_are_text():
-    tree = train_tree(LABELLED)
+    tree = default_tree()
     assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p><a href=/a>A paragraph that is one link</a></p><ul><li><a href=/b>Link</a></ul></article>", tree) == "Let x=1 be.\nA paragraph that is one link\nLink"
     assert main_text('<nav><a href=/a>One</a></nav><article><p>Text.</p><div class="related"><a href=/b>Link</a></div></article>', tree) == "Text."
 
 
 def test_tree_fits_its_table():
-    tree = train_tree(LABELLED)
+    tree = default_tree()
     wrong = sum(is_main(tree, r[:-1]) != bool(r[-1]) for r in LABELLED)
     assert wrong <= 0.02 * len(LABELLED)
 
@@ -237,3 +237,80 @@ def test_labels_of_held_out_rows_do_not_count(spark, make_docs):
 
 def test_schema_types(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).schema["n_chars"].dataType == T.LongType()
+
+
+BODY = "The body of this article has some words that should be kept in it."
+LONG = " ".join([BODY] * 5)
+
+
+def test_attributes_count_by_name_and_value():
+    tree = default_tree()
+    for start in ('data-title="The hidden life of trees"', 'style="overflow: hidden !important"', 'title="a < b"', "title='x > y' lang=en", 'data-id="ad-9"', 'data-class="cookie"', "aria-hidden=false", 'class="x" class="ad"'):
+        assert main_text(f"<article><p {start}>{BODY}</p></article>", tree) == BODY, start
+        assert main_text(f"<article {start}><p>{BODY}</p></article>", tree) == BODY, start
+    assert main_text(f'<article><p aria-label="a hidden gem">{BODY}</p></article>', tree) == BODY
+    for start in ("hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display : none"', "style='visibility:hidden'", 'class="x ad-top"', "id=cookie", "role=navigation", "CLASS=Newsletter"):
+        assert main_text(f"<article><p>{BODY}</p><div {start}>{LONG}</div></article>", tree) == BODY, start
+    assert main_text(f'<article><p class="x>text <a href="y">{BODY}</a></article>', tree) == f"text {BODY}"  # a quote left open
+
+
+def test_wrong_and_missing_marks():
+    tree = default_tree()
+    assert main_text(f'<form id="aspnetForm"><nav><a>Home</a></nav><article><p>{BODY}</p></article></form>', tree) == BODY
+    assert main_text(f"<article><p>{BODY}</p><form id=f><p>{LONG}</p></form></article>", tree) == BODY
+    assert main_text(f"<body><nav><a href=/>Home</a><article><p>{BODY}</p></article></body>", tree) == BODY  # nav left open
+    assert main_text(f"<aside><footer><article><p>{BODY}</p></article>", tree) == BODY
+    assert main_text(f'<article><div class="post-header"><h1>Title</h1></div><p>{BODY}</p></article>', tree) == f"Title\n{BODY}"
+    for mark in ('id="copyright"', 'class="legal"', 'class="tags"'):
+        assert main_text(f"<article><section {mark}><p>{LONG}</p><p>{LONG}</p></section></article>", tree) == f"{LONG}\n{LONG}"
+        assert main_text(f"<article><p>{LONG}</p><div {mark}>2024 Foo Inc. All rights reserved</div></article>", tree) == LONG
+        assert main_text(f"<article><p>{LONG}</p><div {mark}><a>one</a> <a>two</a> <a>three</a></div></article>", tree) == LONG
+    assert main_text(f'<div class="content"><p>{LONG}</p><p>{LONG}</p><ol class="commentlist"><li>{LONG}</li></ol></div>', tree) == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><p>{BODY}</p><![CDATA[x > y]]></article>", tree) == BODY
+    # The marked article is a teaser, the long prose stands outside it; a lone notice there does not count.
+    got = main_text(f"<article><p>Teaser only.</p></article><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", tree)
+    assert got.count(LONG) >= 1
+    assert main_text(f"<article><p>{LONG}</p></article><div><a>Home</a></div><div>{LONG}</div><div><a>More</a></div>", tree) == LONG
+
+
+def test_generated_pages_whose_article_is_known():
+    """Furniture, articles and marks dealt at random; every page's text is that of its paragraphs."""
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join(rng.choice(["word", "other", "text", "page", "reads"], n))
+    links = lambda n: "".join(f'<li><a href="/{i}">{say(2)}</a></li>' for i in range(n))
+    furniture = [
+        lambda: f"<nav><ul>{links(6)}</ul></nav>", lambda: f'<div class="ad">{say(12)}</div>', lambda: f'<div id="cookie-banner"><p>{say(40)}</p></div>', lambda: f"<footer><p>{say(9)}</p></footer>",
+        lambda: f"<aside><p>{say(50)}</p><ul>{links(3)}</ul></aside>", lambda: f"<form><p>{say(20)}</p><input name=q></form>", lambda: f'<ol class="commentlist"><li>{say(30)}</li><li>{say(45)}</li></ol>',
+        lambda: f'<script>var x = "<p>{say(5)}</p>";</script>', lambda: f"<!-- <p>{say(20)}</p> -->", lambda: f'<div style="display:none"><p>{say(60)}</p></div>',
+    ]
+    tree = default_tree()
+    for _ in range(300):
+        own = [say(int(rng.integers(45, 200))) for _ in range(int(rng.integers(2, 6)))]
+        marked = rng.random() < 0.6
+        inside = [f"<p {rng.choice(['', 'title=\"a < b\"', 'data-id=\"ad-1\"', 'aria-label=\"hidden gem\"'])}>{t}</p>" for t in own]
+        if marked:
+            for _ in range(int(rng.integers(0, 3))):
+                inside.insert(int(rng.integers(0, len(inside) + 1)), furniture[rng.integers(1, len(furniture))]())
+        body = "".join(inside)
+        body = rng.choice(["<article>{}</article>", '<div class="entry-content">{}</div>', "<main><div>{}</div></main>"]).format(body) if marked else f"<div>{body}</div>"
+        before, after = ("".join(furniture[i]() for i in rng.integers(0, len(furniture), rng.integers(0, 4))) for _ in range(2))
+        page = f"<html><head><title>{say(3)}</title></head><body>{before}{body}{after}</body></html>"
+        assert main_text(page, tree) == "\n".join(own), page
+
+
+def test_words_and_links_of_neighbours_decide():
+    """The tree uses them: the same block is kept or not by what stands beside it."""
+    tree = default_tree()
+    used = set()
+
+    def walk(n):
+        if n.feature >= 0:
+            used.add(FEATURES[n.feature])
+            walk(n.low)
+            walk(n.high)
+
+    walk(tree)
+    assert {"words", "links", "words_before", "words_after", "zone", "furniture", "weak"} <= used and used & {"links_before", "links_after"}
+    short = "A short line between."
+    assert short in main_text(f"<div><p>{LONG}</p><p>{short}</p><p>{LONG}</p></div>", tree)
+    assert short not in main_text(f"<div><p><a>Home</a></p><p>{short}</p><p><a>News</a></p></div><p>{LONG}</p>", tree)
