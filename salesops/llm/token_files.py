@@ -178,8 +178,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
                         crc[j] = value
                     yield pa.record_batch([d.column("doc_id"), pa.array(start + shard["base"]), d.column("n_tokens"), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One shard to a task: the shard numbers are distinct and as many as the tasks that wrote them.
-    return placed.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # As many ranges of shard numbers as there are shards: a given number of partitions is not
+    # coalesced, however small a shard's row is.
+    return placed.repartitionByRange(max(shards.count(), 1), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:

@@ -121,3 +121,17 @@ def test_pack_documents_pieces(make_docs, edge):
             part = ids[r.start : r.start + r.length]
             assert r.start == r.piece * 4096 and zlib.crc32(part.tobytes()) == r.ids_crc32
     assert out[out.doc_id == 4].length.tolist() == [1]
+
+
+def test_shards_are_read_back_in_as_many_tasks(spark, make_docs):
+    from salesops.llm.common import shared_path
+    from salesops.llm.token_files import read_documents
+
+    docs = make_docs([(i, "some words " * 50) for i in range(400)], 8)
+    shards = write_token_files(docs, shared_path(spark, "t"))
+    many = shards.limit(0).unionByName(shards)
+    for n in range(1, 6):  # as if more tasks had written
+        many = many.unionByName(shards.withColumn("shard", F.col("shard") + 100 * n))
+    back = read_documents(many)
+    assert back.rdd.getNumPartitions() == many.count() >= 6
+    assert back.count() == 6 * 400
