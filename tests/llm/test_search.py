@@ -82,3 +82,18 @@ def test_zero_vectors_take_no_part_in_tree_search(spark):
     rows = [(0, [0.0, 0.0], "", ""), (20, [1.0, 0.0], "", ""), (21, [0.5, 0.0], "", "")]
     got = approximate_neighbours(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0, 5).collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(20, 21)]
+
+
+def test_a_query_goes_on_until_it_has_met_k_rows(spark):
+    """Small leaves far from all others, and a rare length among many vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.append(rng.normal(scale=0.05, size=7), 1.0)], "", "") for i in range(600)]
+    rows += [(1000 + 20 * i, [float(x) for x in 50 * np.eye(8)[i]], "", "") for i in range(6)]  # lone outliers
+    rows += [(2000 + i, [float(x) for x in rng.normal(size=5)], "", "") for i in range(25)]
+    got = approximate_neighbours(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0, 20, target_recall=0.3, sample=300).collect()
+    found = {}
+    for r in got:
+        found[r.query_id] = found.get(r.query_id, 0) + 1
+    asked = [i for i, *_ in rows if i % 20 == 0]
+    assert found == dict.fromkeys(asked, 20)
+    assert all((r.vec_id >= 2000) == (r.query_id >= 2000) for r in got)
