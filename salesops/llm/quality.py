@@ -1,13 +1,15 @@
 """Quality classifier by compression with class dictionaries.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled
-texts. A text is compressed whole with each; the class whose dictionary
-shrinks it more is likelier. The normalised size difference
-``(bad - good) / (bad + good)`` and how far the text shrinks at all are turned
-into a probability by a logistic curve, fitted on labelled texts that did
-not go into the dictionaries.
-
-The model is a bounded object (two dictionaries and a few coefficients) that
+Pairs of zstandard dictionaries of a few sizes are built, one from good and
+one from bad labelled texts. A text is compressed whole with each; the class
+whose dictionaries shrink it more is likelier. The normalised size difference
+``(bad - good) / (bad + good)`` of the mean sizes and how far the text shrinks
+at all are turned into a probability by a logistic curve, fitted on labelled
+texts that did not go into the dictionaries. Small dictionaries hold what a
+class says most often, large ones what it says at all; together their
+difference tells the classes apart better than that of any one size.
+
+The model is a bounded object (six dictionaries and a few coefficients) that
 travels with the task. Only training reads labels. It learns from a bounded
 number of rows, each whole; their texts stay in tasks, and the driver gets
 dictionaries, ids and sizes.
@@ -29,32 +31,36 @@ from salesops.llm.common import small, stored
 
 # Bound of what training reads: texts of each class.
 TRAIN_PER_CLASS = 2000
-DICTIONARY_BYTES = 112640
+DICTIONARY_BYTES = (16384, 32768, 65536)
+# Pieces that few texts are cut into, whole, to have enough samples to train on.
+SAMPLE_BYTES = 512
 LEVEL = 3
 
 
 @dataclass
 class CompressionModel:
-    good: bytes
-    bad: bytes
+    good: list[bytes]
+    bad: list[bytes]
     weights: list[float]
     mean: list[float]
     scale: list[float]
 
     def sizes(self, texts) -> np.ndarray:
-        """Compressed sizes (plain, with the good, with the bad dictionary) and length."""
-        made = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False)]
-        for d in (self.good, self.bad):
-            if d:
-                data = zstandard.ZstdCompressionDict(d)
-                data.precompute_compress(level=LEVEL)
-                made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False))
-            else:
-                made.append(made[0])
+        """Compressed sizes (plain, the means with the good and with the bad dictionaries) and length."""
+        plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False)
+
+        def compressor(d: bytes) -> zstandard.ZstdCompressor:
+            if not d:
+                return plain
+            data = zstandard.ZstdCompressionDict(d)
+            data.precompute_compress(level=LEVEL)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
+
+        made = [[plain], *([compressor(d) for d in ds] or [plain] for ds in (self.good, self.bad))]
         out = np.empty((len(texts), 4))
         for i, t in enumerate(texts):
             data = (t or "").encode("utf-8", "surrogatepass")
-            out[i] = [*(len(c.compress(data)) for c in made), len(data)]
+            out[i] = [*(sum(len(c.compress(data)) for c in cs) / len(cs) for cs in made), len(data)]
         return out
 
     def score(self, texts) -> np.ndarray:
@@ -87,20 +93,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return w
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary; the joined texts themselves if there are too few to train on."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts if t]
-    total = sum(map(len, data))
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 8)), data).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(data)[-DICTIONARY_BYTES:]
+def dictionaries(texts: list[str]) -> list[bytes]:
+    """A trained dictionary of each size. Texts too few to train on are cut into pieces;
+    if there are too few of these, all of the text is the one dictionary."""
+    whole = [t.encode("utf-8", "surrogatepass") for t in texts if t]
+    total = sum(map(len, whole))
+    pieces = [d[at : at + SAMPLE_BYTES] for d in whole for at in range(0, len(d), SAMPLE_BYTES)]
+    for samples in (whole, pieces):
+        try:
+            return [zstandard.train_dictionary(min(size, max(1024, total // 8)), samples).as_bytes() for size in DICTIONARY_BYTES]
+        except zstandard.ZstdError:
+            continue
+    return [b"\n".join(whole)]
 
 
 def one_class(good: bool, bad: bool) -> CompressionModel:
     """One class or none: nothing to tell apart."""
     p = 0.5 if good == bad else (0.99 if good else 0.01)
-    return CompressionModel(b"", b"", [float(np.log(p / (1 - p))), *[0.0] * 6], [0.0] * 6, [1.0] * 6)
+    return CompressionModel([], [], [float(np.log(p / (1 - p))), *[0.0] * 6], [0.0] * 6, [1.0] * 6)
 
 
 def _part(xs: list, last: bool) -> list:
@@ -128,7 +138,7 @@ def fit(good: list[str], bad: list[str], share_good: float | None = None) -> Com
     """Dictionaries from two thirds of each class; the curve from the last third."""
     if not good or not bad:
         return one_class(bool(good), bool(bad))
-    model = CompressionModel(_dictionary(_part(good, False)), _dictionary(_part(bad, False)), [], [], [])
+    model = CompressionModel(dictionaries(_part(good, False)), dictionaries(_part(bad, False)), [], [], [])
     return fit_curve(model, model.sizes(_part(good, True)), model.sizes(_part(bad, True)), share_good)
 
 
@@ -151,21 +161,21 @@ def fit_sample(docs: DataFrame, labels: DataFrame, train: Column) -> Compression
     sample = stored(rows, "quality-sample")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each class's dictionary, and the ids that did not go into it."""
+        """Each class's dictionaries, and the ids that did not go into them."""
         held: dict[int, list[tuple[int, str]]] = {}
         for b in batches:
             for doc, text, quality in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "quality")), strict=True):
                 held.setdefault(quality, []).append((doc, text))
         for quality, own in held.items():
             own.sort()
-            dictionary = _dictionary([t for _, t in _part(own, False)])
-            yield pa.record_batch([pa.array([quality], pa.int32()), pa.array([dictionary], pa.binary()), pa.array([[d for d, _ in _part(own, True)]], pa.list_(pa.int64()))], names=["quality", "dictionary", "curve"])
+            made = dictionaries([t for _, t in _part(own, False)])
+            yield pa.record_batch([pa.array([quality], pa.int32()), pa.array([made], pa.list_(pa.binary())), pa.array([[d for d, _ in _part(own, True)]], pa.list_(pa.int64()))], names=["quality", "dictionaries", "curve"])
 
     # A class is one task: its rows are at most TRAIN_PER_CLASS.
-    learnt = {r["quality"]: r for r in sample.repartition(2, "quality").mapInArrow(learn, "quality int, dictionary binary, curve array<long>").collect()}
+    learnt = {r["quality"]: r for r in sample.repartition(2, "quality").mapInArrow(learn, "quality int, dictionaries array<binary>, curve array<long>").collect()}
     if len(learnt) < 2:
         return one_class(1 in learnt, 0 in learnt)
-    model = CompressionModel(bytes(learnt[1]["dictionary"]), bytes(learnt[0]["dictionary"]), [], [], [])
+    model = CompressionModel(*([bytes(d) for d in learnt[q]["dictionaries"]] for q in (1, 0)), [], [], [])
     ids = {*learnt[0]["curve"], *learnt[1]["curve"]}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -314,3 +314,45 @@ def test_words_and_links_of_neighbours_decide():
     short = "A short line between."
     assert short in main_text(f"<div><p>{LONG}</p><p>{short}</p><p>{LONG}</p></div>", tree)
     assert short not in main_text(f"<div><p><a>Home</a></p><p>{short}</p><p><a>News</a></p></div><p>{LONG}</p>", tree)
+
+
+def auc(score, y):
+    order = np.argsort(np.argsort(score, kind="stable"))
+    return (order[y].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (~y).sum())
+
+
+def test_size_difference_leads_the_score():
+    """Ablation on held-out documents: the difference alone beats length and plain compressibility."""
+    import zlib
+
+    import pandas as pd
+
+    from salesops.llm import quality as Q
+
+    folder = "/root/testdata/sf0.1/"
+    rows = pd.read_parquet(folder + "documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(folder + "labels.parquet"), on="doc_id").dropna(subset=["text", "quality"])
+    held = rows.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)
+    good, bad = (rows[~held & (rows.quality == q)].text.tolist()[: Q.TRAIN_PER_CLASS] for q in (1, 0))
+    test, y = rows[held].text.tolist(), (rows[held].quality == 1).to_numpy()
+    model = Q.fit(good, bad)
+    sizes = model.sizes(test)
+    difference = auc((sizes[:, 2] - sizes[:, 1]) / (sizes[:, 2] + sizes[:, 1]), y)
+    x = lambda s: np.column_stack([s[:, 0] / (s[:, 3] + 16), (s[:, 0] / (s[:, 3] + 16)) ** 2, np.log1p(s[:, 3])])
+    a, b = (x(model.sizes(Q._part(t, True))) for t in (good, bad))
+    every = np.vstack([a, b])
+    w = Q.fit_logistic((every - every.mean(0)) / every.std(0), np.repeat([1.0, 0.0], [len(a), len(b)]))
+    without = auc(((x(sizes) - every.mean(0)) / every.std(0)) @ w[1:], y)
+    score = model.score(test)
+    assert difference > 0.945 and difference > without + 0.01
+    assert auc(score, y) > 0.985 and ((score >= 0.7) == y).mean() > 0.98
+
+
+def test_dictionaries_of_few_texts_hold_all_of_them():
+    from salesops.llm import quality as Q
+
+    rng = np.random.default_rng(0)
+    long = [" ".join(f"{p}{i}" for i in rng.integers(0, 400, 60_000)) for p in ("first", "second")]
+    made = Q.dictionaries(long)
+    assert len(made) == 3 and b"first" in b"".join(made) and b"second" in b"".join(made)  # not only the last text
+    assert Q.dictionaries(["only one short text"]) == [b"only one short text"] and Q.dictionaries(["", None]) == [b""]
+    assert 0 <= Q.fit(["good words here"], ["bad stuff there"]).score(["good words", "", None])[0] <= 1
