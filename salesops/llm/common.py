@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -102,6 +103,16 @@ def small(batches: Iterator, rows: int = 500) -> Iterator:
             yield b.slice(at, rows)
 
 
+def release_tokens() -> None:
+    """Drop the tokenizer and the remembered chunks that an earlier stage left in this worker.
+
+    Spark's Python workers serve one stage after another, so what one keeps for
+    its next task stands beside the next stage's memory.
+    """
+    if tokens := sys.modules.get("salesops.llm.tokens"):
+        tokens._LOADED.clear()
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name`` or the first of its longer forms that is no column yet."""
     taken = {c.lower() for c in columns}

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesops.llm.common import batch_word_hashes, mix64, small, stored, unused
+from salesops.llm.common import batch_word_hashes, mix64, release_tokens, small, stored, unused
 from salesops.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """``docs`` (doc_id, text, text_hash) to ``SIGNATURES``; empty texts have null node and arrays."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tokens()
         a = multipliers()
         for b in small(batches):
             sizes, nodes, samples, odd = [], [], np.empty((b.num_rows, SAMPLES), np.uint64), np.empty((b.num_rows, PARITY_BITS // 64), np.int64)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import small, stored
+from salesops.llm.common import release_tokens, small, stored
 
 # Bound of what training reads: texts of each class.
 TRAIN_PER_CLASS = 2000
@@ -162,6 +162,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, train: Column) -> Compression
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class's dictionaries, and the ids that did not go into them."""
+        release_tokens()
         held: dict[int, list[tuple[int, str]]] = {}
         for b in batches:
             for doc, text, quality in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "quality")), strict=True):
@@ -210,8 +211,12 @@ def scorer(model: CompressionModel):
     """The model as a column function of a text."""
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(text.tolist()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_tokens()
+        for text in batches:
+            # A few hundred texts at a time are Python objects.
+            parts = [model.score(text.iloc[at : at + 500].tolist()) for at in range(0, len(text), 500)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return score
 
