@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesops.llm.common import small, stored
-from salesops.llm.tokens import default_tokenizer, encode_ids, encoder
+from salesops.llm.tokens import REMEMBERED, default_tokenizer, encode_ids, encoder
 
 CAPACITY = 4096
 # Pieces packed together by one task.
@@ -32,12 +32,15 @@ MAX_ROUNDS = 5
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of each whole document (``PIECES``)."""
+def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece of each whole document (``PIECES``).
+
+    ``remembered``: chunks whose ids a worker keeps, twice; fewer take less memory and more time.
+    """
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path)
+        ids = encoder(path, remembered)
         for b in small(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -141,7 +144,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, partition_pieces: int =
     return out
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, remembered: int = REMEMBERED, **options) -> DataFrame:
     """Tokenise, cut and pack whole documents.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
@@ -150,4 +153,4 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str
     rows with the same or a null id are packed as documents of their own; an
     empty table gives an empty result. Other columns are ignored.
     """
-    return pack(token_pieces(docs, tokenizer=tokenizer, capacity=capacity), capacity=capacity, **options)
+    return pack(token_pieces(docs, tokenizer=tokenizer, capacity=capacity, remembered=remembered), capacity=capacity, **options)

@@ -34,6 +34,7 @@ class ChunkIds(dict):
     """White-space free chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        self.most = REMEMBERED
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,7 +49,7 @@ class ChunkIds(dict):
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.made(chunk)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(chunk) <= 64:
@@ -83,11 +84,12 @@ class ChunkIds(dict):
 _LOADED: dict[str, ChunkIds] = {}
 
 
-def encoder(path: str) -> ChunkIds:
-    """One encoder for each task process and file."""
+def encoder(path: str, remembered: int = REMEMBERED) -> ChunkIds:
+    """One encoder for each task process and file; ``remembered``: chunks in each generation."""
     if path not in _LOADED:
         _LOADED[path] = ChunkIds(path)
         check_chunks(_LOADED[path])
+    _LOADED[path].most = remembered
     return _LOADED[path]
 
 
