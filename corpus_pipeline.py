@@ -48,7 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return pack_documents(docs)
+    # The stages before it share the workers, so fewer chunks are kept than by packing alone.
+    return pack_documents(docs, remembered=200_000)
 
 
 STAGES = [("quality", quality), ("near_dup", near_dup), ("mix", mix), ("pack", pack)]
