@@ -9,6 +9,7 @@ property for the file in use, and other files are encoded text by text.
 from __future__ import annotations
 
 import os
+import string
 import sys
 from array import array
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ import numpy as np
 REMEMBERED = 500_000
 # Characters of text encoded at a time, cut at white space.
 PIECE_BYTES = 1 << 22
-# Marks that always stand alone for the vocabulary when they end a word.
-_TAIL = b".,;:!?"
+# Letters that are lowered one by one, without marks of their own to compose, lie below.
+PLAIN = "\u0130"
 
 
 def default_tokenizer() -> str:
@@ -39,6 +40,27 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = {t.content[-1:] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        # Marks that stand apart when they end a word: none that may end a special token.
+        self.marks = "".join(c for c in string.punctuation if c not in ends)
+        self.letters = self.letter_table()
+
+    def letter_table(self) -> dict[int, str] | None:
+        """How the file's pre-tokenizer spells each plain small letter, or None where it splits or joins words of them."""
+        pre = self.tokenizer.pre_tokenizer
+        small = [c for c in map(chr, range(ord(PLAIN))) if c.isalpha() and c == c.lower()]
+        table = {}
+        for c in small if pre else ():
+            spelt = pre.pre_tokenize_str(c)
+            if len(spelt) != 1:
+                return None
+            table[ord(c)] = spelt[0][0]
+        probes = ["".join(small), *small, *(a + b for a, b in zip(small, small[7:], strict=False)), "perhaps", "\u00e9l\u00e8ve", "ma\u00f1ana"]
+        return table if table and all(self.word(w, table) == self.direct(w) for w in probes) else None
+
+    def word(self, letters: str, table: dict[int, str]) -> bytes:
+        """Ids of a word of plain small letters, by the model alone: it is its own normal form and one piece."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters.translate(table))]).tobytes()
 
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -58,11 +80,16 @@ class ChunkIds(dict):
 
     def made(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        # A mark after a Latin letter stands apart; Latin letters are lowered one by one.
-        if chunk[-1] in _TAIL and text[-2:-1].isalpha() and text[-2] < "\u0130":
-            return self[chunk[:-1]] + self[chunk[-1:]]
-        if text.isalpha() and max(text) < "\u0130" and (small := text.lower()) != text:
-            return self[small.encode()]
+        # Marks after a plain letter stand apart, as one run.
+        head = text.rstrip(self.marks)
+        if len(head) < len(text) and head and head[-1].isalpha() and head[-1] < PLAIN:
+            head = head.encode()
+            return self[head] + self[chunk[len(head) :]]
+        if text.isalpha() and max(text) < PLAIN:
+            if (small := text.lower()) != text:
+                return self[small.encode()]
+            if self.letters:
+                return self.word(text, self.letters)
         return self.direct(text)
 
     def encode(self, text: str | None) -> bytes:
@@ -97,7 +124,7 @@ def check_chunks(ids: ChunkIds) -> None:
     """Fail early on a file whose ids depend on what stands around a chunk."""
     if array("I").itemsize != 4 or sys.byteorder != "little":
         raise ValueError("ids are held as little-endian unsigned 32-bit integers")
-    probe = "It's 12 o'clock, they've\tsaid: \"no\"!?\nÉté-- ñandú; (x_y) 3.14 a.b,c <|endoftext|> THE End."
+    probe = "It's 12 o'clock, they've\tsaid: \"no\"!?\nÉté-- ñandú; (x_y) 3.14 a.b,c <|endoftext|> THE End. \u00c9L\u00c8VE,!! heat*** '' won't** x>> <|endoftext|>!!"
     if ids.encode(probe) != ids.direct(probe):
         raise ValueError("the tokenizer's ids of a text are not those of its white-space separated chunks")
 

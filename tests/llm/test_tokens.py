@@ -23,6 +23,17 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert ids.encode(text) == ids.direct(text), text
 
 
+def test_words_and_marks_by_the_model_give_the_ids_of_whole_texts():
+    """Plain letters, runs of marks after them, special tokens with letters and marks around them."""
+    ids, rng = encoder(default_tokenizer()), random.Random(9)
+    assert ids.letters
+    letters = "abzABZéÉèßªºµÿĀāıĳŉſƀ'\"!#$%&()*+,-./:;<=>?@[]^_`{|}~09٣ \t̸́İŉ日本 \u0085"
+    wholes = ["<|endoftext|>", "<|startoftext|>", "'s", "'ll", "won't"]
+    for _ in range(5000):
+        text = "".join(rng.choice(letters) if rng.random() < 0.9 else rng.choice(wholes) for _ in range(rng.randint(0, 14)))
+        assert ids.encode(text) == ids.direct(text), ascii(text)
+
+
 def test_long_text_is_cut_at_white_space(monkeypatch):
     from salesops.llm import tokens
 
