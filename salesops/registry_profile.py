@@ -164,9 +164,9 @@ def q_csv_row_numbers(spark, d):
     before = spark.conf.get(setting)
     spark.conf.set(setting, 64 * 1024)
     try:
-        # The plan takes the setting when it is made, in both passes; a write makes it now.
+        # The files are parsed, and their splits so made, within the call.
         found = with_row_numbers(FS.csv_reader(spark, multi_line=False).schema(FS.RAW_SALES_SCHEMA).csv(f"{path}/*"), "sheet_row", "path", first=2)
-        found = FS.written(found, "numbered")
     finally:
         spark.conf.set(setting, before)
+    found = FS.written(found, "numbered")
     return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file"), "sheet_row", "position", *NAMES)
