@@ -1090,19 +1090,22 @@ def q_explode_sales(spark, d):
     return records.explode_sales(T.sale_requests(spark, d))
 
 
+REQUESTS_PER_FILE = 250_000  # a micro-batch is bounded by its number of files
+
+
 def q_stream_sales(spark, d):
     """Requests arrive in two time slices; the stream runs after each
     (same checkpoint), so the second run records only the new files."""
     from salesops.sources.files import scratch_path
     from salesops.streaming.sales_stream import run_sales_stream
 
-    req = T.sale_requests(spark, d).drop("OrderID")
+    req = FS.written(T.sale_requests(spark, d).drop("OrderID"), "sale-requests")  # nested once for both slices
     folder, out = scratch_path(spark, "requests"), scratch_path(spark, "sales-stream")
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    req.where(F.col("ts") < cut).write.mode("append").json(folder)
+    req.where(F.col("ts") < cut).write.mode("append").option("maxRecordsPerFile", REQUESTS_PER_FILE).json(folder)
     last = T.datasets(spark, d).withColumn("last_order_number", F.lit(100) + F.col("dataset_id") % 7 * 50)
     run_sales_stream(spark, folder, out, datasets=last)
-    req.where(F.col("ts") >= cut).write.mode("append").json(folder)
+    req.where(F.col("ts") >= cut).write.mode("append").option("maxRecordsPerFile", REQUESTS_PER_FILE).json(folder)
     sales_path, _ = run_sales_stream(spark, folder, out, datasets=last)
     return spark.read.parquet(sales_path).drop("batch_id")
 

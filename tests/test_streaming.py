@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -137,3 +138,34 @@ def test_late_scans_of_many_devices(spark):
             last[d] = (c, s)
             want.append(i)
     assert _late(spark, [arrive[:60], arrive[60:], [(9, 300, "end", 999)]], limit=3000)[-1] == want
+
+
+def test_requests_are_joined_whole_and_counters_to_pieces(spark):
+    from salesops.operators import records
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    schema = "dataset_id long, request_id long, day string, payment_type string, items array<struct<item: string, quantity: int, price: decimal(10,2), category: string>>"
+    tea, cup = (" Tea ", 1, 2, "D"), ("Cup", 2, 3, "K")
+    rows = [(1, 10, "2024-01-01", " Cash ", [tea, cup]), (1, 11, "2024-01-02", "Card", [cup]), (1, 11, "2024-01-03", "Cash", [tea]),
+            (2, 12, "2024-01-01", "Cash", [cup]), (None, 13, "2024-01-01", "Cash", [tea]), (3, 14, "2024-01-01", "Cash", None), (3, None, "2024-01-01", "Cash", [tea])]
+    rows = [(*r[:4], r[4] and [(i, q, Decimal(p), c) for i, q, p, c in r[4]]) for r in rows]
+    requests = spark.createDataFrame(rows, schema).withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    last = spark.createDataFrame([(1, 500), (2, 700), (2, 900), (None, 5)], "dataset_id long, last_order_number long")
+    numbered = records.assign_order_ids(requests.drop("items", "day"), last)
+    # Rows meet their piece only, which has the counter; a dataset listed twice gives both numbers, a null one has no counter.
+    assert plan(numbered).count("Join") == 1
+    got = sorted((x.request_id or 0, x.OrderID) for x in numbered.collect())
+    assert got == [(0, "O101"), (10, "O501"), (11, "O502"), (11, "O503"), (12, "O701"), (12, "O901"), (13, "O101"), (14, "O102")]
+    whole = records.sale_rows(numbered, requests.select("request_id", "items"))
+    flat = records.sale_rows(numbered, requests.select("request_id", F.posexplode("items").alias("line", "it")).select("request_id", "line", "it.*"))
+    assert whole.dtypes == flat.dtypes and sorted(whole.collect()) == sorted(flat.collect())
+    assert whole.where("request_id = 11").count() == 4  # both headers with the items of both
+    assert whole.where("request_id = 10 and line = 0").first()[2:] == ("01/01/2024/00:00:00", "Monday", "O501", "Tea", 1, 2.0, "D", "Cash")
+    # A price whose type holds no others is not checked as text.
+    prices = [(1, Decimal("0.00")), (2, Decimal("-0.01")), (3, None)]
+    lines = spark.createDataFrame(prices, "request_id long, price decimal(10,2)").selectExpr("*", "'a' as item", "1 as quantity", "'b' as category")
+    checked = records.validate_sales(lines.selectExpr("request_id", "'Cash' as payment_type"), lines)
+    assert {x.request_id: x.error for x in checked.collect()} == {1: None, 2: "price", 3: "price"}
+    assert "cast(price" not in plan(checked)
