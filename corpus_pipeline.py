@@ -27,29 +27,35 @@ from salesops.llm.near_dup import drop_near_duplicates
 from salesops.llm.packing import pack_documents
 from salesops.llm.quality import quality_filter
 from salesops.llm.queries import held_out_quality
-from salesops.session import ship_package
+from salesops.session import bound_batches, ship_package
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
     ship_package(spark)
+    # All stages share the executors' memory, so few texts are on their way to a worker at a time.
+    bound_batches(spark)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return quality_filter(docs, table(spark, sf_dir, "labels"), held_out=held_out_quality())
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return drop_near_duplicates(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     note = unused("mix", docs.columns)
     return mix_to_weights(docs, mix_col=note).drop(note)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     # The stages before it share the workers, so fewer chunks are kept than by packing alone.
-    return pack_documents(docs, remembered=200_000)
+    return pack_documents(docs, remembered=100_000)
 
 
 STAGES = [("quality", quality), ("near_dup", near_dup), ("mix", mix), ("pack", pack)]

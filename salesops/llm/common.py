@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +111,27 @@ def release_tokens() -> None:
     Spark's Python workers serve one stage after another, so what one keeps for
     its next task stands beside the next stage's memory.
     """
-    if tokens := sys.modules.get("salesops.llm.tokens"):
+    if (tokens := sys.modules.get("salesops.llm.tokens")) and tokens._LOADED:
         tokens._LOADED.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow's pool and the C library otherwise keep for later."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of one partition, and ``give_back`` at its end: an idle worker stands beside what the executor does next."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesops.llm.common import batch_word_hashes, mix64, release_tokens, small, stored, unused
+from salesops.llm.common import batch_word_hashes, giving_back, mix64, release_tokens, small, stored, unused
 from salesops.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(m[~void]).ravel()), mask=pa.array(void)))
             yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch", "parity"])
 
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(sign, SIGNATURES)
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(giving_back(sign), SIGNATURES)
 
 
 def odd_bits(estimate: float) -> int:
@@ -146,13 +146,14 @@ def shingle_sets(nids: DataFrame, docs: DataFrame, classes: DataFrame, size: int
     needed = stored(classes.join(nids, "nid", "left_semi").select("nid", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tokens()
         for b in small(batches):
             found = [shingle_set(w, size).tobytes() for w in batch_word_hashes(b.column("text").to_pylist())]
             yield pa.record_batch([b.column("nid"), pa.array(found, pa.binary())], names=["nid", "shingles"])
 
     # The same shuffle at every size: a broadcast of the ids would grow with the input.
     rows = docs.join(needed.hint("merge"), docs["doc_id"].eqNullSafe(needed["id"]) & docs["text_hash"].eqNullSafe(needed["hash"]))
-    return stored(rows.select("nid", "text").mapInArrow(sets, "nid long, shingles binary").dropDuplicates(["nid"]), "sets")
+    return stored(rows.select("nid", "text").mapInArrow(giving_back(sets), "nid long, shingles binary").dropDuplicates(["nid"]), "sets")
 
 
 def edits_of(shingles: bytes, centre: bytes) -> tuple[int, int, int, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import small, stored
+from salesops.llm.common import giving_back, small, stored
 from salesops.llm.tokens import REMEMBERED, default_tokenizer, encode_ids, encoder
 
 CAPACITY = 4096
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(giving_back(cut), PIECES)
 
 
 def bin_bound(lengths: np.ndarray, capacity: int) -> int:

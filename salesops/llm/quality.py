@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.common import release_tokens, small, stored
+from salesops.llm.common import give_back, release_tokens, small, stored
 
 # Bound of what training reads: texts of each class.
 TRAIN_PER_CLASS = 2000
@@ -180,6 +180,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, train: Column) -> Compression
     ids = {*learnt[0]["curve"], *learnt[1]["curve"]}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tokens()
         for b in small(batches):
             b = b.filter(pa.array([d in ids for d in b.column("doc_id").to_pylist()], pa.bool_()))
             sizes = model.sizes(b.column("text").to_pylist())
@@ -217,6 +218,7 @@ def scorer(model: CompressionModel):
             # A few hundred texts at a time are Python objects.
             parts = [model.score(text.iloc[at : at + 500].tolist()) for at in range(0, len(text), 500)]
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+        give_back()
 
     return score
 

@@ -1,13 +1,16 @@
 import math
 import random
 import re
+import resource
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
 import corpus_pipeline
+from salesops.llm import common, tokens
 from salesops.llm import pitman_yor as P
 from salesops.llm.components import components
 from salesops.llm.mixing import leaf_budgets, mix_to_weights
@@ -233,3 +236,44 @@ def test_pipeline_on_an_empty_table(spark, make_docs, tmp_path):
     make_docs([(1, "x")]).where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_send_texts_in_batches_bounded_by_bytes(spark, make_docs):
+    """Four rows of 1 MB and one of 5 MB: none is lost, and no batch holds much over 2 MB but the long row's."""
+    docs = make_docs([*((i, "x" * (1 << 20)) for i in range(4)), (4, "y" * (5 << 20)), (5, None)], 1).coalesce(1)
+
+    def measure(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["rows", "bytes"])
+
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(0), "")
+        got = docs.mapInArrow(measure, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 6 and len(got) >= 3
+        assert all(r["bytes"] < 3.5 * (1 << 20) or r["bytes"] < 7 * (1 << 20) and r["rows"] <= 2 for r in got)
+
+
+def resident_mb():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * resource.getpagesize() >> 20
+
+
+def test_a_partition_gives_its_memory_back(monkeypatch):
+    """Freed blocks below one that is still held stay with the process unless they are given back."""
+    held = []
+
+    def run(batches):
+        blocks = [np.ones(4096) for _ in range(3000)]  # 32 KB each
+        held.append(blocks[-1])
+        yield from batches
+
+    before = resident_mb()
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert resident_mb() - before < 40
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(tokens, "_LOADED", {"path": object()})
+    common.release_tokens()
+    common.release_tokens()
+    assert tokens._LOADED == {} and calls == [1]
