@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from salesops.sources.files import written
 
 TASK_BYTES = 128 * 1024 * 1024  # splits that one task reads
+TASK_SPLITS = 32  # and no more of them: a reader keeps its buffers (2 MB of a CSV parser) until the task ends
 TASKS_PER_CORE = 3  # no fewer tasks than that
 
 
 def _few_tasks(marked: DataFrame) -> DataFrame:
-    """Small splits read by one task in turn, so the number of tasks follows the bytes, not the splits."""
+    """Small splits read by one task in turn, so there are fewer tasks than splits; a task's memory is bounded by its splits."""
     spark = marked.sparkSession
     splits = marked.rdd.getNumPartitions()
-    held = max(1, TASK_BYTES // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    held = min(TASK_SPLITS, max(1, TASK_BYTES // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
     tasks = max(-(-splits // held), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return marked.coalesce(tasks) if tasks < splits else marked
 
